@@ -62,7 +62,8 @@ def _repeated_words(words: Column) -> Column:
 def features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the counts that the rules read, as struct ``_q_f``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(text, GAP), lambda w: w != "")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
 
     def counted(w: Column) -> Column:
@@ -71,11 +72,11 @@ def features(df: DataFrame, text_col: str = "text") -> DataFrame:
             F.size(w).cast("long").alias("n_words"), F.length(joined).cast("long").alias("word_chars"), _repeated_words(w).alias("n_repeat_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), F.regexp_count(joined, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             F.regexp_count(joined, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"), F.regexp_count(joined, F.lit(r"[!?]")).cast("long").alias("n_shout"),
-            F.size(F.filter(w, lambda x: x.endswith("."))).cast("long").alias("n_stops"),
         )
 
     duplicate_lines = _bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    return df.withColumn("_q_f", F.struct(_bind(words, counted).alias("w"), duplicate_lines.alias("l")))
+    stops = F.regexp_count(text, F.lit(r"\.(?=[\x20\x09-\x0D]|$)")).cast("long")
+    return df.withColumn("_q_f", F.struct(_bind(words, counted).alias("w"), duplicate_lines.alias("l"), stops.alias("n_stops")))
 
 
 def votes() -> dict[str, Column]:
@@ -99,7 +100,7 @@ def votes() -> dict[str, Column]:
         "variety": detector((n >= 50) & (f["n_distinct"] < 0.1 * n)),
         "word_length": detector((chars < 2 * n) | (chars > 15 * n)),
         "clean": F.when(clean, 1).otherwise(0),
-        "no_sentences": detector((n >= 50) & (f["n_stops"] < 0.005 * n)),
+        "no_sentences": detector((n >= 50) & (F.col("_q_f.n_stops") < 0.005 * n)),
     }
 
 
