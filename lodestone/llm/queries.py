@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import media, quality_rules
+from lodestone.llm import media, mixing, packing, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the packing query uses; another path can be passed to the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -21,8 +32,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op8_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op10_media_columns)}
+    return {f.__name__: f for f in (op2_mix_sources, op5_quality_rules, op8_pack_best_fit, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
