@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import media, merkle, mixing, packing, quality_rules, simhash
+from lodestone.llm import bytecnn, media, merkle, mixing, packing, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.page_audit(_table(spark, sf_dir, "pages"))
 
 
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op8_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_merkle_fixity, op5_quality_rules, op7_simhash_trie, op8_pack_best_fit, op10_media_columns)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_merkle_fixity, op4_byte_cnn, op5_quality_rules, op7_simhash_trie, op8_pack_best_fit, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
