@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bytecnn, media, merkle, mixing, packing, quality_rules, simhash
+from lodestone.llm import bytecnn, html, media, merkle, mixing, packing, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op8_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_merkle_fixity, op4_byte_cnn, op5_quality_rules, op7_simhash_trie, op8_pack_best_fit, op10_media_columns)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_merkle_fixity, op4_byte_cnn, op5_quality_rules, op6_html_template, op7_simhash_trie, op8_pack_best_fit, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
