@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bytecnn, html, media, merkle, mixing, packing, quality_rules, simhash
+from lodestone.llm import bytecnn, html, linededup, media, merkle, mixing, packing, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op8_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_merkle_fixity, op4_byte_cnn, op5_quality_rules, op6_html_template, op7_simhash_trie, op8_pack_best_fit, op10_media_columns)}
+    return {f.__name__: f for f in (op1_line_templates, op2_mix_sources, op3_merkle_fixity, op4_byte_cnn, op5_quality_rules, op6_html_template, op7_simhash_trie, op8_pack_best_fit, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
