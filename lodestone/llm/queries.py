@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bytecnn, html, linededup, media, merkle, mixing, packing, quality_rules, simhash
+from lodestone.llm import bytecnn, html, linededup, media, merkle, mixing, packing, quality_rules, simhash, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op8_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_templates, op2_mix_sources, op3_merkle_fixity, op4_byte_cnn, op5_quality_rules, op6_html_template, op7_simhash_trie, op8_pack_best_fit, op10_media_columns)}
+    return {f.__name__: f for f in (op1_line_templates, op2_mix_sources, op3_merkle_fixity, op4_byte_cnn, op5_quality_rules, op6_html_template, op7_simhash_trie, op8_pack_best_fit, op9_suffix_dedup, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
