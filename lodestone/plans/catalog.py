@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import relational
+from lodestone.plans import relational, texts
 from lodestone.plans.registry import Query
 
-FAMILIES = (relational,)
+FAMILIES = (relational, texts)
 
 
 def queries() -> dict[str, Query]:
