@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import relational, texts
+from lodestone.plans import relational, retrieval, texts
 from lodestone.plans.registry import Query
 
-FAMILIES = (relational, texts)
+FAMILIES = (relational, texts, retrieval)
 
 
 def queries() -> dict[str, Query]:
