@@ -199,8 +199,11 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(find, "doc_id long, key long, first boolean")
 
 
-def contexts(packed: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, th, at, windows, key, first, context, ctx): stretches of text whose windows have a shared anchor."""
+def contexts(packed: DataFrame, wanted: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, th, at, windows, key, first, context, ctx): stretches of text whose windows have a shared anchor.
+
+    Copies (doc_id, th) give none; they are sorted out beside the anchors, so that the text moves once.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -212,6 +215,8 @@ def contexts(packed: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for k in range(batch.num_rows):
+                if batch.column(5)[k].is_valid and batch.column(1)[k].as_py() in batch.column(5)[k].as_py():
+                    continue
                 raw = unpack.decompress(batch.column(2)[k].as_py())
                 own = batch.column(3)[k].values.to_numpy(zero_copy_only=False)
                 firsts = set(batch.column(4)[k].values.to_numpy(zero_copy_only=False).tolist())
@@ -230,8 +235,10 @@ def contexts(packed: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     own = wanted.groupBy("doc_id").agg(F.collect_set("key").alias("own"), F.collect_set(F.when(F.col("first"), F.col("key"))).alias("firsts"))  # at most a document's anchors
+    skip = copies.groupBy("doc_id").agg(F.collect_set("th").alias("skip"))
     kinds = "doc_id long, th long, at int, windows int, key long, first boolean, context binary, ctx long"
-    return packed.join(own, "doc_id").select("doc_id", "th", "z", "own", "firsts").mapInArrow(emit, kinds)
+    own = own.join(skip.hint("merge"), "doc_id", "left")  # merge joins here: the same plan at every size
+    return packed.join(own.hint("merge"), "doc_id").select("doc_id", "th", "z", "own", "firsts", "skip").mapInArrow(emit, kinds)
 
 
 def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,16 +342,16 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     copies = written(prints.join(originals, "sha").where("doc_id > least").select("doc_id", "th", "n").distinct(), "copies")
     wanted = _sweep(written(shared_anchors(named, buckets), "anchors"))
     packed = _pack(texts)
-    found = contexts(packed.where("doc_id IS NOT NULL").join(copies.select("doc_id", "th"), ["doc_id", "th"], "left_anti"), wanted, buckets)
+    found = contexts(packed.where("doc_id IS NOT NULL"), wanted, copies, buckets)
     found = _sweep(written(found, "found"))
     owners = _sweep(written(window_owners(found.select("key", "ctx", "context", "doc_id"), hot), "owners"))
     last = F.array_append(F.slice("starts", 2, F.size("starts")), F.col("windows"))
     runs = F.filter(F.zip_with(F.arrays_zip("starts", "owners"), last, lambda x, e: F.struct(x["starts"].alias("s"), e.alias("e"), x["owners"].alias("o"))), lambda x: x["o"] < F.col("doc_id"))
     spans = F.transform(runs, lambda x: F.struct((F.col("at") + x["s"]).alias("s"), (F.col("at") + x["e"] - 1 + LENGTH).alias("e")))
-    hits = found.where("NOT first").select("doc_id", "th", "at", "windows", "key", "ctx").join(owners, ["key", "ctx"]).select("doc_id", "th", spans.alias("spans")).where(F.size("spans") > 0)
+    hits = found.where("NOT first").select("doc_id", "th", "at", "windows", "key", "ctx").join(owners.hint("merge"), ["key", "ctx"]).select("doc_id", "th", spans.alias("spans")).where(F.size("spans") > 0)
     hits = hits.unionByName(copies.select("doc_id", "th", F.array(F.struct(F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))).alias("spans")))
     marks = _sweep(written(hits.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("gone")), "marks"))  # at most a document's anchors
-    rows = packed.join(marks, ["doc_id", "th"], "left").select("doc_id", "z", "gone")
+    rows = packed.join(marks.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "z", "gone")
     return rows.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
