@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import relational, retrieval, texts
+from lodestone.plans import courses, relational, retrieval, texts
 from lodestone.plans.registry import Query
 
-FAMILIES = (relational, texts, retrieval)
+FAMILIES = (relational, texts, retrieval, courses)
 
 
 def queries() -> dict[str, Query]:
