@@ -3,16 +3,16 @@
 A byte goes if it is covered by a string of 50 bytes that also starts in a document with a smaller id. Exactly:
 
 1. Anchors. The least 16-byte hash in each window of 50 bytes is the window's anchor, so equal windows have equal anchors.
-   Anchors of all documents, packed by batch, are dealt to buckets, which find those that two documents share.
-2. Contexts. For each shared anchor a document gives the stretch of text whose windows have it. Equal contexts are joined, with
-   the smallest id. An anchor's contexts meet in one task; an anchor with more than ``HOT`` contexts gives its single windows instead,
-   which are spread by their own hash.
-3. Suffix arrays. A task sorts the suffixes of its contexts in two stages: suffixes smaller than their successors are sorted
-   directly, the rest are induced from them by a scan over the buckets of first bytes. Adjacent suffixes with 50 common bytes are equal
-   windows; the smallest id among them decides for which documents they are repeats.
-4. The windows found are sent back to their documents, merged and cut out.
+   Windows in a row with one anchor make a context. Hashes of anchors and contexts of all documents, packed by
+   batch, are dealt to buckets. A context that an earlier document has too is a repeat as a whole. What is left to
+   decide are the first occurrences of contexts whose anchor has other contexts as well: only their text is sent on.
+2. Suffix arrays. The contexts of an anchor meet in one task, which sorts their suffixes in two stages: suffixes smaller than
+   their successors are sorted directly, the rest are induced from them by a scan over the buckets of first bytes.
+   Adjacent suffixes with 50 common bytes are equal windows; the smallest id among them decides whose are repeats. An
+   anchor with more than ``HOT`` such contexts gives its single windows instead, which are spread by their own value.
+3. The windows found are sent back to their documents, merged and cut out. Text moves compressed.
 
-Exact copies of a whole text are found by hash first and don't take part in 2 and 3. Text moves compressed.
+Contexts are told apart by 48 bits besides those of their anchor.
 
 Edge cases: a null text is empty; texts under 50 bytes lose nothing; a null id is neither smaller nor larger than any, so its row loses
 nothing and makes none lose; rows with one id aren't compared with each other, and equal rows lose the same; an empty
@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ LENGTH = 50
 GRAM = 16
 BUCKET_BYTES = 16 << 20  # of text for a bucket of anchors
 SLAB_BYTES = 1 << 20  # of contexts in one suffix array
+BLOCK_BYTES = 1 << 20  # of a text read at once
 HOT = 20_000
 GAP = 0xFF
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93))
@@ -53,18 +56,41 @@ def grams(b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows) of each stretch of windows with one anchor."""
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random words for bytes, powers of an odd number and of its inverse."""
+    n = BLOCK_BYTES + LENGTH
+    base = 0x9FB21C651E98DF25
+    power = lambda x: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, np.uint64(x)), dtype=np.uint64)])
+    return np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), power(base), power(pow(base, -1, 1 << 64))
+
+
+def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, number of windows, hash) of each context of a text.
+
+    A long text is read in blocks; a context ends with its block, which changes only what is left to the suffix arrays.
+    """
+    parts = [_contexts(raw[at : at + BLOCK_BYTES + LENGTH - 1], at) for at in range(0, max(1, len(raw) - LENGTH + 1), BLOCK_BYTES)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _contexts(raw: bytes, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
-    least, n, width = grams(np.frombuffer(raw, np.uint8)), 1, LENGTH - GRAM + 1
+        return none.astype(np.uint64), none, none, none.astype(np.uint64)
+    symbols = np.frombuffer(raw, np.uint8)
+    least, n, width = grams(symbols), 1, LENGTH - GRAM + 1
     while 2 * n <= width:
         least = np.minimum(least[:-n], least[n:])
         n *= 2
     least = np.minimum(least[: len(raw) - LENGTH + 1], least[width - n :])
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[first], first, np.diff(np.append(first, len(least)))
+    windows = np.diff(np.append(first, len(least)))
+    word, power, inverse = _powers()
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(word[symbols] * power[: len(raw)], dtype=np.uint64)])
+    h = (sums[first + windows + LENGTH - 1] - sums[first]) * inverse[first] + windows.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * _M3
+    return least[first], first + base, windows, h ^ (h >> np.uint64(29))
 
 
 def keys(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -72,6 +98,11 @@ def keys(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return (((anchor >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (anchor & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
+def context_ids(anchor: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """48 bits of a context, 16 of its anchor."""
+    return ((h << np.uint64(16)) | (anchor & np.uint64(0xFFFF))).view(np.int64)
+
+
 def two_stage_sort(text: np.ndarray) -> np.ndarray:
     """Suffixes of ``text`` in an order that is right for their first 50 bytes at least."""
     n = len(text)
@@ -160,138 +191,133 @@ def _pack(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(add, "doc_id long, th long, z binary")
 
 
-def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, key, first): anchors that two documents have; first: none with a smaller id has it."""
+def known_contexts(texts: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, ctx, repeat): contexts that an earlier document has too, and first ones that have to be looked into."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, doc = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            key, doc, ctx = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                found = np.unique(keys(anchors((text.as_py() or "").encode())[0], buckets))
-                key.append(found)
-                doc.append(np.full(len(found), id_, np.int64))
-            key, doc = np.concatenate(key), np.concatenate(doc)
+                anchor, _, _, h = contexts((text.as_py() or "").encode())
+                ids, one = np.unique(context_ids(anchor, h), return_index=True)
+                key.append(keys(anchor[one], buckets))
+                ctx.append(ids)
+                doc.append(np.full(len(ids), id_, np.int64))
+            key, doc, ctx = np.concatenate(key), np.concatenate(doc), np.concatenate(ctx)
             order = np.argsort(key >> 32, kind="stable")
-            key, doc = key[order], doc[order]
+            key, doc, ctx = key[order], doc[order], ctx[order]
             cuts = np.flatnonzero(np.concatenate([[True], np.diff(key >> 32) != 0])) if len(key) else np.zeros(0, np.int64)
             rows = []
             for s, e in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
                 change = np.flatnonzero(np.concatenate([[True], doc[s + 1 : e] != doc[s : e - 1]]))
                 counts = np.diff(np.append(change, e - s)).astype("<u4")
-                rows.append((int(key[s] >> 32), doc[s:e][change].tobytes(), counts.tobytes(), (key[s:e] & 0xFFFFFFFF).astype("<u4").tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "docs", "counts", "hashes"])
+                own = ctx[s:e].view(np.uint64)
+                packed = (doc[s:e][change].tobytes(), counts.tobytes(), (key[s:e] & 0xFFFFFFFF).astype("<u4").tobytes(), (own >> np.uint64(32)).astype("<u4").tobytes(), ((own >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                rows.append((int(key[s] >> 32), *packed))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "docs", "counts", "anchors", "high", "low"])
 
     def find(table: pa.Table) -> pa.Table:
-        parts = [np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(k)]) for k, kind in ((1, np.int64), (2, "<u4"), (3, "<u4"))]
-        doc, h = np.repeat(parts[0], parts[1]), parts[2]
-        order = np.lexsort((doc, h))
-        doc, h = doc[order], h[order]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        counts = np.diff(np.append(start, len(h)))
-        least, most = doc[start], doc[start + counts - 1]
-        kept = np.repeat(most > least, counts)
-        first = doc == np.repeat(least, counts)
-        key = (np.int64(table.column(0)[0].as_py()) << 32) | h.astype(np.int64)
-        return pa.table({"doc_id": doc[kept], "key": key[kept], "first": first[kept]})
-
-    packed = texts.mapInArrow(pack, "bucket int, docs binary, counts binary, hashes binary")
-    return packed.groupBy("bucket").applyInArrow(find, "doc_id long, key long, first boolean")
-
-
-def contexts(packed: DataFrame, wanted: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, th, at, windows, key, first, context, ctx): stretches of text whose windows have a shared anchor.
-
-    Copies (doc_id, th) give none; they are sorted out beside the anchors, so that the text moves once.
-    """
+        kinds = ((1, np.int64), (2, "<u4"), (3, "<u4"), (4, "<u4"), (5, "<u2"))
+        docs, counts, h, high, low = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(k)]) for k, kind in kinds)
+        doc = np.repeat(docs, counts)
+        ctx = (high.astype(np.uint64) << np.uint64(32)) | (low.astype(np.uint64) << np.uint64(16)) | (h.astype(np.uint64) & np.uint64(0xFFFF))
+        order = np.lexsort((doc, ctx, h))
+        doc, ctx, h = doc[order], ctx[order].view(np.int64), h[order]
+        new_anchor = np.concatenate([[True], h[1:] != h[:-1]])
+        new_context = new_anchor | np.concatenate([[True], ctx[1:] != ctx[:-1]])
+        at, cut = np.flatnonzero(new_anchor), np.flatnonzero(new_context)
+        spread = lambda value, start: np.repeat(value, np.diff(np.append(start, len(h))))
+        first = spread(doc[cut], cut) == doc  # of its context: the smallest id
+        several = spread(np.add.reduceat(new_context.astype(np.int64), at) > 1, at)
+        shared = spread(np.maximum.reduceat(doc, at) > np.minimum.reduceat(doc, at), at)
+        kept = ~first | (several & shared)
+        return pa.table({"doc_id": doc[kept], "ctx": ctx[kept], "repeat": ~first[kept]})
+
+    packed = texts.mapInArrow(pack, "bucket int, docs binary, counts binary, anchors binary, high binary, low binary")
+    return packed.groupBy("bucket").applyInArrow(find, "doc_id long, ctx long, repeat boolean")
+
+
+SPANS = "array<struct<s:int,e:int>>"
+
+
+def told(packed: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, th, at, key, context, spans): a row of spans of each text's repeated contexts, and a row for each context to look into."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from xxhash import xxh3_64_intdigest
 
         unpack = zstandard.ZstdDecompressor()
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()]
-        names = ["doc_id", "th", "at", "windows", "key", "first", "context", "ctx"]
+        span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), span]
+        put = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "th", "at", "key", "context", "spans"])
         for batch in batches:
             rows: list[tuple] = []
             for k in range(batch.num_rows):
-                if batch.column(5)[k].is_valid and batch.column(1)[k].as_py() in batch.column(5)[k].as_py():
-                    continue
                 raw = unpack.decompress(batch.column(2)[k].as_py())
-                own = batch.column(3)[k].values.to_numpy(zero_copy_only=False)
-                firsts = set(batch.column(4)[k].values.to_numpy(zero_copy_only=False).tolist())
-                anchor, start, n = anchors(raw)
-                key = keys(anchor, buckets)
+                whole, open_ = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4))
+                anchor, start, n, h = contexts(raw)
+                ids = context_ids(anchor, h)
                 id_, th = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                for j in np.flatnonzero(np.isin(key, own)).tolist():
-                    s, w, a = int(start[j]), int(n[j]), int(key[j])
-                    context = raw[s : s + w + LENGTH - 1]
-                    h = xxh3_64_intdigest(context)
-                    rows.append((id_, th, s, w, a, a in firsts, context, h - (1 << 64) if h >> 63 else h))
+                got = np.isin(ids, whole)
+                if got.any():
+                    s, e = start[got], start[got] + n[got] + LENGTH - 1
+                    gap = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))  # neighbours are one span
+                    last = np.append(gap[1:], len(s)) - 1
+                    rows.append((id_, th, None, None, None, [{"s": int(x), "e": int(y)} for x, y in zip(s[gap], e[last], strict=True)]))
+                key = keys(anchor, buckets)
+                for j in np.flatnonzero(np.isin(ids, open_)).tolist():
+                    rows.append((id_, th, int(start[j]), int(key[j]), raw[start[j] : start[j] + n[j] + LENGTH - 1], None))
                 if len(rows) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield put(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield put(rows)
 
-    own = wanted.groupBy("doc_id").agg(F.collect_set("key").alias("own"), F.collect_set(F.when(F.col("first"), F.col("key"))).alias("firsts"))  # at most a document's anchors
-    skip = copies.groupBy("doc_id").agg(F.collect_set("th").alias("skip"))
-    kinds = "doc_id long, th long, at int, windows int, key long, first boolean, context binary, ctx long"
-    own = own.join(skip.hint("merge"), "doc_id", "left")  # merge joins here: the same plan at every size
-    return packed.join(own.hint("merge"), "doc_id").select("doc_id", "th", "z", "own", "firsts", "skip").mapInArrow(emit, kinds)
+    own = known.groupBy("doc_id").agg(F.collect_set(F.when(F.col("repeat"), F.col("ctx"))).alias("whole"), F.collect_set(F.when(~F.col("repeat"), F.col("ctx"))).alias("open"))  # at most a document's contexts
+    # Merge joins here and below: the same plan at every size.
+    joined = packed.join(own.hint("merge"), "doc_id").select("doc_id", "th", "z", "whole", "open")
+    return joined.mapInArrow(emit, f"doc_id long, th long, at int, key long, context binary, spans {SPANS}")
 
 
 def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows by smallest owner, of rows (part, key, ctx, context, owner) that come sorted by part."""
-    held: list[tuple] = []
-    size = 0
+    """(doc_id, th, spans) of rows (key, doc_id, th, at, context) that come sorted by key."""
+    span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        many: dict[int, int] = {}
-        for r in rows:
-            many[r[0]] = many.get(r[0], 0) + 1
-        # A part of one context shares its windows with nothing but its equals, which are joined already.
-        alone = [r for r in rows if many[r[0]] == 1]
-        rest = [r for r in rows if many[r[0]] > 1]
-        key, ctx, starts, owners = [], [], [], []
-        for r in alone:
-            key.append(r[1])
-            ctx.append(r[2])
-            starts.append([0])
-            owners.append([r[4]])
-        if rest:
-            for r, least in zip(rest, repeats([r[3] for r in rest], np.array([r[4] for r in rest], np.int64)), strict=True):
-                run = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                key.append(r[1])
-                ctx.append(r[2])
-                starts.append(run.tolist())
-                owners.append(least[run].tolist())
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((key, ctx, starts, owners), kinds, strict=True)], ["key", "ctx", "starts", "owners"])
+        docs = np.array([r[1] for r in rows], np.int64)
+        out = []
+        for r, least in zip(rows, repeats([r[4] for r in rows], docs), strict=True):
+            late = least < r[1]
+            if late.any():
+                change = np.flatnonzero(np.diff(np.concatenate([[0], late.astype(np.int8), [0]])))
+                out.append((r[1], r[2], [{"s": int(r[3] + s), "e": int(r[3] + e - 1 + LENGTH)} for s, e in zip(change[::2], change[1::2], strict=True)]))
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), span), strict=True)], ["doc_id", "th", "spans"])
 
+    held: list[tuple] = []
+    size = 0
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if size >= SLAB_BYTES and held[-1][0] != row[0]:
                 yield solve(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if held:
         yield solve(held)
 
 
-def window_owners(found: DataFrame, hot: int = HOT) -> DataFrame:
-    """(key, ctx, starts, owners): of each distinct context, runs of windows and the smallest id that has them."""
-    distinct = written(found.groupBy("key", "ctx").agg(F.first("context").alias("context"), F.min("doc_id").alias("owner")), "contexts")
-    crowded = written(distinct.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded")
-    plain = distinct.join(crowded, "key", "left_anti").select(F.col("key").alias("part"), "key", "ctx", "context", "owner")
-    plain = plain.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted_repeats, "key long, ctx long, starts array<int>, owners array<long>")
+def looked_into(found: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, th, spans): windows of contexts (key, doc_id, th, at, context) that earlier ones have."""
+    crowded = written(found.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded")
+    plain = found.join(crowded, "key", "left_anti").select("key", "doc_id", "th", "at", "context")
+    plain = plain.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_repeats, f"doc_id long, th long, spans {SPANS}")
     # Windows of anchors with very many contexts, one by one: rows are spread by window, and equal ones meet by partial aggregates.
-    windows = F.transform(F.sequence(F.lit(0), F.octet_length("context") - LENGTH), lambda i: F.struct(i.alias("start"), F.substring(F.col("context"), i + 1, F.lit(LENGTH)).alias("window")))
-    single = distinct.join(crowded, "key", "left_semi").select("key", "ctx", "owner", F.explode(windows).alias("w")).select("key", "ctx", "owner", "w.*")
-    least = single.groupBy("window").agg(F.min("owner").alias("least"))
-    runs = single.join(least, "window").groupBy("key", "ctx").agg(F.array_sort(F.collect_list(F.struct("start", "least"))).alias("r"))
-    return plain.unionByName(runs.select("key", "ctx", F.transform("r", lambda x: x["start"]).alias("starts"), F.transform("r", lambda x: x["least"]).alias("owners")))
+    windows = F.transform(F.sequence(F.lit(0), F.octet_length("context") - LENGTH), lambda i: F.struct((F.col("at") + i).alias("s"), F.substring(F.col("context"), i + 1, F.lit(LENGTH)).alias("window")))
+    single = found.join(crowded, "key", "left_semi").select("doc_id", "th", F.explode(windows).alias("w")).select("doc_id", "th", "w.*")
+    late = single.join(single.groupBy("window").agg(F.min("doc_id").alias("least")), "window").where("least < doc_id")
+    return plain.unionByName(late.select("doc_id", "th", F.array(F.struct("s", (F.col("s") + LENGTH).alias("e"))).alias("spans")))
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,8 +352,10 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sweep(df: DataFrame) -> DataFrame:
     """Lets Spark delete the shuffle files of finished phases, which it does as the driver collects garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return df
 
 
@@ -336,21 +364,13 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-total // BUCKET_BYTES))
-    named = texts.where("doc_id IS NOT NULL")
-    prints = written(named.select("doc_id", "th", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n")), "prints")
-    originals = prints.groupBy("sha").agg(F.min("doc_id").alias("least"))
-    copies = written(prints.join(originals, "sha").where("doc_id > least").select("doc_id", "th", "n").distinct(), "copies")
-    wanted = _sweep(written(shared_anchors(named, buckets), "anchors"))
+    named = F.col("doc_id").isNotNull()
+    known = _sweep(written(known_contexts(texts.where(named), buckets), "known"))
     packed = _pack(texts)
-    found = contexts(packed.where("doc_id IS NOT NULL"), wanted, copies, buckets)
-    found = _sweep(written(found, "found"))
-    owners = _sweep(written(window_owners(found.select("key", "ctx", "context", "doc_id"), hot), "owners"))
-    last = F.array_append(F.slice("starts", 2, F.size("starts")), F.col("windows"))
-    runs = F.filter(F.zip_with(F.arrays_zip("starts", "owners"), last, lambda x, e: F.struct(x["starts"].alias("s"), e.alias("e"), x["owners"].alias("o"))), lambda x: x["o"] < F.col("doc_id"))
-    spans = F.transform(runs, lambda x: F.struct((F.col("at") + x["s"]).alias("s"), (F.col("at") + x["e"] - 1 + LENGTH).alias("e")))
-    hits = found.where("NOT first").select("doc_id", "th", "at", "windows", "key", "ctx").join(owners.hint("merge"), ["key", "ctx"]).select("doc_id", "th", spans.alias("spans")).where(F.size("spans") > 0)
-    hits = hits.unionByName(copies.select("doc_id", "th", F.array(F.struct(F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))).alias("spans")))
-    marks = _sweep(written(hits.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("gone")), "marks"))  # at most a document's anchors
+    found = _sweep(written(told(packed.where(named), known, buckets), "found"))
+    open_ = found.where("key IS NOT NULL").select("key", "doc_id", "th", "at", "context")
+    spans = found.where("spans IS NOT NULL").select("doc_id", "th", "spans").unionByName(looked_into(open_, hot))
+    marks = _sweep(written(spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("gone")), "marks"))  # at most a document's contexts
     rows = packed.join(marks.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "z", "gone")
     return rows.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
