@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import courses, relational, retrieval, texts
+from lodestone.plans import courses, relational, retrieval, streams, texts
 from lodestone.plans.registry import Query
 
-FAMILIES = (relational, texts, retrieval, courses)
+FAMILIES = (relational, texts, retrieval, courses, streams)
 
 
 def queries() -> dict[str, Query]:

@@ -64,21 +64,20 @@ def al3_cosine_assignment(t: Tables) -> DataFrame:
 
 
 def _candidates(t: Tables) -> DataFrame:
-    """Slides as candidates of modules: course_id, module_index, chunk_id, score."""
-    best = t.lineitem.groupBy(F.col("l_orderkey").alias("course_id"), (F.col("l_suppkey") % 4).cast("int").alias("module_index"), F.col("l_partkey").alias("chunk_id")).agg(F.max("l_quantity").alias("score"))
-    return best
+    """Parts as passages that compete for the modules of a supplier's course: course_id, module_index, chunk_id, score."""
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("course_id"), (F.col("l_linenumber") % 4).cast("int").alias("module_index"), F.col("l_partkey").alias("chunk_id")).agg(F.max("l_quantity").alias("score"))
 
 
 @add()
 def al4_rebalanced(t: Tables) -> DataFrame:
     w = _candidates(t).select("course_id", "module_index", "chunk_id", (F.col("score") / 50).alias("margin"), (F.col("score") >= 45).alias("pinned"))
     once = R.top_per(w, ["course_id", "chunk_id"], [F.col("module_index")]).withColumn("all_modules", F.sequence(F.lit(0), F.lit(3)))
-    return A.rebalance(once, 1, 2)
+    return A.rebalance(once, 30, 150)
 
 
 @add()
 def r14_quota_dedup(t: Tables) -> DataFrame:
-    return A.quota_dedup(_candidates(t), 2)
+    return A.quota_dedup(_candidates(t))
 
 
 @add()
@@ -88,8 +87,9 @@ def io7_greedy_batches(t: Tables) -> DataFrame:
 
 @add()
 def w11_sequential_reuse(t: Tables) -> DataFrame:
-    rows = t.lineitem.select(F.col("l_orderkey").alias("course_id"), F.col("l_linenumber").alias("slot"), (F.col("l_partkey") % 5).alias("image"), F.col("l_quantity").alias("rank")).distinct()
-    return A.capped_choice(rows, 2)
+    """Slots of a supplier's course choose among parts; none is used more than three times."""
+    rows = t.lineitem.groupBy(F.col("l_suppkey").alias("course_id"), F.col("l_orderkey").alias("slot"), (F.col("l_partkey") % 50).alias("image")).agg(F.min("l_quantity").alias("rank"))
+    return A.capped_choice(rows, 3)
 
 
 @add("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(round_even(l_quantity * 0.5, 0) AS INTEGER) AS texts, CASE WHEN l_suppkey % 4 = 0 THEN 3 ELSE 0 END AS quizzes, CASE WHEN l_suppkey % 4 = 3 THEN 2 ELSE 0 END AS cases FROM lineitem""")
