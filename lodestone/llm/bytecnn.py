@@ -110,7 +110,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
     p, rng = start(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         p["out"][:] = 0
         p["out_bias"][:] = math.log(max(share, 1e-3) / max(1 - share, 1e-3)) if len(y) else 0.0
         return p

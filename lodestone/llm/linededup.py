@@ -5,7 +5,7 @@ digit counts as a variable field on the way. At a leaf each later token is kept
 place and is a variable field otherwise; a line's template is what remains. Templates that recur across documents are
 dropped wherever they stand.
 
-Recurrence is counted in contexts, a context being the leaves of the lines before and after: boilerplate stands between ever
+Recurrence is counted in contexts, a context being the lengths and leading tokens of the lines before and after: boilerplate stands between ever
 other lines, whereas the lines of copied documents keep their neighbours, so copies of a document don't make
 its own lines boilerplate. A document that holds nothing but recurring lines keeps its text: it is for the document
 deduplication to judge.
@@ -36,19 +36,19 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
 
 
-def _leaf(line: Column) -> Column:
-    """Hash of the path to a line's leaf: number of tokens, leading tokens without variable fields."""
-    first = F.split(_bare(line), GAP, DEPTH + 1)
-    lead = F.regexp_replace(F.array_join(F.slice(first, 1, DEPTH), " "), r"\S*\d\S*", FIELD)
-    return F.xxhash64(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), lead)
+def _paths(line: Column) -> tuple[Column, Column]:
+    """Hashes of a line's number of tokens and leading tokens: as they are, and without variable fields, the path to its leaf."""
+    lead = F.array_join(F.slice(F.split(_bare(line), GAP, DEPTH + 1), 1, DEPTH), " ")
+    count = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    return F.xxhash64(count, lead), F.xxhash64(count, F.regexp_replace(lead, r"\S*\d\S*", FIELD))
 
 
 def lines(df: DataFrame, text_col: str) -> DataFrame:
     """A row per line with a word: the row's ``_l_row``, its place, its leaf, its context and its text."""
-    placed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"), _leaf(x).alias("leaf")))
+    placed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"), _paths(x)[0].alias("lead"), _paths(x)[1].alias("leaf")))
     worded = F.filter(placed, lambda x: _bare(x["line"]) != "")
     framed = F.transform(F.array(worded), lambda a: F.transform(a, lambda x, i: F.struct(
-        x["at"].alias("at"), x["line"].alias("line"), x["leaf"].alias("leaf"), F.xxhash64(F.get(a, i - 1)["leaf"], F.get(a, i + 1)["leaf"]).alias("context"),
+        x["at"].alias("at"), x["line"].alias("line"), x["leaf"].alias("leaf"), F.xxhash64(F.get(a, i - 1)["lead"], F.get(a, i + 1)["lead"]).alias("context"),
     )))[0]
     return df.select("_l_row", F.explode(framed).alias("x")).select("_l_row", "x.*")
 

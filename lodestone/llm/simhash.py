@@ -221,6 +221,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id is their component's smallest, one row of each component."""
     prints = written(with_fingerprint(df, text_col), "fingerprinted")
-    chosen = written(grouped(prints.select(id_col, "_s_fp"), id_col).select(F.col("fp").alias("_s_fp"), "root", "component_id"), "chosen")
-    kept = prints.join(chosen, "_s_fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    return kept.dropDuplicates(["root"]).select(*df.columns)
+    chosen = written(grouped(prints.select(id_col, "_s_fp"), id_col).select(F.col("fp").alias("_s_fp"), F.col("root").alias("_s_root"), F.col("component_id").alias("_s_least")), "chosen")
+    kept = prints.join(chosen.hint("merge"), "_s_fp").where(F.col(id_col).eqNullSafe(F.col("_s_least")))  # the same plan at every size
+    return kept.dropDuplicates(["_s_root"]).select(*df.columns)

@@ -208,7 +208,7 @@ def known_contexts(texts: DataFrame, buckets: int) -> DataFrame:
             key, doc, ctx = key[order], doc[order], ctx[order]
             cuts = np.flatnonzero(np.concatenate([[True], np.diff(key >> 32) != 0])) if len(key) else np.zeros(0, np.int64)
             rows = []
-            for s, e in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+            for s, e in zip(cuts, np.append(cuts, len(key))[1:], strict=True):
                 change = np.flatnonzero(np.concatenate([[True], doc[s + 1 : e] != doc[s : e - 1]]))
                 counts = np.diff(np.append(change, e - s)).astype("<u4")
                 own = ctx[s:e].view(np.uint64)
