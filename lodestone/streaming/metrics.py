@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestone.sources.scratch import shared_dir
 
@@ -70,5 +70,7 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = spark.read.schema(stream.schema if mode == "complete" else stream.schema.add("batch", "int")).parquet(f"{base}/out")
-    return found if mode == "complete" else found.drop("batch")
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    numbered = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    return spark.read.schema(numbered).parquet(f"{base}/out").drop("batch")
