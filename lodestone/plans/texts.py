@@ -142,6 +142,19 @@ def s13_id_lists(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.array_join(X.id_list(raw), ";").alias("ids"))
 
 
+@add("""WITH s AS (SELECT doc_id, least((CAST(regexp_matches(lower(text), 'the of') AS INTEGER) + CAST(regexp_matches(lower(text), 'and.*the') AS INTEGER)) / 2.0, 1.0) AS a, least((CAST(regexp_matches(lower(text), 'der die') AS INTEGER) + CAST(regexp_matches(lower(text), 'und') AS INTEGER)) / 2.0, 1.0) AS b FROM documents)
+SELECT doc_id, CASE WHEN greatest(a, b) < 0.5 THEN NULL WHEN a >= b THEN 'flow' ELSE 'tree' END AS template FROM s""")
+def s16_template_routing(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", X.routed_template(F.col("text"), {"flow": ["the of", "and.*the"], "tree": ["der die", "und"]}).alias("template"))
+
+
+@add("SELECT o_orderkey, 'Verifica ' || o_orderkey AS label FROM orders")
+def s17_norm_suffix(t: Tables) -> DataFrame:
+    n = F.col("o_orderkey").cast("string")
+    tail = F.when(F.col("o_orderkey") % 3 == 0, " secondo D.Lgs. 81/08 Art. 225").when(F.col("o_orderkey") % 3 == 1, ", ai sensi della legge").otherwise("")
+    return t.orders.select("o_orderkey", X.without_norm_suffix(F.concat(F.lit("Verifica "), n, tail)).alias("label"))
+
+
 @add("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)sanzion|ammend|arrest|multa|pena') THEN 'SANZIONE' ELSE 'GENERALE' END AS kind FROM documents""")
 def s14_penalty_class(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.penalty_class(F.lit("SANZIONE"), F.col("text")).alias("kind"))
