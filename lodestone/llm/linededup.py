@@ -80,7 +80,7 @@ def templates(found: DataFrame) -> DataFrame:
     )
     template = written(template.where("fixed").drop("fixed"), "templates")
     told = written(near.select("_l_row", "at", "leaf", "line_hash", "context").join(template, ["leaf", "line_hash"]), "told")
-    dropped = recurring(told, "leaf", "template").select("leaf", "template")
+    dropped = written(recurring(told, "leaf", "template").select("leaf", "template"), "dropped")
     return told.join(dropped, ["leaf", "template"], "left_semi").select("_l_row", "at")
 
 
