@@ -86,8 +86,9 @@ def templates(found: DataFrame) -> DataFrame:
 
 def drop_templates(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` without the lines of recurring templates; adds ``_l_lines`` (with a word) and ``_l_dropped`` (of these)."""
-    # Rows are told apart by content and a running number among equal ones isn't needed: equal rows lose equal lines.
-    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith("map")])
+    # Rows are told apart by 96 bits of their content; equal rows lose equal lines, so no number among them is needed.
+    content = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind]
+    row = F.struct(F.xxhash64(*content).alias("x"), F.hash(*content).alias("h"))
     keyed = df.withColumn("_l_row", row)
     found = lines(keyed.select("_l_row", F.col(text_col)), text_col)
     gone = written(templates(found).distinct().groupBy("_l_row").agg(F.array_sort(F.collect_list("at")).alias("_l_gone")), "gone")

@@ -9,7 +9,7 @@ A byte goes if it is covered by a string of 50 bytes that also starts in a docum
 2. Suffix arrays. The contexts of an anchor meet in one task, which sorts their suffixes in two stages: suffixes smaller than
    their successors are sorted directly, the rest are induced from them by a scan over the buckets of first bytes.
    Adjacent suffixes with 50 common bytes are equal windows; the smallest id among them decides whose are repeats. An
-   anchor with more than ``HOT`` such contexts gives its single windows instead, which are spread by their own value.
+   anchor with more than ``HOT`` such contexts, or 8 MB of them, gives its single windows instead, which are spread by their own value.
 3. The windows found are sent back to their documents, merged and cut out. Text moves compressed.
 
 Contexts are told apart by 48 bits besides those of their anchor.
@@ -38,7 +38,7 @@ GRAM = 16
 BUCKET_BYTES = 16 << 20  # of text for a bucket of anchors
 SLAB_BYTES = 1 << 20  # of contexts in one suffix array
 BLOCK_BYTES = 1 << 20  # of a text read at once
-HOT = 20_000
+HOT, HOT_BYTES = 20_000, 8 << 20
 GAP = 0xFF
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93))
 
@@ -310,7 +310,8 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def looked_into(found: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, th, spans): windows of contexts (key, doc_id, th, at, context) that earlier ones have."""
-    crowded = written(found.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded")
+    counted = found.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("context")).alias("bytes"))
+    crowded = written(counted.where((F.col("n") > hot) | (F.col("bytes") > HOT_BYTES)).select("key"), "crowded")
     plain = found.join(crowded, "key", "left_anti").select("key", "doc_id", "th", "at", "context")
     plain = plain.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_repeats, f"doc_id long, th long, spans {SPANS}")
     # Windows of anchors with very many contexts, one by one: rows are spread by window, and equal ones meet by partial aggregates.
