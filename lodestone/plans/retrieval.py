@@ -70,9 +70,14 @@ def hybrid(t: Tables, k: int) -> DataFrame:
     return V.fuse([V.bm25(_asked(t), _chunks(t), 200).select("query_id", "chunk_id", "rank"), dense.select("query_id", "chunk_id", "rank")], k)
 
 
+@add(f"WITH {_FUSED} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 200")
+def r4_fusion(t: Tables) -> DataFrame:
+    return hybrid(t, 200)
+
+
 @add(f"WITH {_FUSED} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 20")
 def r5_hybrid_recall(t: Tables) -> DataFrame:
-    """Also R4, the fusion itself."""
+    """Both recall branches, fused."""
     return hybrid(t, 20)
 
 
@@ -161,6 +166,19 @@ def r17_image_search(t: Tables) -> DataFrame:
     return hits.unionByName(without.select("query_id", "chunk_id", F.lit(1.0).alias("score"), F.lit("tags").alias("by")))
 
 
+@add(f"""WITH {_POOL} SELECT query_id, chunk_id AS src, d.doc_id AS dst, d.source AS regulation_id FROM pool JOIN documents d ON d.doc_id = chunk_id + 20 WHERE rank <= 10""")
+def j10_edges_of_top(t: Tables) -> DataFrame:
+    """Edges of the best passages with what they lead to; an edge goes to the next document of a source."""
+    targets = t.documents.select((F.col("doc_id") - 20).alias("src"), F.col("doc_id").alias("dst"), F.col("source").alias("regulation_id"))
+    return pool_of(t).where("rank <= 10").select("query_id", F.col("chunk_id").alias("src")).join(targets, "src").select("query_id", "src", "dst", "regulation_id")
+
+
+@add(f"""WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0) SELECT chunk_id, score FROM n ORDER BY score DESC, chunk_id LIMIT 30""")
+def t5_vector_top_k(t: Tables) -> DataFrame:
+    one = t.embeddings.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return top_k(one, t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), 30).select("chunk_id", "score")
+
+
 _PATHS = """ch AS (SELECT doc_id AS chunk_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || ' > ' || lang ELSE source || ' > ' || lang || ' > ' || (doc_id % 7) END AS p FROM documents)"""
 
 

@@ -212,6 +212,15 @@ def c4_hybrid_chunks(t: Tables) -> DataFrame:
     return C.hybrid_chunks(articles(t), "id", "text")
 
 
+@add()
+def a22_coverage_ratio(t: Tables) -> DataFrame:
+    """Normalized characters of a document's chunks against those of the document."""
+    docs = articles(t)
+    chunks = C.structured_chunks(docs, "id", "text").groupBy("id").agg(F.sum(F.length(X.covered_form(F.col("body")))).alias("got"))
+    whole = docs.select("id", F.length(X.covered_form(F.col("text"))).alias("n"))
+    return whole.join(chunks, "id", "left").select("id", F.round(F.coalesce("got", F.lit(0)) / F.greatest("n", F.lit(1)), 6).alias("coverage"))
+
+
 @add()
 def kg1_reference_extraction(t: Tables) -> DataFrame:
     return C.references(C.structured_chunks(articles(t), "id", "text"), "body")
