@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.functions.text import bm25_tokens
 from lodestone.operators.relational import majority, quantile_by_index, top_per
+from lodestone.sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 FUSION = 60
@@ -16,11 +17,12 @@ UNKNOWN = "Sconosciuto"
 def bm25(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """(query_id, chunk_id, score, rank) by BM25 with negative weights replaced by a share of the mean weight.
 
-    Postings are made once and serve all queries; statistics cover the whole corpus.
+    Postings are made and written once and serve all queries; statistics cover the whole corpus.
     """
-    postings = corpus.select(chunk_id, F.explode(bm25_tokens(F.col(text))).alias("token")).groupBy(chunk_id, "token").agg(F.count("*").alias("tf"))
-    lengths = corpus.select(chunk_id, F.size(bm25_tokens(F.col(text))).alias("length"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))  # one row
+    postings = written(corpus.select(chunk_id, F.explode(bm25_tokens(F.col(text))).alias("token")).groupBy(chunk_id, "token").agg(F.count("*").alias("tf")), "postings")
+    lengths = postings.groupBy(chunk_id).agg(F.sum("tf").alias("length"))
+    # A document without words counts as well, with length 0.
+    whole = postings.agg(F.sum("tf").alias("total")).crossJoin(corpus.agg(F.count("*").alias("n"))).select("n", (F.col("total") / F.col("n")).alias("mean_length"))  # one row
     seen = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(whole.select("n"))
     raw = seen.select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     weight = raw.crossJoin(raw.agg(F.avg("raw").alias("mean"))).select("token", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
