@@ -249,3 +249,17 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert sorted(r["doc_id"] for r in docs.collect()) == list(range(40))
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_token_ids_are_those_of_the_whole_text():
+    paths = pytest.importorskip("public_tokenizers")
+    import random
+
+    import pyarrow as pa
+
+    t = packing._tokenizer(paths.path("word_bpe_49k.json"))
+    rng = random.Random(1)
+    parts = list("abXYZ'’sStT09 \t\n\r\x0b\x0c\x1c\x85\xa0 　éİıſKßẞ̧̌😀中ا<|>.,!-_") + ["<|endoftext|>", " <|startoftext|>", "'s", "'LL", "don't "]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["", None]
+    got = [x.tolist() for x in packing.token_ids(pa.array(values), t)]
+    assert got == [t.encode(v or "", add_special_tokens=False).ids + [1] for v in values]
