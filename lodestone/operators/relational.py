@@ -58,6 +58,14 @@ def optional_filters(df: DataFrame, equals: Mapping[str, object | None], search:
     return df
 
 
+def drop_lists(df: DataFrame, title: str, text: str, rules: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """Without rows of a title whose text matches a pattern for it; a rule (title, pattern, enabled) that is off drops nothing."""
+    for name, pattern, enabled in rules:
+        if enabled:
+            df = df.where(~F.coalesce((F.col(title) == name) & F.col(text).rlike(pattern), F.lit(False)))
+    return df
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int, most: int = 100) -> DataFrame:
     """A page, from 1; ``order`` has to end in a unique key."""
     size = max(1, min(size, most))

@@ -124,13 +124,8 @@ def pf8_null_aware_exclusion(t: Tables) -> DataFrame:
 
 @add("""SELECT doc_id, source FROM documents WHERE NOT (source = 'src0' AND regexp_matches(text, '(?i)licensed|the mit')) AND NOT (source = 'src1' AND regexp_matches(text, '(?i)all rights'))""")
 def pf9_text_drop_lists(t: Tables) -> DataFrame:
-    """Rules (title, pattern, enabled) drop passages of the title they name; a rule that is off drops nothing."""
     rules = [("src0", "(?iu)licensed|the mit", True), ("src1", "(?iu)all rights", True), ("src2", "(?iu).", False)]
-    docs = t.documents.select("doc_id", "source", "text")
-    for title, pattern, enabled in rules:
-        if enabled:
-            docs = docs.where(~((F.col("source") == title) & F.col("text").rlike(pattern)))
-    return docs.select("doc_id", "source")
+    return R.drop_lists(t.documents.select("doc_id", "source", "text"), "source", "text", rules).select("doc_id", "source")
 
 
 @add("SELECT event_id, value FROM events WHERE value IS NOT NULL AND value <> 0 AND value > 50")
