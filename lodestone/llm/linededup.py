@@ -36,17 +36,24 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
 
 
-def _paths(line: Column) -> tuple[Column, Column]:
-    """Hashes of a line's number of tokens and leading tokens: as they are, and without variable fields, the path to its leaf."""
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _placed(line: Column, at: Column) -> Column:
+    """A line's place, text and the hashes of its number of tokens and leading tokens: as they are (``lead``), and without
+    variable fields, the path to its leaf (``leaf``)."""
     lead = F.array_join(F.slice(F.split(_bare(line), GAP, DEPTH + 1), 1, DEPTH), " ")
-    count = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    return F.xxhash64(count, lead), F.xxhash64(count, F.regexp_replace(lead, r"\S*\d\S*", FIELD))
+    path = F.struct(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), lead.alias("lead"))
+    masked = lambda p: F.when(F.regexp_like(p["lead"], F.lit(r"\d")), F.regexp_replace(p["lead"], r"\S*\d\S*", FIELD)).otherwise(p["lead"])
+    return _bind(path, lambda p: F.struct(at.alias("at"), line.alias("line"), p["n"].alias("n"), F.xxhash64(p["n"], p["lead"]).alias("lead"), F.xxhash64(p["n"], masked(p)).alias("leaf")))
 
 
 def lines(df: DataFrame, text_col: str) -> DataFrame:
     """A row per line with a word: the row's ``_l_row``, its place, its leaf, its context and its text."""
-    placed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"), _paths(x)[0].alias("lead"), _paths(x)[1].alias("leaf")))
-    worded = F.filter(placed, lambda x: _bare(x["line"]) != "")
+    placed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _placed)
+    worded = F.filter(placed, lambda x: x["n"] > 0)
     framed = F.transform(F.array(worded), lambda a: F.transform(a, lambda x, i: F.struct(
         x["at"].alias("at"), x["line"].alias("line"), x["leaf"].alias("leaf"), F.xxhash64(F.get(a, i - 1)["lead"], F.get(a, i + 1)["lead"]).alias("context"),
     )))[0]
