@@ -32,10 +32,11 @@ SEED = 42
 CHUNK = 1024
 PER_BUCKET = 256
 SLAB = 16384
+SKETCH = 512
 
 
-def fingerprint(text: str | None) -> int:
-    """64 bits, each set if it is set in over half of the XXH64 hashes of the word shingles."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seen: list | None = None) -> int:
+    """64 bits, each set if it is set in over half of the XXH64 hashes of the word shingles, which are added to ``seen``."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # of bytes: lower-cases A-Z, splits at ASCII white space
@@ -44,30 +45,43 @@ def fingerprint(text: str | None) -> int:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) >= SHINGLE:
-        starts, ends = starts[: 1 - SHINGLE], ends[SHINGLE - 1 :]
+    if len(words) >= shingle:
+        starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     n, counts = len(starts), np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
         pairs = zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist(), strict=True)
         hashes = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in pairs], np.uint64)
+        if seen is not None:
+            seen.append(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(df: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with ``_s_fp``, the fingerprint as a signed long."""
+def with_fingerprint(df: DataFrame, text_col: str = "text", keep_text: bool = True, shingle: int = SHINGLE, with_class: bool = False) -> DataFrame:
+    """``df`` with ``_s_fp``, the fingerprint as a signed long, and on demand ``_s_class``, a hash of the text's words,
+    and a sketch of its shingles: their number ``_s_size`` and ``_s_bits``, a bit for each of ``SKETCH`` groups that has one."""
     at = df.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
         for batch in batches:
-            found = np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
+            texts = batch.column(at).to_pylist()
+            seen: list[list] = [[] for _ in texts] if with_class else [None] * len(texts)
+            found = [pa.array(np.array([fingerprint(t, shingle, s) for t, s in zip(texts, seen, strict=True)], np.uint64).view(np.int64))]
+            if with_class:
+                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *s])) for s in seen]
+                words = (b" ".join((t or "").encode().lower().split()) for t in texts)
+                found.append(pa.array(np.array([xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)))
+                found += [pa.array([len(x) for x in sets], pa.int64()), pa.array([np.packbits(np.bincount((x % SKETCH).astype(np.int64), minlength=SKETCH) > 0).tobytes() for x in sets], pa.binary())]
             kept = [k for k in range(batch.num_columns) if keep_text or k != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(found)], [*(batch.schema.names[k] for k in kept), "_s_fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *found], [*(batch.schema.names[k] for k in kept), *added])
 
+    added = {"_s_fp": "bigint"} | ({"_s_class": "bigint", "_s_size": "bigint", "_s_bits": "binary"} if with_class else {})
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != text_col]
-    return df.mapInArrow(add, ", ".join([*fields, "_s_fp bigint"]))
+    return df.mapInArrow(add, ", ".join([*fields, *(f"{c} {kind}" for c, kind in added.items())]))
 
 
 def traverse(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,9 +232,151 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(id_col, F.lpad(F.lower(F.hex("_s_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is their component's smallest, one row of each component."""
-    prints = written(with_fingerprint(df, text_col), "fingerprinted")
-    chosen = written(grouped(prints.select(id_col, "_s_fp"), id_col).select(F.col("fp").alias("_s_fp"), F.col("root").alias("_s_root"), F.col("component_id").alias("_s_least")), "chosen")
-    kept = prints.join(chosen.hint("merge"), "_s_fp").where(F.col(id_col).eqNullSafe(F.col("_s_least")))  # the same plan at every size
+def wide_masks(n: int, most: int) -> list[int]:
+    """Masks as in ``block_masks`` for a wide budget: of ``b`` blocks one differs in at most ``most // b`` bits, so that it
+    agrees on all but as many of its own parts. The choice weighs the rows that are dealt against the pairs that are compared."""
+
+    def cut(lo: int, hi: int, k: int) -> list[tuple[int, int]]:
+        ends = [lo + round(x * (hi - lo) / k) for x in range(k + 1)]
+        return list(zip(ends, ends[1:]))
+
+    def cost(masks: list[int]) -> float:
+        return sum(2000 * n + 5 * n * n / 2 ** m.bit_count() for m in masks)
+
+    choices = []
+    for b in range(1, 9):
+        r = most // b
+        for parts in range(r + 1, min(r + 7, BITS // b) + 1):
+            choices.append([sum((1 << y) - (1 << x) for x, y in c) for block in cut(0, BITS, b) for c in combinations(cut(*block, parts), parts - r)])
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in min((c for c in choices if len(c) <= 400), key=cost)]
+
+
+def _near_pairs(most: int, nearest: bool):
+    """Pairs of a bucket's classes that differ in at most ``most`` bits and lie in different components: of each class the
+    nearest of the smaller ones, or all. Nodes of the trie are compared whole: under a wide budget none is pruned before it is small."""
+
+    def compare(rows: np.ndarray, out: list) -> None:
+        values, node, root = rows[:, 4].view(np.uint64), rows[:, 5], rows[:, 6]
+        order = np.argsort(node)
+        values, node, root = values[order], node[order], root[order]
+        for at in range(0, len(node), 256):
+            to = min(at + 256, len(node))
+            bits = np.bitwise_count(values[at:to, None] ^ values[None, :to])
+            live = (bits <= most) & (root[at:to, None] != root[None, :to]) & (node[at:to, None] > node[None, :to])
+            x, y = np.nonzero(live)
+            if not len(x):
+                continue
+            d = bits[x, y].astype(np.int64)
+            if nearest:
+                rank = np.lexsort((d, x))
+                first = rank[np.concatenate([[True], x[rank][1:] != x[rank][:-1]])]
+                x, y, d = x[first], y[first], d[first]
+            out.append((node[at + x], node[y], d))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: np.ndarray) -> pa.RecordBatch:
+            change = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+            out: list = [(np.zeros(0, np.int64),) * 3]
+            for part in np.split(rows, change):
+                compare(part, out)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "d"])
+
+        rows = np.zeros((0, 7), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([rows, np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1)])
+            last = len(rows) - int(np.argmax((rows[::-1, :4] != rows[-1, :4]).any(axis=1))) if (rows[:, :4] != rows[-1, :4]).any() else 0
+            if last:
+                yield found(rows[:last])
+                rows = rows[last:]
+        if len(rows):
+            yield found(rows)
+
+    return run
+
+
+def near_pairs(classes: DataFrame, most: int, nearest: bool) -> DataFrame:
+    """(a, b) of ``classes`` (class, fp, root): see ``_near_pairs``; if ``nearest``, one b of each a."""
+    masks = wide_masks(classes.count(), most)
+    dealt = classes.select("class", "fp", "root", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("c", "m"))
+    counted = written(dealt.groupBy("c", "m").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    chunks = F.ceil(F.col("n") / CHUNK)
+    other = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")
+    shared = dealt.join(counted, ["c", "m"]).withColumn("own", F.pmod(F.xxhash64("class"), chunks)).select("c", "m", "own", "fp", "class", "root", other)
+    keys = ["c", "m", "i", "j"]
+    keyed = shared.select("c", "m", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "class", "root")
+    found = keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_near_pairs(most, nearest), "a bigint, b bigint, d bigint")
+    if nearest:
+        return found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b")
+    return found.select("a", "b").distinct()
+
+
+def _possible(similarity: float):
+    """Of rows (a, b, sizes, sketches) the (a, b) that can be similar: a bit in which sketches differ is a shingle that one text lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, SKETCH // 64) for k in (4, 5))
+            m, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), abs(m - n))
+            kept = apart * (1 + similarity) <= (1 - similarity) * (m + n) + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept))
+
+    return run
+
+
+def _alike(shingle: int, similarity: float):
+    """Of rows (a, b, text of a, text of b) the (a, b) whose shingle sets have that Jaccard similarity."""
+
+    def shingles(text: str | None) -> set:
+        words = (text or "").encode().lower().split()
+        return {tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for k in range(batch.num_rows):
+                x, y = shingles(batch.column(2)[k].as_py()), shingles(batch.column(3)[k].as_py())
+                both = len(x & y)
+                kept.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def similar_classes(prints: DataFrame, text_col: str, shingle: int, most: int, similarity: float) -> DataFrame:
+    """(class, root): components of texts that differ in at most ``most`` bits and are as similar, of rows with fingerprints.
+
+    The nearest pairs are compared first; whatever the links found don't connect yet is compared pair by pair, so the components
+    are those of all pairs, while a group of copies costs one pair a copy.
+    """
+    classes = written(prints.groupBy(F.col("_s_class").alias("class")).agg(*(F.first(f"_s_{c}").alias(c) for c in ("fp", "size", "bits"))), "classes")
+    sketches = [classes.select(F.col("class").alias(k), F.col("size").alias(f"size_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab"]
+    rooted, links = classes.select("class", "fp", F.col("class").alias("root")), None
+    for nearest in (True, False):
+        pairs = near_pairs(rooted, most, nearest).join(sketches[0], "a").join(sketches[1], "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+        pairs = written(pairs.mapInArrow(_possible(similarity), "a bigint, b bigint"), "pairs")
+        named = pairs.select(F.col("a").alias("_s_class")).union(pairs.select("b")).distinct()
+        texts = prints.select("_s_class", text_col).join(named, "_s_class", "left_semi").groupBy("_s_class").agg(F.first(text_col).alias("text"))
+        texts = written(texts, "texts")
+        left = texts.select(F.col("_s_class").alias("a"), F.col("text").alias("x"))
+        right = texts.select(F.col("_s_class").alias("b"), F.col("text").alias("y"))
+        read = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+        alike = written(read.mapInArrow(_alike(shingle, similarity), "a bigint, b bigint"), "alike")
+        links = alike if links is None else links.unionByName(alike)
+        known = components(links)
+        rooted = written(classes.join(known, classes["class"] == known["node"], "left").select("class", "fp", F.coalesce("root", "class").alias("root")), "rooted")
+    return rooted.select("class", "root")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = 14, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` whose id is their component's smallest, one row of each component of ``similar_classes``."""
+    prints = written(with_fingerprint(df, text_col, shingle=shingle, with_class=True), "fingerprinted")
+    rooted = similar_classes(prints, text_col, shingle, most, similarity).select(F.col("class").alias("_s_class"), F.col("root").alias("_s_root"))
+    ids = prints.groupBy("_s_class").agg(F.min(id_col).alias("first_id")).join(rooted, "_s_class")
+    least = ids.groupBy("_s_root").agg(F.min("first_id").alias("_s_least"))
+    # Only classes that hold their component's smallest id are joined with the texts.
+    chosen = written(ids.join(least, "_s_root").where(F.col("first_id").eqNullSafe(F.col("_s_least"))).select("_s_class", "_s_root", "_s_least"), "chosen")
+    kept = prints.join(chosen.hint("merge"), "_s_class").where(F.col(id_col).eqNullSafe(F.col("_s_least")))  # the same plan at every size
     return kept.dropDuplicates(["_s_root"]).select(*df.columns)

@@ -83,9 +83,9 @@ def test_repeats_edge_cases(spark):
     assert suffixes.report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, shingle=3):
     w = (text or "").encode().lower().split()
-    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    shingles = [b" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] or ([b" ".join(w)] if w else [])
     h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -146,6 +146,41 @@ def test_one_of_each_keeps_columns(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_near_copies_are_one(spark):
+    """Texts of a five-word Jaccard similarity of 0.8 that differ in at most 14 bits are one, as by all pairs."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for k in range(12):
+        base = words(rng, 150, 650).split()
+        texts.append(base)
+        for edits in (1, 2, 3, 12):
+            near = list(base)
+            for at in rng.integers(0, 150, edits):
+                near[at] = f"edit{k}"
+            texts.append(near)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    prints = [brute_fingerprint(" ".join(t), 5) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= 14:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    assert len(set(root)) < len(texts) - 20
+    got = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+
+
+def test_wide_masks_meet_every_pair():
+    rng = np.random.default_rng(2)
+    for n in (100, 300_000, 20_000_000):
+        masks = [m % (1 << 64) for m in simhash.wide_masks(n, 14)]
+        for _ in range(2000):
+            apart = sum(1 << int(b) for b in rng.choice(64, 14, replace=False))
+            assert any(not m & apart for m in masks)
+
+
 def test_lines_of_recurring_templates_go(spark):
     rng = np.random.default_rng(9)
     rows = []
