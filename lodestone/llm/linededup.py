@@ -27,7 +27,7 @@ GAP = r"[\x20\x09-\x0D]+"
 DEPTH = 4  # leading tokens on the way to a leaf
 LEAST_TOKENS = 4  # shorter lines don't tell a template from chance
 LEAST_CONTEXTS = 5
-SHARE = 0.3  # contexts of a template in its occurrences: below, it recurs by copies
+SHARE = 0.3  # contexts of a template in its distinct texts: below, it recurs by near copies
 SIMILARITY = 0.5  # of a template's tokens that aren't variable fields
 FIELD = "<*>"
 
@@ -51,26 +51,26 @@ def _placed(line: Column, at: Column) -> Column:
 
 
 def lines(df: DataFrame, text_col: str) -> DataFrame:
-    """A row per line with a word: the row's ``_l_row``, its place, its leaf, its context and its text."""
+    """A row per line with a word: the row's ``_l_row``, a hash of its text, its place, its leaf, its context and its text."""
     placed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _placed)
     worded = F.filter(placed, lambda x: x["n"] > 0)
     framed = F.transform(F.array(worded), lambda a: F.transform(a, lambda x, i: F.struct(
         x["at"].alias("at"), x["line"].alias("line"), x["leaf"].alias("leaf"), F.xxhash64(F.get(a, i - 1)["lead"], F.get(a, i + 1)["lead"]).alias("context"),
     )))[0]
-    return df.select("_l_row", F.explode(framed).alias("x")).select("_l_row", "x.*")
+    return df.select("_l_row", F.xxhash64(text_col).alias("doc"), F.explode(framed).alias("x")).select("_l_row", "doc", "x.*")
 
 
-def recurring(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys whose rows come from enough contexts, and not by copies alone."""
-    once = rows.groupBy(*keys, "context").agg(F.count("*").alias("n"))
+def recurring(rows: DataFrame, *keys: str, share: float = 0.0) -> DataFrame:
+    """Keys whose rows come from enough contexts and, of their distinct texts, from enough contexts a text; equal texts are one."""
+    once = rows.select(*keys, "context", "doc").distinct().groupBy(*keys, "context").agg(F.count("*").alias("n"))
     counted = once.groupBy(*keys).agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
-    return counted.where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("contexts") >= SHARE * F.col("n")))
+    return counted.where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("contexts") >= share * F.col("n")))
 
 
 def templates(found: DataFrame) -> DataFrame:
     """(_l_row, at) of the lines to drop, of ``lines``."""
     # Leaves are written, so the planner knows their size: few are broadcast, many are joined by shuffling.
-    leaves = written(recurring(found.select("leaf", "context"), "leaf").select("leaf"), "leaves")
+    leaves = written(recurring(found, "leaf").select("leaf"), "leaves")
     # A hash of a leaf's line stands for it, and equal lines at a leaf are taken apart once a context.
     near = written(found.join(leaves, "leaf", "left_semi").withColumn("tokens", F.split(_bare(F.col("line")), GAP)).where(F.size("tokens") >= LEAST_TOKENS).withColumn("line_hash", F.xxhash64("line")), "near")
     distinct = near.groupBy("leaf", "line_hash").agg(F.first("tokens").alias("tokens"))
@@ -86,8 +86,8 @@ def templates(found: DataFrame) -> DataFrame:
         (F.size(F.filter("parts", lambda x: x["token"] != FIELD)) >= SIMILARITY * F.size("parts")).alias("fixed"),
     )
     template = written(template.where("fixed").drop("fixed"), "templates")
-    told = written(near.select("_l_row", "at", "leaf", "line_hash", "context").join(template, ["leaf", "line_hash"]), "told")
-    dropped = written(recurring(told, "leaf", "template").select("leaf", "template"), "dropped")
+    told = written(near.select("_l_row", "doc", "at", "leaf", "line_hash", "context").join(template, ["leaf", "line_hash"]), "told")
+    dropped = written(recurring(told, "leaf", "template", share=SHARE).select("leaf", "template"), "dropped")
     return told.join(dropped, ["leaf", "template"], "left_semi").select("_l_row", "at")
 
 

@@ -198,3 +198,12 @@ def test_lines_of_recurring_templates_go(spark):
     for k, text in rows[12:]:
         assert got[k]["text"] == text and got[k]["_l_dropped"] == 0
     assert linededup.report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_do_not_veto_a_template(spark):
+    rng = np.random.default_rng(4)
+    line = "Licensed under the terms of the common license"
+    rows = [(k, "\n".join([words(rng, 8), line, words(rng, 8), words(rng, 8)])) for k in range(12)]
+    rows += [(100 + k, rows[0][1]) for k in range(1000)]
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: text.replace(line + "\n", "") for k, text in rows}
