@@ -5,10 +5,11 @@ digit counts as a variable field on the way. At a leaf each later token is kept
 place and is a variable field otherwise; a line's template is what remains. Templates that recur across documents are
 dropped wherever they stand.
 
-Recurrence is counted in contexts, a context being the lengths and leading tokens of the lines before and after: boilerplate stands between ever
-other lines, whereas the lines of copied documents keep their neighbours, so copies of a document don't make
-its own lines boilerplate. A document that holds nothing but recurring lines keeps its text: it is for the document
-deduplication to judge.
+Recurrence is counted in distinct texts, each with one context: the lengths and leading tokens of the nearest lines before and
+after whose leaves don't recur, so that the inner lines of a shared passage have the contexts of the passage. Boilerplate
+stands between ever other lines, whereas the lines of copied documents keep their neighbours. Texts with hardly a line of their own
+are near copies and don't count, so copies of a document don't make its own lines boilerplate. A document that holds nothing but
+recurring lines keeps its text: it is for the document deduplication to judge.
 
 Everything is counted by groups with partial aggregates; leaves of any size are spread over tasks, and only
 lines at recurring leaves are taken apart.
@@ -19,14 +20,15 @@ empty table; a line of any length is parsed whole. Columns that are added start
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.sources.scratch import written
 
 GAP = r"[\x20\x09-\x0D]+"
 DEPTH = 4  # leading tokens on the way to a leaf
-LEAST_TOKENS = 4  # shorter lines don't tell a template from chance
-LEAST_CONTEXTS = 5
+LEAST_TOKENS = 4  # shorter lines have no variable fields: they are templates as they stand
+LEAST_CONTEXTS = 5  # and texts
+OWN = 0.25  # of the lines of a text that counts: below, it is a near copy
 SHARE = 0.3  # contexts of a template in its distinct texts: below, it recurs by near copies
 SIMILARITY = 0.5  # of a template's tokens that aren't variable fields
 FIELD = "<*>"
@@ -51,43 +53,53 @@ def _placed(line: Column, at: Column) -> Column:
 
 
 def lines(df: DataFrame, text_col: str) -> DataFrame:
-    """A row per line with a word: the row's ``_l_row``, a hash of its text, its place, its leaf, its context and its text."""
+    """A row per line with a word: the row's ``_l_row``, a hash of its text, its place, its text, its lead and its leaf."""
     placed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _placed)
     worded = F.filter(placed, lambda x: x["n"] > 0)
-    framed = F.transform(F.array(worded), lambda a: F.transform(a, lambda x, i: F.struct(
-        x["at"].alias("at"), x["line"].alias("line"), x["leaf"].alias("leaf"), F.xxhash64(F.get(a, i - 1)["lead"], F.get(a, i + 1)["lead"]).alias("context"),
-    )))[0]
-    return df.select("_l_row", F.xxhash64(text_col).alias("doc"), F.explode(framed).alias("x")).select("_l_row", "doc", "x.*")
+    return df.select("_l_row", F.xxhash64(text_col).alias("doc"), F.explode(worded).alias("x")).select("_l_row", "doc", "x.at", "x.line", "x.lead", "x.leaf")
 
 
-def recurring(rows: DataFrame, *keys: str, share: float = 0.0) -> DataFrame:
-    """Keys whose rows come from enough contexts and, of their distinct texts, from enough contexts a text; equal texts are one."""
-    once = rows.select(*keys, "context", "doc").distinct().groupBy(*keys, "context").agg(F.count("*").alias("n"))
+def recurring(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys whose texts have enough contexts, of one context each, and enough contexts a text; equal texts are one."""
+    once = rows.groupBy(*keys, "doc").agg(F.min("context").alias("context"))
+    once = once.groupBy(*keys, "context").agg(F.count("*").alias("n"))
     counted = once.groupBy(*keys).agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
-    return counted.where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("contexts") >= share * F.col("n")))
+    return counted.where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("contexts") >= SHARE * F.col("n")))
+
+
+def framed(found: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines at ``leaves`` with their ``context`` and ``own``, the share of other lines in their row."""
+    marked = found.join(leaves.withColumn("again", F.lit(True)), "leaf", "left")
+    marked = marked.select("_l_row", "doc", "at", "leaf", F.when(F.col("again"), F.col("line")).alias("line"), F.when(F.col("again").isNull(), F.col("lead")).alias("lead"))
+    row, beyond = Window.partitionBy("_l_row"), (Window.unboundedPreceding, -1)
+    before = F.last("lead", ignorenulls=True).over(row.orderBy("at").rangeBetween(*beyond))
+    after = F.last("lead", ignorenulls=True).over(row.orderBy(F.desc("at")).rangeBetween(*beyond))
+    placed = marked.select("*", before.alias("before"), after.alias("after"), (F.count("lead").over(row) / F.count("*").over(row)).alias("own"))
+    return placed.where(F.col("line").isNotNull()).select("_l_row", "doc", "at", "leaf", "line", F.xxhash64("before", "after").alias("context"), "own")
 
 
 def templates(found: DataFrame) -> DataFrame:
     """(_l_row, at) of the lines to drop, of ``lines``."""
     # Leaves are written, so the planner knows their size: few are broadcast, many are joined by shuffling.
-    leaves = written(recurring(found, "leaf").select("leaf"), "leaves")
+    leaves = found.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_CONTEXTS)
+    leaves = written(leaves.select("leaf"), "leaves")
     # A hash of a leaf's line stands for it, and equal lines at a leaf are taken apart once a context.
-    near = written(found.join(leaves, "leaf", "left_semi").withColumn("tokens", F.split(_bare(F.col("line")), GAP)).where(F.size("tokens") >= LEAST_TOKENS).withColumn("line_hash", F.xxhash64("line")), "near")
+    near = written(framed(found, leaves).withColumn("tokens", F.split(_bare(F.col("line")), GAP)).withColumn("line_hash", F.xxhash64("line")), "near")
     distinct = near.groupBy("leaf", "line_hash").agg(F.first("tokens").alias("tokens"))
     weighed = near.select("leaf", "line_hash", "context").distinct().groupBy("leaf", "line_hash").agg(F.count("*").alias("contexts"))
-    spread = distinct.join(weighed, ["leaf", "line_hash"]).select("leaf", "line_hash", "contexts", F.posexplode("tokens").alias("place", "token"))
+    spread = distinct.join(weighed, ["leaf", "line_hash"]).select("leaf", "line_hash", "contexts", (F.size("tokens") < LEAST_TOKENS).alias("short"), F.posexplode("tokens").alias("place", "token"))
     spread = written(spread, "tokens")
     steady = spread.groupBy("leaf", "place", "token").agg(F.sum("contexts").alias("seen")).where(F.col("seen") >= LEAST_CONTEXTS).select("leaf", "place", "token", F.lit(True).alias("steady"))
     kept = spread.join(steady, ["leaf", "place", "token"], "left")
-    token = F.when(F.col("steady") & ~F.regexp_like("token", F.lit(r"\d")), F.col("token")).otherwise(FIELD)
+    token = F.when(F.col("short") | (F.col("steady") & ~F.regexp_like("token", F.lit(r"\d"))), F.col("token")).otherwise(FIELD)
     parts = F.array_sort(F.collect_list(F.struct("place", token.alias("token"))))  # of one line
     template = kept.groupBy("leaf", "line_hash").agg(parts.alias("parts")).select(
         "leaf", "line_hash", F.xxhash64(F.array_join(F.transform("parts", lambda x: x["token"]), " ")).alias("template"),
         (F.size(F.filter("parts", lambda x: x["token"] != FIELD)) >= SIMILARITY * F.size("parts")).alias("fixed"),
     )
     template = written(template.where("fixed").drop("fixed"), "templates")
-    told = written(near.select("_l_row", "doc", "at", "leaf", "line_hash", "context").join(template, ["leaf", "line_hash"]), "told")
-    dropped = written(recurring(told, "leaf", "template", share=SHARE).select("leaf", "template"), "dropped")
+    told = written(near.select("_l_row", "doc", "at", "leaf", "line_hash", "context", "own").join(template, ["leaf", "line_hash"]), "told")
+    dropped = written(recurring(told.where(F.col("own") >= OWN), "leaf", "template").select("leaf", "template"), "dropped")
     return told.join(dropped, ["leaf", "template"], "left_semi").select("_l_row", "at")
 
 

@@ -207,3 +207,17 @@ def test_copies_do_not_veto_a_template(spark):
     rows += [(100 + k, rows[0][1]) for k in range(1000)]
     got = {r["doc_id"]: r["text"] for r in linededup.drop_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {k: text.replace(line + "\n", "") for k, text in rows}
+
+
+def test_passages_and_short_lines_go(spark):
+    rng = np.random.default_rng(6)
+    passage = [words(rng, 9) for _ in range(4)]
+    rows = [(k, "\n".join([words(rng, 8), words(rng, 8), *passage, words(rng, 8), "All rights reserved.", words(rng, 8)])) for k in range(8)]
+    single = words(rng, 8)
+    rows.append((50, "\n".join(x for _ in range(8) for x in (words(rng, 8), single))))
+    near = [words(rng, 8) for _ in range(10)]
+    for k in range(9):
+        rows.append((100 + k, "\n".join([*near[:k], words(rng, 8), *near[k + 1 :]])))
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, text in rows:
+        assert got[k] == ("\n".join(x for x in text.split("\n") if x not in passage and x != "All rights reserved.") if k < 8 else text)
