@@ -177,6 +177,13 @@ def test_pages(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_copied_pages_keep_their_text(spark):
+    body = "<html><body><div><p>First words of a page.</p><p>Second words.</p></div></body></html>"
+    rows = [(1, "http://mirror.example/a", body), (2, "http://mirror.example/b", body), (3, None, body), (3, None, body), (4, "odd", body)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in got] == ["First words of a page.\n\nSecond words."] * 5
+
+
 def test_fixity_finds_all_damage(spark):
     rng = np.random.default_rng(4)
     rows = [(f"a{k % 3}", int(o), 50, hashlib.sha256(bytes([k % 250, k // 250])).hexdigest()) for k, o in enumerate(np.arange(900) * 3000)]
