@@ -184,6 +184,13 @@ def test_copied_pages_keep_their_text(spark):
     assert [r["text"] for r in got] == ["First words of a page.\n\nSecond words."] * 5
 
 
+def test_constant_blocks_inside_articles_go(spark):
+    page = '<html><body><article><h1>Title {0}</h1><p>Own words {0}.</p><div class="x1">Read our other stories</div></article></body></html>'
+    rows = [(k, f"http://paper.example/{k}", page.format(k)) for k in range(5)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Title {k}\n\nOwn words {k}." for k in range(5)}
+
+
 def test_fixity_finds_all_damage(spark):
     rng = np.random.default_rng(4)
     rows = [(f"a{k % 3}", int(o), 50, hashlib.sha256(bytes([k % 250, k // 250])).hexdigest()) for k, o in enumerate(np.arange(900) * 3000)]
