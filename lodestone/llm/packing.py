@@ -12,7 +12,9 @@ pieces as it needs. Only lengths move between tasks, never ids.
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -30,6 +32,7 @@ END_ID = 1
 BINS_PER_GROUP = 1024
 FULL = 0.985
 SLAB_WORDS = 400_000
+HELD_BYTES = 96 << 20  # of ids that a worker holds
 PIECES = "id {}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,27 +44,96 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _word_ids(tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of distinct words one after another, and how many each word has."""
-    ids, counts = [], np.zeros(len(words), np.int64)
-    values = words.to_pylist()
-    for at in range(0, len(values), 2048):
-        for encoding, first in zip(tokenizer.encode_batch([values[at : at + 2048]], is_pretokenized=True, add_special_tokens=False), [at], strict=True):
-            ids.append(np.array(encoding.ids, np.uint32))
-            of = np.array(encoding.word_ids, np.int64) + first
-            counts[: of.max() + 1 if len(of) else 0] += np.bincount(of)[: len(counts)] if len(of) else 0
-    return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), counts
+# Fixed value: the pattern by which the tokenizer of the packing query cuts words, after lower-casing.
+WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS = "a-z\u00e0-\u00f6\u00f8-\u00ff"  # of lower case, which no normal form changes
+MARKS = string.punctuation
+
+
+class Encoder:
+    """Ids of words. A string is encoded once and held over all batches of a worker; what is held is bounded, and what isn't
+    held is encoded again."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.held, self.size = tokenizer, {}, 0
+        rules = json.loads(tokenizer.to_str())
+        before = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        after = (rules.get("normalizer") or {}).get("normalizers") or [{}]
+        # Where the tokenizer's rule is this known one, letters and the marks after them are told apart without it.
+        self.splits = len(before) == 2 and before[0].get("pattern") == {"Regex": WORD_PARTS} and before[1].get("type") == "ByteLevel" and after[-1].get("type") == "Lowercase"
+        if self.splits:
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            spell = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.spelling = {k: spell.pre_tokenize_str(chr(k))[0][0] for k in range(0xE0, 0x100)}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 2048):
+            some = words[at : at + 2048]
+            encoding = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            counts = np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(some)) if len(encoding) else np.zeros(len(some), np.int64)
+            raw, start = np.array(encoding.ids, np.uint32).tobytes(), 0
+            for end in (4 * np.cumsum(counts)).tolist():
+                out.append(raw[start:end])
+                start = end
+        return out
+
+    def _encode_part(self, part: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize(part if part.isascii() else part.translate(self.spelling)) if part else []
+        return np.array([t.id for t in tokens], np.uint32).tobytes()
+
+    def strings(self, values: list[str], parts: bool) -> list[bytes]:
+        """32-bit ids of distinct words, or of parts of words, which the tokenizer's rule doesn't cut."""
+        held = self.held
+        new = [v for v in values if v not in held]
+        made = [self._encode_part(v) for v in new] if parts else self._encode(new)
+        coded = dict(zip(new, made, strict=True))
+        found = [coded[v] if v in coded else held[v] for v in values]
+        for v, ids in coded.items():
+            if self.size > HELD_BYTES:
+                break
+            held[v] = ids
+            self.size += 200 + 2 * len(v) + len(ids)
+        return found
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after another, and how many each word has."""
+        if not self.splits:
+            ids = self.strings(words.to_pylist(), False)
+            return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        low = pc.utf8_lower(words)
+        base = pc.ascii_rtrim(low, MARKS)
+        simple = pc.and_(pc.match_substring_regex(base, f"^[{LETTERS}]*$"), pc.match_substring_regex(words, "^[\\x21-\\x7e\u00c0-\u00ff]*$"))
+        base = pc.if_else(simple, base, "").dictionary_encode()
+        marks = pc.if_else(simple, pc.replace_substring_regex(low, f"^[{LETTERS}]*", ""), "").dictionary_encode()
+        other = np.flatnonzero(~simple.to_numpy(zero_copy_only=False))
+        coded = self.strings(base.dictionary.to_pylist(), True) + self.strings(marks.dictionary.to_pylist(), True) + self.strings(words.take(pa.array(other)).to_pylist(), False)
+        # Of each word two places in ``coded``: its letters and its marks, or itself and nothing.
+        first, second = base.indices.to_numpy().astype(np.int64), marks.indices.to_numpy() + np.int64(len(base.dictionary))
+        first[other] = len(base.dictionary) + len(marks.dictionary) + np.arange(len(other))
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ids, starts = np.frombuffer(b"".join(coded), np.uint32), np.cumsum(lengths) - lengths
+        both = np.stack([first, second], axis=1).ravel()
+        n = lengths[both]
+        ends = np.cumsum(n)
+        return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[both] - (ends - n), n)], lengths[first] + lengths[second]
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(_tokenizer(path))
 
 
-def token_ids(texts: pa.Array, tokenizer) -> Iterator[np.ndarray]:
+def token_ids(texts: pa.Array, encoder: Encoder) -> Iterator[np.ndarray]:
     """Ids of each text, with the end token.
 
-    The tokenizer never joins characters across ASCII white space, so each distinct word of the batch is encoded
+    The tokenizer never joins characters across ASCII white space, so each distinct word is encoded
     once and texts are put together from words. Texts are gathered in slabs, a long one alone.
     """
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = lists.flatten().dictionary_encode()
-    ids, counts = _word_ids(tokenizer, coded.dictionary)
+    ids, counts = encoder.words(coded.dictionary)
     begins = np.cumsum(counts) - counts
     index, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     at = 0
@@ -80,10 +152,10 @@ def token_ids(texts: pa.Array, tokenizer) -> Iterator[np.ndarray]:
 
 def _cutter(path: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        encoder = _encoder(path)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, ids in enumerate(token_ids(batch.column(1), tokenizer)):
+            for k, ids in enumerate(token_ids(batch.column(1), encoder)):
                 for j, s in enumerate(range(0, len(ids), capacity)):
                     part = ids[s : s + capacity]
                     row.append(k)

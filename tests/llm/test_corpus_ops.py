@@ -265,15 +265,21 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
-def test_token_ids_are_those_of_the_whole_text():
+def test_token_ids_are_those_of_the_whole_text(monkeypatch):
     paths = pytest.importorskip("public_tokenizers")
     import random
 
     import pyarrow as pa
 
     t = packing._tokenizer(paths.path("word_bpe_49k.json"))
+    encoder = packing.Encoder(t)
+    assert encoder.splits
     rng = random.Random(1)
     parts = list("abXYZ'’sStT09 \t\n\r\x0b\x0c\x1c\x85\xa0 　éİıſKßẞ̧̌😀中ا<|>.,!-_") + ["<|endoftext|>", " <|startoftext|>", "'s", "'LL", "don't "]
     values = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["", None]
-    got = [x.tolist() for x in packing.token_ids(pa.array(values), t)]
-    assert got == [t.encode(v or "", add_special_tokens=False).ids + [1] for v in values]
+    want = [t.encode(v or "", add_special_tokens=False).ids + [1] for v in values]
+    for bound in (packing.HELD_BYTES, 3000):  # what is held is forgotten, and strings beyond the bound aren't held
+        monkeypatch.setattr(packing, "HELD_BYTES", bound)
+        for at in (0, 0, 700):
+            assert [x.tolist() for x in packing.token_ids(pa.array(values[at:]), encoder)] == want[at:]
+        encoder.splits = False
