@@ -1,21 +1,23 @@
 """Weak supervision of document quality with DataFrame functions only.
 
 Rules vote good (1), bad (-1) or abstain (0). Documents are counted by their pattern of votes, which is a
-table of at most 3 ** rules rows however large the corpus is; expectation maximisation over that table
-estimates each rule's accuracy and the share of good documents; a document's posterior probability of
-being good replaces a filter that all rules must pass.
-
-Edge cases: a null or empty text has no words and fails the base rule; repeated rows are judged alike; an
-empty table gives an empty table; a text of any length is judged whole, in time n log n of its words.
-Features are added under names that start with ``_q_``, so columns of the input never clash.
+table of at most 3 ** rules rows however large the corpus is. Expectation maximisation over that table estimates a
+latent class model: good documents, and for each rule a kind of bad ones that this rule finds. It learns the share of each
+class and how often each rule errs in it; the posterior probability of the good class replaces a filter that all
+rules must pass. Since other rules may praise a kind of junk that one rule finds, their votes count there for as
+little as they are worth; and a single rule's finding that no other rule seconds can be overruled.
+
+Edge cases: a null or empty text has no words and fails the base rule, and all rules abstain on it; repeated rows are judged
+alike; an empty table gives an empty table; a text of any length is judged whole, in time n log n of its words.
+``judge`` adds columns that start with ``_q_``; ``keep`` and ``verdicts`` work under any column names.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestone.llm.columns import named, place, plain
 from lodestone.sources.scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +28,9 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 ROUNDS = 60
 KEEP_FROM = 0.5
+GOOD, ERROR, FOUND, OTHER, DRAW = 0.8, 0.05, 0.9, 0.4, 10
+BARE = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"  # words without a letter or digit
+DOUBLED = r"([#*$%&|<>!?])\1+"
 
 
 def _bind(value: Column, body) -> Column:
@@ -71,64 +76,71 @@ def features(df: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(
             F.size(w).cast("long").alias("n_words"), F.length(joined).cast("long").alias("word_chars"), _repeated_words(w).alias("n_repeat_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), F.regexp_count(joined, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            F.regexp_count(joined, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"), F.regexp_count(joined, F.lit(r"[!?]")).cast("long").alias("n_shout"),
+            F.regexp_count(joined, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"), F.regexp_count(joined, F.lit(r"[\p{L}\p{N}]")).cast("long").alias("n_alnum"),
         )
 
     duplicate_lines = _bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    stops = F.regexp_count(text, F.lit(r"\.(?=[\x20\x09-\x0D]|$)")).cast("long")
-    return df.withColumn("_q_f", F.struct(_bind(words, counted).alias("w"), duplicate_lines.alias("l"), stops.alias("n_stops")))
+    marks = {"n_stops": r"\.(?=[\x20\x09-\x0D]|$)", "n_bare": BARE, "n_doubled": DOUBLED}
+    return df.withColumn("_q_f", F.struct(_bind(words, counted).alias("w"), duplicate_lines.alias("l"), *(F.regexp_count(text, F.lit(x)).cast("long").alias(name) for name, x in marks.items())))
 
 
 def votes() -> dict[str, Column]:
-    """Rule -> vote from ``_q_f``.
+    """Rule -> vote from ``_q_f``: bad (-1) beyond one bound, good (1) within another, and no vote between them.
 
-    A detector of one kind of junk says bad or abstains: its silence tells nothing about other kinds. One
-    rule may say good. Shares are compared by cross multiplication, so there is no division by zero.
+    Shares are compared by cross multiplication, so there is no division by zero.
     """
     f, lines = F.col("_q_f.w"), F.col("_q_f.l")
-    n, chars = f["n_words"], f["word_chars"]
-    detector = lambda found: F.when(found, -1).otherwise(0)
-    # Without a detector's finding this rule decides; the learned accuracies weigh findings against it and each other.
-    clean = (f["n_symbols"] <= 0.02 * chars) & (f["n_upper"] <= 0.15 * chars) & (f["n_shout"] <= 0.1 * n) & (f["n_repeat_words"] <= 0.05 * n)
+    n, chars, stops, bare, doubled = f["n_words"], f["word_chars"], F.col("_q_f.n_stops"), F.col("_q_f.n_bare"), F.col("_q_f.n_doubled")
+    vote = lambda bad, good: F.when(n == 0, 0).when(bad, -1).when(good, 1).otherwise(0)
     return {
-        "symbols": detector(f["n_symbols"] > 0.04 * chars),
-        "upper": detector(f["n_upper"] > 0.30 * chars),
-        "shout": detector(f["n_shout"] > 0.30 * n),
-        "repeats": detector(f["n_repeat_words"] > 0.20 * n),
-        "lines": detector((lines["n_dup_lines"] >= 3) & (lines["n_dup_lines"] > 0.30 * lines["n_lines"])),
+        "symbols": vote(f["n_symbols"] > 0.04 * chars, f["n_symbols"] <= 0.005 * chars),
+        "upper": vote(f["n_upper"] > 0.30 * chars, f["n_upper"] <= 0.10 * chars),
+        "doubled": vote(doubled > 0.10 * n, doubled <= 0.01 * n),
+        "bare": vote(bare > 0.10 * n, bare <= 0.01 * n),
+        "alphanumeric": vote(f["n_alnum"] < 0.85 * chars, f["n_alnum"] >= 0.93 * chars),
+        "repeats": vote(f["n_repeat_words"] > 0.15 * n, (n >= 20) & (f["n_repeat_words"] <= 0.05 * n)),
         # A distinct share falls with length, so only a very low one speaks against a text.
-        "variety": detector((n >= 50) & (f["n_distinct"] < 0.1 * n)),
-        "word_length": detector((chars < 2 * n) | (chars > 15 * n)),
-        "clean": F.when(clean, 1).otherwise(0),
-        "no_sentences": detector((n >= 50) & (F.col("_q_f.n_stops") < 0.005 * n)),
+        "variety": vote((n >= 50) & (f["n_distinct"] < 0.2 * n), (n >= 50) & (f["n_distinct"] >= 0.5 * n)),
+        "lines": vote((lines["n_dup_lines"] >= 3) & (lines["n_dup_lines"] > 0.3 * lines["n_lines"]), (lines["n_lines"] >= 3) & (lines["n_dup_lines"] == 0)),
+        "sentences": vote((n >= 50) & ((stops < 0.01 * n) | (stops > 0.3 * n)), (n >= 20) & (stops >= 0.04 * n) & (stops <= 0.2 * n)),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> list[float]:
-    """EM over (votes, count): the log odds by which each rule's vote counts.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """EM over (votes of k rules, count): the share of each class, and classes x rules the chance that a vote says bad.
 
-    A rule's accuracy is its chance of being right when it votes; an abstention says nothing. Accuracies
-    start at 0.85 and stay in [0.6, 0.99], so a rule is better than chance and none is certain. Good and
-    bad weigh alike before any vote: rules that fire alone on their kind of junk can't outvote a learned
-    share of good documents, so it isn't learned.
+    Class 0 is good, class j the kind of bad documents that rule j - 1 finds. An abstention says nothing. Each chance
+    begins at, and is drawn by ``DRAW`` pseudo votes to, what its rule claims: ``ERROR`` in the good class, ``FOUND`` in the rule's
+    own kind, ``OTHER`` in other kinds. Bounds keep the classes' meanings: half of all documents are good, a rule errs on a fifth of the good
+    ones at most and finds three fifths of its own kind at least.
     """
-    k = len(patterns[0][0]) if patterns else 0
-    accuracy = [0.85] * k
-    weight = lambda: [math.log(a / (1 - a)) for a in accuracy]
+    vote, n = np.array([v for v, _ in patterns], float).reshape(-1, k), np.array([c for _, c in patterns], float)
+    claim = np.full((k + 1, k), OTHER)
+    claim[0] = ERROR
+    own = (np.arange(1, k + 1), np.arange(k))
+    claim[own] = FOUND
+    chance, share = claim.copy(), np.array([GOOD, *[(1 - GOOD) / k] * k])
     for _ in range(ROUNDS):
-        right, cast, w = [0.0] * k, [0.0] * k, weight()
-        for vote, n in patterns:
-            p = 1 / (1 + math.exp(-sum(x * v for x, v in zip(w, vote, strict=True))))
-            for j, v in enumerate(vote):
-                if v:
-                    right[j] += n * (p if v > 0 else 1 - p)
-                    cast[j] += n
-        accuracy = [min(max((r + 4.25) / (c + 5), 0.6), 0.99) for r, c in zip(right, cast, strict=True)]
-    return weight()
+        weight = _posterior(vote, share, chance) * n[:, None]
+        chance = (weight.T @ (vote < 0) + DRAW * claim) / (weight.T @ (vote != 0) + DRAW)
+        chance[0] = np.minimum(chance[0], 0.2)
+        chance[own] = np.maximum(chance[own], 0.6)
+        chance = np.clip(chance, 0.001, 0.99)
+        share = (weight.sum(axis=0) + 1) / (n.sum() + k + 1)
+        share[0] = max(share[0], 0.5)
+        share /= share.sum()
+    return share, chance
+
+
+def _posterior(vote: np.ndarray, share: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Patterns x classes: the probability of each class."""
+    odds = np.log(share) + (vote < 0) @ np.log(chance).T + (vote > 0) @ np.log(1 - chance).T
+    odds = np.exp(odds - odds.max(axis=1, keepdims=True, initial=-np.inf))
+    return odds / odds.sum(axis=1, keepdims=True)
 
 
 def judge(df: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with ``_q_f`` (counts), ``_q_failed`` (base rule), ``_q_p`` (posterior) and ``_q_kept``.
+    """``df`` with ``_q_f`` (counts), ``_q_v`` (votes), ``_q_failed`` (base rule), ``_q_p`` (posterior) and ``_q_kept``.
 
     The scored table is written to the shared folder once and read for the counts and for the verdicts,
     so texts are parsed once; without ``keep_text`` the text itself isn't written.
@@ -137,13 +149,25 @@ def judge(df: DataFrame, text_col: str = "text", keep_text: bool = True) -> Data
     scored = features(df, text_col).withColumn("_q_v", F.array(*rules.values()))
     scored = written(scored if keep_text else scored.drop(text_col), "votes")
     counted = scored.groupBy("_q_v").count().collect()  # 3 ** len(rules) rows at most
-    odds = F.lit(0.0)
-    for j, w in enumerate(estimate(sorted((tuple(r[0]), r[1]) for r in counted))):
-        odds += w * F.col("_q_v")[j]
+    share, chance = estimate(sorted((tuple(r[0]), r[1]) for r in counted), len(rules))
     f = F.col("_q_f.w")
     failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"])
-    p = 1 / (1 + F.exp(-odds))
-    return scored.withColumns({"_q_failed": failed, "_q_p": p, "_q_kept": ~failed & (p >= KEEP_FROM)}).drop("_q_v")
+    weighed = [_weight(F.col("_q_v"), float(share[c]), chance[c].tolist()) for c in range(len(share))]
+    p = _bind(F.array(*weighed), lambda w: w[0] / F.aggregate(w, F.lit(0.0), lambda s, x: s + x))
+    return scored.withColumns({"_q_failed": failed, "_q_p": p}).withColumn("_q_kept", ~F.col("_q_failed") & (F.col("_q_p") >= KEEP_FROM))
+
+
+def _weight(vote: Column, share: float, chance: list[float]) -> Column:
+    """A class's share times the chances of the votes."""
+    out = F.lit(share)
+    for j, bad in enumerate(chance):
+        out = out * F.when(vote[j] < 0, bad).when(vote[j] > 0, 1 - bad).otherwise(1.0)
+    return out
+
+
+def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that the rules keep, with its columns alone."""
+    return named(judge(plain(df), place(df, text_col)).where("_q_kept"), df)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

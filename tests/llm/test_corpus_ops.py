@@ -110,6 +110,84 @@ def test_quality_counts(spark):
     assert quality_rules.verdicts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_votes(text):
+    """The nine votes of a text, from their definitions."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, chars = len(w), "".join(w)
+    c = len(chars)
+    if not n:
+        return (0,) * 9
+    seen = Counter(tuple(w[k : k + 5]) for k in range(n - 4))
+    again = len({p for k in range(n - 4) if seen[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)})
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    same = len(lines) - len(set(lines))
+    symbols, upper, letters = len(re.findall(r"[#*$%&|<>]", chars)), sum(x.isupper() for x in chars), sum(x.isalnum() for x in chars)
+    doubled, bare = len(re.findall(r"([#*$%&|<>!?])\1+", text)), sum(not any(x.isalnum() for x in v) for v in w)
+    stops = len(re.findall(r"\.(?=[\x20\x09-\x0D]|$)", text))
+    vote = lambda bad, good: -1 if bad else int(good)
+    return (
+        vote(symbols > 0.04 * c, symbols <= 0.005 * c), vote(upper > 0.3 * c, upper <= 0.1 * c), vote(doubled > 0.1 * n, doubled <= 0.01 * n), vote(bare > 0.1 * n, bare <= 0.01 * n),
+        vote(letters < 0.85 * c, letters >= 0.93 * c), vote(again > 0.15 * n, n >= 20 and again <= 0.05 * n), vote(n >= 50 and len(set(w)) < 0.2 * n, n >= 50 and len(set(w)) >= 0.5 * n),
+        vote(same >= 3 and same > 0.3 * len(lines), len(lines) >= 3 and same == 0), vote(n >= 50 and (stops < 0.01 * n or stops > 0.3 * n), n >= 20 and 0.04 * n <= stops <= 0.2 * n),
+    )
+
+
+def brute_posterior(votes):
+    """The probability of the good class of each document, by EM over single documents in plain Python."""
+    k, docs = 9, [v for v in votes]
+    claim = [[0.05] * k] + [[0.9 if j == c else 0.4 for j in range(k)] for c in range(k)]
+    chance, share = [list(x) for x in claim], [0.8] + [0.2 / k] * k
+
+    def classes(v):
+        w = list(share)
+        for c in range(k + 1):
+            for j in range(k):
+                w[c] *= chance[c][j] if v[j] < 0 else 1 - chance[c][j] if v[j] > 0 else 1
+        return [x / sum(w) for x in w]
+
+    for _ in range(60):
+        p = [classes(v) for v in docs]
+        for c in range(k + 1):
+            for j in range(k):
+                bad, cast = sum(x[c] for x, v in zip(p, docs, strict=True) if v[j] < 0), sum(x[c] for x, v in zip(p, docs, strict=True) if v[j])
+                q = (bad + 10 * claim[c][j]) / (cast + 10)
+                q = min(q, 0.2) if c == 0 else max(q, 0.6) if j == c - 1 else q
+                chance[c][j] = min(max(q, 0.001), 0.99)
+        share[:] = [(sum(x[c] for x in p) + 1) / (len(docs) + k + 1) for c in range(k + 1)]
+        share[0] = max(share[0], 0.5)
+        share[:] = [x / sum(share) for x in share]
+    return [classes(v)[0] for v in docs]
+
+
+def prose(rng, n, size=300):
+    return " ".join(f"{'wxyz'[x % 4]}{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}er" + "." * (k % 10 == 9) for k, x in enumerate(rng.integers(0, size, n)))
+
+
+def test_posterior_weighs_the_rules(spark):
+    """Verdicts are those of an independent EM; the posterior overrules a rule that says bad, and rules that say good."""
+    rng = np.random.default_rng(11)
+    rows = [(k, "\n".join(prose(rng, 40, 676) for _ in range(3))) for k in range(60)]
+    rows += [(100 + k, " | ".join(prose(rng, 60, 676).split())) for k in range(8)] + [(120 + k, " ".join(f"{w}{'#$%'[k % 3] * 3}" for w in prose(rng, 60, 676).split())) for k in range(8)]
+    rows += [(140, "\n".join([prose(rng, 40, 676)] + ["Yes."] * 3 + [prose(rng, 40, 676)] + ["No."] * 2)), (150, ""), (151, None), (152, "five words are too few")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    votes = [brute_votes(t) for _, t in rows]
+    assert [tuple(got[i]["_q_v"]) for i, _ in rows] == votes
+    for (i, _), p in zip(rows, brute_posterior(votes), strict=True):
+        assert got[i]["_q_p"] == pytest.approx(p, abs=1e-9)
+    assert -1 in got[140]["_q_v"] and got[140]["_q_kept"]
+    for i in (*range(100, 108), *range(120, 128)):
+        assert 1 in got[i]["_q_v"] and not got[i]["_q_kept"]
+    assert all(got[i]["_q_kept"] for i in range(60)) and not any(got[i]["_q_kept"] for i in (150, 151, 152))
+
+
+def test_rows_are_kept_under_any_names(spark):
+    text = prose(np.random.default_rng(1), 60, 676)
+    df = spark.createDataFrame([(1, text, 1, 2), (2, "x", 3, 4)], "`a.b` long, text string, _q_f int, `q p` int")
+    got = quality_rules.keep(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, text, 1, 2)]
+
+
 def test_native_plan(spark):
     plan = quality_rules.features(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
