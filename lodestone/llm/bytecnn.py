@@ -4,12 +4,12 @@ Bytes are embedded, convolved with learned filters at every fourth place of chun
 the whole document, passed through a rectifier and max-pooled over each chunk. The document is described by the mean and
 the greatest of its chunks' pooled filters; a hidden layer combines both into one probability.
 
-The network is fitted on at most ``SAMPLE`` labelled rows (those with the smallest hashes), the bound of the
+The network is fitted on at most ``SAMPLE`` labelled rows (those with the smallest hashes) of ``SAMPLE_BYTES`` together, the bounds of the
 documented sample; scoring runs over every document, in slabs of chunks, so memory doesn't grow with a text.
 
 Edge cases: a null or empty text is scored as one chunk of padding; repeated rows get equal scores; without
 labels of both kinds every score is the share of label 1 (0.5 without labels); an empty table gives an empty
-table; a null id counts as held out; other columns are not read. Rows of labels that repeat count once each.
+table; a null id counts as held out; other columns are not read. An id that repeats among the labels or texts is fitted once.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 CHUNK, HOP = 512, 256
 KERNEL, STRIDE = 8, 4
 EMBED, FILTERS, HIDDEN = 6, 24, 16
 PAD = 256  # a symbol of its own for places beyond the text
-SAMPLE = 3000
+SAMPLE, SAMPLE_BYTES = 3000, 64 << 20  # labelled rows, and bytes of their texts, that the network is fitted on at most
 EPOCHS, LEAST_STEPS = 8, 700
 TRAIN_CHUNKS, BATCH_CHUNKS = 160, 256
 THRESHOLD = 0.3
@@ -167,12 +167,18 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Params:
-    """Fits on at most ``sample`` labelled rows that aren't held out: the bound on what reaches the driver."""
-    usable = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    chosen = usable.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "quality", "text").collect()
-    return fit([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows])
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Params:
+    """Fits on at most ``sample`` labelled rows that aren't held out, of ``most_bytes`` together: the bound on what reaches the driver.
+
+    An id is one row: of several texts or labels of it the least counts.
+    """
+    usable = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    order = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")]
+    chosen = usable.orderBy(*order).limit(sample)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    size = F.sum(F.octet_length("text")).over(Window.orderBy(*order))  # over the sample, which is bounded
+    rows = found.withColumn("size", size).where(F.col("size") <= most_bytes).orderBy("doc_id").collect()
+    return fit([r["text"].encode() for r in rows], [r["quality"] for r in rows])
 
 
 def score(docs: DataFrame, params: Params) -> DataFrame:

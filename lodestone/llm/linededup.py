@@ -15,13 +15,15 @@ Everything is counted by groups with partial aggregates; leaves of any size are
 lines at recurring leaves are taken apart.
 
 Edge cases: null and empty texts stay as they are, and so do blank lines; repeated rows are one context; an empty table gives an
-empty table; a line of any length is parsed whole. Columns that are added start with ``_l_``.
+empty table; a line of any length is parsed whole. ``drop_templates`` adds columns that start with ``_l_``; ``without_templates`` works under any
+column names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.llm.columns import named, place, plain
 from lodestone.sources.scratch import written
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -120,6 +122,15 @@ def drop_templates(df: DataFrame, text_col: str = "text") -> DataFrame:
     return joined.withColumns({"_l_lines": worded, "_l_dropped": lost}).withColumn(text_col, F.when(F.col("_l_dropped") > 0, left).otherwise(F.col(text_col))).drop("_l_row", "_l_gone")
 
 
+def without_templates(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``df`` without the lines of recurring templates, with its columns alone; ``length_col`` follows a text that changes."""
+    left = drop_templates(plain(df), place(df, text_col))
+    if length_col:
+        size = place(df, length_col)
+        left = left.withColumn(size, F.when(F.col("_l_dropped") > 0, F.length(place(df, text_col)).cast(df.schema[length_col].dataType)).otherwise(F.col(size)))
+    return named(left, df)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Of every document: doc_id, n_lines, n_dropped, and the SHA-256 of the text that is left (null: null)."""
     return drop_templates(docs.select("doc_id", "text")).select("doc_id", F.col("_l_lines").alias("n_lines"), F.col("_l_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))

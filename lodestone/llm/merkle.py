@@ -5,8 +5,8 @@ nodes make a node of the next level, up to one root an archive. Two replicas are
 branches that differ are the next levels compared, down to ranges and then to single records.
 
 Edge cases: a null payload is an empty record; null ids and urls are written as empty; repeated rows are records of
-their own; empty replicas give an empty table, and a replica that lacks an archive has all its records missing; columns
-besides those named are not read. A node has sixteen children and a range as many records as fit into it, at most.
+their own; empty replicas give an empty table, and a replica that lacks an archive has all its records missing; a record that only the
+replica has is reported as extra; columns besides those named are not read. A node has sixteen children and a range as many records as fit into it, at most.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from lodestone.sources.scratch import written
 RANGE = 64 * 1024
 FANOUT = 16
 RECORDS_PER_ARCHIVE = 1000
+PARTS = 256  # of the records of one hash
 
 
 def record(id_: Column, url: Column, payload: Column) -> Column:
@@ -38,11 +39,22 @@ def digests(records: DataFrame) -> DataFrame:
 def placed(records: DataFrame, archives: int) -> DataFrame:
     """Records (id, length, sha256) with their archive and offset; only lengths and hashes move.
 
-    Archives are dealt by a hash, so each has about as many records as any other.
+    Archives are dealt by a hash of a record's place in the table, so each has about as many records as any other, equal ones too.
     """
-    archive = F.pmod(F.xxhash64("id", "sha256"), F.lit(archives))
+    archive = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(archives))
     before = Window.partitionBy("archive").orderBy("id", "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("archive", archive).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    found = written(records.withColumn("archive", archive), "placed")
+    return found.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """``records`` with ``k``, a number from 1 among those of one ``key``; a key's records are dealt to ``PARTS``, so that none is counted in one task."""
+    dealt = written(records.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))), "dealt")
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.groupBy("key", "part").agg(F.count("*").alias("n"))
+    offset = counted.select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # PARTS rows a key at most
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("key", "part").orderBy("part")))
+    return own.join(offset, ["key", "part"]).withColumn("k", F.col("before") + F.col("own")).drop("part", "own", "before")
 
 
 def _joined_hash(order: str, value: Column) -> Column:
@@ -100,20 +112,23 @@ def stored_copy(pages: DataFrame) -> DataFrame:
     return written(pages.where(lot != "03").select(F.col("page_id").alias("id"), named.alias("named"), record(F.col("page_id"), F.col("url"), spoilt).alias("record")), "replica")
 
 
-def page_audit(pages: DataFrame) -> DataFrame:
-    """Every page's record, and whether the stored copy holds it: page_id, record_bytes, sha256, status."""
+def page_audit(pages: DataFrame, copy: DataFrame | None = None) -> DataFrame:
+    """Every page's record, and whether the copy (id, named, record) holds it: page_id, record_bytes, sha256 and status, which is
+    ok, corrupt, missing, or extra for a record that only the copy has; without a copy, that of ``stored_copy``."""
     archives = max(1, -(-pages.count() // RECORDS_PER_ARCHIVE))
     own = pages.select(F.col("page_id").alias("id"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     left = written(placed(own.select("id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256")), archives), "left")
     # A copy keeps the offsets of its records, so their places come from the index of the first replica.
     keyed = lambda d, name: d.withColumn("key", F.concat_ws(":", name, F.col("id").cast("string")))
-    numbered = lambda d, *by: d.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(*by)))
-    index = numbered(keyed(left, "sha256"), "archive", "offset").select("key", "k", "archive", "offset")
-    copy = keyed(stored_copy(pages), "named").select("key", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"))
-    right = written(numbered(copy, "length", "sha256").join(index, ["key", "k"]).select("archive", "offset", "length", "sha256"), "right")
-    damaged = audit(left.select("archive", "offset", "length", "sha256"), right).select("archive", "offset", F.struct("replica_sha256").alias("damage"))
+    index = numbered(keyed(left, "sha256").select("key", "archive", "offset"))
+    other = keyed(stored_copy(pages) if copy is None else copy, "named")
+    other = numbered(other.select("key", "id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256")))
+    right = written(other.join(index, ["key", "k"], "left"), "right")
+    known = right.where(F.col("archive").isNotNull()).select("archive", "offset", "length", "sha256")
+    damaged = audit(left.select("archive", "offset", "length", "sha256"), known).select("archive", "offset", F.struct("replica_sha256").alias("damage"))
     status = F.when(F.col("damage").isNull(), "ok").when(F.col("damage.replica_sha256").isNull(), "missing").otherwise("corrupt")
-    return left.join(damaged, ["archive", "offset"], "left").select(F.col("id").alias("page_id"), F.col("length").alias("record_bytes"), "sha256", status.alias("status"))
+    found = left.join(damaged, ["archive", "offset"], "left").select(F.col("id").alias("page_id"), F.col("length").alias("record_bytes"), "sha256", status.alias("status"))
+    return found.unionByName(right.where(F.col("archive").isNull()).select(F.col("id").alias("page_id"), F.col("length").alias("record_bytes"), "sha256", F.lit("extra").alias("status")))
 
 
 #: The same by comparing every record directly.

@@ -8,8 +8,8 @@ the output shards and draws each half's quota from the multivariate hypergeometr
 sample of the exact mix; shards take disjoint ranges of the permuted blocks and order their documents by hash.
 
 Edge cases: a null or empty text has size 0, is drawn like any other and adds nothing; a null source is a source of its
-own, after all others; rows that share an id are drawn together; an empty table gives an empty table. Columns that this
-module adds start with ``_m_``, so columns of the input never clash. The driver holds a row per source, never per document.
+own, after all others; rows that share an id are drawn together; an empty table gives an empty table. ``mix`` adds columns
+that start with ``_m_``; ``copies`` and ``write_shards`` work under any column names. The driver holds a row per source, never per document.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from lodestone.llm.columns import named, place, plain
 from lodestone.sources.scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -136,9 +137,26 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     )
 
 
-def copies(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``df``, a row for each copy that is taken."""
-    return mix(df, **options).withColumn("_m_shard", F.explode("_m_shards")).select(*df.columns)
+def _shuffled(df: DataFrame, id_col: str, text_col: str, source_col: str, **options) -> DataFrame:
+    """Plain columns of each copy with its ``_m_shard``: shards apart, each in the order of its permutation.
+
+    A shard is dealt as sixteen slices of that order, so no task holds a shard.
+    """
+    mixed = mix(plain(df), place(df, id_col), place(df, text_col), place(df, source_col), **options)
+    taken = mixed.withColumn("_m_shard", F.explode("_m_shards"))
+    return taken.repartition("_m_shard", F.shiftrightunsigned("_m_order", 48)).sortWithinPartitions("_m_shard", "_m_order")
+
+
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: the columns of ``df``, a row for each copy that is taken, shuffled locally by shard."""
+    return named(_shuffled(df, id_col, text_col, source_col, **options), df)
+
+
+def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> None:
+    """The mix as Parquet, a folder ``shard=N`` for each output shard."""
+    found = _shuffled(df, id_col, text_col, source_col, **options)
+    shard = "shard" + "_" * max((len(c) for c in df.columns if c.startswith("shard")), default=0)  # a name that is free
+    found.select(*(F.col(f"c{k}") for k in range(len(df.columns))), "_m_shard").toDF(*df.columns, shard).write.partitionBy(shard).parquet(path)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Documents are tokenized, cut only where they exceed the capacity, and the pieces are dealt at random into
 groups of about ``BINS_PER_GROUP`` full bins. A group starts from best-fit decreasing; then documents are moved
 between underfull bins, or exchanged one for one and two for one, wherever that increases the sum of squared fills,
-until bins empty. What is left in underfull bins of all groups is dealt and packed once more.
+until bins empty. What is left in underfull bins of all groups is dealt and packed again, until a round doesn't lessen them.
 
 Edge cases: a null or empty text is the end token alone; repeated rows are packed as rows of their own; a null id
 stays null; an empty table gives an empty table; other columns are not read; a text of any length is cut into as many
@@ -197,65 +197,85 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _better(sizes: np.ndarray, giver: list[int], others: list[list[int]], free: np.ndarray) -> tuple | None:
-    """The exchange that takes most out of the giver: (items given, bin, items got), or None.
-
-    Every exchange moves words into a bin that is at least as full, so it increases the sum of squared fills.
-    """
-    item = np.concatenate([np.array(b, np.int64) for b in others])
-    owner = np.repeat(np.arange(len(others)), [len(b) for b in others])
-    size, room = sizes[item], free[owner]
-    best, found = 0, None
-    order = sorted(giver, key=lambda k: -sizes[k])
-    for a in order:  # move
-        fits = np.flatnonzero(free >= sizes[a])
-        if len(fits) and sizes[a] > best:
-            best, found = int(sizes[a]), ([a], int(fits[np.argmin(free[fits])]), [])
-    given = [([a], int(sizes[a])) for a in order] + [([a, b], int(sizes[a] + sizes[b])) for i, a in enumerate(order) for b in order[i + 1 :]]
-    for items, total in given:  # one for one, two of the giver's for one
-        gain = total - size
-        gain = np.where((gain > best) & (gain <= room), gain, 0)
-        if len(gain) and gain.max() > best:
-            j = int(np.argmax(gain))
-            best, found = int(gain[j]), (items, int(owner[j]), [int(item[j])])
-    for j, b in enumerate(others):  # one of the giver's for two
-        if len(b) > 1 and free[j] > best:
-            own = sizes[np.array(b)]
-            pair = own[:, None] + own[None, :]
-            np.fill_diagonal(pair, 1 << 40)
-            for a in order:
-                gain = int(sizes[a]) - pair
-                gain = np.where((gain > best) & (gain <= free[j]), gain, 0)
-                if gain.max() > best:
-                    x, y = np.unravel_index(int(np.argmax(gain)), gain.shape)
-                    best, found = int(gain[x, y]), ([a], j, [b[x], b[y]])
-    return found
+class _Bins:
+    """Underfull bins: the members, fill and room of each, and the bin of every item."""
+
+    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int):
+        self.size, self.capacity = sizes, capacity
+        self.members = [list(b) for b in bins]
+        self.fill = np.array([int(sizes[np.array(b)].sum()) for b in bins], np.int64)
+        self.item = np.array([k for b in bins for k in b], np.int64)
+        self.where = np.full(len(sizes), -1)
+        self.where[self.item] = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def pairs(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a bin's members, and their sums."""
+        if j not in self.held:
+            own = np.array(self.members[j])
+            x, y = np.triu_indices(len(own), 1)
+            self.held[j] = (np.stack([own[x], own[y]], axis=1), self.size[own[x]] + self.size[own[y]])
+        return self.held[j]
+
+    def step(self, g: int) -> tuple[list[int], int, list[int]] | None:
+        """An exchange that takes something out of bin g: (items given, bin, items got), or None.
+
+        It moves tokens into a bin that is at least as full, so it increases the sum of squared fills.
+        """
+        room = np.where(self.fill >= self.fill[g], self.capacity - self.fill, 0)
+        room[g] = 0
+        giver = sorted(self.members[g], key=lambda k: -self.size[k])
+        for a in giver:  # move
+            fits = np.flatnonzero(room >= self.size[a])
+            if len(fits):
+                return [a], int(fits[np.argmin(room[fits])]), []
+        size, most, best, found = self.size[self.item], room[self.where[self.item]], 0, None
+        for items in [[a] for a in giver] + [[a, b] for i, a in enumerate(giver) for b in giver[i + 1 :]]:  # one or two for one
+            gain = self.size[items].sum() - size
+            gain[gain > most] = 0
+            k = int(np.argmax(gain))
+            if gain[k] > best:
+                best, found = int(gain[k]), (items, int(self.where[self.item[k]]), [int(self.item[k])])
+        if found:
+            return found
+        for a in giver:  # one for two
+            for j in np.flatnonzero(room).tolist():
+                pair, total = self.pairs(j)
+                gain = self.size[a] - total
+                gain[gain > room[j]] = 0
+                if len(gain) and gain.max() > best:
+                    k = int(np.argmax(gain))
+                    best, found = int(gain[k]), ([a], j, pair[k].tolist())
+            if found:
+                return found
+        return None
+
+    def exchange(self, g: int, items: list[int], j: int, got: list[int]) -> None:
+        self.members[g] = [k for k in self.members[g] if k not in items] + got
+        self.members[j] = [k for k in self.members[j] if k not in got] + items
+        gain = int(self.size[items].sum()) - int(self.size[got].sum() if got else 0)
+        self.fill[g] -= gain
+        self.fill[j] += gain
+        self.where[items], self.where[got] = j, g
+        self.held.pop(g, None)
+        self.held.pop(j, None)
 
 
 def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Empties underfull bins, the emptiest first; stops at the least number of bins that could hold all items."""
-    fill = lambda b: int(sizes[np.array(b, np.int64)].sum()) if b else 0
-    full = [b for b in bins if fill(b) == capacity]
-    loose = sorted((b for b in bins if fill(b) < capacity), key=fill)
-    stuck: list[list[int]] = []
-    while len(loose) > 1:
-        room = sum(capacity - fill(b) for b in loose[1:])
-        giver, others = list(loose[0]), [list(b) for b in loose[1:]]
-        if room < fill(giver):  # nor can any fuller bin be emptied into what is left
-            break
-        while giver:
-            free = np.array([capacity - fill(b) for b in others])
-            step = _better(sizes, giver, others, free)
-            if step is None:
-                break
-            items, j, got = step
-            giver = [k for k in giver if k not in items] + got
-            others[j] = [k for k in others[j] if k not in got] + items
-        if giver:
-            stuck.append(giver)
-        full += [b for b in others if fill(b) == capacity]
-        loose = sorted((b for b in others if fill(b) < capacity), key=fill)
-    return full + stuck + loose
+    """Exchanges between underfull bins, the emptiest first, until none increases the sum of squared fills;
+    stops at the least number of bins that could hold all items."""
+    fill = lambda b: int(sizes[np.array(b, np.int64)].sum())
+    loose = _Bins(sizes, [b for b in bins if fill(b) < FULL * capacity], capacity)
+    full, least = [b for b in bins if fill(b) >= FULL * capacity], -(-int(loose.fill.sum()) // capacity)
+    moved, count = True, len(loose.members)
+    while moved and count > least:
+        moved = False
+        for g in np.argsort(loose.fill, kind="stable").tolist():
+            while loose.members[g] and count > least and (step := loose.step(g)):
+                loose.exchange(g, *step)
+                moved = True
+                count -= not loose.members[g]
+    return full + [b for b in loose.members if b]
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
@@ -281,14 +301,35 @@ def _round(found: DataFrame, capacity: int, round_: int) -> DataFrame:
     total = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, round(total / (capacity * BINS_PER_GROUP)))
     kind = found.schema["id"].dataType.simpleString()
-    deal = F.pmod(F.xxhash64(F.lit(round_), "id", "piece", "length", "ids_crc32"), F.lit(groups))
+    # By a row's place in the written table, so that equal rows are spread as well.
+    deal = F.pmod(F.xxhash64(F.lit(round_), F.monotonically_increasing_id()), F.lit(groups))
     return found.withColumn("_p_group", deal).groupBy("_p_group").applyInPandas(_packer(capacity, round_), PIECES.format(kind) + ", sequence_id long, offset long, fill long")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: its document, place there, check sum, sequence and place in the sequence."""
-    cut = written(pieces(df, tokenizer_path, capacity, id_col, text_col), "pieces")
-    first = written(_round(cut, capacity, 1), "packed")
-    done = first.where(F.col("fill") >= FULL * capacity)
-    rest = first.where(F.col("fill") < FULL * capacity).drop("sequence_id", "offset", "fill")
-    return done.unionByName(_round(rest, capacity, 2)).drop("fill").withColumnRenamed("id", id_col)
+    """One row per piece: its document, place there, check sum, sequence and place in the sequence.
+
+    Underfull sequences of all groups are packed anew until a round doesn't lessen them, or they are as few as their tokens need.
+    """
+    underfull = F.col("fill") < FULL * capacity
+
+    def sequences(found: DataFrame) -> tuple[int, int]:
+        """How many there are, and how many their tokens need at least."""
+        n, total = found.where("offset = 0").agg(F.count("*"), F.coalesce(F.sum("fill"), F.lit(0))).first()
+        return n, -(-total // capacity)
+
+    last = written(_round(written(pieces(df, tokenizer_path, capacity, id_col, text_col), "pieces"), capacity, 1), "packed")
+    done, round_ = [], 1
+    while True:
+        rest = last.where(underfull)
+        n, least = sequences(rest)
+        if n <= least:
+            break
+        again = written(_round(rest.drop("sequence_id", "offset", "fill"), capacity, round_ + 1), "packed")
+        if sequences(again)[0] >= n:
+            break
+        done.append(last.where(~underfull))
+        last, round_ = again, round_ + 1
+    for found in done:
+        last = last.unionByName(found)
+    return last.drop("fill").withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ task holds more than two chunks.
 
 Edge cases: a null, empty or blank text has fingerprint zero, which links like any other; fewer than three words are one
 shingle; repeated rows share a fingerprint; a null id can't name a component, but a row of it gets one; an empty
-table gives an empty table. Columns that are added start with ``_s_``.
+table gives an empty table; names of columns never clash.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodestone.llm.columns import named, place, plain
 from lodestone.sources.scratch import written
 
 BITS = 64
@@ -227,7 +228,7 @@ def grouped(with_fp: DataFrame, id_col: str) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of every document."""
-    prints = written(with_fingerprint(df.select(id_col, text_col), text_col, keep_text=False), "fingerprints")
+    prints = written(with_fingerprint(df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col)), text_col, keep_text=False), "fingerprints")
     found = prints.join(grouped(prints, id_col).withColumnRenamed("fp", "_s_fp"), "_s_fp")
     return found.select(id_col, F.lpad(F.lower(F.hex("_s_fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -371,12 +372,18 @@ def similar_classes(prints: DataFrame, text_col: str, shingle: int, most: int, s
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = 14, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df`` whose id is their component's smallest, one row of each component of ``similar_classes``."""
-    prints = written(with_fingerprint(df, text_col, shingle=shingle, with_class=True), "fingerprinted")
-    rooted = similar_classes(prints, text_col, shingle, most, similarity).select(F.col("class").alias("_s_class"), F.col("root").alias("_s_root"))
-    ids = prints.groupBy("_s_class").agg(F.min(id_col).alias("first_id")).join(rooted, "_s_class")
+    """The rows of ``df`` whose id is their component's smallest, one row of each component of ``similar_classes``.
+
+    Of several rows with that id the one whose columns hash least stays, so reruns agree.
+    """
+    id_, text = place(df, id_col), place(df, text_col)
+    prints = written(with_fingerprint(plain(df), text, shingle=shingle, with_class=True), "fingerprinted")
+    rooted = similar_classes(prints, text, shingle, most, similarity).select(F.col("class").alias("_s_class"), F.col("root").alias("_s_root"))
+    ids = prints.groupBy("_s_class").agg(F.min(id_).alias("first_id")).join(rooted, "_s_class")
     least = ids.groupBy("_s_root").agg(F.min("first_id").alias("_s_least"))
     # Only classes that hold their component's smallest id are joined with the texts.
     chosen = written(ids.join(least, "_s_root").where(F.col("first_id").eqNullSafe(F.col("_s_least"))).select("_s_class", "_s_root", "_s_least"), "chosen")
-    kept = prints.join(chosen.hint("merge"), "_s_class").where(F.col(id_col).eqNullSafe(F.col("_s_least")))  # the same plan at every size
-    return kept.dropDuplicates(["_s_root"]).select(*df.columns)
+    kept = prints.join(chosen.hint("merge"), "_s_class").where(F.col(id_).eqNullSafe(F.col("_s_least")))  # the same plan at every size
+    columns = [f"c{k}" for k in range(len(df.columns))]
+    order = F.xxhash64(*(f"c{k}" for k, (_, kind) in enumerate(df.dtypes) if "map<" not in kind))
+    return named(kept.groupBy("_s_root").agg(F.min_by(F.struct(*columns), order).alias("row")).select("row.*"), df)

@@ -19,7 +19,7 @@ def texts(n, seed=0):
     return [" ".join(f"word{x}" for x in rng.integers(0, 300, int(k))) for k in rng.integers(1, 200, n)]
 
 
-def test_mix_meets_its_targets(spark):
+def test_mix_meets_its_targets(spark, tmp_path):
     rows = [(i, t, ("b", "a", None, "c")[i % 4] if i % 7 else "a") for i, t in enumerate(texts(400))] + [(900, None, "a"), (901, "", "zero"), (None, "x y", "a")]
     df = spark.createDataFrame(rows, DOCS).withColumn("words", F.lit("clash")).withColumn("key", F.lit(1))
     got = mixing.mix(df).collect()
@@ -45,7 +45,11 @@ def test_mix_meets_its_targets(spark):
     for s in order:
         assert abs(taken[s] - target[s]) <= max(10, 0.01 * target[s])
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
-    assert mixing.copies(df).columns == df.columns
+    copied = mixing.copies(df.withColumn("a.b", F.lit(2)).withColumn("_m_key", F.lit("k")))
+    assert copied.columns == [*df.columns, "a.b", "_m_key"] and copied.count() == sum(len(r["_m_shards"]) for r in got)
+    mixing.write_shards(df, str(tmp_path / "mix"))
+    stored = spark.read.parquet(str(tmp_path / "mix"))
+    assert Counter(r[0] for r in stored.select("shard").collect()) == Counter(s for r in got for s in r["_m_shards"])
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -65,6 +69,42 @@ def test_local_search_empties_bins():
     assert len(packing.pack(np.array([50, 45, 55, 30, 20]), 100)) == 2
 
 
+def fewest_bins(sizes, capacity):
+    """By trying all bins for each item, largest first."""
+    best = [len(sizes)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[k]:
+                rest = list(rooms)
+                rest.remove(room)
+                place(k + 1, [*rest, room - sizes[k]])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    sizes = sorted(map(int, sizes), reverse=True)
+    place(0, [])
+    return best[0]
+
+
+def test_swaps_reach_what_best_fit_misses():
+    """Between a quarter and a half of the capacity best fit wastes room; exchanges win bins back, and never lose any."""
+    rng, better, optimal = np.random.default_rng(3), 0, 0
+    for _ in range(120):
+        sizes = rng.integers(24, 51, 11)
+        first, bins, least = packing.best_fit(sizes, 100), packing.pack(sizes, 100), fewest_bins(sizes, 100)
+        assert sorted(k for b in bins for k in b) == list(range(11)) and all(sizes[b].sum() <= 100 for b in bins)
+        assert least <= len(bins) <= len(first)
+        better += len(bins) < len(first)
+        optimal += len(bins) == least
+    print(better, optimal)
+    assert better >= 5 and optimal >= 114
+
+
 def test_packing_round_trip(spark):
     tokenizers = pytest.importorskip("tokenizers")
     paths = pytest.importorskip("public_tokenizers")
@@ -225,6 +265,36 @@ def test_cnn_gradient_is_that_of_the_loss():
         assert (up - down) / (2 * step) == pytest.approx(float(g[name][at]), rel=2e-2, abs=1e-6)
 
 
+def test_cnn_scores_are_those_of_the_network():
+    """Scores of fitted weights by loops over places, filters and chunks."""
+    p = bytecnn.fit([t.encode() for t in texts(6, 1)] + [b"### " * 90] * 6, [1] * 6 + [0] * 6)
+    for raw in (b"", b"short", texts(1, 7)[0].encode() * 9):
+        symbols, pools = list(raw), []
+        for at in range(0, max(1, len(raw) - 512 + 256), 256) if len(raw) > 512 else [0]:
+            chunk = (symbols[at : at + 512] + [256] * 512)[:512]
+            windows = [np.concatenate([p["embed"][x] for x in chunk[k : k + 8]]) for k in range(0, 505, 4)]
+            pools.append([max(0.0, max(float(w @ p["filters"][:, f]) for w in windows) + float(p["bias"][f])) for f in range(24)])
+        features = [sum(x[f] for x in pools) / len(pools) for f in range(24)] + [max(x[f] for x in pools) for f in range(24)]
+        hidden = [max(0.0, sum(features[k] * float(p["hidden"][k, h]) for k in range(48)) + float(p["hidden_bias"][h])) for h in range(16)]
+        odds = sum(hidden[h] * float(p["out"][h, 0]) for h in range(16)) + float(p["out_bias"][0])
+        assert bytecnn.probabilities(p, [raw])[0] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-4)
+
+
+def test_cnn_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "word " * 50) for k in range(40)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] * 2, "doc_id long, quality int, toxic int")
+    seen = []
+    fit = bytecnn.fit
+    try:
+        bytecnn.fit = lambda t, y: seen.append((len(t), sum(map(len, t)))) or fit(t[:0], y[:0])
+        bytecnn.train(docs, labels)
+        bytecnn.train(docs, labels, sample=10)
+        bytecnn.train(docs, labels, most_bytes=1000)
+    finally:
+        bytecnn.fit = fit
+    assert seen[0][0] <= 40 and seen[1] == (10, 2500) and seen[2] == (4, 1000)
+
+
 def test_cnn_query_edges(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (None, "x"), (1, "a b c")], "doc_id long, text string").withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
@@ -287,6 +357,18 @@ def test_page_audit_edges(spark):
     assert len(got) == len(rows) and {r["status"] for r in got} == {"ok", "corrupt", "missing"}
 
 
+def test_equal_and_extra_records(spark):
+    rows = [(1, "u", "<p>1</p>")] * 30 + [(k, "u", f"<p>{k}</p>") for k in range(2, 20)] + [(None, None, None)] * 5
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    copy = pages.select(F.col("page_id").alias("id"), merkle.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    copy = copy.withColumn("named", F.sha2("record", 256))
+    lone = spark.createDataFrame([(77, "a record of its own", "0" * 64)], "id long, record string, named string")
+    got = merkle.page_audit(pages, copy.unionByName(lone))
+    assert Counter(r["status"] for r in got.collect()) == {"ok": len(rows), "extra": 1}
+    lost = merkle.page_audit(pages, copy.where("id IS NULL OR id <> 1").unionByName(copy.where("id = 1").limit(28)))
+    assert Counter((r["page_id"], r["status"]) for r in lost.where("status <> 'ok'").collect()) == {(1, "missing"): 2}
+
+
 def test_media_round_trip(spark):
     rows = list(enumerate(texts(30) + ["", None, "x" * 192, "é" * 5000, "x" * 192]))
     got = {r["doc_id"]: r for r in media.round_trip(spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(1))).collect()}
@@ -302,6 +384,37 @@ def test_media_round_trip(spark):
     assert media.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def ima_by_rule(block):
+    value, index = int.from_bytes(bytes(block[:2]), "little", signed=True), min(block[2], 88)
+    out = [value]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = media.IMA_STEPS[index]
+            move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            value = max(-32768, min(32767, value - move if code & 8 else value + move))
+            index = max(0, min(88, index + media.IMA_MOVES[code & 7]))
+            out.append(value)
+    return out
+
+
+def feature_by_rule(data):
+    mu, a = ([int(table[x]) for x in data] for table in (media.MU, media.A))
+    ima = [ima_by_rule(list(data[k : k + 192])) for k in range(0, len(data), 192)]
+    wide = [v for k, x in enumerate(mu) for v in (x, (x + mu[min(k + 1, len(mu) - 1)]) >> 1)]
+    zero = sum((x < 0) != (y < 0) for x, y in zip(mu, mu[1:]))
+    pcm = zlib.crc32(b"".join(x.to_bytes(2, "little", signed=True) for x in wide))
+    return (
+        f"mu:{sum(x * x for x in mu)}:{max(map(abs, mu))}:{zero};a:{sum(x * x for x in a)};"
+        f"ima:{sum(x * x for b in ima for x in b)}:{sum(b[-1] for b in ima)};pcm16k:{len(wide)}:{pcm:08x}"
+    )
+
+
+def test_features_are_those_of_the_formats(spark):
+    rows = list(enumerate(texts(5, 8) + ["", "é" * 700, bytes(range(128)).decode() * 3]))
+    for r in media.round_trip(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["feature"] == feature_by_rule(media.payload(rows[r["doc_id"]][1]))
+
+
 def test_expansion_tables():
     assert media.MU[[0xFF, 0x7F, 0x00, 0x80]].tolist() == [0, 0, -32124, 32124]
     assert media.A[[0xD5, 0x55, 0x2A, 0xAA]].tolist() == [8, -8, -32256, 32256]
@@ -324,23 +437,52 @@ def test_ima_blocks_match_the_sequential_rule():
         assert got[:, n].tolist() == want
 
 
-def test_pipeline_keeps_clean_documents(spark, tmp_path):
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage over what its predecessor kept, against brute force, with clashing names, nulls, repeats and copies."""
     import corpus_pipeline
 
+    from tests.llm.test_dedup import tree_by_brute_force
+
     rng = np.random.default_rng(8)
-    clean = [(k, "\n".join(" ".join(f"w{x}" for x in rng.integers(0, 5000, 30)) for _ in range(3)), "en", f"s{k % 3}", 0) for k in range(40)]
-    junk = [(100, "SHOUT!! " * 50, "en", "s0", 0), (101, clean[0][1], "en", "s1", 0), (102, None, "en", None, None), (103, "", None, "s1", 0)]
+    clean = [(k, "\n".join(prose(rng, 30, 676) for _ in range(3)), "en", f"s{k % 3}", None) for k in range(40)]
+    line = "All texts of this site may be used under its common terms."
+    clean = [(k, f"{t}\n{line}" if k % 4 == 0 else t, *rest) for k, t, *rest in clean]
+    near = clean[1][1].replace("\n", " ").split()
+    near[20] = "changed"
+    junk = [(100, "SHOUT!! " * 50, "en", "s0", 0), (101, clean[0][1], "en", "s1", 0), (102, None, "en", None, None), (103, "", None, "s1", 0), (104, " ".join(near), "en", None, 5), (2, clean[2][1], "en", "s2", None)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     df = spark.createDataFrame(clean + junk, schema)
+    for c in ("a.b", "_m_key", "_s_fp", "_l_row", "_q_f"):
+        df = df.withColumn(c, F.lit(c))
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "line_dedup", "simhash_near_dedup", "mixing", "best_fit_packing"]
-    docs = df
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        docs = stage(spark, docs, "")
-        assert docs.columns == df.columns
-    assert sorted(r["doc_id"] for r in docs.collect()) == list(range(40))
+    stages, docs = dict(corpus_pipeline.STAGES), {}
+    last = df
+    for name in names[:4]:
+        last = stages[name](spark, last, "")
+        assert last.columns == df.columns
+        docs[name] = last = spark.createDataFrame(last.collect(), df.schema)
+    rows = [(r["doc_id"], r["text"]) for r in docs["quality_rules"].collect()]
+    votes = [brute_votes(t) for _, t, *_ in clean + junk]
+    kept = [r[0] for r, p in zip(clean + junk, brute_posterior(votes), strict=True) if p >= 0.5 and len((r[1] or "").split()) >= 10 and r[0] != 100]
+    assert sorted(r[0] for r in rows) == sorted(kept) == sorted([*range(40), 2, 101, 104])
+    want = tree_by_brute_force(rows)
+    lined = [(r["doc_id"], r["text"], r["n_chars"]) for r in docs["line_dedup"].collect()]
+    assert {i: t for i, t, _ in lined} == want and not any(line in t for t in want.values())
+    assert all(n == len(t) for i, t, n in lined if i < 40 and i % 4 == 0)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.lower().split()) for i, t in want.items())}
+    copies = {j for j in sets for i in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert copies == {101, 104} and sorted(r["doc_id"] for r in docs["simhash_near_dedup"].collect()) == list(range(40))
+    mixed = Counter(r["doc_id"] for r in docs["mixing"].collect())
+    taken = {r["doc_id"]: len(r["_m_shards"]) for r in mixing.mix(docs["simhash_near_dedup"].select("doc_id", "text", "source")).collect()}
+    assert mixed == Counter({i: n for i, n in taken.items() if n})
+    packed = stages["best_fit_packing"](spark, docs["mixing"], "").collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == mixed
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r["piece"] == 0) == mixed
+    empty = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
 
 
 def test_token_ids_are_those_of_the_whole_text(monkeypatch):

@@ -1,6 +1,7 @@
 """Line, near-duplicate and passage deduplication against brute force, and their edge cases."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -221,3 +222,81 @@ def test_passages_and_short_lines_go(spark):
     got = {r["doc_id"]: r["text"] for r in linededup.drop_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
     for k, text in rows:
         assert got[k] == ("\n".join(x for x in text.split("\n") if x not in passage and x != "All rights reserved.") if k < 8 else text)
+
+
+def tree_by_brute_force(rows):
+    """What is left of each text, by the definition of the tree over single lines; a template stands once a text at most."""
+    split = lambda x: re.split(r"[\x20\x09-\x0D]+", x.strip(" \t\n\x0b\f\r"))
+    found = []  # (row, at, text, tokens, lead, leaf)
+    for r, (_, text) in enumerate(rows):
+        for at, line in enumerate((text or "").split("\n")):
+            if line.strip(" \t\n\x0b\f\r"):
+                t = split(line)
+                found.append((r, at, text, tuple(t), (len(t), *t[:4]), (len(t), *("<*>" if re.search(r"\d", x) else x for x in t[:4]))))
+    texts = {}
+    for f in found:
+        texts.setdefault(f[5], set()).add(f[2])
+    again = {leaf for leaf, x in texts.items() if len(x) >= 5}
+    placed = []
+    for f in found:
+        own = [g for g in found if g[0] == f[0] and g[5] not in again]
+        before, after = [g[4] for g in own if g[1] < f[1]], [g[4] for g in own if g[1] > f[1]]
+        if f[5] in again:
+            context = tuple(x for x in (before[-1] if before else None, after[0] if after else None) if x)
+            placed.append((*f, context, len(own) / sum(g[0] == f[0] for g in found)))
+    seen = {}
+    for f in {(f[5], f[3], f[6]) for f in placed}:
+        for k, x in enumerate(f[1]):
+            seen[f[0], k, x] = seen.get((f[0], k, x), 0) + 1
+    template, counted = {}, {}
+    for f in placed:
+        steady = lambda k, x: len(f[3]) < 4 or (seen[f[5], k, x] >= 5 and not re.search(r"\d", x))  # noqa: B023, E731
+        t = tuple(x if steady(k, x) else "<*>" for k, x in enumerate(f[3]))
+        if sum(x != "<*>" for x in t) >= 0.5 * len(t):
+            template[f[0], f[1]] = (f[5], t)
+            if f[7] >= 0.25:
+                counted.setdefault((f[5], t), {}).setdefault(f[2], f[6])
+    gone = {k for k, of in counted.items() if len(set(of.values())) >= 5 and len(set(of.values())) >= 0.3 * len(of)}
+    out = []
+    for r, (i, text) in enumerate(rows):
+        drop = {at for (q, at), t in template.items() if q == r and t in gone}
+        worded = sum(g[0] == r for g in found)
+        out.append((i, text if len(drop) >= worded else "\n".join(x for at, x in enumerate(text.split("\n")) if at not in drop)))
+    return dict(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_are_those_of_a_brute_force_tree(spark, seed):
+    rng = np.random.default_rng(seed)
+    fixed = [words(rng, int(n)) for n in rng.integers(1, 12, 14)]
+    rows = []
+    for k in range(70):
+        lines = [words(rng, int(n), 60) for n in rng.integers(1, 12, rng.integers(1, 7))]
+        for j in rng.choice(14, int(rng.integers(0, 5)), replace=False):
+            t = fixed[j].split()
+            if len(t) > 5 and j % 2:
+                t[int(rng.integers(0, len(t)))] = f"id{k}"
+            if len(t) > 6 and j % 3 == 0:
+                t[5] = words(rng, 1)
+            lines.insert(int(rng.integers(0, len(lines) + 1)), " ".join(t))
+        rows.append((k, "\n".join(lines)))
+    rows += [(100 + k, rows[0][1]) for k in range(6)]
+    rows += [(200 + k, "\n".join([words(rng, 8), *fixed[:3], words(rng, 8)])) for k in range(9)]
+    want = tree_by_brute_force(rows)
+    assert sum(want[i] != t for i, t in rows) > 20
+    got = {r["doc_id"]: r["text"] for r in linededup.without_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_operators_keep_any_column_names(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, "\n".join(words(rng, 9) for _ in range(3)), k, "x", 1.5, None) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, _l_row string, _s_fp double, root string")
+    for got in (linededup.without_templates(df), simhash.one_of_each(df)):
+        assert got.columns == df.columns and sorted(map(tuple, got.collect())) == rows
+
+
+def test_one_row_of_an_id_stays_whatever_the_order(spark):
+    rows = [(1, "a b c d e f g", str(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    assert len({tuple(simhash.one_of_each(df.repartition(n)).first()) for n in (1, 3, 5)}) == 1
