@@ -32,7 +32,8 @@ END_ID = 1
 BINS_PER_GROUP = 1024
 FULL = 0.985
 SLAB_WORDS = 400_000
-HELD_BYTES = 96 << 20  # of ids that a worker holds
+ROWS = 2048  # whose words are encoded at once
+HELD_BYTES = 48 << 20  # of ids that a worker holds
 PIECES = "id {}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -155,7 +156,8 @@ def _cutter(path: str, capacity: int):
         encoder = _encoder(path)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, ids in enumerate(token_ids(batch.column(1), encoder)):
+            texts = (ids for at in range(0, batch.num_rows, ROWS) for ids in token_ids(batch.column(1).slice(at, ROWS), encoder))
+            for k, ids in enumerate(texts):
                 for j, s in enumerate(range(0, len(ids), capacity)):
                     part = ids[s : s + capacity]
                     row.append(k)

@@ -6,6 +6,9 @@ The fingerprints of a bucket, in order, are a binary trie: pairs of nodes are tr
 root, bits in which they differ add up, and a pair beyond three is pruned. All buckets of a task go down level by level
 in numpy. A bucket sends a tree of links, not all pairs, and stars of links are merged until components stand.
 
+``one_of_each`` takes a wide budget, for texts of a given similarity: there fingerprints meet in buckets of texts that share minima of
+their shingles, so that buckets hold texts with common words however large the corpus is, and pairs within the budget are compared exactly.
+
 A bucket larger than ``CHUNK`` is dealt by hash into chunks whose pairs are joined in tasks of their own: exact, and no
 task holds more than two chunks.
 
@@ -33,7 +36,9 @@ SEED = 42
 CHUNK = 1024
 PER_BUCKET = 256
 SLAB = 16384
-SKETCH = 512
+SKETCH = 1024
+KEYS = 10  # of two minima each: texts of similarity 0.8 share none with a chance of 0.36 ** 10
+_MIX = np.random.default_rng(9).integers(0, 1 << 63, (4, KEYS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seen: list | None = None) -> int:
@@ -60,9 +65,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seen: list | None = No
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def meeting_keys(shingles: np.ndarray) -> list[int]:
+    """Keys of a set of hashed shingles: two texts share a key if both of its minima fall on shingles that they share."""
+    if not len(shingles):
+        return []
+    low = [np.full(KEYS, ~np.uint64(0)), np.full(KEYS, ~np.uint64(0))]
+    for at in range(0, len(shingles), 1 << 14):
+        part = shingles[at : at + (1 << 14), None]
+        low = [np.minimum(x, (part * _MIX[k]).min(axis=0)) for k, x in enumerate(low)]
+    mixed = (low[0] ^ (low[0] >> np.uint64(31))) * _MIX[2] + (low[1] ^ (low[1] >> np.uint64(29))) * _MIX[3]
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64).tolist()
+
+
 def with_fingerprint(df: DataFrame, text_col: str = "text", keep_text: bool = True, shingle: int = SHINGLE, with_class: bool = False) -> DataFrame:
     """``df`` with ``_s_fp``, the fingerprint as a signed long, and on demand ``_s_class``, a hash of the text's words,
-    and a sketch of its shingles: their number ``_s_size`` and ``_s_bits``, a bit for each of ``SKETCH`` groups that has one."""
+    a sketch of its shingles: their number ``_s_size`` and ``_s_bits``, a bit for each of ``SKETCH`` groups that has one, and ``_s_keys``."""
     at = df.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +93,11 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", keep_text: bool = Tr
                 sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *s])) for s in seen]
                 words = (b" ".join((t or "").encode().lower().split()) for t in texts)
                 found.append(pa.array(np.array([xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)))
-                found += [pa.array([len(x) for x in sets], pa.int64()), pa.array([np.packbits(np.bincount((x % SKETCH).astype(np.int64), minlength=SKETCH) > 0).tobytes() for x in sets], pa.binary())]
+                found += [pa.array([len(x) for x in sets], pa.int64()), pa.array([np.packbits(np.bincount((x % SKETCH).astype(np.int64), minlength=SKETCH) > 0).tobytes() for x in sets], pa.binary()), pa.array(map(meeting_keys, sets), pa.list_(pa.int64()))]
             kept = [k for k in range(batch.num_columns) if keep_text or k != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *found], [*(batch.schema.names[k] for k in kept), *added])
 
-    added = {"_s_fp": "bigint"} | ({"_s_class": "bigint", "_s_size": "bigint", "_s_bits": "binary"} if with_class else {})
+    added = {"_s_fp": "bigint"} | ({"_s_class": "bigint", "_s_size": "bigint", "_s_bits": "binary", "_s_keys": "array<bigint>"} if with_class else {})
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != text_col]
     return df.mapInArrow(add, ", ".join([*fields, *(f"{c} {kind}" for c, kind in added.items())]))
 
@@ -233,100 +250,75 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(id_col, F.lpad(F.lower(F.hex("_s_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def wide_masks(n: int, most: int) -> list[int]:
-    """Masks as in ``block_masks`` for a wide budget: of ``b`` blocks one differs in at most ``most // b`` bits, so that it
-    agrees on all but as many of its own parts. The choice weighs the rows that are dealt against the pairs that are compared."""
-
-    def cut(lo: int, hi: int, k: int) -> list[tuple[int, int]]:
-        ends = [lo + round(x * (hi - lo) / k) for x in range(k + 1)]
-        return list(zip(ends, ends[1:]))
-
-    def cost(masks: list[int]) -> float:
-        return sum(2000 * n + 5 * n * n / 2 ** m.bit_count() for m in masks)
+def _possible(similarity: float, size_a, size_b, bits_a, bits_b) -> np.ndarray:
+    """Whether sets of such sizes and sketches can be similar: a bit in which sketches differ is a shingle that one text lacks."""
+    apart = np.maximum(np.bitwise_count(bits_a ^ bits_b).sum(axis=1, dtype=np.int64), abs(size_a - size_b))
+    return apart * (1 + similarity) <= (1 - similarity) * (size_a + size_b) + 1e-6
 
-    choices = []
-    for b in range(1, 9):
-        r = most // b
-        for parts in range(r + 1, min(r + 7, BITS // b) + 1):
-            choices.append([sum((1 << y) - (1 << x) for x, y in c) for block in cut(0, BITS, b) for c in combinations(cut(*block, parts), parts - r)])
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in min((c for c in choices if len(c) <= 400), key=cost)]
 
+def _near_pairs(most: int, nearest: bool, similarity: float):
+    """Pairs of a bucket's classes that differ in at most ``most`` bits, lie in different components and can be similar: of each
+    class the nearest of the smaller ones, or all. Nodes of the trie are compared whole: under a wide budget none is pruned before it is small."""
 
-def _near_pairs(most: int, nearest: bool):
-    """Pairs of a bucket's classes that differ in at most ``most`` bits and lie in different components: of each class the
-    nearest of the smaller ones, or all. Nodes of the trie are compared whole: under a wide budget none is pruned before it is small."""
-
-    def compare(rows: np.ndarray, out: list) -> None:
-        values, node, root = rows[:, 4].view(np.uint64), rows[:, 5], rows[:, 6]
-        order = np.argsort(node)
-        values, node, root = values[order], node[order], root[order]
+    def compare(rows: np.ndarray, sketch: np.ndarray, out: list) -> None:
+        values, node, root, size = rows[:, 3].view(np.uint64), rows[:, 4], rows[:, 5], rows[:, 6]
         for at in range(0, len(node), 256):
             to = min(at + 256, len(node))
-            bits = np.bitwise_count(values[at:to, None] ^ values[None, :to])
-            live = (bits <= most) & (root[at:to, None] != root[None, :to]) & (node[at:to, None] > node[None, :to])
-            x, y = np.nonzero(live)
-            if not len(x):
-                continue
+            bits = np.bitwise_count(values[at:to, None] ^ values[None, :])
+            x, y = np.nonzero((bits <= most) & (root[at:to, None] != root[None, :]) & (node[at:to, None] > node[None, :]))
+            kept = [np.zeros(0, bool)]
+            for k in range(0, len(x), 1 << 16):
+                i, j = x[k : k + (1 << 16)] + at, y[k : k + (1 << 16)]
+                kept.append(_possible(similarity, size[i], size[j], sketch[i], sketch[j]))
+            kept = np.concatenate(kept)
+            x, y = x[kept], y[kept]
             d = bits[x, y].astype(np.int64)
-            if nearest:
-                rank = np.lexsort((d, x))
+            if nearest and len(x):
+                rank = np.lexsort((node[y], d, x))
                 first = rank[np.concatenate([[True], x[rank][1:] != x[rank][:-1]])]
                 x, y, d = x[first], y[first], d[first]
             out.append((node[at + x], node[y], d))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: np.ndarray) -> pa.RecordBatch:
-            change = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+        def found(rows: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
             out: list = [(np.zeros(0, np.int64),) * 3]
-            for part in np.split(rows, change):
-                compare(part, out)
+            for s, e in zip(np.append(0, cuts), np.append(cuts, len(rows)), strict=True):
+                compare(rows[s:e], sketch[s:e], out)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "d"])
 
-        rows = np.zeros((0, 7), np.int64)
+        rows, sketch = np.zeros((0, 7), np.int64), np.zeros((0, SKETCH // 64), np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = np.concatenate([rows, np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1)])
-            last = len(rows) - int(np.argmax((rows[::-1, :4] != rows[-1, :4]).any(axis=1))) if (rows[:, :4] != rows[-1, :4]).any() else 0
+            sketch = np.concatenate([sketch, np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)])
+            last = len(rows) - int(np.argmax((rows[::-1, :3] != rows[-1, :3]).any(axis=1))) if (rows[:, :3] != rows[-1, :3]).any() else 0
             if last:
-                yield found(rows[:last])
-                rows = rows[last:]
+                yield found(rows[:last], sketch[:last])
+                rows, sketch = rows[last:], sketch[last:]
         if len(rows):
-            yield found(rows)
+            yield found(rows, sketch)
 
     return run
 
 
-def near_pairs(classes: DataFrame, most: int, nearest: bool) -> DataFrame:
-    """(a, b) of ``classes`` (class, fp, root): see ``_near_pairs``; if ``nearest``, one b of each a."""
-    masks = wide_masks(classes.count(), most)
-    dealt = classes.select("class", "fp", "root", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("c", "m"))
-    counted = written(dealt.groupBy("c", "m").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+def near_pairs(classes: DataFrame, most: int, nearest: bool, similarity: float) -> DataFrame:
+    """(a, b) of ``classes`` (class, fp, size, bits, keys, root) that share a key: see ``_near_pairs``; if ``nearest``, one b of each a."""
+    dealt = classes.select("class", "root", F.explode("keys").alias("key"))
+    met = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
     chunks = F.ceil(F.col("n") / CHUNK)
-    other = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")
-    shared = dealt.join(counted, ["c", "m"]).withColumn("own", F.pmod(F.xxhash64("class"), chunks)).select("c", "m", "own", "fp", "class", "root", other)
-    keys = ["c", "m", "i", "j"]
-    keyed = shared.select("c", "m", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "class", "root")
-    found = keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_near_pairs(most, nearest), "a bigint, b bigint, d bigint")
+    shared = written(dealt.join(written(met, "met"), "key").select("class", "key", "n"), "shared")
+    own = shared.join(classes.select("class", "root", "fp", "size", "bits").hint("merge"), "class").withColumn("own", F.pmod(F.xxhash64("class"), chunks))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    keys = ["key", "i", "j"]
+    keyed = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "class", "root", "size", "bits")
+    found = keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_near_pairs(most, nearest, similarity), "a bigint, b bigint, d bigint")
     if nearest:
         return found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b")
     return found.select("a", "b").distinct()
 
 
-def _possible(similarity: float):
-    """Of rows (a, b, sizes, sketches) the (a, b) that can be similar: a bit in which sketches differ is a shingle that one text lacks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, SKETCH // 64) for k in (4, 5))
-            m, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), abs(m - n))
-            kept = apart * (1 + similarity) <= (1 - similarity) * (m + n) + 1e-6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept))
-
-    return run
-
-
 def _alike(shingle: int, similarity: float):
     """Of rows (a, b, text of a, text of b) the (a, b) whose shingle sets have that Jaccard similarity."""
 
@@ -352,14 +344,13 @@ def similar_classes(prints: DataFrame, text_col: str, shingle: int, most: int, s
     The nearest pairs are compared first; whatever the links found don't connect yet is compared pair by pair, so the components
     are those of all pairs, while a group of copies costs one pair a copy.
     """
-    classes = written(prints.groupBy(F.col("_s_class").alias("class")).agg(*(F.first(f"_s_{c}").alias(c) for c in ("fp", "size", "bits"))), "classes")
-    sketches = [classes.select(F.col("class").alias(k), F.col("size").alias(f"size_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab"]
-    rooted, links = classes.select("class", "fp", F.col("class").alias("root")), None
+    names = ("fp", "size", "bits", "keys")
+    classes = written(prints.groupBy(F.col("_s_class").alias("class")).agg(*(F.first(f"_s_{c}").alias(c) for c in names)), "classes")
+    rooted, links = classes.withColumn("root", F.col("class")), None
     for nearest in (True, False):
-        pairs = near_pairs(rooted, most, nearest).join(sketches[0], "a").join(sketches[1], "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
-        pairs = written(pairs.mapInArrow(_possible(similarity), "a bigint, b bigint"), "pairs")
-        named = pairs.select(F.col("a").alias("_s_class")).union(pairs.select("b")).distinct()
-        texts = prints.select("_s_class", text_col).join(named, "_s_class", "left_semi").groupBy("_s_class").agg(F.first(text_col).alias("text"))
+        pairs = written(near_pairs(rooted, most, nearest, similarity), "pairs")
+        paired = pairs.select(F.col("a").alias("_s_class")).union(pairs.select("b")).distinct()
+        texts = prints.select("_s_class", text_col).join(paired, "_s_class", "left_semi").groupBy("_s_class").agg(F.first(text_col).alias("text"))
         texts = written(texts, "texts")
         left = texts.select(F.col("_s_class").alias("a"), F.col("text").alias("x"))
         right = texts.select(F.col("_s_class").alias("b"), F.col("text").alias("y"))
@@ -367,11 +358,11 @@ def similar_classes(prints: DataFrame, text_col: str, shingle: int, most: int, s
         alike = written(read.mapInArrow(_alike(shingle, similarity), "a bigint, b bigint"), "alike")
         links = alike if links is None else links.unionByName(alike)
         known = components(links)
-        rooted = written(classes.join(known, classes["class"] == known["node"], "left").select("class", "fp", F.coalesce("root", "class").alias("root")), "rooted")
+        rooted = classes.join(written(known, "known"), F.col("class") == F.col("node"), "left").select("class", *names, F.coalesce("root", "class").alias("root"))
     return rooted.select("class", "root")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = 14, similarity: float = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = 20, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` whose id is their component's smallest, one row of each component of ``similar_classes``.
 
     Of several rows with that id the one whose columns hash least stays, so reruns agree.
