@@ -34,6 +34,7 @@ MOST = 3
 SHINGLE = 3
 SEED = 42
 CHUNK = 1024
+NEAR_CHUNK = 8192  # under a wide budget, where a class sends one pair a bucket
 PER_BUCKET = 256
 SLAB = 16384
 SKETCH = 1024
@@ -250,15 +251,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(id_col, F.lpad(F.lower(F.hex("_s_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _possible(similarity: float, size_a, size_b, bits_a, bits_b) -> np.ndarray:
-    """Whether sets of such sizes and sketches can be similar: a bit in which sketches differ is a shingle that one text lacks."""
+def _apart(similarity: float, size_a, size_b, bits_a, bits_b) -> np.ndarray:
+    """Shingles that at least one of two texts lacks, as far as sizes and sketches tell (bits in which sketches differ); -1 if the
+    texts can't be similar."""
     apart = np.maximum(np.bitwise_count(bits_a ^ bits_b).sum(axis=1, dtype=np.int64), abs(size_a - size_b))
-    return apart * (1 + similarity) <= (1 - similarity) * (size_a + size_b) + 1e-6
+    return np.where(apart * (1 + similarity) <= (1 - similarity) * (size_a + size_b) + 1e-6, apart, -1)
 
 
 def _near_pairs(most: int, nearest: bool, similarity: float):
     """Pairs of a bucket's classes that differ in at most ``most`` bits, lie in different components and can be similar: of each
-    class the nearest of the smaller ones, or all. Nodes of the trie are compared whole: under a wide budget none is pruned before it is small."""
+    class the nearest by sketch of the smaller ones, or all. Nodes of the trie are compared whole: under a wide budget none is pruned before it is small."""
 
     def compare(rows: np.ndarray, sketch: np.ndarray, out: list) -> None:
         values, node, root, size = rows[:, 3].view(np.uint64), rows[:, 4], rows[:, 5], rows[:, 6]
@@ -266,13 +268,12 @@ def _near_pairs(most: int, nearest: bool, similarity: float):
             to = min(at + 256, len(node))
             bits = np.bitwise_count(values[at:to, None] ^ values[None, :])
             x, y = np.nonzero((bits <= most) & (root[at:to, None] != root[None, :]) & (node[at:to, None] > node[None, :]))
-            kept = [np.zeros(0, bool)]
+            apart = [np.zeros(0, np.int64)]
             for k in range(0, len(x), 1 << 16):
                 i, j = x[k : k + (1 << 16)] + at, y[k : k + (1 << 16)]
-                kept.append(_possible(similarity, size[i], size[j], sketch[i], sketch[j]))
-            kept = np.concatenate(kept)
-            x, y = x[kept], y[kept]
-            d = bits[x, y].astype(np.int64)
+                apart.append(_apart(similarity, size[i], size[j], sketch[i], sketch[j]))
+            d = np.concatenate(apart)
+            x, y, d = x[d >= 0], y[d >= 0], d[d >= 0]
             if nearest and len(x):
                 rank = np.lexsort((node[y], d, x))
                 first = rank[np.concatenate([[True], x[rank][1:] != x[rank][:-1]])]
@@ -307,7 +308,7 @@ def near_pairs(classes: DataFrame, most: int, nearest: bool, similarity: float)
     """(a, b) of ``classes`` (class, fp, size, bits, keys, root) that share a key: see ``_near_pairs``; if ``nearest``, one b of each a."""
     dealt = classes.select("class", "root", F.explode("keys").alias("key"))
     met = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
-    chunks = F.ceil(F.col("n") / CHUNK)
+    chunks = F.ceil(F.col("n") / NEAR_CHUNK)
     shared = written(dealt.join(written(met, "met"), "key").select("class", "key", "n"), "shared")
     own = shared.join(classes.select("class", "root", "fp", "size", "bits").hint("merge"), "class").withColumn("own", F.pmod(F.xxhash64("class"), chunks))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
@@ -341,13 +342,13 @@ def _alike(shingle: int, similarity: float):
 def similar_classes(prints: DataFrame, text_col: str, shingle: int, most: int, similarity: float) -> DataFrame:
     """(class, root): components of texts that differ in at most ``most`` bits and are as similar, of rows with fingerprints.
 
-    The nearest pairs are compared first; whatever the links found don't connect yet is compared pair by pair, so the components
-    are those of all pairs, while a group of copies costs one pair a copy.
+    The nearest pairs are compared first, and the nearest that these links don't connect; whatever isn't connected then is compared pair by
+    pair, so the components are those of all pairs, while a group of copies costs a pair or two a copy.
     """
     names = ("fp", "size", "bits", "keys")
     classes = written(prints.groupBy(F.col("_s_class").alias("class")).agg(*(F.first(f"_s_{c}").alias(c) for c in names)), "classes")
     rooted, links = classes.withColumn("root", F.col("class")), None
-    for nearest in (True, False):
+    for nearest in (True, True, False):
         pairs = written(near_pairs(rooted, most, nearest, similarity), "pairs")
         paired = pairs.select(F.col("a").alias("_s_class")).union(pairs.select("b")).distinct()
         texts = prints.select("_s_class", text_col).join(paired, "_s_class", "left_semi").groupBy("_s_class").agg(F.first(text_col).alias("text"))
