@@ -19,7 +19,7 @@ COMMA_REF = re.compile(r"\b(?:comma|co\.?|c\.)\s*(\d+)\b", re.I)
 ANNEX_REF = re.compile(r"\b(?:allegat[oi]|all\.?)\s+([IVX]+|\d+)\b", re.I)
 CHANGES = re.compile(r"\b(?:modifica\w*|sostitu(?:isce|ito|iti)|abrog\w*|integr(?:a|ato)|aggiunge|aggiunto|sostituendo|nov[ae]ll(?:a|ato))\b", re.I)
 APPLIES = re.compile(r"\b(?:in\s+attuazione|attua\w*|recepimento|recepisce|in\s+conformit[àa])\b", re.I)
-PAUSE = r"\(PAUSE (\d+)s\)"
+PAUSE = re.compile(r"\(\s*PAUSE\s+(\d+(?:\.\d+)?)\s*s?\s*\)", re.I)
 
 
 def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
@@ -111,13 +111,13 @@ def references(chunks: DataFrame, body: str) -> DataFrame:
 
 
 def ssml(text: Column) -> Column:
-    """Spoken text: XML-escaped, its first ten pause marks as breaks of at most ten seconds."""
+    """Spoken text: XML-escaped, its first ten pause marks, in any case and with fractions, as breaks of at most ten seconds."""
 
     @F.pandas_udf("string")
     def speak(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from xml.sax.saxutils import escape
 
         for texts in parts:
-            yield texts.map(lambda x: None if x is None else "<speak>" + re.sub(PAUSE, lambda m: f'<break time="{min(int(m[1]), 10)}s"/>', escape(x), count=10) + "</speak>")
+            yield texts.map(lambda x: None if x is None else "<speak>" + PAUSE.sub(lambda m: f'<break time="{min(float(m[1]), 10.0)}s"/>', escape(x, {'"': "&quot;", "'": "&apos;"}), count=10) + "</speak>")
 
     return speak(text)

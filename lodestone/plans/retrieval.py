@@ -179,20 +179,21 @@ def t5_vector_top_k(t: Tables) -> DataFrame:
     return top_k(one, t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), 30).select("chunk_id", "score")
 
 
-_PATHS = """ch AS (SELECT doc_id AS chunk_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || ' > ' || lang ELSE source || ' > ' || lang || ' > ' || (doc_id % 7) END AS p FROM documents)"""
+_PATHS = """ch AS (SELECT doc_id AS chunk_id, concat_ws(' > ', CAST(doc_id // 7 AS VARCHAR), CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 > 1 THEN source END) AS p FROM documents)"""
 
 
 def chunk_paths(t: Tables) -> DataFrame:
+    """Seven documents in a row are the passages of one regulation: of its root, of a section by language, of a part by source."""
     k = F.col("doc_id") % 3
-    path = F.when(k == 0, F.col("source")).when(k == 1, F.concat_ws(" > ", "source", "lang")).otherwise(F.concat_ws(" > ", "source", "lang", (F.col("doc_id") % 7).cast("string")))
+    path = F.concat_ws(" > ", F.floor(F.col("doc_id") / 7).cast("string"), F.when(k > 0, F.col("lang")), F.when(k > 1, F.col("source")))
     return t.documents.select(F.col("doc_id").alias("chunk_id"), path.alias("hierarchy_path"))
 
 
 @add(f"""WITH {_PATHS}, s AS (SELECT chunk_id AS src, p, string_split(p, ' > ') AS a FROM ch), e AS (SELECT DISTINCT p FROM ch),
 n AS (SELECT src, coalesce((SELECT p FROM e WHERE len(a) > 2 AND e.p = a[1] || ' > ' || a[2]), (SELECT p FROM e WHERE len(a) > 1 AND e.p = a[1])) AS up FROM s)
-SELECT src, chunk_id AS dst FROM n JOIN ch ON ch.p = n.up WHERE chunk_id % 5 = 0""")
+SELECT src, chunk_id AS dst FROM n JOIN ch ON ch.p = n.up""")
 def kg2_parent_edges(t: Tables) -> DataFrame:
-    return G.parent_edges(chunk_paths(t)).where("dst % 5 = 0")
+    return G.parent_edges(chunk_paths(t))
 
 
 @add(f"WITH c AS (SELECT doc_id AS chunk_id, source || ' > ' || n_chars AS p FROM documents) SELECT a.chunk_id AS src, b.chunk_id AS dst FROM c a JOIN c b ON a.p = b.p AND a.chunk_id < b.chunk_id")
@@ -208,12 +209,11 @@ def kg4_shared_references(t: Tables) -> DataFrame:
     return G.shared_reference_gate(refs.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), refs)
 
 
-@add(f"""WITH {_PATHS}, e AS (SELECT a.chunk_id AS src, b.chunk_id AS dst, 'sibling' AS kind FROM ch a JOIN ch b ON a.p = b.p AND a.chunk_id < b.chunk_id WHERE a.chunk_id % 3 = 2 AND b.chunk_id - a.chunk_id < 200)
+@add(f"""WITH {_PATHS}, e AS (SELECT a.chunk_id AS src, b.chunk_id AS dst, 'sibling' AS kind FROM ch a JOIN ch b ON a.p = b.p AND a.chunk_id < b.chunk_id)
 SELECT kind, CAST(count(*) AS BIGINT) AS proposed, CAST(count(*) FILTER (src % 2 = 1) AS BIGINT) AS added FROM e GROUP BY 1""")
 def kg5_edge_persistence(t: Tables) -> DataFrame:
     """Edges that exist aren't written again: how many are proposed and how many are new. Those of even sources exist."""
-    chunks = chunk_paths(t).where("chunk_id % 3 = 2")
-    proposed = G.sibling_edges(chunks).where("dst - src < 200").withColumn("kind", F.lit("sibling"))
+    proposed = G.sibling_edges(chunk_paths(t)).withColumn("kind", F.lit("sibling"))
     fresh = R.new_rows(proposed, proposed.where("src % 2 = 0"), ["src", "dst", "kind"], [F.col("src")])
     counted = proposed.groupBy("kind").agg(F.count("*").alias("proposed"))
     return counted.join(fresh.groupBy("kind").agg(F.count("*").alias("added")), "kind", "left").select("kind", "proposed", F.coalesce("added", F.lit(0)).alias("added"))

@@ -148,10 +148,10 @@ def s16_template_routing(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.routed_template(F.col("text"), {"flow": ["the of", "and.*the"], "tree": ["der die", "und"]}).alias("template"))
 
 
-@add("SELECT o_orderkey, 'Verifica ' || o_orderkey AS label FROM orders")
+@add("SELECT o_orderkey, 'Verifica ' || o_orderkey || CASE WHEN o_orderkey % 3 = 2 THEN ' come da piano' ELSE '' END AS label FROM orders")
 def s17_norm_suffix(t: Tables) -> DataFrame:
     n = F.col("o_orderkey").cast("string")
-    tail = F.when(F.col("o_orderkey") % 3 == 0, " secondo D.Lgs. 81/08 Art. 225").when(F.col("o_orderkey") % 3 == 1, ", ai sensi della legge").otherwise("")
+    tail = F.when(F.col("o_orderkey") % 3 == 0, " secondo D.Lgs. 81/08 Art. 225").when(F.col("o_orderkey") % 3 == 1, ", ai sensi della legge").otherwise(" come da piano")
     return t.orders.select("o_orderkey", X.without_norm_suffix(F.concat(F.lit("Verifica "), n, tail)).alias("label"))
 
 

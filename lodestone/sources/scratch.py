@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; where that is unset (tests, local runs) a fresh temporary one is set."""
+    """Folder of ``spark.checkpoint.dir``; where that is unset a fresh temporary one is set on a local
+    master, whose tasks share this machine; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
         found = spark.sparkContext.getCheckpointDir() or ""
+    if not found and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
