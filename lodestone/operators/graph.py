@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.operators.relational import top_per
+from lodestone.operators.relational import numbered_in_ranges, top_per
 
 HOP = 0.7
 
@@ -25,6 +25,18 @@ def sibling_edges(chunks: DataFrame, key: str = "chunk_id", path: str = "hierarc
     return a.join(chunks.select(F.col(key).alias("dst"), path), path).where("src < dst").select("src", "dst")
 
 
+def sibling_classes(chunks: DataFrame, key: str = "chunk_id", path: str = "hierarchy_path") -> DataFrame:
+    """(key, class_id, n_links): sibling edges without their pairs; a class is a path and named by its least passage."""
+    classes = chunks.groupBy(path).agg(F.min(key).alias("class_id"), (F.count("*") - 1).alias("n_links"))
+    return chunks.select(key, path).join(classes, path).select(key, "class_id", "n_links")
+
+
+def links_by_source(chunks: DataFrame, key: str = "chunk_id", path: str = "hierarchy_path") -> DataFrame:
+    """(key, n): how many sibling edges (src < dst) start at each passage, counted by its place in the path, not by pairs."""
+    placed = numbered_in_ranges(chunks.select(key, path), [path], [F.col(key)], "_k", "_n")
+    return placed.select(key, (F.col("_n") - F.col("_k")).alias("n"))
+
+
 def shared_reference_gate(pairs: DataFrame, references: DataFrame, least: float = 0.15) -> DataFrame:
     """Pairs (src, dst) with shared references, and their Jaccard similarity; references: (id, refs array)."""
     side = lambda c, n: references.select(F.col("id").alias(c), F.col("refs").alias(n))

@@ -7,6 +7,8 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.sources.scratch import written
+
 
 def current(df: DataFrame, flag: str = "is_current") -> DataFrame:
     """Rows whose flag is true; a null flag isn't."""
@@ -113,6 +115,34 @@ def renumbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + (first - 1)).cast("int"))
 
 
+def numbered_in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, total: str | None = None) -> DataFrame:
+    """Row numbers from 1 within keys, and with ``total`` their counts, where a key may hold any share of the rows.
+
+    Rows are dealt to ranges of (keys, order) and numbered there; what a key has in earlier ranges is added. The ranges are
+    written once, as another run may draw other bounds. Keys may be null; ``order`` has to end in a unique column.
+    """
+    free = next(f"_range{i or ''}" for i in range(len(df.columns) + 1) if f"_range{i or ''}" not in df.columns)
+    dealt = written(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(free, F.spark_partition_id()), "ranges")
+    same = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    counts = dealt.groupBy(F.col(free).alias("_r"), *same).agg(F.count("*").alias("_n"))  # a row per range and key
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_r", *[f"_k{i}" for i in range(len(keys))], before.alias("_before"), F.sum("_n").over(w).alias("_total"))
+    here = dealt.withColumn(name, F.row_number().over(Window.partitionBy(free, *keys).orderBy(*order)))
+    match = F.col(free) == F.col("_r")
+    for i, k in enumerate(keys):
+        match &= here[k].eqNullSafe(offsets[f"_k{i}"])
+    joined = here.join(offsets, match)
+    extra = [F.col("_total").alias(total)] if total else []
+    return joined.select(*[here[c] for c in df.columns], (F.col(name) + F.col("_before")).alias(name), *extra)
+
+
+def quantile_in_ranges(df: DataFrame, keys: Sequence[str], value: str, tie: str, part: float, name: str) -> DataFrame:
+    """:func:`quantile_by_index` for keys of any size; ``tie`` is unique."""
+    ranked = numbered_in_ranges(df.select(*keys, value, tie), keys, [F.col(value), F.col(tie)], "_k", "_n")
+    return ranked.where(F.col("_k") == F.least(F.floor(F.col("_n") * F.lit(part)) + 1, F.col("_n"))).select(*keys, F.col(value).alias(name))
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str = "island") -> DataFrame:
     """Numbers runs of equal values in order, from 1."""
     w = Window.partitionBy(*keys).orderBy(*order)

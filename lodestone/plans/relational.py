@@ -421,7 +421,9 @@ def a26_phase_telemetry(t: Tables) -> DataFrame:
 
 @add("SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events")
 def w1_rank(t: Tables) -> DataFrame:
-    return R.renumbered(t.events, ["event_type"], [F.desc("value"), F.col("event_id")], "rank", 1).select("event_id", "rank")
+    """A type may hold any share of the events, so ranks are drawn in ranges."""
+    ranked = R.numbered_in_ranges(t.events.select("event_type", "value", "event_id"), ["event_type"], [F.desc("value"), F.col("event_id")], "rank")
+    return ranked.select("event_id", F.col("rank").cast("int").alias("rank"))
 
 
 @add("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
@@ -466,12 +468,15 @@ def w8_duplicate_counts(t: Tables) -> DataFrame:
 @add("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, value AS p25 FROM r WHERE k = n // 4 + 1""")
 def w9_quantile_by_index(t: Tables) -> DataFrame:
-    return R.quantile_by_index(t.events.select("event_type", "value"), ["event_type"], "value", 0.25, "p25")
+    return R.quantile_in_ranges(t.events, ["event_type"], "value", "event_id", 0.25, "p25")
 
 
 @add("SELECT event_id, value >= 0.30 * max(value) OVER (PARTITION BY event_type) AS kept FROM events")
 def w10_relative_threshold(t: Tables) -> DataFrame:
-    return t.events.select("event_id", (F.col("value") >= 0.30 * F.max("value").over(Window.partitionBy("event_type"))).alias("kept"))
+    """The best of each type is aggregated and joined back: no window holds a type."""
+    best = t.events.groupBy("event_type").agg(F.max("value").alias("best")).withColumnRenamed("event_type", "kind")
+    events = t.events.select("event_id", "event_type", "value")
+    return events.join(best, events["event_type"].eqNullSafe(best["kind"])).select("event_id", (F.col("value") >= 0.30 * F.col("best")).alias("kept"))
 
 
 @add("""WITH u AS (SELECT l_partkey, count(*) AS used FROM lineitem GROUP BY 1), c AS (SELECT p_partkey, p_brand, p_retailprice FROM part LEFT JOIN u ON p_partkey = l_partkey WHERE coalesce(used, 0) < 30)

@@ -196,9 +196,10 @@ def kg2_parent_edges(t: Tables) -> DataFrame:
     return G.parent_edges(chunk_paths(t))
 
 
-@add(f"WITH c AS (SELECT doc_id AS chunk_id, source || ' > ' || n_chars AS p FROM documents) SELECT a.chunk_id AS src, b.chunk_id AS dst FROM c a JOIN c b ON a.p = b.p AND a.chunk_id < b.chunk_id")
+@add(f"WITH {_PATHS} SELECT chunk_id, min(chunk_id) OVER w AS class_id, CAST(count(*) OVER w - 1 AS BIGINT) AS n_links FROM ch WINDOW w AS (PARTITION BY p)")
 def kg3_sibling_edges(t: Tables) -> DataFrame:
-    return G.sibling_edges(t.documents.select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" > ", "source", F.col("n_chars").cast("string")).alias("hierarchy_path")))
+    """Passages with the class of their path and their number of siblings: every edge, without n^2 rows of a path."""
+    return G.sibling_classes(chunk_paths(t))
 
 
 @add("""WITH r AS (SELECT l_orderkey AS id, list_distinct(list(l_suppkey)) AS refs FROM lineitem GROUP BY 1), p AS (SELECT id AS src, id + 1 AS dst FROM r)
@@ -213,10 +214,9 @@ def kg4_shared_references(t: Tables) -> DataFrame:
 SELECT kind, CAST(count(*) AS BIGINT) AS proposed, CAST(count(*) FILTER (src % 2 = 1) AS BIGINT) AS added FROM e GROUP BY 1""")
 def kg5_edge_persistence(t: Tables) -> DataFrame:
     """Edges that exist aren't written again: how many are proposed and how many are new. Those of even sources exist."""
-    proposed = G.sibling_edges(chunk_paths(t)).withColumn("kind", F.lit("sibling"))
-    fresh = R.new_rows(proposed, proposed.where("src % 2 = 0"), ["src", "dst", "kind"], [F.col("src")])
-    counted = proposed.groupBy("kind").agg(F.count("*").alias("proposed"))
-    return counted.join(fresh.groupBy("kind").agg(F.count("*").alias("added")), "kind", "left").select("kind", "proposed", F.coalesce("added", F.lit(0)).alias("added"))
+    links = G.links_by_source(chunk_paths(t)).where("n > 0")
+    added = F.sum(F.when(F.col("chunk_id") % 2 == 1, F.col("n")).otherwise(0))
+    return links.groupBy(F.lit("sibling").alias("kind")).agg(F.sum("n").alias("proposed"), added.alias("added"))
 
 
 @add(f"""WITH {_POOL}, t10 AS (SELECT query_id, chunk_id, score FROM pool WHERE rank <= 10), e AS (SELECT a.doc_id AS src, b.doc_id AS dst, 0.5 AS weight FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20),
