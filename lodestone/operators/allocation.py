@@ -84,23 +84,39 @@ def quota_dedup(candidates: DataFrame, quota: int = QUOTA, course: str = "course
     return candidates.groupBy(course).applyInPandas(allot, f"{course} {kinds[course]}, module_index int, chunk_id {kinds['chunk_id']}, score double")
 
 
-def rebalance(assigned: DataFrame, least: int, most: int, course: str = "course_id", steps: int = 200) -> DataFrame:
-    """(course, chunk_id, module_index): passages move one by one from the fullest module, the least margin first, to the emptiest,
-    until sizes lie in [least, most] or no move helps; passages that are pinned stay, and the steps of a course are bounded."""
+def rebalance(assigned: DataFrame, least: int, most: int, course: str = "course_id", steps: int = 200, by_margin: bool = True) -> DataFrame:
+    """(course, chunk_id, module_index): one pass until no module has under ``least`` passages, then one until none has over ``most``.
+
+    A step moves a passage to the emptiest module that is short. It comes from modules with over ``least + 2`` passages in the first
+    pass, over ``most`` in the second: of all these the passage of the least margin that isn't pinned, within ``steps``; without
+    ``by_margin`` the last one of the fullest module. Ties go to the smaller module and passage. A pass ends early when nothing can move.
+    """
 
     def even(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["margin", "chunk_id"]).reset_index(drop=True)
+        rows = rows.sort_values(["margin", "chunk_id"] if by_margin else ["chunk_id"]).reset_index(drop=True)
         home, modules = rows["module_index"].to_numpy().copy(), sorted(rows["all_modules"].iloc[0])
-        for _ in range(steps):
-            sizes = {m: int((home == m).sum()) for m in modules}
-            giver = max(modules, key=lambda m: (sizes[m], -m))
-            taker = min(modules, key=lambda m: (sizes[m], m))
-            if (sizes[taker] >= least and sizes[giver] <= most) or sizes[giver] - sizes[taker] < 2:
-                break
-            free = [k for k in range(len(rows)) if home[k] == giver and not rows["pinned"][k]]
-            if not free:
-                break
-            home[free[0]] = taker
+        sizes = {m: int((home == m).sum()) for m in modules}
+        pinned = rows["pinned"].to_numpy(bool) if by_margin else None
+
+        def move(short: int, full: int) -> bool:
+            takers, givers = [m for m in modules if sizes[m] < short], [m for m in modules if sizes[m] > full]
+            if not takers or not givers:
+                return False
+            if by_margin:
+                free = [k for k in range(len(home)) if not pinned[k] and home[k] in givers][:1]
+            else:
+                fullest = max(givers, key=lambda m: (sizes[m], -m))
+                free = [k for k in range(len(home)) if home[k] == fullest][-1:]
+            for k in free:
+                taker = min(takers, key=lambda m: (sizes[m], m))
+                sizes[home[k]], sizes[taker] = sizes[home[k]] - 1, sizes[taker] + 1
+                home[k] = taker
+            return bool(free)
+
+        for short, full in ((least, least + 2), (most, most)):
+            left = steps if by_margin else len(home) * len(modules)
+            while left and move(short, full):
+                left -= 1
         return rows.assign(module_index=home)[[course, "chunk_id", "module_index"]]
 
     kinds = dict(assigned.dtypes)

@@ -28,17 +28,22 @@ def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n") -> D
     return df.select(key, F.posexplode(kept).alias("pos", "body")).withColumn("pos", F.col("pos") + 1)
 
 
-def paragraph_chunks(df: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
-    """Paragraphs, each after the last full sentence of the one before."""
+def _overlapped(parts: DataFrame, key: str) -> DataFrame:
+    """(key, pos, body): each paragraph after the last full sentence of the one before."""
     before = F.split(F.lag("body").over(Window.partitionBy(key).orderBy("pos")), r"\.")
     overlap = F.concat(F.trim(F.try_element_at(before, F.lit(-2))), F.lit(". "))
-    return paragraphs(df, key, text, separator).select(key, "pos", F.concat(F.coalesce(overlap, F.lit("")), "body").alias("body"))
+    return parts.select(key, "pos", F.concat(F.coalesce(overlap, F.lit("")), "body").alias("body"))
+
+
+def paragraph_chunks(df: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
+    """Paragraphs, each after the last full sentence of the one before."""
+    return _overlapped(paragraphs(df, key, text, separator), key)
 
 
 def residual(parts: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """Paragraphs (key, body) whose first 100 characters begin no chunk of the same document."""
+    """Paragraphs (key, body, and their pos if they have one) whose first 100 characters begin no chunk of the same document."""
     head = lambda d: d.withColumn("_head", F.substring("body", 1, 100))
-    return head(parts).join(head(chunks).select(key, "_head"), [key, "_head"], "left_anti").select(key, "body")
+    return head(parts).join(head(chunks).select(key, "_head"), [key, "_head"], "left_anti").select(*parts.columns)
 
 
 def structured_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,17 +62,25 @@ def structured_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
     return parts.unionByName(annexes.where(F.length("body") > LEAST))
 
 
-def hybrid_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Structured chunks; where these cover under 70 % of a document's text, the paragraphs that they miss too."""
+def coverage(df: DataFrame, key: str, text: str, chunks: DataFrame) -> DataFrame:
+    """``df`` with ``coverage``: length of a document's joined chunks against that of its text, both without headers and page numbers."""
     from lodestone.functions.text import covered_form
 
+    joined = chunks.groupBy(key).agg(F.array_join(F.collect_list("body"), " ").alias("_got"))
+    share = F.length(covered_form(F.coalesce("_got", F.lit("")))) / F.greatest(F.length(covered_form(F.col(text))), F.lit(1))
+    return df.join(joined, key, "left").withColumn("coverage", share).drop("_got")
+
+
+def hybrid_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Structured chunks; where these cover under 70 % of a document's text, the paragraphs that they miss too, numbered and overlapping."""
     chunks = structured_chunks(df, key, text)
-    captured = chunks.groupBy(key).agg(F.array_join(F.collect_list("body"), " ").alias("got"))
-    coverage = F.length(covered_form(F.coalesce("got", F.lit("")))) / F.greatest(F.length(covered_form(F.col(text))), F.lit(1))
-    thin = df.join(captured, key, "left").where(coverage < COVERAGE).select(key, text)
-    missed = residual(paragraphs(thin, key, text).select(key, "body"), chunks, key)
+    thin = coverage(df, key, text, chunks).where(F.col("coverage") < COVERAGE).select(key, text)
+    missed = residual(paragraphs(thin, key, text), chunks, key)
+    number = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
+    added = _overlapped(missed.withColumn("pos", number), key)
     none = F.lit(None).cast("string")
-    return chunks.unionByName(missed.select(key, none.alias("article"), none.alias("paragraph"), F.lit("Paragrafo").alias("hierarchy_path"), "body"))
+    path = F.concat(F.lit("Paragrafo "), F.col("pos").cast("string"))
+    return chunks.unionByName(added.select(key, none.alias("article"), none.alias("paragraph"), path.alias("hierarchy_path"), "body"))
 
 
 def new_bodies(batch: DataFrame, current: DataFrame, hash_: str, order: str) -> DataFrame:
@@ -77,11 +90,23 @@ def new_bodies(batch: DataFrame, current: DataFrame, hash_: str, order: str) ->
     return new_rows(batch, current, [hash_], [F.col(order)])
 
 
-def cyclic_batches(df: DataFrame, key: str, text: str, n: int, separator: str = "\n\n") -> DataFrame:
-    """(key, batch, body): parts of a text dealt to n batches in turn."""
-    dealt = df.select(key, F.posexplode(F.split(text, re.escape(separator))).alias("pos", "part")).withColumn("batch", F.col("pos") % n)
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"])
-    return dealt.groupBy(key, "batch").agg(F.array_join(in_order, separator).alias("body"))
+def cyclic_batches(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, batch, body): parts of a text dealt to n batches in turn, all n of them.
+
+    A text is cut at lines that begin an article; if that gives under n parts at blank lines; else into equal slices.
+    """
+    whole = F.col(text)
+    filled = lambda separator: F.filter(F.split(whole, re.escape(separator)), lambda p: p.rlike(r"\S"))
+    size = F.greatest(F.lit(1), F.floor(F.length(whole) / n).cast("int"))
+    slices = F.when(F.length(whole) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / size).cast("int")), lambda k: F.substring(whole, k * size + 1, size)))
+    parts = F.when(F.size("_articles") >= n, F.col("_articles")).when(F.size("_blank") >= n, F.col("_blank")).otherwise(F.coalesce(slices, F.array().cast("array<string>")))
+    if n <= 1:
+        parts = F.array(whole)
+    cut = df.withColumns({"_articles": filled("\nArt."), "_blank": filled("\n\n")}).withColumn("_parts", parts)
+    separator = F.when(F.contains(whole, F.lit("Art.")), "\n\nArt.").otherwise("\n\n")
+    own = lambda b: F.filter("_parts", lambda _, k: k % max(n, 1) == b)
+    dealt = cut.withColumn("_sep", separator).select(key, "_parts", "_sep", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("batch"))
+    return dealt.withColumn("_own", own(F.col("batch"))).select(key, "batch", F.expr("array_join(_own, _sep)").alias("body"))
 
 
 def _found(body: str | None) -> list[tuple[str, str | None, str]]:

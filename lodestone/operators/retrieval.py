@@ -14,32 +14,22 @@ DECAY, DISCARD, LEAST_SEEN, STRONG = 0.4, 0.30, 4, 0.70
 UNKNOWN = "Sconosciuto"
 
 
-def _postings(corpus: DataFrame, chunk_id: str, text: str) -> DataFrame:
-    """(chunk_id, token, tf, length): words of a chunk are sorted and their runs counted, so nothing is shuffled."""
-    sorted_words = corpus.select(chunk_id, F.array_sort(bm25_tokens(F.col(text))).alias("_w")).where(F.size("_w") > 0)
-    word = lambda i: F.get("_w", i)
-    starts = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
-    runs = sorted_words.withColumn("_s", starts)
-    counted = F.transform("_s", lambda i, k: F.struct(word(i).alias("token"), (F.coalesce(F.get("_s", k + 1), F.size("_w")) - i).cast("bigint").alias("tf")))
-    return runs.select(chunk_id, F.size("_w").cast("bigint").alias("length"), F.explode(counted).alias("p")).select(chunk_id, "p.token", "p.tf", "length")
-
-
 def bm25(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """(query_id, chunk_id, score, rank) by BM25 with negative weights replaced by a share of the mean weight.
 
-    Postings are counted within a row, written once and serve all queries; statistics cover the whole corpus. Only postings
-    of asked words are shuffled, by chunk, before they meet the queries: scores are then summed and cut to k where they are.
+    The corpus is cut into words once. Only occurrences of asked words are shuffled, by chunk: they are counted, scored and cut
+    to k where they then are. Statistics cover the whole corpus; a text without words counts as well, with length 0.
     """
-    postings = written(_postings(corpus, chunk_id, text), "postings")
-    # A document without words counts as well, with length 0.
-    whole = postings.agg(F.sum("tf").alias("total")).crossJoin(corpus.agg(F.count("*").alias("n"))).select("n", (F.col("total") / F.col("n")).alias("mean_length"))  # one row
-    seen = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(whole.select("n"))
-    raw = seen.select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    words = written(corpus.select(chunk_id, F.coalesce(bm25_tokens(F.col(text)), F.array().cast("array<string>")).alias("words")), "words")
+    whole = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_length"))  # one row
+    seen = words.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(whole.select("n"))
+    raw = written(seen.select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "weights")
     weight = raw.crossJoin(raw.agg(F.avg("raw").alias("mean"))).select("token", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select(query_id, F.explode(bm25_tokens(F.col(text))).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("qtf"))
     terms = written(asked.join(weight, "token"), "terms")  # queries are few: their words, not the corpus's, decide what is joined
-    matched = postings.join(terms.select("token").distinct(), "token", "left_semi").repartition(chunk_id)
-    joined = matched.crossJoin(whole.select("mean_length")).join(terms, "token")
+    found = words.select(chunk_id, F.size("words").alias("length"), F.explode("words").alias("token")).join(terms.select("token").distinct(), "token", "left_semi")
+    counted = found.repartition(chunk_id).groupBy(chunk_id, "length", "token").agg(F.count("*").alias("tf"))
+    joined = counted.crossJoin(whole.select("mean_length")).join(terms, "token")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = joined.groupBy(query_id, chunk_id).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return top_per(scored, [query_id], [F.desc("score"), F.col(chunk_id)], k, "rank")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lodestone.functions import text as X
 from lodestone.operators import relational as R
 from lodestone.plans.registry import Registry, Tables
 
@@ -26,14 +27,18 @@ def io3_json_source(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
 
 
-@add("""SELECT doc_id, CAST(length(text) AS BIGINT) AS n, CASE WHEN starts_with(trim(text), '{') THEN 'json' ELSE NULL END AS kind FROM documents""")
+@add("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN CAST(len(l) AS BIGINT) ELSE -1 END AS n, CASE WHEN doc_id % 6 < 4 THEN l[1] END AS head FROM l""")
 def io4_reply_parse(t: Tables) -> DataFrame:
-    """A model's reply, fenced in a code block, is parsed again; what isn't JSON gives null."""
-    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.struct(F.length("text").alias("n")).alias("result"))), F.lit("\n```"))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(reply, r"^```(?:json)?\s*", ""), r"\s*```$", ""))
-    n = F.try_variant_get(F.try_parse_json(bare), "$.result.n", "bigint")
-    kind = F.when(F.try_parse_json("text").isNotNull() & F.startswith(F.trim("text"), F.lit("{")), "json")
-    return t.documents.select("doc_id", n.alias("n"), kind.alias("kind"))
+    """Lines of texts as replies of six shapes: bare, under a key, fenced, under a later key than one without a list, without a list, cut off."""
+    items = F.to_json(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("title"))))
+    under = lambda before, after: F.concat(F.lit(before), items, F.lit(after))
+    shapes = F.array(
+        items, under('{"slides": ', "}"), under("```json\n", "\n```"), under('{"result": {"n": 1}, "data": ', "}"), F.lit('{"result": {"n": 1}}'), under('{"slides": ', ""),
+    )
+    found = t.documents.select("doc_id", X.reply_items(shapes[(F.col("doc_id") % 6).cast("int")]).alias("found"))
+    n = F.when(F.col("found").isNotNull(), F.size("found").cast("bigint")).otherwise(-1)
+    return found.select("doc_id", n.alias("n"), F.try_variant_get(F.get("found", F.lit(0)), "$.title", "string").alias("head"))
 
 
 @add("""WITH existing AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1),
@@ -414,9 +419,15 @@ def a25_audio_manifest(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("tracks"), F.count_if(~F.col("l_quantity").between(35, 55)).alias("off_target"))
 
 
-@add("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+@add("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS m FROM events)
+SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, max(value) FILTER (k = m // 2 + 1) AS p50, max(value) FILTER (k = m * 95 // 100 + 1) AS p95 FROM r GROUP BY 1""")
 def a26_phase_telemetry(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    """Percentiles by index, ranked in ranges: a type may hold any share of the events."""
+    ranked = R.numbered_in_ranges(t.events.select("event_type", "value", "event_id"), ["event_type"], [F.col("value"), F.col("event_id")], "k", "m")
+    at = lambda p: F.max(F.when(F.col("k") == F.floor(F.col("m") * p / 100) + 1, F.col("value")))
+    return ranked.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), at(50).alias("p50"), at(95).alias("p95"),
+    )
 
 
 @add("SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events")

@@ -196,10 +196,17 @@ def c6_duplicate_documents(t: Tables) -> DataFrame:
     return owned.groupBy("source").agg(F.count_if(own).alias("inserted"), F.count_if(~own).alias("deduped"), F.min(F.when(~own, F.col("owner"))).alias("alias_of"))
 
 
-@add(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
-SELECT doc_id, CAST(i % 3 AS INTEGER) AS batch, string_agg(body, chr(10) ORDER BY i) AS body FROM p GROUP BY 1, 2""")
+@add(r"""WITH v AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(10) || 'Art.') WHEN 1 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS text FROM documents),
+c AS (SELECT *, list_filter(string_split(text, chr(10) || 'Art.'), lambda x: trim(x) <> '') AS a, list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x) <> '') AS b, greatest(1, length(text) // 3) AS size FROM v),
+p AS (SELECT doc_id, text, CASE WHEN len(a) >= 3 THEN a WHEN len(b) >= 3 THEN b ELSE list_transform(range(0, length(text), size), lambda i: substr(text, i + 1, size)) END AS parts FROM c),
+e AS (SELECT *, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS i FROM p), k AS (SELECT doc_id, text, unnest([0, 1, 2]) AS batch FROM p)
+SELECT k.doc_id, CAST(batch AS INTEGER) AS batch, coalesce(CASE WHEN contains(k.text, 'Art.') THEN string_agg(part, E'\n\nArt.' ORDER BY i) ELSE string_agg(part, E'\n\n' ORDER BY i) END, '') AS body
+FROM k LEFT JOIN e ON e.doc_id = k.doc_id AND i % 3 = batch GROUP BY k.doc_id, batch, k.text""")
 def c7_cyclic_partition(t: Tables) -> DataFrame:
-    return C.cyclic_batches(t.documents.select("doc_id", "text"), "doc_id", "text", 3, "\n")
+    """Texts with articles, with blank lines and with neither, in turn."""
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, F.replace("text", F.lit("\n"), F.lit("\nArt."))).when(k == 1, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    return C.cyclic_batches(t.documents.select("doc_id", text.alias("text")), "doc_id", "text", 3)
 
 
 @add()
@@ -216,9 +223,8 @@ def c4_hybrid_chunks(t: Tables) -> DataFrame:
 def a22_coverage_ratio(t: Tables) -> DataFrame:
     """Normalized characters of a document's chunks against those of the document."""
     docs = articles(t)
-    chunks = C.structured_chunks(docs, "id", "text").groupBy("id").agg(F.sum(F.length(X.covered_form(F.col("body")))).alias("got"))
-    whole = docs.select("id", F.length(X.covered_form(F.col("text"))).alias("n"))
-    return whole.join(chunks, "id", "left").select("id", F.round(F.coalesce("got", F.lit(0)) / F.greatest("n", F.lit(1)), 6).alias("coverage"))
+    covered = C.coverage(docs, "id", "text", C.structured_chunks(docs, "id", "text"))
+    return covered.select("id", F.round("coverage", 6).alias("coverage"))
 
 
 @add()

@@ -77,6 +77,59 @@ def test_rebalancing_moves_the_least_certain(spark):
     assert got == {"c0": 1, "c1": 1, "c2": 0, "c3": 0, "c4": 0, "p": 0}
 
 
+def test_rebalancing_takes_from_all_donors_and_then_from_the_overfull(spark):
+    schema = "course_id int, chunk_id string, module_index int, margin double, pinned boolean"
+    rows = [(1, f"a{k}", 0, 0.05 + k / 1000, False) for k in range(8)] + [(1, f"b{k}", 1, 0.01 + k / 1000, False) for k in range(6)] + [(1, "z", 2, 0.0, False)]
+    df = spark.createDataFrame(rows, schema).withColumn("all_modules", F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)))
+    before = {(x[1], x[2]) for x in rows}
+    moved = lambda got: {r["chunk_id"]: r["module_index"] for r in got.collect() if (r["chunk_id"], r["module_index"]) not in before}
+    # Module 1 has the least margins and gives while it has over five, though module 0 is fuller; then module 0 does, until it has five.
+    assert moved(A.rebalance(df, 3, 80)) == {"b0": 3, "a0": 2, "a1": 3, "a2": 2}
+    assert moved(A.rebalance(df, 0, 6)) == {"a0": 3, "a1": 2}
+    # By count alone the fullest gives its last passage.
+    assert moved(A.rebalance(df, 3, 80, by_margin=False)) == {"a7": 3, "a6": 2, "a5": 3, "b5": 2}
+
+
+def test_ranks_in_ranges_with_a_hot_key_nulls_and_ties(spark):
+    rows = [(None if k % 7 == 0 else "hot" if k % 3 else "b", k % 5, k) for k in range(500)]
+    df = spark.createDataFrame(rows, "key string, v int, id int")
+    got = {r["id"]: (r["n"], r["total"]) for r in R.numbered_in_ranges(df, ["key"], [F.desc("v"), F.col("id")], "n", "total").collect()}
+    for key in (None, "hot", "b"):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in own] == [(k + 1, len(own)) for k in range(len(own))]
+    quarter = {r["key"]: r["q"] for r in R.quantile_in_ranges(df, ["key"], "v", "id", 0.25, "q").collect()}
+    assert quarter == {k: sorted(r[1] for r in rows if r[0] == k)[int(sum(r[0] == k for r in rows) * 0.25)] for k in quarter} and len(quarter) == 3
+    assert R.numbered_in_ranges(df.limit(0), ["key"], [F.col("id")], "n").count() == 0
+
+
+def test_uncovered_paragraphs_are_numbered_and_overlap(spark):
+    body = ["Art. 1. " + "t" * 60 + ".", "Primo paragrafo di " + "a" * 60 + ". Frase piena. Coda", "short", "Secondo di " + "b" * 200 + ". Fine."]
+    df = spark.createDataFrame([(1, "\n\n".join(body[1:])), (2, body[0]), (3, ""), (4, None)], "id int, text string")
+    got = sorted(tuple(r) for r in C.hybrid_chunks(df, "id", "text").collect())
+    assert got == [(1, None, None, "Paragrafo 1", body[1]), (1, None, None, "Paragrafo 2", "Frase piena. " + body[3]), (2, "Art. 1", None, "Art. 1", "t" * 60 + ".")]
+
+
+def test_partition_of_texts(spark):
+    texts = ["x\nArt. 1 a\nArt. 2 b\nArt. 3 c", "a\n\nb\n\n \n\nc", "abcdefgh", "", "Art. ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {(r["id"], r["batch"]): r["body"] for r in C.cyclic_batches(df, "id", "text", 3).collect()}
+    want = [["x\n\nArt. 3 c", " 1 a", " 2 b"], ["a", "b", "c"], ["ab\n\ngh", "cd", "ef"], ["", "", ""], ["Ar\n\nArt.b", "t.", " a"]]
+    assert got == {(k, b): body for k, parts in enumerate(want) for b, body in enumerate(parts)}
+    assert [r["body"] for r in C.cyclic_batches(df, "id", "text", 1).orderBy("id").collect()] == texts
+
+
+def test_lists_of_replies(spark):
+    from lodestone.functions import text as T
+
+    shapes = {
+        "[1, 2]": 2, '{"slides": [1], "data": [1, 2]}': 1, '{"items": {"a": 1}, "result": [1, 2, 3]}': 3, "```json\n[1]\n```": 1, "```\n{\"data\": []}\n``` bye": 0,
+        "[1, 2": None, "text": None, '{"other": [1]}': None, "3": None, "": None,
+    }
+    df = spark.createDataFrame([(k,) for k in shapes], "t string")
+    got = {r["t"]: r["n"] for r in df.select("t", F.size(T.reply_items(F.col("t"))).alias("n"), T.reply_items(F.col("t")).isNull().alias("none")).select("t", F.when(~F.col("none"), F.col("n")).alias("n")).collect()}
+    assert got == shapes
+
+
 def test_batches_and_caps(spark):
     df = spark.createDataFrame([("g", k, "x" * n) for k, n in enumerate([36, 36, 4, 400, 4])], "g string, k int, t string")
     assert [r["batch"] for r in A.greedy_batches(df, "g", "k", "t", tokens=20).orderBy("k").collect()] == [0, 0, 1, 2, 3]
@@ -129,6 +182,8 @@ def test_edits(spark):
 def test_graph(spark):
     df = spark.createDataFrame([(1, "T"), (2, "T > C"), (3, "T > X > Y"), (4, "T > C"), (5, "Z")], "chunk_id int, hierarchy_path string")
     assert {tuple(r) for r in G.parent_edges(df).collect()} == {(2, 1), (4, 1), (3, 1)} and [tuple(r) for r in G.sibling_edges(df).collect()] == [(2, 4)]
+    assert sorted(map(tuple, G.sibling_classes(df).collect())) == [(1, 1, 0), (2, 2, 1), (3, 3, 0), (4, 2, 1), (5, 5, 0)]
+    assert {tuple(r) for r in G.links_by_source(df).where("n > 0").collect()} == {(2, 1)}
 
 
 def test_relational_blocks(spark):
