@@ -1,7 +1,7 @@
 """Pacing of courses and allocation of passages to modules.
 
-What depends on the order of steps (quota pins, rebalancing, greedy batches, reuse caps) runs per course in pandas: a course has at most a few
-hundred passages.
+What depends on the order of steps (quota pins, rebalancing, greedy batches, reuse caps) runs per course in pandas, so a course's ids and numbers
+(not its texts) have to fit in a task.
 """
 
 from __future__ import annotations

@@ -320,8 +320,8 @@ def a9_chips(t: Tables) -> DataFrame:
 @add("""SELECT 'lang' AS facet, lang AS value, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, CAST(count(*) AS BIGINT) FROM documents GROUP BY source""")
 def a10_facets(t: Tables) -> DataFrame:
     """Counts of each facet by one pass over grouping sets."""
-    t.documents.select("lang", "source").createOrReplaceTempView("_facets")
-    counted = t.spark.sql("SELECT lang, source, grouping(lang) AS g, count(*) AS n FROM _facets GROUP BY GROUPING SETS ((lang), (source))")
+    facets = t.documents.select("lang", "source")
+    counted = facets.groupingSets([["lang"], ["source"]], "lang", "source").agg(F.grouping("lang").alias("g"), F.count("*").alias("n"))
     return counted.select(F.when(F.col("g") == 0, "lang").otherwise("source").alias("facet"), F.when(F.col("g") == 0, F.col("lang")).otherwise(F.col("source")).alias("value"), "n")
 
 
