@@ -109,6 +109,14 @@ def test_uncovered_paragraphs_are_numbered_and_overlap(spark):
     assert got == [(1, None, None, "Paragrafo 1", body[1]), (1, None, None, "Paragrafo 2", "Frase piena. " + body[3]), (2, "Art. 1", None, "Art. 1", "t" * 60 + ".")]
 
 
+def test_coverage_is_of_the_joined_chunks(spark):
+    text = "— 3 — Art. 1. 1. " + "a" * 20 + ". 2. " + "b" * 20 + ".   x"
+    df = spark.createDataFrame([(1, text), (2, "no article"), (3, "")], "id int, text string")
+    got = {r["id"]: r["coverage"] for r in C.coverage(df, "id", "text", C.structured_chunks(df, "id", "text")).collect()}
+    # Chunks: twenty letters and a full stop; the same and " x". Joined by a blank; the text loses its page number and spare blanks.
+    assert got == {1: pytest.approx((21 + 1 + 23) / len("Art. 1. 1. " + "a" * 20 + ". 2. " + "b" * 20 + ". x")), 2: 0.0, 3: 0.0}
+
+
 def test_partition_of_texts(spark):
     texts = ["x\nArt. 1 a\nArt. 2 b\nArt. 3 c", "a\n\nb\n\n \n\nc", "abcdefgh", "", "Art. ab"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
