@@ -216,14 +216,15 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of nodes that have edges (a, b): stars grow larger and smaller by turns until they stand still."""
+    """(node, root) of nodes that have edges (a, b): stars grow larger and smaller by turns until every component is one star."""
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Whether every a has one edge and is no b: as b < a, each b is then its component's least node."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 and n > 1").count()
 
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before, now = None, state(edges)
-    while now[0] and before != now:
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
@@ -231,7 +232,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = written(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
-        before, now = now, state(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -259,7 +259,7 @@ def _apart(similarity: float, size_a, size_b, bits_a, bits_b) -> np.ndarray:
 
 
 def _near_pairs(most: int, nearest: bool, similarity: float):
-    """Pairs of a bucket's classes that differ in at most ``most`` bits, lie in different components and can be similar: of each
+    """Pairs (a, b, bits apart, root of a, root of b) of a bucket's classes that differ in at most ``most`` bits, lie in different components and can be similar: of each
     class the nearest by sketch of the smaller ones, or all. Nodes of the trie are compared whole: under a wide budget none is pruned before it is small."""
 
     def compare(rows: np.ndarray, sketch: np.ndarray, out: list) -> None:
@@ -278,15 +278,15 @@ def _near_pairs(most: int, nearest: bool, similarity: float):
                 rank = np.lexsort((node[y], d, x))
                 first = rank[np.concatenate([[True], x[rank][1:] != x[rank][:-1]])]
                 x, y, d = x[first], y[first], d[first]
-            out.append((node[at + x], node[y], d))
+            out.append((node[at + x], node[y], d, root[at + x], root[y]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
             cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            out: list = [(np.zeros(0, np.int64),) * 3]
+            out: list = [(np.zeros(0, np.int64),) * 5]
             for s, e in zip(np.append(0, cuts), np.append(cuts, len(rows)), strict=True):
                 compare(rows[s:e], sketch[s:e], out)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "d", "root_a", "root_b"])
 
         rows, sketch = np.zeros((0, 7), np.int64), np.zeros((0, SKETCH // 64), np.uint64)
         for batch in batches:
@@ -305,7 +305,7 @@ def _near_pairs(most: int, nearest: bool, similarity: float):
 
 
 def near_pairs(classes: DataFrame, most: int, nearest: bool, similarity: float) -> DataFrame:
-    """(a, b) of ``classes`` (class, fp, size, bits, keys, root) that share a key: see ``_near_pairs``; if ``nearest``, one b of each a."""
+    """(a, b, root_a, root_b) of ``classes`` (class, fp, size, bits, keys, root) that share a key: see ``_near_pairs``; if ``nearest``, one b of each a."""
     dealt = classes.select("class", "root", F.explode("keys").alias("key"))
     met = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
     chunks = F.ceil(F.col("n") / NEAR_CHUNK)
@@ -314,14 +314,14 @@ def near_pairs(classes: DataFrame, most: int, nearest: bool, similarity: float)
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     keys = ["key", "i", "j"]
     keyed = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "class", "root", "size", "bits")
-    found = keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_near_pairs(most, nearest, similarity), "a bigint, b bigint, d bigint")
+    found = keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_near_pairs(most, nearest, similarity), "a bigint, b bigint, d bigint, root_a bigint, root_b bigint")
     if nearest:
-        return found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b")
-    return found.select("a", "b").distinct()
+        return found.groupBy("a").agg(F.min(F.struct("d", "b", "root_a", "root_b")).alias("x")).select("a", "x.b", "x.root_a", "x.root_b")
+    return found.select("a", "b", "root_a", "root_b").distinct()
 
 
 def _alike(shingle: int, similarity: float):
-    """Of rows (a, b, text of a, text of b) the (a, b) whose shingle sets have that Jaccard similarity."""
+    """Of rows (a, b, x, y) the (a, b) for whose texts x and y the shingle sets have that Jaccard similarity."""
 
     def shingles(text: str | None) -> set:
         words = (text or "").encode().lower().split()
@@ -343,11 +343,12 @@ def similar_classes(prints: DataFrame, text_col: str, shingle: int, most: int, s
     """(class, root): components of texts that differ in at most ``most`` bits and are as similar, of rows with fingerprints.
 
     The nearest pairs are compared first, and the nearest that these links don't connect; whatever isn't connected then is compared pair by
-    pair, so the components are those of all pairs, while a group of copies costs a pair or two a copy.
+    pair, so the components are those of all pairs, while a group of copies costs a pair or two a copy. A link joins the roots that its
+    texts have by then, so that each step merges only what the one before left apart.
     """
     names = ("fp", "size", "bits", "keys")
     classes = written(prints.groupBy(F.col("_s_class").alias("class")).agg(*(F.first(f"_s_{c}").alias(c) for c in names)), "classes")
-    rooted, links = classes.withColumn("root", F.col("class")), None
+    rooted = classes.withColumn("root", F.col("class"))
     for nearest in (True, True, False):
         pairs = written(near_pairs(rooted, most, nearest, similarity), "pairs")
         paired = pairs.select(F.col("a").alias("_s_class")).union(pairs.select("b")).distinct()
@@ -355,11 +356,10 @@ def similar_classes(prints: DataFrame, text_col: str, shingle: int, most: int, s
         texts = written(texts, "texts")
         left = texts.select(F.col("_s_class").alias("a"), F.col("text").alias("x"))
         right = texts.select(F.col("_s_class").alias("b"), F.col("text").alias("y"))
-        read = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+        read = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("root_a", "root_b", "x", "y")
         alike = written(read.mapInArrow(_alike(shingle, similarity), "a bigint, b bigint"), "alike")
-        links = alike if links is None else links.unionByName(alike)
-        known = components(links)
-        rooted = classes.join(written(known, "known"), F.col("class") == F.col("node"), "left").select("class", *names, F.coalesce("root", "class").alias("root"))
+        merged = components(alike).select(F.col("root").alias("top"), F.col("node").alias("root"))
+        rooted = rooted.join(merged, "root", "left").select("class", *names, F.coalesce("top", "root").alias("root"))
     return rooted.select("class", "root")
 
 
