@@ -138,6 +138,17 @@ def test_dense_fingerprints(spark, monkeypatch, chunk):
     assert len({(mine[v], roots[v]) for v in signed}) == len(set(roots.values()))
 
 
+@pytest.mark.parametrize("edges", [[], [(5, 1), (9, 1), (7, 7)], [(k + 1, k) for k in range(9)], [(1, 9), (9, 4), (4, 1), (8, 3), (3, 8)]])
+def test_components_are_stars_of_least_nodes(spark, edges):
+    """No edges, stars that need no merging, a chain, a cycle beside a repeated edge, against merging edge by edge."""
+    root = {v: v for e in edges for v in e}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {v: low if r == high else r for v, r in root.items()}
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((v, r) for v, r in root.items() if v != r)
+
+
 def test_one_of_each_keeps_columns(spark):
     rows = [(1, "a b c d e f", "k"), (2, "a b c d e f", "m"), (3, None, "n"), (4, "", "o"), (None, "x y z u v", "p"), (5, "q r s t u", "q"), (5, "q r s t u", "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string, root string")
