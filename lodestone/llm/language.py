@@ -14,13 +14,12 @@ of the smaller name; texts and words of any length are scored whole; an empty ta
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.sources.scratch import written
@@ -30,11 +29,11 @@ ALPHA = 0.1  # added to each piece's expected count
 CELLS = 80_000  # words whose cuts are summed at once, times their languages
 HELD = 1_200_000  # scores of words that a worker keeps
 UND = "und"
-LETTERS = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
+ROWS = 2048  # texts that are split into words at once
 
 
 class Vocabulary:
-    """Byte strings of the pieces of a vocabulary file, each once, and all single bytes."""
+    """Byte strings of the pieces of a vocabulary file, each once, and all single bytes; and the tree of their beginnings."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -42,8 +41,17 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         texts = (model.id_to_piece(k).replace("▁", " ") for k in range(model.get_piece_size()) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k)))
         self.of = {b: k for k, b in enumerate(sorted({bytes([b]) for b in range(256)} | {t.encode() for t in texts if t}))}
-        self.longest = max(map(len, self.of))
         self.lengths = np.array([len(b) for b in self.of], np.int64)
+        # Nodes with others below them come first, as only they have a row of the table: node and byte (256 behind a word) to node, -1 if none.
+        inner = dict.fromkeys(b[:k] for b in self.of for k in range(len(b)))
+        node = {b: k for k, b in enumerate([*inner, *(b for b in self.of if b not in inner)])}
+        self.inner = len(inner)
+        self.below = np.full((self.inner, 257), -1, np.int32)
+        self.piece = np.full(len(node), -1, np.int32)
+        for b, k in node.items():
+            self.piece[k] = self.of.get(b, -1)
+            if b:
+                self.below[node[b[:-1]], b[-1]] = k
 
 
 @cache
@@ -60,26 +68,26 @@ class Lattice:
         self.first = np.cumsum(sizes + 1) - sizes - 1  # the place before each word
         self.last = self.first + sizes
         self.places = int((sizes + 1).sum())
-        word, start, end, piece = [], [], [], []
-        of, longest = known.of, known.longest
-        for k, r in enumerate(raw):
-            n = len(r)
-            for s in range(n):
-                for e in range(s + 1, min(n, s + longest) + 1):
-                    found = of.get(r[s:e])
-                    if found is not None:
-                        word.append(k)
-                        start.append(s)
-                        end.append(e)
-                        piece.append(found)
-        word, start, end, piece = (np.array(x, np.int64) for x in (word, start, end, piece))
-        order = np.lexsort((word, end))
-        self.word, self.piece = word[order], piece[order]
-        self.start, self.end = (self.first[self.word] + x[order] for x in (start, end))
-        # Edges that end equally far from their word's beginning are summed together; and the other way round for the backward sums.
-        self.steps = self._steps(end[order], self.end)
-        self.back = np.lexsort((self.start, -start[order]))
-        self.back_steps = self._steps(-start[order][self.back], self.start[self.back])
+        data = np.full(self.places, 256, np.int16)
+        word_of = np.repeat(np.arange(len(raw)), sizes + 1)
+        inside = np.ones(self.places, bool)
+        inside[self.last] = False
+        data[inside] = np.frombuffer(b"".join(raw), np.uint8)
+        found, at, node, length = [], np.arange(self.places), np.zeros(self.places, np.int64), 0
+        while len(at):  # from every place down the tree, byte by byte
+            node = known.below[node, data[at + length]].astype(np.int64)
+            at, node, length = at[node >= 0], node[node >= 0], length + 1
+            piece = known.piece[node]
+            found.append((at[piece >= 0], piece[piece >= 0].astype(np.int64), length))
+            at, node = at[node < known.inner], node[node < known.inner]
+        start, piece = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        end = start + np.repeat([f[2] for f in found], [len(f[0]) for f in found]).astype(np.int64)
+        word = word_of[start]
+        level = end - self.first[word]
+        order = np.argsort(level * self.places + end)
+        self.word, self.piece, self.start, self.end = word[order], piece[order], start[order], end[order]
+        # Edges that end equally far from their word's beginning are summed together.
+        self.steps = self._steps(level[order], self.end)
 
     @staticmethod
     def _steps(level: np.ndarray, place: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
@@ -105,8 +113,10 @@ class Lattice:
         return total
 
     def backward(self, weight: np.ndarray) -> np.ndarray:
-        total, start, end, weight = np.zeros((self.places, weight.shape[1])), self.start[self.back], self.end[self.back], weight[self.back]
-        for a, b, at in self.back_steps:
+        level = self.first[self.word] - self.start
+        order = np.argsort(level * self.places + self.start)
+        total, start, end, weight = np.zeros((self.places, weight.shape[1])), self.start[order], self.end[order], weight[order]
+        for a, b, at in self._steps(level[order], start):
             total[start[a:b][at]] = self._sum(total[end[a:b]] + weight[a:b], at)
         return total
 
@@ -121,8 +131,22 @@ class Lattice:
         return np.exp(ahead[self.start, 0] + weight[:, 0] + behind[self.end, 0] - ahead[self.last[self.word], 0])
 
 
-def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of some texts; the words of all texts, by their places among these; and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    told = parts.flatten().dictionary_encode()  # what stands between blanks is cut into words once
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(told.dictionary, r"[^\p{L}\p{M}]+", " "))
+    words = lists.flatten()
+    real = pc.match_substring_regex(words, r"\p{L}")
+    of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[real.to_numpy(zero_copy_only=False)]
+    words = words.filter(real).dictionary_encode()
+    held = np.bincount(of, minlength=len(lists))
+    part = told.indices.to_numpy()
+    n = held[part]
+    ends = np.cumsum(n)
+    at = np.arange(n.sum()) + np.repeat((np.cumsum(held) - held)[part] - (ends - n), n)
+    per_text = np.diff(np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
+    return words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)[at], per_text
 
 
 def held_out(id_col: str = "doc_id"):
@@ -130,16 +154,15 @@ def held_out(id_col: str = "doc_id"):
 
 
 def word_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, word, n) of the documents that may be learnt from; each batch hands on a row a word."""
+    """(lang, word, n) of the documents that may be learnt from; some texts at once hand on a row a word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, Counter] = defaultdict(Counter)
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[lang].update(words_of(text))
-            rows = [(lang, w, n) for lang, words in seen.items() for w, n in words.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["lang", "word", "n"])
+            for lang in pc.unique(batch.column(0)):
+                texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
+                for at in range(0, len(texts), ROWS):
+                    words, place, _ = words_of(texts.slice(at, ROWS))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(np.bincount(place, minlength=len(words)))], ["lang", "word", "n"])
 
     usable = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     parts = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, word string, n long")
@@ -203,15 +226,13 @@ class Scorer:
         self.table = np.concatenate(parts)
         return self.table[[self.place[w] for w in words]]
 
-    def texts(self, texts: list[str | None]) -> np.ndarray:
-        """The logarithm of each text's probability in each language; no row's words are left out."""
-        listed = [words_of(t) for t in texts]
-        distinct = list(dict.fromkeys(w for words in listed for w in words))
-        scored, place = self.words(distinct), {w: k for k, w in enumerate(distinct)}
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        """The logarithm of each text's probability in each language, NaN where it has no word."""
+        words, place, counts = words_of(texts)
         out = np.full((len(texts), len(self.logs)), np.nan)
-        for k, words in enumerate(listed):
-            if words:
-                out[k] = scored[[place[w] for w in words]].sum(axis=0)
+        some = np.flatnonzero(counts)
+        if len(some):
+            out[some] = np.add.reduceat(self.words(words)[place], (np.cumsum(counts) - counts)[some])
         return out
 
 
@@ -222,11 +243,11 @@ def score(df: DataFrame, path: str, langs: list[str], logs: np.ndarray, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(vocabulary(path), shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 names, shares = [UND] * part.num_rows, np.zeros(part.num_rows)
                 if langs:
-                    found = scorer.texts(part.column(2).to_pylist())
+                    found = scorer.texts(part.column(2))
                     for k in np.flatnonzero(~np.isnan(found[:, 0])).tolist():
                         best = int(np.argmax(found[k]))
                         names[k], shares[k] = langs[best], 1 / np.exp(found[k] - found[k, best]).sum()

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -13,6 +14,18 @@ from lodestone.llm import language as lg
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def listed(text):
+    """The words of a text, each time they stand in it."""
+    words, place, counts = lg.words_of(pa.array([text], pa.string()))
+    assert counts.tolist() == [len(place)]
+    return [words[k] for k in place]
+
+
+def test_words():
+    assert listed("Ab, cd-EF 12x \u00c9t\u00e9 e\u0301a \u0301 \u4e2d\u6587 \u00bd _y_") == ["ab", "cd", "ef", "x", "\u00e9t\u00e9", "e\u0301a", "\u4e2d\u6587", "y"]
+    assert listed(None) == listed("") == listed("1 2 !") == []
+
+
 def cuts(word, known):
     """All ways to cut the bytes of a word into pieces."""
     raw = f" {word}".encode()
@@ -61,7 +74,7 @@ def brute(rows):
     counts = defaultdict(Counter)
     for i, text, lang in rows:
         if not held(i) and lang is not None and text is not None:
-            counts[lang].update(lg.words_of(text))
+            counts[lang].update(listed(text))
     langs = sorted(x for x in counts if counts[x])
     start = np.array([16.0 ** -min(len(b), 8) for b in known.of])
     p = {x: start / start.sum() for x in langs}
@@ -77,7 +90,7 @@ def brute(rows):
             p[x] = total / total.sum()
     out = []
     for i, text, _ in rows:
-        words = lg.words_of(text)
+        words = listed(text)
         if not words or not langs:
             out.append((i, held(i), "und", 0.0))
             continue
@@ -108,11 +121,11 @@ def test_long_words_and_forgotten_words(monkeypatch):
     logs = np.log(np.full((2, len(known.of)), 1 / len(known.of)))
     scorer = lg.Scorer(known, logs)
     texts = ["ab" * 30_000, "日本語" * 3000, "one two one", "two three"]
-    found = scorer.texts(texts)
+    found = scorer.texts(pa.array(texts))
     assert np.isfinite(found).all() and found[2, 0] == pytest.approx(2 * scorer.words(["one"])[0, 0] + scorer.words(["two"])[0, 0])
     monkeypatch.setattr(lg, "HELD", 2)
     monkeypatch.setattr(lg, "CELLS", 2)
-    assert np.allclose(lg.Scorer(known, logs).texts(texts[2:]), found[2:])
+    assert np.allclose(lg.Scorer(known, logs).texts(pa.array(texts[2:])), found[2:])
 
 
 def test_held_out_documents_are_told(spark):
