@@ -1,15 +1,17 @@
 """Pacing of courses and allocation of passages to modules.
 
-What depends on the order of steps (quota pins, rebalancing, greedy batches, reuse caps) runs per course in pandas, so a course's ids and numbers
-(not its texts) have to fit in a task.
+What depends on the order of steps is brought to a form that doesn't walk them: quota pins and reuse caps are accepted in rounds, rebalancing is matched by
+rank, and greedy batches are linked and followed by doubling. A course or source may hold any share of the rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestone.operators.relational import top_per
+from lodestone.operators.relational import numbered_in_ranges, top_per
+from lodestone.sources.scratch import written
 
 # Shares of slide types, density factors, and the bounds of a module.
 SHARES = {"CONTENT_TEXT": 0.55, "CONTENT_IMAGE": 0.25, "QUIZ": 0.10, "DIAGRAM": 0.05, "CASE_STUDY": 0.03, "RECAP": 0.02}
@@ -64,24 +66,66 @@ def assign_best(scores: DataFrame, margin: float = MARGIN) -> DataFrame:
     return ranked.withColumn("pinned", F.col("margin") >= margin)
 
 
-def quota_dedup(candidates: DataFrame, quota: int = QUOTA, course: str = "course_id") -> DataFrame:
-    """(course, module_index, chunk_id, score): each passage in one module.
+def accepted(edges: DataFrame, keys: list[str], chooser: str, item: str, order: list[Column], takes: int, holds: int) -> DataFrame:
+    """The edges by which choosers, who come one after another, each take their first ``takes`` items of which less than ``holds`` are gone.
 
-    Modules in turn pin their best passages that aren't pinned yet, up to the quota; what is left goes where it scores best.
+    Deferred acceptance in rounds: every chooser asks for its first items, an item keeps the ``holds`` least choosers that ask and turns away
+    all that come after them for good, and who was turned away asks for what comes next, until nobody is turned away. As all items prefer the
+    same choosers, this is what the choosers would get in turn. No group of a key is put together: what a chooser asks for and an item keeps are the first rows of a
+    window, which Spark cuts before it shuffles. A round after the first lowers the bound of some item, to a chooser that really asked, so there are at most as many rounds
+    as choosers that are turned away, plus one; each writes a row for each full item and one for each request.
+    An edge stands once for each (keys, chooser, item); ``order`` has to tell a chooser's items apart; neither keys nor items are null.
     """
+    edges = written(edges, "edges")
+    full = [*keys, item]
+    bound: DataFrame | None = None
+    while True:
+        open_ = edges if bound is None else edges.join(bound, full, "left").where(F.col("_last").isNull() | (F.col(chooser) <= F.col("_last"))).drop("_last")
+        asked = top_per(open_, [*keys, chooser], order, takes)
+        asked = written(asked.withColumn("_place", F.row_number().over(Window.partitionBy(*full).orderBy(chooser))), "asked")
+        if asked.where(F.col("_place") > holds).isEmpty():
+            return asked.drop("_place")
+        closed = asked.where(F.col("_place") == holds).select(*full, F.col(chooser).alias("_last"))
+        # An item that is full stays so: those it keeps can only be replaced by others before them.
+        bound = written(closed if bound is None else closed.unionByName(bound).groupBy(*full).agg(F.min("_last").alias("_last")), "bound")
+
 
-    def allot(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["module_index", "score", "chunk_id"], ascending=[True, False, True])
-        pinned: dict = {}
-        for _, own in rows.groupby("module_index", sort=True):
-            free = own[~own["chunk_id"].isin(pinned)].head(quota)
-            pinned.update(dict.fromkeys(free["chunk_id"], free["module_index"].iloc[0] if len(free) else None))
-        best = rows.sort_values(["score", "module_index"], ascending=[False, True]).drop_duplicates("chunk_id").set_index("chunk_id")["module_index"]
-        home = rows["chunk_id"].map(lambda c: pinned.get(c, best[c]))
-        return rows[rows["module_index"] == home][[course, "module_index", "chunk_id", "score"]]
+def quota_dedup(candidates: DataFrame, quota: int = QUOTA, course: str = "course_id") -> DataFrame:
+    """(course, module_index, chunk_id, score): each passage in one module.
 
-    kinds = dict(candidates.dtypes)
-    return candidates.groupBy(course).applyInPandas(allot, f"{course} {kinds[course]}, module_index int, chunk_id {kinds['chunk_id']}, score double")
+    Modules in turn pin their best passages that aren't pinned yet, up to the quota; what is left goes where it scores best, the
+    first module among equals; a null score counts as 0. A module has a passage once. A quota of 0 pins nothing.
+    """
+    score = F.coalesce("score", F.lit(0.0))
+    best = candidates.groupBy(course, "chunk_id").agg(F.min_by("module_index", F.struct(-score, "module_index")).alias("_best"))
+    homes = best.withColumn("_home", F.col("_best"))
+    if quota > 0:
+        pinned = accepted(candidates.select(course, "chunk_id", "module_index", score.alias("score")), [course], "module_index", "chunk_id", [F.desc("score"), F.col("chunk_id")], quota, 1)
+        pins = pinned.select(course, "chunk_id", F.col("module_index").alias("_pin"))
+        homes = best.join(pins, [course, "chunk_id"], "left").withColumn("_home", F.coalesce("_pin", "_best"))
+    return candidates.join(homes, [course, "chunk_id"]).where(F.col("module_index") == F.col("_home")).select(course, "module_index", "chunk_id", "score")
+
+
+def _evened(rows: DataFrame, modules: DataFrame, least: int, most: int, course: str, steps: int | None, by_margin: bool) -> DataFrame:
+    """One pass: modules of over ``most`` passages give to those of under ``least``, in closed form.
+
+    The k-th passage that is given goes to the k-th place that is taken. Places are taken from the emptiest module on, so they stand in the order
+    of (passages that the module has by then, module). A module gives while it has over ``most``, so its first ones in its own
+    order; of all modules the passages go by margin, or from the fullest module on.
+    """
+    sizes = modules.join(rows.groupBy(course, "module_index").agg(F.count("*").alias("_size")), [course, "module_index"], "left").withColumn("_size", F.coalesce("_size", F.lit(0)))
+    short = sizes.where(F.col("_size") < least).select(course, F.col("module_index").alias("_to"), F.explode(F.sequence("_size", F.lit(least - 1))).alias("_level"))
+    donors = sizes.where(F.col("_size") > most).select(course, "module_index", "_size")
+    own = [F.asc_nulls_last("margin"), F.col("chunk_id")] if by_margin else [F.desc("chunk_id")]
+    offered = rows.join(donors, [course, "module_index"]).where(~F.col("pinned") if by_margin else F.lit(True))
+    placed = numbered_in_ranges(offered.select(course, "module_index", "chunk_id", "margin", "_size"), [course, "module_index"], own, "_k").where(F.col("_k") <= F.col("_size") - most)
+    overall = own if by_margin else [F.desc(F.col("_size") - F.col("_k")), F.col("module_index"), F.col("_k")]
+    if steps is None:
+        given, taken = numbered_in_ranges(placed, [course], overall, "_step"), numbered_in_ranges(short, [course], [F.col("_level"), F.col("_to")], "_step")
+    else:
+        given, taken = top_per(placed, [course], overall, steps, "_step"), top_per(short, [course], [F.col("_level"), F.col("_to")], steps, "_step")
+    moved = given.select(course, "_step", "chunk_id").join(taken.select(course, "_step", "_to"), [course, "_step"]).select(course, "chunk_id", "_to")
+    return rows.join(moved, [course, "chunk_id"], "left").withColumn("module_index", F.coalesce("_to", "module_index")).drop("_to")
 
 
 def rebalance(assigned: DataFrame, least: int, most: int, course: str = "course_id", steps: int = 200, by_margin: bool = True) -> DataFrame:
@@ -89,76 +133,108 @@ def rebalance(assigned: DataFrame, least: int, most: int, course: str = "course_
 
     A step moves a passage to the emptiest module that is short. It comes from modules with over ``least + 2`` passages in the first
     pass, over ``most`` in the second: of all these the passage of the least margin that isn't pinned, within ``steps``; without
-    ``by_margin`` the last one of the fullest module. Ties go to the smaller module and passage. A pass ends early when nothing can move.
+    ``by_margin`` the last one of the fullest module. Ties go to the smaller module and passage. A pass ends early when nothing can move. The
+    steps are not walked: see ``_evened``. A course has a passage once; ``all_modules`` lists all modules of a course.
     """
+    modules = assigned.groupBy(course).agg(F.min("all_modules").alias("m")).select(course, F.explode(F.col("m").cast("array<int>")).alias("module_index"))
+    modules = written(modules, "modules")
+    rows = written(assigned.select(course, "chunk_id", F.col("module_index").cast("int").alias("module_index"), *([] if not by_margin else ["pinned"]), F.col("margin") if "margin" in assigned.columns else F.lit(0.0).alias("margin")), "assigned")
+    bound = steps if by_margin else None
+    once = written(_evened(rows, modules, least, least + 2, course, bound, by_margin), "evened")
+    return _evened(once, modules, most, most, course, bound, by_margin).select(course, "chunk_id", "module_index")
+
+
+BLOCK_ROWS = 16_384  # of a group that are linked in a task, more only if a batch may hold more
+
 
-    def even(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["margin", "chunk_id"] if by_margin else ["chunk_id"]).reset_index(drop=True)
-        home, modules = rows["module_index"].to_numpy().copy(), sorted(rows["all_modules"].iloc[0])
-        sizes = {m: int((home == m).sum()) for m in modules}
-        pinned = rows["pinned"].to_numpy(bool) if by_margin else None
-
-        def move(short: int, full: int) -> bool:
-            takers, givers = [m for m in modules if sizes[m] < short], [m for m in modules if sizes[m] > full]
-            if not takers or not givers:
-                return False
-            if by_margin:
-                free = [k for k in range(len(home)) if not pinned[k] and home[k] in givers][:1]
-            else:
-                fullest = max(givers, key=lambda m: (sizes[m], -m))
-                free = [k for k in range(len(home)) if home[k] == fullest][-1:]
-            for k in free:
-                taker = min(takers, key=lambda m: (sizes[m], m))
-                sizes[home[k]], sizes[taker] = sizes[home[k]] - 1, sizes[taker] + 1
-                home[k] = taker
-            return bool(free)
-
-        for short, full in ((least, least + 2), (most, most)):
-            left = steps if by_margin else len(home) * len(modules)
-            while left and move(short, full):
-                left -= 1
-        return rows.assign(module_index=home)[[course, "chunk_id", "module_index"]]
-
-    kinds = dict(assigned.dtypes)
-    return assigned.groupBy(course).applyInPandas(even, f"{course} {kinds[course]}, chunk_id {kinds['chunk_id']}, module_index int")
+def _linker(tokens: int, docs: int, block: int):
+    """The next batch's start of each row of a block, and where a batch that starts at a row leads to behind the block."""
+
+    def link(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        pos, total = rows.column("pos").to_numpy(), rows.column("sum").to_numpy()
+        own = int((pos < (key[0].as_py() + 1) * block).sum())
+        size = np.diff(total, prepend=total[0] - rows.column("size")[0].as_py())
+        # The first row that no longer fits, within those at hand: they reach as far as a batch can.
+        after = np.searchsorted(total, total[:own] - size[:own] + tokens, "right")
+        after = np.maximum(np.minimum(after, np.arange(own) + docs), np.arange(own) + 1)
+        exits = after.copy()
+        for k in range(own - 1, -1, -1):
+            if exits[k] < own:
+                exits[k] = exits[exits[k]]
+        first = pos[0]
+        return pa.table([rows.column(c).slice(0, own) for c in ("group", "order", "pos")] + [pa.array(first + after), pa.array(first + exits)], ["group", "order", "pos", "after", "exit"])
+
+    return link
+
+
+def _marker(block: int):
+    """Rows of a block with how many batches have started there so far, from where its first one does."""
+
+    def mark(key: tuple, rows: pa.Table, entry: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        pos, after = rows.column("pos").to_numpy(), rows.column("after").to_numpy()
+        starts, k = np.zeros(len(pos), np.int64), int(entry.column("start")[0].as_py() - pos[0]) if entry.num_rows else len(pos)
+        while k < len(pos):
+            starts[k] = 1
+            k = int(after[k] - pos[0])
+        return pa.table([rows.column("group"), rows.column("order"), pa.array(pos // block), pa.array(np.cumsum(starts))], ["group", "order", "block", "started"])
+
+    return mark
 
 
 def greedy_batches(df: DataFrame, group: str, order: str, text: str, tokens: int = BATCH_TOKENS, docs: int = BATCH_DOCS) -> DataFrame:
-    """(group, order, batch): texts in order fill a batch until it would exceed its tokens or documents.
+    """(group, order, batch): texts in order fill a batch until it would exceed its tokens or documents, numbered from 0.
 
-    A text's tokens are estimated as max(1, length // 4 + 1). Only lengths are sent to the groups.
+    A text's tokens are estimated as max(1, length // 4 + 1), a null text's as 1. Where the batch that starts at a row ends is a search in sums of
+    tokens; it is at most ``docs`` rows or ``tokens`` tokens further, so a block of rows and the next one are enough to find it. Following these links leads
+    from a block's row into the next block. Where each block is entered is found by doubling: 1, 2, 4 and more blocks at once. A group may
+    hold any share of the rows: no task holds more than two blocks of it. Groups may be null; ``order`` is unique in its group.
     """
-    sized = df.select(group, order, F.greatest(F.lit(1), F.floor(F.length(text) / 4) + 1).cast("bigint").alias("_t"))
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        out, number, held, n = [], 0, 0, 0
-        for size in rows["_t"]:
-            if n and (held + size > tokens or n >= docs):
-                number, held, n = number + 1, 0, 0
-            held, n = held + size, n + 1
-            out.append(number)
-        return rows[[group, order]].assign(batch=out)
-
+    reach = min(docs, tokens)  # rows of a batch at most
+    block = max(BLOCK_ROWS, reach)
+    size = F.greatest(F.lit(1), F.floor(F.coalesce(F.length(text), F.lit(0)) / 4) + 1).cast("bigint")
+    sized = df.select(F.col(group).alias("group"), F.col(order).alias("order"), F.when(F.col(text).isNull(), F.lit(1)).otherwise(size).cast("bigint").alias("size"))
+    placed = numbered_in_ranges(sized, ["group"], [F.col("order")], "pos", running={"sum": "size"}).withColumn("pos", (F.col("pos") - 1).cast("bigint"))
     kinds = dict(sized.dtypes)
-    return sized.groupBy(group).applyInPandas(cut, f"{group} {kinds[group]}, {order} {kinds[order]}, batch int")
+    # A row goes to its block, and those that a batch of the block before may reach to that one too.
+    home = F.floor(F.col("pos") / block).cast("bigint")
+    twice = placed.withColumn("block", F.explode(F.when((F.col("pos") % block < reach) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))))
+    linked = written(twice.groupBy("block", "group").applyInArrow(_linker(tokens, docs, block), f"group {kinds['group']}, order {kinds['order']}, pos bigint, after bigint, exit bigint"), "linked")
+    # Only rows near a block's beginning can be the first ones where a batch starts.
+    jumps = linked.where(F.col("pos") % block < reach).select("group", "pos", F.col("exit").alias("to"))
+    jumps = written(_within(jumps, jumps), "jumps")
+    starts = written(linked.where("pos = 0").select("group", F.col("pos").alias("start")), "starts")
+    while not jumps.isEmpty():
+        on = starts.select(F.col("group").alias("g"), F.col("start").alias("s"))
+        starts = written(starts.unionByName(on.join(jumps, F.col("g").eqNullSafe(F.col("group")) & (F.col("s") == F.col("pos"))).select("group", F.col("to").alias("start"))), "starts")
+        on = jumps.select(F.col("group").alias("g"), F.col("pos").alias("p"), F.col("to").alias("t"))
+        jumps = written(on.join(jumps, F.col("g").eqNullSafe(F.col("group")) & (F.col("t") == F.col("pos"))).select("group", F.col("p").alias("pos"), "to"), "jumps")
+    rows = linked.select("group", "order", "pos", "after", home.alias("block"))
+    entries = starts.select(F.col("group").alias("g"), "start", F.floor(F.col("start") / block).cast("bigint").alias("b"))
+    marked = written(rows.groupBy("group", "block").cogroup(entries.groupBy("g", "b")).applyInArrow(_marker(block), f"group {kinds['group']}, order {kinds['order']}, block bigint, started bigint"), "marked")
+    counts = marked.groupBy(F.col("group").alias("g"), F.col("block").alias("b")).agg(F.max("started").alias("n"))  # a row a block
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("g", "b", before.alias("before"))
+    numbered = marked.join(offsets, F.col("group").eqNullSafe(F.col("g")) & (F.col("block") == F.col("b")))
+    return numbered.select(F.col("group").alias(group), F.col("order").alias(order), (F.col("started") + F.col("before") - 1).cast("int").alias("batch"))
+
+
+def _within(jumps: DataFrame, rows: DataFrame) -> DataFrame:
+    """Jumps that end at a row that there is: the others leave their group."""
+    there = rows.select(F.col("group").alias("g"), F.col("pos").alias("p"))
+    return jumps.join(there, F.col("group").eqNullSafe(F.col("g")) & (F.col("to") == F.col("p")), "left_semi")
 
 
 def capped_choice(candidates: DataFrame, cap: int, course: str = "course_id") -> DataFrame:
-    """(course, slot, image): slots in turn take their first candidate that is used less than ``cap`` times in the course."""
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        out = []
-        for slot, own in rows.sort_values(["slot", "rank"]).groupby("slot", sort=True):
-            pick = next((i for i in own["image"] if used.get(i, 0) < cap), None)
-            if pick is not None:
-                used[pick] = used.get(pick, 0) + 1
-                out.append((rows[course].iloc[0], slot, pick))
-        return pd.DataFrame(out, columns=[course, "slot", "image"])
-
-    kinds = dict(candidates.dtypes)
-    return candidates.groupBy(course).applyInPandas(choose, f"{course} {kinds[course]}, slot {kinds['slot']}, image {kinds['image']}")
+    """(course, slot, image): slots in turn take their first candidate that is used less than ``cap`` times in the course.
+
+    A slot has an image once; of equal ranks the smaller image comes first. A cap of 0 gives nothing.
+    """
+    if cap <= 0:
+        return candidates.select(course, "slot", "image").limit(0)
+    found = accepted(candidates.select(course, "slot", "image", "rank"), [course], "slot", "image", [F.col("rank"), F.col("image")], 1, cap)
+    return found.select(course, "slot", "image")
 
 
 def voice_share(total: Column, share: Column, voice: Column, voices: Column, quizzes: Column, cases: Column) -> tuple[Column, Column, Column]:

@@ -115,26 +115,32 @@ def renumbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + (first - 1)).cast("int"))
 
 
-def numbered_in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, total: str | None = None) -> DataFrame:
+def numbered_in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, total: str | None = None, running: Mapping[str, str] | None = None) -> DataFrame:
     """Row numbers from 1 within keys, and with ``total`` their counts, where a key may hold any share of the rows.
 
     Rows are dealt to ranges of (keys, order) and numbered there; what a key has in earlier ranges is added. The ranges are
-    written once, as another run may draw other bounds. Keys may be null; ``order`` has to end in a unique column.
+    written once, as another run may draw other bounds. Keys may be null; ``order`` has to end in a unique column. ``running``
+    names further columns, each the sum so far of a column of whole numbers.
     """
+    running = running or {}
     free = next(f"_range{i or ''}" for i in range(len(df.columns) + 1) if f"_range{i or ''}" not in df.columns)
     dealt = written(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(free, F.spark_partition_id()), "ranges")
     same = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    counts = dealt.groupBy(F.col(free).alias("_r"), *same).agg(F.count("*").alias("_n"))  # a row per range and key
+    sums = [F.sum(c).alias(f"_s{i}") for i, c in enumerate(running.values())]
+    counts = dealt.groupBy(F.col(free).alias("_r"), *same).agg(F.count("*").alias("_n"), *sums)  # a row per range and key
     w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
-    before = F.coalesce(F.sum("_n").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_r", *[f"_k{i}" for i in range(len(keys))], before.alias("_before"), F.sum("_n").over(w).alias("_total"))
-    here = dealt.withColumn(name, F.row_number().over(Window.partitionBy(free, *keys).orderBy(*order)))
+    before = lambda c: F.coalesce(F.sum(c).over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    passed = [before(f"_s{i}").alias(f"_p{i}") for i in range(len(running))]
+    offsets = counts.select("_r", *[f"_k{i}" for i in range(len(keys))], before("_n").alias("_before"), F.sum("_n").over(w).alias("_total"), *passed)
+    here = Window.partitionBy(free, *keys).orderBy(*order)
+    so_far = {n: F.sum(c).over(here.rowsBetween(Window.unboundedPreceding, 0)) for n, c in running.items()}
+    placed = dealt.withColumns({name: F.row_number().over(here), **so_far})
     match = F.col(free) == F.col("_r")
     for i, k in enumerate(keys):
-        match &= here[k].eqNullSafe(offsets[f"_k{i}"])
-    joined = here.join(offsets, match)
-    extra = [F.col("_total").alias(total)] if total else []
-    return joined.select(*[here[c] for c in df.columns], (F.col(name) + F.col("_before")).alias(name), *extra)
+        match &= placed[k].eqNullSafe(offsets[f"_k{i}"])
+    joined = placed.join(offsets, match)
+    extra = [(F.col(n) + F.col(f"_p{i}")).alias(n) for i, n in enumerate(running)] + ([F.col("_total").alias(total)] if total else [])
+    return joined.select(*[placed[c] for c in df.columns], (F.col(name) + F.col("_before")).alias(name), *extra)
 
 
 def quantile_in_ranges(df: DataFrame, keys: Sequence[str], value: str, tie: str, part: float, name: str) -> DataFrame:

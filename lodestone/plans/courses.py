@@ -68,24 +68,55 @@ def _candidates(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_suppkey").alias("course_id"), (F.col("l_linenumber") % 4).cast("int").alias("module_index"), F.col("l_partkey").alias("chunk_id")).agg(F.max("l_quantity").alias("score"))
 
 
-@add()
+_CANDIDATES = "cand AS (SELECT l_suppkey AS course_id, CAST(l_linenumber % 4 AS INTEGER) AS module_index, l_partkey AS chunk_id, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def _pass(name: str, begin: str, short: int, full: int, steps: int = 200) -> str:
+    """A step a row: the passage of the least margin that a full module may give goes to the emptiest short one."""
+    sizes = "list_transform([0, 1, 2, 3], lambda m: len(list_filter(homes, lambda h: h.m = m)))"
+    free = f"list_filter(homes, lambda h: NOT h.pinned AND sizes[h.m + 1] > {full})[1]"
+    to = f"list_sort(list_transform(list_filter([0, 1, 2, 3], lambda m: sizes[m + 1] < {short}), lambda m: {{'n': sizes[m + 1], 'm': m}}))[1].m"
+    step = f"SELECT course_id, k, homes, {free} AS f, {to} AS t FROM (SELECT *, {sizes} AS sizes FROM {name}) WHERE k < {steps}"
+    moved = "list_transform(homes, lambda h: CASE WHEN h.c = f.c THEN {'margin': h.margin, 'c': h.c, 'm': CAST(t AS INTEGER), 'pinned': h.pinned} ELSE h END)"
+    return f"{name} AS (SELECT course_id, 0 AS k, homes FROM {begin} UNION ALL SELECT course_id, k + 1, {moved} FROM ({step}) WHERE f IS NOT NULL AND t IS NOT NULL)"
+
+
+@add(f"""WITH RECURSIVE {_CANDIDATES}, o AS (SELECT *, row_number() OVER (PARTITION BY course_id, chunk_id ORDER BY module_index) AS k FROM cand),
+b AS (SELECT course_id, list_sort(list({{'margin': score / 50, 'c': chunk_id, 'm': module_index, 'pinned': score >= 45}})) AS homes FROM o WHERE k = 1 GROUP BY 1),
+{_pass("p", "b", 30, 32)}, q AS (SELECT course_id, arg_max(homes, k) AS homes FROM p GROUP BY 1), {_pass("r", "q", 150, 150)}, z AS (SELECT course_id, unnest(arg_max(homes, k)) AS h FROM r GROUP BY 1)
+SELECT course_id, h.c AS chunk_id, h.m AS module_index FROM z""")
 def al4_rebalanced(t: Tables) -> DataFrame:
     w = _candidates(t).select("course_id", "module_index", "chunk_id", (F.col("score") / 50).alias("margin"), (F.col("score") >= 45).alias("pinned"))
     once = R.top_per(w, ["course_id", "chunk_id"], [F.col("module_index")]).withColumn("all_modules", F.sequence(F.lit(0), F.lit(3)))
     return A.rebalance(once, 30, 150)
 
 
-@add()
+def _pins(m: int) -> str:
+    gone = "".join(f" AND (course_id, chunk_id) NOT IN (SELECT (course_id, chunk_id) FROM p{k})" for k in range(m))
+    return f"p{m} AS (SELECT course_id, chunk_id, module_index FROM cand WHERE module_index = {m}{gone} QUALIFY row_number() OVER (PARTITION BY course_id ORDER BY score DESC, chunk_id) <= {A.QUOTA})"
+
+
+@add(f"""WITH {_CANDIDATES}, {", ".join(map(_pins, range(4)))}, p AS ({" UNION ALL ".join(f"FROM p{m}" for m in range(4))}),
+b AS (SELECT course_id, chunk_id, module_index FROM cand QUALIFY row_number() OVER (PARTITION BY course_id, chunk_id ORDER BY score DESC, module_index) = 1)
+SELECT cand.* FROM cand JOIN b USING (course_id, chunk_id) LEFT JOIN p USING (course_id, chunk_id) WHERE cand.module_index = coalesce(p.module_index, b.module_index)""")
 def r14_quota_dedup(t: Tables) -> DataFrame:
     return A.quota_dedup(_candidates(t))
 
 
-@add()
+@add("""WITH RECURSIVE t AS (SELECT source, doc_id, greatest(1, length(text) // 4 + 1) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT source, doc_id, k, size AS held, 1 AS n, 0 AS batch FROM t WHERE k = 1
+UNION ALL SELECT source, doc_id, k, CASE WHEN fits THEN held + size ELSE size END, CASE WHEN fits THEN n + 1 ELSE 1 END, CASE WHEN fits THEN batch ELSE batch + 1 END
+FROM (SELECT t.source, t.doc_id, t.k, t.size, held, n, batch, held + t.size <= 20000 AND n < 50 AS fits FROM r JOIN t ON t.source = r.source AND t.k = r.k + 1))
+SELECT source, doc_id, CAST(batch AS INTEGER) AS batch FROM r""")
 def io7_greedy_batches(t: Tables) -> DataFrame:
     return A.greedy_batches(t.documents, "source", "doc_id", "text", 20_000, 50)
 
 
-@add()
+@add("""WITH RECURSIVE c AS (SELECT l_suppkey AS course_id, l_orderkey AS slot, l_partkey % 50 AS image, min(l_quantity) AS rank FROM lineitem GROUP BY 1, 2, 3),
+s AS (SELECT course_id, slot, list(image ORDER BY rank, image) AS images, row_number() OVER (PARTITION BY course_id ORDER BY slot) AS k FROM c GROUP BY 1, 2),
+r AS (SELECT course_id, CAST(NULL AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS image, 0 AS k, CAST([] AS BIGINT[]) AS used FROM s WHERE k = 1
+UNION ALL SELECT course_id, slot, image, k, CASE WHEN image IS NULL THEN used ELSE list_append(used, image) END FROM (SELECT s.course_id, s.slot, s.k, r.used, list_filter(s.images, lambda i: len(list_filter(r.used, lambda u: u = i)) < 3)[1] AS image
+FROM r JOIN s ON s.course_id = r.course_id AND s.k = r.k + 1)) SELECT course_id, slot, image FROM r WHERE image IS NOT NULL""")
 def w11_sequential_reuse(t: Tables) -> DataFrame:
     """Slots of a supplier's course choose among parts; none is used more than three times."""
     rows = t.lineitem.groupBy(F.col("l_suppkey").alias("course_id"), F.col("l_orderkey").alias("slot"), (F.col("l_partkey") % 50).alias("image")).agg(F.min("l_quantity").alias("rank"))
