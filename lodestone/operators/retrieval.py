@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.functions.text import bm25_tokens
-from lodestone.operators.relational import majority, quantile_by_index, top_per
+from lodestone.operators.relational import current, majority, quantile_by_index, top_per, valid_at, visible_in
+from lodestone.operators.vector import top_k
 from lodestone.sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -35,6 +36,22 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_i
     return top_per(scored, [query_id], [F.desc("score"), F.col(chunk_id)], k, "rank")
 
 
+def eligible(chunks: DataFrame, as_of: str, region: str, include_expired: bool = False, everywhere: tuple[str, ...] = ("NAZIONALE", "EUROPEA"), flag: str = "is_current", until: str = "effective_until", area: str = "region") -> DataFrame:
+    """Passages that may be found: current, of regulations that are valid on a day, and visible in a region."""
+    return visible_in(valid_at(current(chunks, flag), until, as_of, include_expired), region, area, everywhere)
+
+
+def recall_both(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, embeddings: DataFrame, k: int, pool: int = 200, query_id: str = "query_id", chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
+    """Words and vectors of the same passages, fused: (query_id, chunk_id, score, rank).
+
+    ``chunks`` are the eligible passages. Both branches rank these alone, the statistics of words too, as one that saw more would bring back what the other leaves out. An
+    embedding without its passage isn't ranked; without passages nothing is found.
+    """
+    chunks = written(chunks.select(chunk_id, text), "eligible")
+    dense = top_k(vectors, embeddings.join(chunks.select(chunk_id), chunk_id, "left_semi"), pool, query_id, chunk_id)
+    return fuse([bm25(queries, chunks, pool, query_id, chunk_id, text).select(query_id, chunk_id, "rank"), dense.select(query_id, chunk_id, "rank")], k, query_id, chunk_id)
+
+
 def fuse(rankings: list[DataFrame], k: int, query_id: str = "query_id", chunk_id: str = "chunk_id") -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, chunk_id, rank)."""
     parts = [r.select(query_id, chunk_id, (1 / (F.lit(FUSION) + F.col("rank"))).alias("part")) for r in rankings]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.operators import graph as G, relational as R, retrieval as V
-from lodestone.operators.vector import top_k
+from lodestone.operators.vector import build_index, top_k
 from lodestone.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -61,6 +61,13 @@ def r3_dense(t: Tables) -> DataFrame:
     return top_k(queries, t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
 
 
+@add()
+def r3_indexed(t: Tables) -> DataFrame:
+    """The same by an inverted-file index over all vectors; its recall is measured against the exact form."""
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return build_index(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")).search(queries, 10)
+
+
 _FUSED = f"""{_BM25}, {_POOL}, f AS (SELECT query_id, chunk_id, round(sum(p), 9) AS score FROM (SELECT query_id, chunk_id, 1 / (60 + rank) AS p FROM bm WHERE rank <= 200 UNION ALL SELECT query_id, chunk_id, 1 / (60 + rank) FROM dr WHERE rank <= 200) GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f)"""
 
@@ -81,6 +88,18 @@ def r5_hybrid_recall(t: Tables) -> DataFrame:
     return hybrid(t, 20)
 
 
+_ELIGIBLE = "el AS (SELECT * FROM documents WHERE n_chars >= 200 AND (doc_id % 3 = 0 OR DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER) > DATE '2024-01-15') AND (lang IN ('en', 'fr') OR lang IS NOT DISTINCT FROM 'de'))"
+
+
+@add(f"WITH {_ELIGIBLE}, {_FUSED.replace('FROM documents', 'FROM el').replace('JOIN documents', 'JOIN el')} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 20")
+def r5_eligible_recall(t: Tables) -> DataFrame:
+    """Both branches over current passages of regulations that are valid on a day and visible in a region."""
+    until = F.when(F.col("doc_id") % 3 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")))
+    known = t.documents.select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("region"), (F.col("n_chars") >= 200).alias("is_current"), until.alias("effective_until"))
+    found = V.eligible(known, "2024-01-15", "de", everywhere=("en", "fr"))
+    return V.recall_both(_asked(t), _asked_vectors(t), found, t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), 20)
+
+
 @add(f"WITH {_FUSED} SELECT query_id, chunk_id, round(1 / rank, 9) AS score, CAST(rank AS INTEGER) AS rank, 'rrf_fallback' AS source FROM fr WHERE rank <= 10")
 def r6_fallback_rerank(t: Tables) -> DataFrame:
     return V.fallback_rerank(hybrid(t, 200), 10)
