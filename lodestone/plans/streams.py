@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.plans.registry import Registry, Tables
 from lodestone.sources import files
 from lodestone.sources.scratch import shared_dir
-from lodestone.streaming import metrics as M
+from lodestone.streaming import jobs as J, metrics as M
 
 registry = Registry()
 add = registry.add
@@ -59,6 +59,17 @@ def st7_idle_jobs(t: Tables) -> DataFrame:
     return M.idle(M.latest_state(t.events), "2024-01-30 00:00:00", 1800).select("user_id", "event_type")
 
 
+@add("""WITH u AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS until FROM events), p AS (SELECT user_id, event_id, event_type, ts, lag(event_type) OVER w AS before, row_number() OVER w AS k, coalesce(lead(ts) OVER w, until) AS nxt
+FROM events, u WHERE ts < until WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, 'bad_transition' AS kind, event_id, before, event_type, ts AS at FROM p WHERE k > 1 AND before || '>' || event_type NOT IN ('view>click', 'click>purchase', 'view>view')
+UNION ALL SELECT user_id, 'timeout', event_id, NULL, event_type, ts FROM p WHERE nxt - ts > INTERVAL 6 HOUR AND event_type NOT IN ('completed', 'failed', 'cancelled')""")
+def st8_watched_jobs(t: Tables) -> DataFrame:
+    """A stateful stream with timers, run to its end: bad transitions, and states that last more than six hours."""
+    events = M.timed(M.stream_of(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema), late="1 day")
+    found = M.drained(J.watch(events, {("view", "click"), ("click", "purchase"), ("view", "view")}, 6 * 3600), "append")
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 def _path(t: Tables, name: str) -> str:
     return f"{shared_dir(t.spark)}/lodestone/{t.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 

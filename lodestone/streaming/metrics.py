@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestone.sources.scratch import shared_dir
 
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TERMINAL = ("completed", "failed", "cancelled")
 
 
@@ -60,16 +61,24 @@ def bad_transitions(events: DataFrame, allowed: set[tuple[str, str]], key: str =
     return events.withColumn("before", before).where(F.col("before").isNotNull() & ~pair.isin(*[f"{a}>{b}" for a, b in sorted(allowed)]))
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there, then reads what it has written to the shared folder."""
+def drained(stream: DataFrame, mode: str = "complete", base: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there, then reads what it has written to the shared folder.
+
+    With the ``base`` of an earlier run, the stream goes on from its checkpoint there, and what both have written is read.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")  # a batch that is run again replaces itself
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # state on the executors' disks, which stateful operators with timers need
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
     if mode == "complete":
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
     numbered = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
