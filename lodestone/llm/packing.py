@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -285,16 +284,20 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def _packer(capacity: int, round_: int):
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-        sizes = pdf["length"].to_numpy(np.int64)
-        sequence, offset, filled = (np.zeros(len(pdf), np.int64) for _ in range(3))
-        base = (round_ << 56) | (int(pdf["_p_group"].iloc[0]) << 24)
+    def packed(found: pa.Table) -> pa.Table:
+        # Ids stay in Arrow: beside a null, pandas would turn long ones into doubles.
+        keys = [("length", "descending"), *((c, "ascending") for c in ("id", "piece", "start", "ids_crc32"))]
+        found = found.take(pc.sort_indices(found, sort_keys=keys, null_placement="at_end"))
+        sizes = found.column("length").to_numpy()
+        sequence, offset, filled = (np.zeros(len(sizes), np.int64) for _ in range(3))
+        base = (round_ << 56) | (found.column("_p_group")[0].as_py() << 24)
         for number, b in enumerate(pack(sizes, capacity)):
             at = np.array(b, np.int64)
             ends = np.cumsum(sizes[at])
             sequence[at], offset[at], filled[at] = base + number, ends - sizes[at], ends[-1]
-        return pdf.drop(columns="_p_group").assign(sequence_id=sequence, offset=offset, fill=filled)
+        for name, values in (("sequence_id", sequence), ("offset", offset), ("fill", filled)):
+            found = found.append_column(name, pa.array(values))
+        return found.drop_columns("_p_group")
 
     return packed
 
@@ -305,7 +308,7 @@ def _round(found: DataFrame, capacity: int, round_: int) -> DataFrame:
     kind = found.schema["id"].dataType.simpleString()
     # By a row's place in the written table, so that equal rows are spread as well.
     deal = F.pmod(F.xxhash64(F.lit(round_), F.monotonically_increasing_id()), F.lit(groups))
-    return found.withColumn("_p_group", deal).groupBy("_p_group").applyInPandas(_packer(capacity, round_), PIECES.format(kind) + ", sequence_id long, offset long, fill long")
+    return found.withColumn("_p_group", deal).groupBy("_p_group").applyInArrow(_packer(capacity, round_), PIECES.format(kind) + ", sequence_id long, offset long, fill long")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

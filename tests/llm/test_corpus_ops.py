@@ -503,3 +503,15 @@ def test_token_ids_are_those_of_the_whole_text(monkeypatch):
         for at in (0, 0, 700):
             assert [x.tolist() for x in packing.token_ids(pa.array(values[at:]), encoder)] == want[at:]
         encoder.splits = False
+
+
+def test_packed_ids_beside_a_null(spark):
+    from lodestone.llm.queries import tokenizer_path
+
+    big = 2**53 + 1
+    df = spark.createDataFrame([(None, "one two"), (big, "three four"), (big - 1, "five"), (-(2**63), ""), (None, "one two")], DOCS.replace(", source string", ""))
+    found = packing.pack_documents(df, tokenizer_path()).collect()
+    assert sorted((r["doc_id"] for r in found), key=repr) == sorted([None, None, big, big - 1, -(2**63)], key=repr)
+    assert len({r["sequence_id"] for r in found}) == 1 and sum(r["length"] for r in found) == 5 + sum(max(r["length"] - 1, 0) for r in found)
+    named = spark.createDataFrame([("b", "one"), (None, "two"), ("a", None)], "doc_id string, text string")
+    assert {r["doc_id"] for r in packing.pack_documents(named, tokenizer_path()).collect()} == {"a", "b", None}
