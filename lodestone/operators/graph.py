@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.operators.relational import numbered_in_ranges, top_per
+from lodestone.sources.scratch import written
 
 HOP = 0.7
 
@@ -19,12 +20,6 @@ def parent_edges(chunks: DataFrame, key: str = "chunk_id", path: str = "hierarch
     return nearest.join(chunks.select(F.col(key).alias("dst"), F.col(path).alias("p")), "p").select("src", "dst")
 
 
-def sibling_edges(chunks: DataFrame, key: str = "chunk_id", path: str = "hierarchy_path") -> DataFrame:
-    """(src, dst) of passages of one path, src < dst."""
-    a = chunks.select(F.col(key).alias("src"), path)
-    return a.join(chunks.select(F.col(key).alias("dst"), path), path).where("src < dst").select("src", "dst")
-
-
 def sibling_classes(chunks: DataFrame, key: str = "chunk_id", path: str = "hierarchy_path") -> DataFrame:
     """(key, class_id, n_links): sibling edges without their pairs; a class is a path and named by its least passage."""
     classes = chunks.groupBy(path).agg(F.min(key).alias("class_id"), (F.count("*") - 1).alias("n_links"))
@@ -46,6 +41,41 @@ def shared_reference_gate(pairs: DataFrame, references: DataFrame, least: float
     return both.where((shared > 0) | (jaccard >= least)).select("src", "dst", shared.alias("shared"), F.round(jaccard, 6).alias("jaccard"))
 
 
+def set_classes(sets: DataFrame, key: str = "id", items: str = "refs") -> DataFrame:
+    """(class_id, items, n): equal sets once, named by their least key; null and empty sets are left out."""
+    rows = sets.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.array_compact(F.col(items)))).alias("items"))
+    return rows.where(F.size("items") > 0).groupBy("items").agg(F.min("key").alias("class_id"), F.count("*").alias("n"))
+
+
+def members(sets: DataFrame, key: str = "id", items: str = "refs") -> DataFrame:
+    """(key, class_id) of every set that isn't empty."""
+    rows = sets.select(F.col(key), F.array_sort(F.array_distinct(F.array_compact(F.col(items)))).alias("items"))
+    return rows.join(set_classes(sets, key, items).select("items", "class_id"), "items").select(key, "class_id")
+
+
+def similar_sets(sets: DataFrame, least: float, key: str = "id", items: str = "refs") -> DataFrame:
+    """(src, dst, shared, jaccard), src < dst: all pairs of different sets whose Jaccard similarity is at least ``least`` (over 0), by their classes.
+
+    Items are ordered from the rarest on. Two sets that are similar enough share one of the first ``size - ceil(least * size) + 1``
+    items of each, so only these are joined; the sizes rule out what can't be similar, and a pair is made by its first common item alone. No pair of
+    equal sets is made: :func:`members` tells who is in a class.
+    """
+    classes = written(set_classes(sets, key, items).select("class_id", "items"), "classes")
+    common = written(classes.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df")), "items")
+    ranked = classes.select("class_id", F.explode("items").alias("item")).join(common, "item").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("o"))
+    size = F.size("items")
+    kept = size - F.ceil(F.lit(least) * size - 1e-9).cast("int") + 1
+    ordered = ranked.select("class_id", F.transform("o", lambda x: x["item"]).alias("items"))
+    rows = written(ordered.select("class_id", "items", F.slice("items", 1, kept).alias("prefix")), "prefixes")
+    listed = lambda p: rows.select(F.explode("prefix").alias("item"), *[F.col(c).alias(p + c) for c in ("class_id", "items", "prefix")])
+    a, b = listed("a_"), listed("b_")
+    sizes = F.least(F.size("a_items"), F.size("b_items")) >= F.lit(least) * F.greatest(F.size("a_items"), F.size("b_items")) - 1e-9
+    met = a.join(b, "item").where((F.col("a_class_id") < F.col("b_class_id")) & sizes & (F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("item")))
+    shared = F.size(F.array_intersect("a_items", "b_items"))
+    jaccard = shared / (F.size("a_items") + F.size("b_items") - shared)
+    return met.where(jaccard >= least - 1e-12).select(F.col("a_class_id").alias("src"), F.col("b_class_id").alias("dst"), shared.alias("shared"), F.round(jaccard, 6).alias("jaccard"))
+
+
 def expand(pool: DataFrame, edges: DataFrame, query_id: str = "query_id", chunk_id: str = "chunk_id") -> DataFrame:
     """The pool (query_id, chunk_id, score) and its neighbours, scored by the best path, without those that are in it."""
     reached = pool.join(edges.select(F.col("src").alias(chunk_id), "dst", "weight"), chunk_id)

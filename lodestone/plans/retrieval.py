@@ -229,6 +229,26 @@ def kg4_shared_references(t: Tables) -> DataFrame:
     return G.shared_reference_gate(refs.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), refs)
 
 
+_SETS = "r AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(l_partkey))) AS refs FROM lineitem GROUP BY 1), c AS (SELECT refs, min(id) AS class_id FROM r GROUP BY 1)"
+
+
+def _sets(t: Tables) -> DataFrame:
+    """Orders as passages, their parts as references."""
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("refs"))
+
+
+@add(f"""WITH {_SETS}, i AS (SELECT class_id, len(refs) AS size, unnest(refs) AS ref FROM c), s AS (SELECT a.class_id AS src, b.class_id AS dst, any_value(a.size + b.size) AS sizes, count(*) AS shared FROM i a JOIN i b ON a.ref = b.ref AND a.class_id < b.class_id GROUP BY 1, 2)
+SELECT src, dst, CAST(shared AS INTEGER) AS shared, round(shared / (sizes - shared), 6) AS jaccard FROM s WHERE shared / (sizes - shared) >= 0.15""")
+def kg4_similar_references(t: Tables) -> DataFrame:
+    """All pairs at the gate, between classes of equal references."""
+    return G.similar_sets(_sets(t), 0.15)
+
+
+@add(f"WITH {_SETS} SELECT id, class_id FROM r JOIN c USING (refs)")
+def kg4_reference_classes(t: Tables) -> DataFrame:
+    return G.members(_sets(t))
+
+
 @add(f"""WITH {_PATHS}, e AS (SELECT a.chunk_id AS src, b.chunk_id AS dst, 'sibling' AS kind FROM ch a JOIN ch b ON a.p = b.p AND a.chunk_id < b.chunk_id)
 SELECT kind, CAST(count(*) AS BIGINT) AS proposed, CAST(count(*) FILTER (src % 2 = 1) AS BIGINT) AS added FROM e GROUP BY 1""")
 def kg5_edge_persistence(t: Tables) -> DataFrame:

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from lodestone.operators import telemetry as T
 from lodestone.plans.registry import Registry, Tables
 from lodestone.sources import files
-from lodestone.sources.scratch import shared_dir
+from lodestone.sources.scratch import shared_dir, written
 from lodestone.streaming import jobs as J, metrics as M
 
 registry = Registry()
@@ -103,3 +104,10 @@ def io3_slide_shapes(t: Tables) -> DataFrame:
     k = F.col("event_id") % 4
     raw = F.when(k == 0, f"[{one}, {one}]").when(k == 1, f'[{{"slides": [{one}]}}, {{"slides": [{one}, {one}]}}]').when(k == 2, f'{{"completed_modules": [{{"slides": [{one}]}}]}}').otherwise("none")
     return files.slides_of(t.events.select("event_id", raw.alias("raw")), "raw").select("event_id", F.size("slides").alias("n"))
+
+
+@add()
+def a26_sketched_span(t: Tables) -> DataFrame:
+    """Two weeks of telemetry by type, from a written table of day sketches; quantiles and distinct users within the bounds that the module states."""
+    days = written(T.day_sketches(t.events, "event_type", "ts", "value", "user_id"), "days")
+    return T.span(days, "2024-01-08", "2024-01-21").withColumnRenamed("phase", "event_type")

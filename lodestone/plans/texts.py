@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import chunking as C
+from lodestone.functions import embedding as M
 from lodestone.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -243,3 +244,11 @@ def articles(t: Tables) -> DataFrame:
     lines = F.split("text", "\n")
     body = F.array_join(F.transform(lines, lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("Art. "), (i + 1).cast("string"), F.lit(". 1. "), x, F.lit(" 2. come art. 1, comma 2."))).otherwise(F.concat(F.lit("Allegato II - "), x))), "\n\n")
     return t.documents.select(F.col("doc_id").alias("id"), body.alias("text"))
+
+
+@add("""SELECT doc_id, sha256(text) AS content_hash, array_to_string(list_transform(range(97, 123), lambda c: CAST(length(lower(text)) - length(replace(lower(text), chr(CAST(c AS INTEGER)), '')) AS VARCHAR)), ',') AS counts FROM documents""")
+def io7_embedded_texts(t: Tables) -> DataFrame:
+    """Vectors of all documents, by a stand-in model in batches; equal texts are embedded once."""
+    found, _ = M.embedded(t.documents.select("doc_id", "text"), "letters", M.letters_model)
+    counts = F.transform("embedding", lambda x: x.cast("bigint").cast("string"))
+    return found.select("doc_id", "content_hash", F.array_join(counts, ",").alias("counts"))
