@@ -48,14 +48,65 @@ def pacing(courses: DataFrame, hours: str = "hours", density: str = "density", s
     return rows.withColumn("_content", content).withColumns({"title": title, "slide_count": F.col("_content") + 2, "slide_distribution": split_types(F.col("_content"))}).drop("_total", "_n", "_content")
 
 
+BODY = 500  # characters of a body whose words count
+ENOUGH = 3  # passages a module, below which themes aren't compared
+
+
+def theme_words(text: Column) -> Column:
+    """The distinct words of a text, of letters and digits."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
 def thematic_scores(chunks: DataFrame, modules: DataFrame) -> DataFrame:
-    """(chunk_id, module_index, score): weighted overlaps of a passage's token arrays with a module's words.
+    """(chunk_id, module_index, score, plain): weighted overlaps of a passage's tags, path, article and the beginning of its body with a module's title.
 
-    Modules are a handful; their words are broadcast and meet the passages' by an array overlap.
+    ``plain`` is the number of words that the title and the whole body share. Chunks (chunk_id, tags, path, article, body), modules (module_index, title). Modules
+    are written, so the planner broadcasts them by their true size only.
     """
+    bare = lambda text: F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"))
+    told = written(modules.select("module_index", theme_words(F.col("title")).alias("words"), F.array_remove(bare(F.col("title")), "").alias("bare")), "modules")
+    own = chunks.select(
+        "chunk_id", theme_words(F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")).alias("tag_words"), theme_words(F.col("path")).alias("path_words"),
+        theme_words(F.col("article")).alias("article_words"), theme_words(F.substring("body", 1, BODY)).alias("body_words"), bare(F.col("body")).alias("all_words"),
+    )
     overlap = lambda c: F.size(F.array_intersect(c, "words"))
     score = 3.0 * overlap("tag_words") + 2.0 * overlap("path_words") + 1.0 * overlap("article_words") + 0.5 * overlap("body_words")
-    return chunks.crossJoin(F.broadcast(modules)).select("chunk_id", "module_index", score.alias("score"))
+    return own.crossJoin(told).select("chunk_id", "module_index", score.alias("score"), F.size(F.array_intersect("all_words", "bare")).alias("plain"))
+
+
+def by_theme(chunks: DataFrame, modules: DataFrame) -> DataFrame:
+    """(chunk_id, module_index, score, margin, pinned, rule): each passage to the module of its theme.
+
+    Where all scores are 0, to the one whose title shares most words with the whole body; ties go to the first module.
+    """
+    best = thematic_scores(chunks, modules).groupBy("chunk_id").agg(
+        F.min(F.struct(-F.col("score"), "module_index")).alias("s"), F.min(F.struct((-F.col("plain")).alias("p"), "module_index")).alias("k"),
+        F.slice(F.array_sort(F.collect_list(-F.col("score"))), 1, 2).alias("two"),
+    )
+    top, none = -F.col("two")[0] + 0.0, F.col("two")[0] == 0
+    ahead = F.round(top + F.coalesce(F.get("two", F.lit(1)), F.lit(0.0)), 9)
+    home = F.when(none, F.col("k.module_index")).otherwise(F.col("s.module_index"))
+    return best.select("chunk_id", home.alias("module_index"), top.alias("score"), ahead.alias("margin"), (ahead >= MARGIN).alias("pinned"), F.when(none, "overlap").otherwise("theme").alias("rule"))
+
+
+def assign_thematically(chunks: DataFrame, modules: DataFrame) -> DataFrame:
+    """:func:`by_theme`; where there are fewer than three passages a module, they are dealt in turn instead, by id."""
+    counts = chunks.agg(F.count("*").alias("n")).crossJoin(modules.agg(F.count("*").alias("m")))
+    few = written(counts.where(F.col("n") < F.col("m") * ENOUGH), "few")  # a row, or none
+    themed = by_theme(chunks.join(few, how="left_anti"), modules)
+    # Windows over all rows, of which there are less than three a module, or none.
+    places = modules.crossJoin(few.select("m")).withColumn("at", F.row_number().over(Window.orderBy("module_index")) - 1)
+    turned = chunks.select("chunk_id").join(few.select("n"), how="left_semi").withColumn("turn", F.row_number().over(Window.orderBy("chunk_id")) - 1)
+    dealt = turned.join(places, F.col("turn") % F.col("m") == F.col("at"))
+    return themed.unionByName(dealt.select("chunk_id", "module_index", F.lit(0.0).alias("score"), F.lit(0.0).alias("margin"), F.lit(False).alias("pinned"), F.lit("turn").alias("rule")))
+
+
+def assign_by_cosine(chunks: DataFrame, modules: DataFrame, scores: DataFrame) -> DataFrame:
+    """(chunk_id, module_index, score, margin, pinned, rule) by similarity ``scores`` (chunk_id, module_index, score); passages without any, as they have no
+    vector, by their theme."""
+    near = assign_best(scores).withColumn("rule", F.lit("cosine"))
+    rest = by_theme(chunks.join(scores.select("chunk_id").distinct(), "chunk_id", "left_anti"), modules)
+    return near.select("chunk_id", "module_index", "score", "margin", "pinned", "rule").unionByName(rest)
 
 
 def assign_best(scores: DataFrame, margin: float = MARGIN) -> DataFrame:

@@ -42,25 +42,37 @@ def al1_pacing(t: Tables) -> DataFrame:
     return A.pacing(courses).select("id", "module_index", "slide_count", "title", split["CONTENT_TEXT"].alias("texts"), split["RECAP"].alias("recaps"))
 
 
-@add(r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w, source FROM documents), m AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS q FROM benchmark WHERE item_id < 5),
-s AS (SELECT doc_id, item_id, 0.5 * len(list_intersect(w, q)) + 2.0 * len(list_intersect([source], q)) AS score FROM w, m), r AS (SELECT *, lead(score) OVER o AS nxt, row_number() OVER o AS k FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, item_id))
-SELECT doc_id AS chunk_id, CAST(item_id AS BIGINT) AS module_index, CAST(score AS DOUBLE) AS score, CAST(score - coalesce(nxt, 0) AS DOUBLE) AS margin, score - coalesce(nxt, 0) >= 0.08 AS pinned FROM r WHERE k = 1""")
+_WORDS = r"list_distinct(list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
+_BARE = r"list_distinct(string_split_regex(lower({}), '\s+'))"
+_THEMES = f"""d AS (SELECT doc_id, {_WORDS.format("array_to_string([lang, source], ' ')")} AS tags, {_WORDS.format("source")} AS path, {_WORDS.format("lang || ' ' || doc_id % 7")} AS article, {_WORDS.format("substring(text, 1, 500)")} AS body, {_BARE.format("text")} AS everything FROM documents),
+m AS (SELECT item_id, {_WORDS.format("text")} AS q, list_filter({_BARE.format("text")}, lambda x: x <> '') AS b FROM benchmark),
+ts AS (SELECT doc_id, item_id, 3.0 * len(list_intersect(tags, q)) + 2.0 * len(list_intersect(path, q)) + len(list_intersect(article, q)) + 0.5 * len(list_intersect(body, q)) AS score, len(list_intersect(everything, b)) AS plain FROM d, m),
+tr AS (SELECT *, lead(score) OVER o AS nxt, row_number() OVER o AS k, first_value(item_id) OVER (PARTITION BY doc_id ORDER BY plain DESC, item_id) AS other FROM ts WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, item_id)),
+th AS (SELECT doc_id AS chunk_id, CAST(CASE WHEN score = 0 THEN other ELSE item_id END AS BIGINT) AS module_index, CAST(score AS DOUBLE) AS score, CAST(score - coalesce(nxt, 0) AS DOUBLE) AS margin, score - coalesce(nxt, 0) >= 0.08 AS pinned, CASE WHEN score = 0 THEN 'overlap' ELSE 'theme' END AS rule FROM tr WHERE k = 1)"""
+
+
+def _themed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Documents as passages with tags, path and article; benchmark texts as titles of modules."""
+    article = F.concat_ws(" ", "lang", (F.col("doc_id") % 7).cast("string"))
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.array("lang", "source").alias("tags"), F.col("source").alias("path"), article.alias("article"), F.col("text").alias("body"))
+    return chunks, t.benchmark.select(F.col("item_id").alias("module_index"), F.col("text").alias("title"))
+
+
+@add(f"WITH {_THEMES} FROM th")
 def al2_thematic_assignment(t: Tables) -> DataFrame:
-    """Modules are the first five benchmark texts."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    none = F.array().cast("array<string>")
-    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), none.alias("tag_words"), F.array("source").alias("path_words"), none.alias("article_words"), words(F.col("text")).alias("body_words"))
-    modules = t.benchmark.where("item_id < 5").select(F.col("item_id").alias("module_index"), words(F.col("text")).alias("words"))
-    return A.assign_best(A.thematic_scores(chunks, modules))
+    """Every document to one of all benchmark texts."""
+    return A.assign_thematically(*_themed(t))
 
 
-@add("""WITH s AS (SELECT a.vec_id AS chunk_id, b.vec_id AS module_index, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 9) AS score FROM embeddings a, embeddings b WHERE b.vec_id < 8),
-r AS (SELECT *, lead(score) OVER o AS nxt, row_number() OVER o AS k FROM s WINDOW o AS (PARTITION BY chunk_id ORDER BY score DESC, module_index)) SELECT chunk_id, module_index, score, round(score - nxt, 9) AS margin, round(score - nxt, 9) >= 0.08 AS pinned FROM r WHERE k = 1""")
+@add(f"""WITH {_THEMES}, s AS (SELECT a.vec_id AS chunk_id, b.vec_id AS module_index, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 9) AS score FROM embeddings a JOIN documents ON a.vec_id = doc_id JOIN embeddings b ON b.vec_id IN (SELECT item_id FROM benchmark)),
+r AS (SELECT *, lead(score) OVER o AS nxt, row_number() OVER o AS k FROM s WINDOW o AS (PARTITION BY chunk_id ORDER BY score DESC, module_index))
+SELECT chunk_id, module_index, score, round(score - nxt, 9) AS margin, round(score - nxt, 9) >= 0.08 AS pinned, 'cosine' AS rule FROM r WHERE k = 1 UNION ALL FROM th WHERE chunk_id NOT IN (SELECT vec_id FROM embeddings)""")
 def al3_cosine_assignment(t: Tables) -> DataFrame:
-    """Modules are the first eight vectors; every vector against every module."""
-    modules = t.embeddings.where("vec_id < 8").select(F.col("vec_id").alias("module_index"), "embedding")
-    scores = top_k(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), modules, 8, "chunk_id", "module_index")
-    return A.assign_best(scores.drop("rank")).select("chunk_id", "module_index", "score", "margin", "pinned")
+    """Every document to the module whose vector is nearest; those without a vector by theme."""
+    chunks, modules = _themed(t)
+    vectors = t.embeddings.select(F.col("vec_id").alias("module_index"), "embedding").join(modules.select("module_index"), "module_index", "left_semi")
+    known = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return A.assign_by_cosine(chunks, modules, top_k(known, vectors, 2, "chunk_id", "module_index").drop("rank"))
 
 
 def _candidates(t: Tables) -> DataFrame:

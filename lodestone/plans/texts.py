@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.functions import text as X
+from lodestone.functions import embedding as M, text as X
 from lodestone.operators import chunking as C
-from lodestone.functions import embedding as M
 from lodestone.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -93,10 +92,18 @@ def s6_top_sections(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", X.top_section(F.lit("dlgs_81_08"), F.concat(F.lit("Art. "), (F.col("o_orderkey") % 330).cast("string"))).alias("section"))
 
 
-@add("SELECT page_id, '<svg><text>' || page_id || '</text></svg>' AS svg FROM pages")
+_VALUE = r"""(?:"[^"]*"|''[^'']*''|[^\s"''>]+)"""
+_REMOTE = r"""(?:xlink:)?href\s*=\s*(?:"\s*(?:javascript:|https?:|//)[^"]*"|''\s*(?:javascript:|https?:|//)[^'']*''|(?:javascript:|https?:|//)[^\s"''>]*)"""
+_BARE_TAG = "x"
+for _attribute in (rf"on\w+\s*=\s*{_VALUE}", _REMOTE):
+    _BARE_TAG = rf"""regexp_replace(regexp_replace({_BARE_TAG}, '[\s/]+{_attribute}', '', 'gi'), '(["'']){_attribute}', '\1', 'gi')"""
+
+
+@add(rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', '', 'gis'), '<foreignObject\b.*?</foreignObject\s*>', '', 'gis') AS h FROM pages)
+SELECT page_id, array_to_string(list_transform(regexp_extract_all(h, '<(?:"[^"]*"|''[^'']*''|[^''">])*>|<|[^<]+'), lambda x: CASE WHEN x LIKE '<%' THEN {_BARE_TAG} ELSE x END), '') AS svg FROM b""")
 def s7_clean_svg(t: Tables) -> DataFrame:
-    svg = F.concat(F.lit("<svg onload='x()'><script>1</script><text>"), F.col("page_id").cast("string"), F.lit("</text></svg>"))
-    return t.pages.select("page_id", X.clean_svg(svg).alias("svg"))
+    """Whole pages, whose scripts, handlers and links a drawing may not hold."""
+    return t.pages.select("page_id", X.clean_svg(F.col("html")).alias("svg"))
 
 
 @add(r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) > 2)) AS INTEGER) AS bm25,
@@ -112,13 +119,14 @@ def s9_content_hash(t: Tables) -> DataFrame:
 
 
 @add("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity BETWEEN s - greatest(10.0, 0.25 * s) AND s + greatest(10.0, 0.25 * s) AS on_target, CAST(greatest(3, least(15, floor(12000 / (1.6 * l_quantity * 4 + 120)))) AS INTEGER) AS batch,
-CAST(least(150, floor(35 + 8 * l_quantity)) AS INTEGER) AS top_k, CAST(round_even(l_quantity * 0.55, 0) AS BIGINT) AS share FROM (SELECT *, l_discount * 500.0 AS s FROM lineitem)""")
+CAST(least(150, floor(35 + 8 * l_quantity)) AS INTEGER) AS top_k, CAST(round_even(l_quantity * 0.55, 0) AS BIGINT) AS share, CASE WHEN q <= z THEN CAST(q AS VARCHAR) ELSE repeat(z || ',', q // z - 1) || CASE WHEN q % z BETWEEN 1 AND 2 THEN CAST(z + q % z AS VARCHAR) ELSE z || CASE WHEN q % z = 0 THEN '' ELSE ',' || q % z END END END AS split FROM (SELECT *, l_discount * 500.0 AS s, CAST(l_quantity AS INTEGER) AS q, CAST(3 + l_partkey % 13 AS INTEGER) AS z FROM lineitem)""")
 def s10_numbers(t: Tables) -> DataFrame:
     q = F.col("l_quantity")
     low, high = X.duration_window(F.col("l_discount") * 500.0)
     return t.lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", q.between(low, high).alias("on_target"), X.batch_size(q * 4).alias("batch"),
         F.least(F.lit(150), F.floor(35 + 8 * q)).cast("int").alias("top_k"), F.bround(q * 0.55, 0).cast("bigint").alias("share"),
+        F.array_join(X.batch_split(q.cast("int"), (3 + F.col("l_partkey") % 13).cast("int")), ",").alias("split"),
     )
 
 
@@ -129,6 +137,14 @@ def s11_uniform_font(t: Tables) -> DataFrame:
     return slots.select("l_orderkey", X.font_size(F.col("q"), F.lit(30), F.lit(28)).alias("font"))
 
 
+@add("""WITH s AS (SELECT l_orderkey, list(p_name ORDER BY l_linenumber, l_partkey) AS v, max(length(p_name)) AS longest FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1), f AS (SELECT *, greatest(16, CASE WHEN longest > 5 THEN floor(28 * 5 / longest) ELSE 28 END) AS font FROM s)
+SELECT l_orderkey, array_to_string(list_transform(v, lambda x: CASE WHEN font = 16 AND length(x) > floor(5 * 28 / font) THEN rtrim(substring(x, 1, CAST(greatest(1, floor(5 * 28 / font) - 1) AS BIGINT)), ' ') || '…' ELSE x END), '|') AS slots FROM f""")
+def s11_fitted_slots(t: Tables) -> DataFrame:
+    """Names of an order's parts as the slots of a diagram of five characters each."""
+    named = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))).alias("v"))
+    return named.select("l_orderkey", F.array_join(X.fitted_slots(F.transform("v", lambda x: x["p_name"]), F.lit(5), F.lit(28)), "|").alias("slots"))
+
+
 @add("""SELECT vec_id, round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), lambda x: x[1] * x[2])), 6) AS norm2, CAST(len(embedding) AS INTEGER) AS size FROM embeddings""")
 def s12_vector_codec(t: Tables) -> DataFrame:
     """Vectors as text and back."""
