@@ -41,6 +41,21 @@ def shared_reference_gate(pairs: DataFrame, references: DataFrame, least: float
     return both.where((shared > 0) | (jaccard >= least)).select("src", "dst", shared.alias("shared"), F.round(jaccard, 6).alias("jaccard"))
 
 
+def reference_edges(references: DataFrame, chunks: DataFrame, regulation: str = "regulation_id", key: str = "chunk_id") -> DataFrame:
+    """(src, dst, kind, weight): references (src, regulation, target, target_paragraph, intent) as edges to passages of their regulation.
+
+    A paragraph resolves to its first passage, else to the first of its article; names are compared without case and outer blanks. What resolves to nothing, or to the
+    passage itself, is no edge; a passage refers to another once for each intent. The first passage is that of the least key.
+    """
+    named = lambda c: F.lower(F.trim(F.col(c)))
+    own = chunks.where(F.trim("article") != "").select(F.col(regulation).alias("_r"), named("article").alias("_a"), F.col("paragraph").alias("_p"), F.col(key).alias("_id"))
+    exact = own.where(F.col("_p") != "").groupBy("_r", "_a", "_p").agg(F.min("_id").alias("_exact"))
+    first = own.groupBy("_r", "_a").agg(F.min("_id").alias("_first"))
+    asked = references.select("src", F.col(regulation).alias("_r"), named("target").alias("_a"), F.col("target_paragraph").alias("_p"), F.col("intent").alias("kind"))
+    found = asked.join(exact, ["_r", "_a", "_p"], "left").join(first, ["_r", "_a"], "left").withColumn("dst", F.coalesce("_exact", "_first"))
+    return found.where(F.col("dst").isNotNull() & (F.col("dst") != F.col("src"))).select("src", "dst", "kind").distinct().withColumn("weight", F.lit(1.0))
+
+
 def set_classes(sets: DataFrame, key: str = "id", items: str = "refs") -> DataFrame:
     """(class_id, items, n): equal sets once, named by their least key; null and empty sets are left out."""
     rows = sets.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.array_compact(F.col(items)))).alias("items"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lodestone.functions.text import title_fingerprint, word_count
+from lodestone.operators.relational import top_per
 
 # Limits of each slide type: title characters, fewest and most items, words an item, fewest and most words of notes, whether
 # it needs a picture and answers, whether its notes grow with the slide's length.
@@ -81,3 +82,66 @@ def near_titles(slides: DataFrame, keys: list[str], module: list[str], title: st
 
 def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity", "issue").agg(F.count("*").alias("n"))
+
+
+def style_profile(slides: DataFrame, course: str = "course") -> DataFrame:
+    """A row a course: avg_words, top_types, recurring_titles, avg_quizzes, image_ratio, from slides (course, idx, module, slide_type, title, words, strategy).
+
+    The five most frequent types and the first ten titles that recur; what is equally frequent stands in the order of its first slide.
+    """
+    of = lambda c: slides.where(F.col(c).isNotNull() & (F.col(c) != "")).groupBy(course, F.col(c).alias("v")).agg(F.count("*").alias("n"), F.min("idx").alias("first"))
+    listed = lambda ranked: ranked.groupBy(course).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "v"))), lambda x: x["v"]).alias("v"))
+    types = listed(top_per(of("slide_type"), [course], [F.desc("n"), F.col("first")], 5, "_k")).withColumnRenamed("v", "top_types")
+    titles = listed(top_per(of("title").where("n > 1"), [course], [F.col("first")], 10, "_k")).withColumnRenamed("v", "recurring_titles")
+    quizzes = F.count_if(F.col("slide_type") == "QUIZ") / F.greatest(F.lit(1), F.count_distinct("module"))
+    whole = slides.groupBy(course).agg(
+        F.floor(F.sum("words") / F.count("*")).cast("bigint").alias("avg_words"), F.bround(quizzes, 1).alias("avg_quizzes"),
+        F.bround(F.count_if(F.col("strategy").isin("web_search", "diagram")) / F.count("*"), 2).alias("image_ratio"),
+    )
+    return whole.join(types, course, "left").join(titles, course, "left").withColumn("recurring_titles", F.coalesce("recurring_titles", F.array().cast("array<string>")))
+
+
+# What is filled in where a slide lacks it.
+VIEW_BOX = '<svg viewBox="0 0 1760 800"'
+PAD = (" Approfondimento normativo previsto da ", " con applicazione pratica nei contesti operativi aziendali italiani.")
+PADS = 5
+ASPECTS = ("landscape", "portrait", "square")
+
+
+def completed(slides: DataFrame, rules: DataFrame, module: Column) -> DataFrame:
+    """Slides with what can be filled in without cutting anything, and ``completed``, whether something was.
+
+    Columns: module_index, slide_type, image (struct of strategy, aspect_hint, diagram_code), quiz_correct, notes, normative_ref, bullets, sezioni. A missing
+    module is the one at hand; a missing image is one of strategy none; a picture's form that is missing or unknown is landscape; a
+    diagram gets a view box; a quiz without a right answer from 0 to 3 has the first; notes that are too short are padded with the reference, five times at
+    most; titles, closings and quizzes without lists get empty ones.
+    """
+    kind = F.col("slide_type")
+    none = F.struct(F.lit("none").alias("strategy"), F.lit(None).cast("string").alias("aspect_hint"), F.lit(None).cast("string").alias("diagram_code"))
+    image = F.coalesce("image", none)
+    aspect, strategy, code = image["aspect_hint"], image["strategy"], image["diagram_code"]
+    missing = aspect.isNull() & F.coalesce(~strategy.isin("none", "diagram"), F.lit(False))
+    form = F.when(missing | F.coalesce(~aspect.isin(*ASPECTS), F.lit(False)), "landscape").otherwise(aspect)
+    boxed = F.when((kind == "DIAGRAM") & (code != "") & ~F.contains(code, F.lit("viewBox")), F.regexp_replace(code, r"^((?s:.*?))<svg\b", "$1" + VIEW_BOX)).otherwise(code)
+    right = F.when((kind == "QUIZ") & ~F.coalesce(F.col("quiz_correct").between(0, 3), F.lit(False)), 0).otherwise(F.col("quiz_correct"))
+    ref, notes = F.trim(F.coalesce("normative_ref", F.lit(""))), F.trim(F.coalesce("notes", F.lit("")))
+    short = F.col("_least") - word_count(notes)
+    pad = F.concat(F.lit(PAD[0]), ref, F.lit(PAD[1]))
+    padded = F.trim(F.concat(notes, F.repeat(pad, F.least(F.lit(PADS), F.ceil(short / word_count(pad)).cast("int")))))
+    told = F.when((short > 0) & (ref != ""), padded).otherwise(F.col("notes"))
+    bare = kind.isin("TITLE", "CLOSING", "QUIZ")
+    empty = F.array().cast("array<string>")
+    new = {
+        "module_index": F.coalesce("module_index", module), "image": F.struct(strategy.alias("strategy"), form.alias("aspect_hint"), boxed.alias("diagram_code")), "quiz_correct": right, "notes": told,
+        **{c: F.when(bare, F.coalesce(F.col(c), empty)).otherwise(F.col(c)) for c in ("bullets", "sezioni")},
+    }
+    same = F.lit(True)
+    for c, value in new.items():
+        same &= value.eqNullSafe(F.col(c))
+    least = rules.select("slide_type", F.col("notes_min").alias("_least"))
+    return slides.join(F.broadcast(least), "slide_type", "left").withColumns({**new, "completed": ~same}).drop("_least")  # ten rows
+
+
+def revalidated(slides: DataFrame, rules: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Patched slides, ``columns`` replaced, with the limits that they break now: a patch is taken where ``violations`` is empty."""
+    return violations(slides.withColumns(columns), rules)

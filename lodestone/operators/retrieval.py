@@ -103,3 +103,27 @@ def per_module_threshold(pool: DataFrame, least_score: float = 0.3, least_rows:
 
 def first_module_wins(pool: DataFrame, chunk_id: str = "chunk_id", module: str = "query_id") -> DataFrame:
     return top_per(pool, [chunk_id], [F.col(module), F.col("rank")])
+
+
+IMAGES, ALIKE, REUSED = 8, 0.30, 3  # fixed values: images of a search, their least similarity, uses of one in a course
+
+
+def image_search(asked: DataFrame, vectors: DataFrame, library: DataFrame, usage: DataFrame | None = None, k: int = IMAGES, least: float = ALIKE, cap: int = REUSED) -> DataFrame:
+    """(query_id, image_id, score, rank, by): the nearest images of each query over a similarity, else those that share words with it as tags.
+
+    Asked (query_id, text), vectors (query_id, embedding), library (image_id, embedding, tags), usage (query_id, image_id, n). With usage three times as
+    many are looked at, and those used ``cap`` times are left out. By tags the score is the share of an image's tags that are words of the query of more than two letters; a query without
+    a vector, or whose images are all too far or used up, is answered that way. Ties go to the smaller image.
+    """
+    wide = k if usage is None else 3 * k
+    free = lambda found: found if usage is None else found.join(usage.where(F.col("n") >= cap).select("query_id", "image_id"), ["query_id", "image_id"], "left_anti")
+    order = [F.desc("score"), F.col("image_id")]
+    near = top_k(vectors, library, wide, "query_id", "image_id").where(F.col("score") >= least).drop("rank")
+    hits = written(top_per(free(near), ["query_id"], order, k, "rank"), "hits")
+    words = F.array_distinct(F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda w: F.length(w) > 2))
+    rest = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode(words).alias("tag"))
+    tagged = library.select("image_id", F.greatest(F.size("tags"), F.lit(1)).alias("_n"), F.explode(F.array_distinct("tags")).alias("tag"))
+    shared = rest.join(tagged, "tag").groupBy("query_id", "image_id", "_n").agg(F.count("*").alias("_s"))
+    scored = shared.select("query_id", "image_id", F.round(F.col("_s") / F.col("_n"), 9).alias("score"))
+    by_tags = top_per(free(top_per(scored, ["query_id"], order, wide)), ["query_id"], order, k, "rank")
+    return hits.withColumn("by", F.lit("vector")).unionByName(by_tags.withColumn("by", F.lit("tags")))

@@ -148,11 +148,36 @@ def al6_module_bookends(t: Tables) -> DataFrame:
     return A.key_points(named, ["l_orderkey"], [F.col("pos")], "p_name").select("l_orderkey", F.array_join("points", ";").alias("points"))
 
 
-@add("""SELECT event_id, coalesce(nullif(event_type, 'click'), 'Contenuto') AS title, CASE WHEN value < 1 THEN 'none' ELSE 'image' END AS strategy, CASE WHEN event_type = 'purchase' THEN 4 ELSE 0 END AS options FROM events""")
+def _limit(column: int) -> str:
+    return "CASE kind " + " ".join(f"WHEN '{r[0]}' THEN {r[column]}" for r in Q.LIMITS) + " END"
+
+
+def _lacking(t: Tables) -> DataFrame:
+    """Slides that lack now this, now that."""
+    k, i = F.col("l_partkey"), F.col("idx")
+    image = F.struct(
+        F.when(k % 5 == 1, "none").when(k % 5 == 2, "diagram").otherwise("search").alias("strategy"), F.when(k % 4 == 1, "wide").when(k % 4 == 2, "square").alias("aspect_hint"),
+        F.when(k % 5 == 2, F.when(k % 2 == 0, '<svg viewBox="0 0 1 1"><g/></svg>').otherwise("<?xml?><svg><g/></svg>")).alias("diagram_code"),
+    )
+    return slides(t).select(
+        "course", "idx", F.col("kind").alias("slide_type"), F.when(k % 3 > 0, F.col("module")).alias("module_index"), F.when(k % 5 > 0, image).alias("image"), F.when(k % 7 > 2, (k % 7).cast("int") - 2).alias("quiz_correct"),
+        F.trim(F.repeat(F.lit("p "), (F.col("l_quantity") * 3).cast("int"))).alias("notes"), F.when(i % 2 == 0, F.concat(F.lit("D.Lgs. "), k.cast("string"))).alias("normative_ref"),
+        F.when(k % 2 == 0, F.array(F.lit("una"))).alias("bullets"), F.lit(None).cast("array<string>").alias("sezioni"), F.col("module").alias("at_hand"),
+    )
+
+
+@add(f"""WITH {_SLIDES}, s AS (SELECT course, idx, module, kind, l_partkey AS k, CAST(round_even(l_quantity * 3, 0) AS INTEGER) AS n, idx % 2 = 0 AS referred, {_limit(5)} AS least FROM sl), p AS (SELECT *, CASE WHEN referred AND n < least THEN least_pads END AS pads FROM (SELECT *, CAST(least(5, ceil((least - n) / 14.0)) AS INTEGER) AS least_pads FROM s))
+SELECT course, idx, module AS module_index, CASE k % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'none' WHEN 2 THEN 'diagram' ELSE 'search' END AS strategy,
+CASE WHEN k % 5 = 0 THEN NULL WHEN k % 4 = 1 THEN 'landscape' WHEN k % 4 = 2 THEN 'square' WHEN k % 5 > 2 THEN 'landscape' END AS aspect,
+CASE WHEN k % 5 = 2 THEN CASE WHEN k % 2 = 0 THEN '<svg viewBox="0 0 1 1"><g/></svg>' WHEN kind = 'DIAGRAM' THEN '<?xml?><svg viewBox="0 0 1760 800"><g/></svg>' ELSE '<?xml?><svg><g/></svg>' END END AS code,
+CASE WHEN k % 7 BETWEEN 3 AND 5 THEN CAST(k % 7 - 2 AS VARCHAR) WHEN kind = 'QUIZ' THEN '0' WHEN k % 7 = 6 THEN '4' END AS quiz_correct,
+CAST(n + coalesce(pads, 0) * 14 AS INTEGER) AS words, CASE WHEN k % 2 = 0 THEN '1' WHEN kind IN ('TITLE', 'CLOSING', 'QUIZ') THEN '0' END AS bullets,
+k % 3 = 0 OR k % 5 = 0 OR (k % 5 > 0 AND (k % 4 = 1 OR (k % 4 IN (0, 3) AND k % 5 > 2))) OR (k % 5 = 2 AND k % 2 = 1 AND kind = 'DIAGRAM') OR (kind = 'QUIZ' AND k % 7 NOT BETWEEN 3 AND 5) OR coalesce(pads > 0, false) OR kind IN ('TITLE', 'CLOSING', 'QUIZ') AS completed FROM p""")
 def al7_auto_completion(t: Tables) -> DataFrame:
-    return t.events.select(
-        "event_id", F.coalesce(F.nullif(F.col("event_type"), F.lit("click")), F.lit("Contenuto")).alias("title"),
-        F.when(F.col("value") < 1, "none").otherwise("image").alias("strategy"), F.when(F.col("event_type") == "purchase", 4).otherwise(0).alias("options"),
+    found = Q.completed(_lacking(t), Q.limits(t.spark), F.col("at_hand"))
+    return found.select(
+        "course", "idx", "module_index", "image.strategy", F.col("image.aspect_hint").alias("aspect"), F.col("image.diagram_code").alias("code"), F.col("quiz_correct").cast("string").alias("quiz_correct"),
+        F.when(F.col("notes") == "", 0).otherwise(F.size(F.split("notes", r"\s+"))).alias("words"), F.when(F.col("bullets").isNotNull(), F.size("bullets")).cast("string").alias("bullets"), "completed",
     )
 
 
@@ -162,10 +187,6 @@ def al8_previous_recap(t: Tables) -> DataFrame:
     return first.groupBy("course", "module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "kind"))), lambda x: x["kind"]), "; ").alias("recap"))
 
 
-def _limit(column: int) -> str:
-    return "CASE kind " + " ".join(f"WHEN '{r[0]}' THEN {r[column]}" for r in Q.LIMITS) + " END"
-
-
 @add(f"""WITH {_SLIDES}, x AS (SELECT course, idx, kind, CAST(l_quantity % 7 AS INTEGER) AS n, l_partkey % 100 AS len, l_quantity * 4 AS notes FROM sl)
 SELECT course, idx, concat_ws(',', CASE WHEN len > {_limit(1)} THEN 'title' END, CASE WHEN {_limit(3)} = 0 THEN CASE WHEN kind = 'MODULE_OPEN' THEN CASE WHEN n > 1 THEN 'items' END WHEN n > 0 THEN 'items' END WHEN n > {_limit(3)} OR n < {_limit(2)} THEN 'items' END,
 CASE WHEN notes > {_limit(6)} THEN 'notes' END, CASE WHEN kind IN ('CONTENT_IMAGE', 'DIAGRAM') AND idx % 2 = 0 THEN 'image' END, CASE WHEN kind = 'QUIZ' AND idx % 3 = 0 THEN 'options' END) AS violations, notes < {_limit(5)} AS notes_low FROM x""")
@@ -284,3 +305,16 @@ def e6_bullets_and_back(t: Tables) -> DataFrame:
 def e7_ordinals(t: Tables) -> DataFrame:
     numbered = E.renumber(F.col("slides"))
     return decks(t).select("course", F.array_join(F.transform(numbered, lambda s: (s["idx"] + 1).cast("string")), ",").alias("ordinals"))
+
+
+_STYLED = f"{_SLIDES}, st AS (SELECT course, idx, module, kind AS slide_type, 'Tema ' || l_partkey % 9 AS title, CAST(l_quantity AS BIGINT) AS words, CASE l_partkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'web_search' ELSE 'diagram' END AS strategy FROM sl)"
+
+
+@add(f"""WITH {_STYLED}, k AS (SELECT course, slide_type AS v, row_number() OVER (PARTITION BY course ORDER BY count(*) DESC, min(idx)) AS k FROM st GROUP BY 1, 2), w AS (SELECT course, title AS v, row_number() OVER (PARTITION BY course ORDER BY min(idx)) AS k FROM st GROUP BY 1, 2 HAVING count(*) > 1),
+a AS (SELECT course, CAST(sum(words) // count(*) AS BIGINT) AS avg_words, round_even(count(*) FILTER (slide_type = 'QUIZ') / count(DISTINCT module), 1) AS avg_quizzes, round_even(count(*) FILTER (strategy <> 'none') / count(*), 2) AS image_ratio FROM st GROUP BY 1)
+SELECT a.*, (SELECT string_agg(v, ';' ORDER BY k) FROM k WHERE k.course = a.course AND k <= 5) AS top_types, coalesce((SELECT string_agg(v, ';' ORDER BY k) FROM w WHERE w.course = a.course AND k <= 10), '') AS recurring_titles FROM a""")
+def a11_style_profile(t: Tables) -> DataFrame:
+    strategy = F.when(F.col("l_partkey") % 3 == 0, "none").when(F.col("l_partkey") % 3 == 1, "web_search").otherwise("diagram")
+    title = F.concat(F.lit("Tema "), (F.col("l_partkey") % 9).cast("string"))
+    rows = slides(t).select("course", "idx", "module", F.col("kind").alias("slide_type"), title.alias("title"), F.col("l_quantity").cast("bigint").alias("words"), strategy.alias("strategy"))
+    return Q.style_profile(rows).withColumns({c: F.array_join(c, ";") for c in ("top_types", "recurring_titles")})

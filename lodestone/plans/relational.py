@@ -325,17 +325,6 @@ def a10_facets(t: Tables) -> DataFrame:
     return counted.select(F.when(F.col("g") == 0, "lang").otherwise("source").alias("facet"), F.when(F.col("g") == 0, F.col("lang")).otherwise(F.col("source")).alias("value"), "n")
 
 
-@add("""WITH w AS (SELECT o_orderpriority AS kind, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1), r AS (SELECT kind, n, row_number() OVER (ORDER BY n DESC, kind) AS k FROM w)
-SELECT (SELECT CAST(floor(avg(length(text) - length(replace(text, ' ', '')) + 1)) AS BIGINT) FROM documents) AS avg_words, string_agg(kind, ';' ORDER BY k) FILTER (k <= 5) AS top_types,
-(SELECT round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 2) FROM orders) AS ratio FROM r""")
-def a11_style_profile(t: Tables) -> DataFrame:
-    words = t.documents.agg(F.floor(F.avg(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1)).alias("avg_words"))
-    ranked = t.orders.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(5)
-    top = ranked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "kind"))), lambda x: x["kind"]), ";").alias("top_types"))
-    ratio = t.orders.agg(F.round(F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)), 2).alias("ratio"))
-    return words.crossJoin(top).crossJoin(ratio)
-
-
 @add("""WITH f AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS pos FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY pos, l_partkey) AS refs, CAST(count(*) AS BIGINT) AS n_refs FROM f GROUP BY l_orderkey""")
 def a12_fingerprint(t: Tables) -> DataFrame:

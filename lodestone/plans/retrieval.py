@@ -174,15 +174,20 @@ def r16_gates(t: Tables) -> DataFrame:
     return pool_of(t).groupBy("query_id").agg(before.alias("before"), after.alias("after"), ((before >= 5) & (after >= 5)).alias("enough"))
 
 
-@add(f"""WITH {_POOL}, hit AS (SELECT query_id, chunk_id, score, 'vector' AS by FROM pool WHERE score >= 0.30 AND rank <= 9), none AS (SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM hit)),
-tag AS (SELECT n.query_id, d.doc_id AS chunk_id, 1.0 AS score, 'tags' AS by FROM none n JOIN (SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY 1) d ON true)
-SELECT * FROM hit UNION ALL SELECT * FROM tag""")
+@add(f"""WITH dn AS (SELECT a.vec_id AS query_id, b.vec_id AS image_id, {_COS} AS score FROM embeddings a JOIN benchmark ON a.vec_id = item_id JOIN embeddings b ON b.vec_id IN (SELECT doc_id FROM documents) AND b.label <> 3 WHERE a.label <> 5),
+v AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) <= 24), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank FROM v WHERE score >= 0.30 AND (query_id + image_id) % 5 < 3 QUALIFY rank <= 8),
+g AS (SELECT doc_id AS image_id, list_distinct(string_split_regex(lower(trim(text)), '\\s+')[1:12]) AS tags FROM documents), gu AS (SELECT image_id, len(tags) AS n, unnest(tags) AS tag FROM g),
+w AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: length(x) > 2)) AS tag FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM h)),
+s AS (SELECT query_id, image_id, round(count(*) / greatest(any_value(n), 1), 9) AS score FROM w JOIN gu USING (tag) GROUP BY 1, 2), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) <= 24),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank FROM t WHERE (query_id + image_id) % 5 < 3 QUALIFY rank <= 8)
+SELECT query_id, image_id, score, CAST(rank AS INTEGER) AS rank, 'vector' AS by FROM h UNION ALL SELECT query_id, image_id, score, CAST(rank AS INTEGER), 'tags' FROM x""")
 def r17_image_search(t: Tables) -> DataFrame:
-    """By vector over a threshold; queries without a hit fall back to one passage of each tag."""
-    hits = pool_of(t).where("score >= 0.30 AND rank <= 9").select("query_id", "chunk_id", "score", F.lit("vector").alias("by"))
-    tags = t.documents.groupBy("lang").agg(F.min("doc_id").alias("chunk_id"))
-    without = R.missing_keys(_asked(t), hits, "query_id").crossJoin(F.broadcast(tags))  # a row per language
-    return hits.unionByName(without.select("query_id", "chunk_id", F.lit(1.0).alias("score"), F.lit("tags").alias("by")))
+    """Documents as images, their first words as tags; some queries have no vector, and an image was used from no to four times."""
+    tags = F.array_distinct(F.slice(F.split(F.lower(F.trim("text")), r"\s+"), 1, 12))
+    library = t.documents.select(F.col("doc_id").alias("image_id"), tags.alias("tags")).join(t.embeddings.where("label <> 3").select(F.col("vec_id").alias("image_id"), "embedding"), "image_id", "left")
+    vectors = t.embeddings.where("label <> 5").select(F.col("vec_id").alias("query_id"), "embedding").join(_asked(t).select("query_id"), "query_id", "left_semi")
+    usage = _asked(t).select("query_id").crossJoin(t.documents.select(F.col("doc_id").alias("image_id"))).withColumn("n", (F.col("query_id") + F.col("image_id")) % 5)
+    return V.image_search(_asked(t), vectors, library, usage)
 
 
 @add(f"""WITH {_POOL} SELECT query_id, chunk_id AS src, d.doc_id AS dst, d.source AS regulation_id FROM pool JOIN documents d ON d.doc_id = chunk_id + 20 WHERE rank <= 10""")

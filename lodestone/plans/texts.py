@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions import embedding as M, text as X
-from lodestone.operators import chunking as C
+from lodestone.operators import chunking as C, graph as G
 from lodestone.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -249,6 +249,15 @@ def kg1_reference_extraction(t: Tables) -> DataFrame:
     return C.references(C.structured_chunks(articles(t), "id", "text"), "body")
 
 
+@add()
+def kg1_reference_edges(t: Tables) -> DataFrame:
+    """References between the passages of each regulation; none leads to itself."""
+    chunks = C.structured_chunks(articles(t), "id", "text").withColumn("chunk_id", F.concat_ws("/", F.col("id").cast("string"), "hierarchy_path"))
+    passages = chunks.select("chunk_id", F.col("id").alias("regulation_id"), "article", F.regexp_replace("paragraph", "^Comma ", "").alias("paragraph"))
+    found = C.references(chunks.select(F.col("chunk_id").alias("src"), F.col("id").alias("regulation_id"), "body"), "body")
+    return G.reference_edges(found, passages)
+
+
 @add()
 def s15_ssml(t: Tables) -> DataFrame:
     text = F.concat(F.substring("text", 1, 1 << 30), F.lit(" (PAUSE 3s) & <b> (PAUSE 40s)"))
