@@ -10,14 +10,30 @@ from lodestone.sources.scratch import written
 HOP = 0.7
 
 
+def parent_paths(chunks: DataFrame, key: str = "chunk_id", path: str = "hierarchy_path") -> DataFrame:
+    """(key, path, parent): the nearest ancestor path of each passage that exists; passages without one are left out.
+
+    Paths, not passages, are climbed and matched, so a path with half of the corpus is one row.
+    """
+    paths = chunks.select(F.col(path).alias("p")).where(F.col("p").isNotNull()).distinct()
+    steps = F.split("p", " > ")
+    above = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, 1, n), " > ").alias("parent"))))
+    asked = paths.select("p", F.explode(above).alias("a")).select("p", "a.*")
+    nearest = asked.join(paths.withColumnRenamed("p", "parent"), "parent", "left_semi").groupBy("p").agg(F.max_by("parent", "depth").alias("parent"))
+    return chunks.select(key, path).join(nearest.withColumnRenamed("p", path), path).select(key, path, "parent")
+
+
+def parent_classes(chunks: DataFrame, key: str = "chunk_id", path: str = "hierarchy_path") -> DataFrame:
+    """(key, parent, class_id, n_links): parent edges without their pairs: the passages of ``parent`` are the parents, ``class_id`` is their least
+    and ``n_links`` their number. The passages of a path are read from the corpus."""
+    sizes = chunks.groupBy(F.col(path).alias("parent")).agg(F.min(key).alias("class_id"), F.count("*").alias("n_links"))
+    return parent_paths(chunks, key, path).join(sizes, "parent").select(key, "parent", "class_id", "n_links")
+
+
 def parent_edges(chunks: DataFrame, key: str = "chunk_id", path: str = "hierarchy_path") -> DataFrame:
-    """(src, dst): from each passage to the passages of its nearest ancestor path that exists."""
-    steps = F.split(path, " > ")
-    above = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, 1, n), " > ").alias("p"))))
-    asked = chunks.select(F.col(key).alias("src"), F.explode(above).alias("a")).select("src", "a.*")
-    existing = chunks.select(F.col(path).alias("p")).distinct()
-    nearest = top_per(asked.join(existing, "p"), ["src"], [F.desc("depth")]).select("src", "p")
-    return nearest.join(chunks.select(F.col(key).alias("dst"), F.col(path).alias("p")), "p").select("src", "dst")
+    """(src, dst): the edges of :func:`parent_classes`, one for each passage and passage of its parent path: as many as their product."""
+    own = parent_paths(chunks, key, path).select(F.col(key).alias("src"), F.col("parent").alias("p"))
+    return own.join(chunks.select(F.col(key).alias("dst"), F.col(path).alias("p")), "p").select("src", "dst")
 
 
 def sibling_classes(chunks: DataFrame, key: str = "chunk_id", path: str = "hierarchy_path") -> DataFrame:

@@ -220,6 +220,14 @@ def kg2_parent_edges(t: Tables) -> DataFrame:
     return G.parent_edges(chunk_paths(t))
 
 
+@add(f"""WITH {_PATHS}, s AS (SELECT chunk_id, p, string_split(p, ' > ') AS a FROM ch), e AS (SELECT p, min(chunk_id) AS class_id, count(*) AS n_links FROM ch GROUP BY 1),
+n AS (SELECT chunk_id, coalesce((SELECT p FROM e WHERE len(a) > 2 AND e.p = a[1] || ' > ' || a[2]), (SELECT p FROM e WHERE len(a) > 1 AND e.p = a[1])) AS up FROM s)
+SELECT chunk_id, up AS parent, class_id, CAST(n_links AS BIGINT) AS n_links FROM n JOIN e ON e.p = n.up""")
+def kg2_parent_classes(t: Tables) -> DataFrame:
+    """The same edges by the path that they lead to: a row a passage."""
+    return G.parent_classes(chunk_paths(t))
+
+
 @add(f"WITH {_PATHS} SELECT chunk_id, min(chunk_id) OVER w AS class_id, CAST(count(*) OVER w - 1 AS BIGINT) AS n_links FROM ch WINDOW w AS (PARTITION BY p)")
 def kg3_sibling_edges(t: Tables) -> DataFrame:
     """Passages with the class of their path and their number of siblings: every edge, without n^2 rows of a path."""

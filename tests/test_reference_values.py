@@ -190,6 +190,7 @@ def test_edits(spark):
 def test_graph(spark):
     df = spark.createDataFrame([(1, "T"), (2, "T > C"), (3, "T > X > Y"), (4, "T > C"), (5, "Z")], "chunk_id int, hierarchy_path string")
     assert {tuple(r) for r in G.parent_edges(df).collect()} == {(2, 1), (4, 1), (3, 1)}
+    assert {tuple(r) for r in G.parent_classes(df).collect()} == {(2, "T", 1, 1), (4, "T", 1, 1), (3, "T", 1, 1)}
     assert sorted(map(tuple, G.sibling_classes(df).collect())) == [(1, 1, 0), (2, 2, 1), (3, 3, 0), (4, 2, 1), (5, 5, 0)]
     assert {tuple(r) for r in G.links_by_source(df).where("n > 0").collect()} == {(2, 1)}
 
