@@ -339,6 +339,55 @@ def test_constant_blocks_inside_articles_go(spark):
     assert {r["page_id"]: r["text"] for r in got} == {k: f"Title {k}\n\nOwn words {k}." for k in range(5)}
 
 
+def test_paragraphs_that_an_article_shares_stay(spark):
+    page = "<html><body><article><h1>Title {0}</h1><p>Own words {0}.</p><p>This story was first published elsewhere.</p></article></body></html>"
+    rows = [(k, f"http://paper.example/{k}", page.format(k)) for k in range(5)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Title {k}\n\nOwn words {k}.\n\nThis story was first published elsewhere." for k in range(5)}
+
+
+def bare(k):
+    """A page of nothing but plain blocks: menu, varying side link, article with a varying number of paragraphs, list of links, footer."""
+    story = "".join(f"<p>Paragraph {j} of story {k} tells what happened there on day {j * k}.</p>" for j in range(2 + k % 3))
+    menu = "".join(f"<li><a href=/{j}>Part {j}</a></li>" for j in range(4 + k % 2))
+    return (
+        f"<html><body><div><ul>{menu}</ul></div><div><a href=/x>See also story {k}</a></div><div><h1>Head {k}</h1>{story}"
+        f"<div><a href=/{k}>Related {k}</a> <a href=/{k + 1}>Related {k + 1}</a></div><div><p>All rights reserved</p></div></div><div>Page {k} of the host</div></body></html>"
+    )
+
+
+def test_template_finds_articles_without_marks(spark):
+    rows = [(k, f"http://bare.example/{k}", bare(k)) for k in range(8)]
+    rows.append((99, "http://bare.example/other", "<html><body><p>Page of another kind</p></body></html>"))
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k] == "\n\n".join([f"Head {k}"] + [f"Paragraph {j} of story {k} tells what happened there on day {j * k}." for j in range(2 + k % 3)])
+        assert html.extract(bare(k)) != got[k]  # the page's own tags don't tell
+    assert got[99] == "Page of another kind"
+
+
+def test_classes_are_those_of_whole_vectors(spark):
+    pages = [bare(k) for k in range(8)]
+    rows = [(k, f"http://bare.example/{k}", p) for k, p in enumerate(pages)]
+    found = [r.asDict() for r in html.occurrences(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    tags = {r["token"]: r for r in found if not r["flags"] & html.TEXT}
+    # Brute force: vectors of counts instead of hashes, and for each tag the nearest tag around it that has another vector.
+    counts = [html.tokens(p) for p in pages]
+    vectors = {t: tuple(c[t][2] if t in c else 0 for c in counts) if t else (1,) * len(pages) for t in {0}.union(*counts)}
+    enough = {t for t, v in vectors.items() if sum(n > 0 for n in v) >= max(2, html.SUPPORT * len(pages))}
+    above = {t: c[t][0] for c in counts for t in c}
+    assert set(tags) == {t for t in enough if t == 0 or not any(c[t][1] & html.TEXT for c in counts if t in c)}
+
+    def slot(t):
+        while t and vectors[above[t]] == vectors[t]:
+            t = above[t]
+        return (vectors[t], above[t] if t else None)
+
+    told = html.nested(tags)
+    group = lambda key: sorted(sorted(t for t in tags if key(t) == k) for k in {key(t) for t in tags})
+    assert group(told.get) == group(slot) and len(group(slot)) >= 3
+
+
 def test_fixity_finds_all_damage(spark):
     rng = np.random.default_rng(4)
     rows = [(f"a{k % 3}", int(o), 50, hashlib.sha256(bytes([k % 250, k // 250])).hexdigest()) for k, o in enumerate(np.arange(900) * 3000)]
