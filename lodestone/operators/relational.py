@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from lodestone.sources.scratch import written
 
@@ -43,6 +43,28 @@ def require_all(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return known.join(wanted.select(key).distinct(), key, "left_semi")
 
 
+def resolved(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``require_all`` within the plan, for keys of any number: a key that isn't known (null is none) fails the job that reads ``key`` and is named by the
+    error. Nothing is collected; a plan that prunes ``key`` doesn't check it."""
+    columns = [F.col(f"known.`{c}`").alias(c) for c in known.columns if c != key]
+    asked = wanted.select(F.col(key).alias("_r_key")).distinct().alias("asked")
+    found = asked.join(known.withColumn("_r_known", F.lit(True)).alias("known"), F.col("_r_key") == F.col(f"known.`{key}`"), "left")
+    error = F.raise_error(F.concat(F.lit("not found: "), F.coalesce(F.col("_r_key").cast("string"), F.lit("null"))))
+    return found.select(F.when(F.col("_r_known"), F.col("_r_key")).otherwise(error.cast(known.schema[key].dataType)).alias(key), *columns)
+
+
+def kept_and_counted(df: DataFrame, keep: Column, name: str) -> tuple[DataFrame, dict[str, int]]:
+    """The rows of ``df`` that ``keep`` holds for, written, and how many there were (``raw``, ``kept``, ``lost``), counted by the job that writes them.
+
+    The counts are observed in that job's last stage, of whose tasks one attempt each counts, so lost executors don't spoil them. A null
+    condition is a lost row.
+    """
+    seen = Observation(name)
+    n, held = F.count(F.lit(1)), F.count_if(F.coalesce(keep, F.lit(False)))
+    marked = df.observe(seen, n.alias("raw"), held.alias("kept"), (n - held).alias("lost"))
+    return written(marked.where(keep), name), seen.get
+
+
 def optional_filters(df: DataFrame, equals: Mapping[str, object | None], search: str | None = None, search_in: Sequence[str] = (), **multi: Sequence | None) -> DataFrame:
     """Conditions that are given; a value of None is no condition. The search is a plain substring, whatever its case."""
     for column, value in equals.items():

@@ -111,6 +111,12 @@ def pf5_missing_keys(t: Tables) -> DataFrame:
     return R.missing_keys(t.documents, t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
+@add("SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def pf5_resolved(t: Tables) -> DataFrame:
+    """Labelled documents; a label of an unknown document fails the job."""
+    return R.resolved(t.labels, t.documents.select("doc_id", "source", "n_chars"), "doc_id")
+
+
 @add("SELECT p_partkey, p_name, p_brand FROM part WHERE p_size > 10 AND (contains(lower(p_name), 'an') OR contains(lower(p_brand), 'an'))")
 def pf6_dynamic_filters(t: Tables) -> DataFrame:
     return R.optional_filters(t.part.where("p_size > 10"), {"p_type": None}, "AN", ("p_name", "p_brand")).select("p_partkey", "p_name", "p_brand")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.operators import graph as G, relational as R, retrieval as V
 from lodestone.operators.vector import build_index, top_k
@@ -168,6 +168,15 @@ def r15_diagnostics(t: Tables) -> DataFrame:
     return kept.withColumn("lost", F.col("raw") - F.col("kept"))
 
 
+@add(f"""WITH {_POOL}, u AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY query_id, rank) AS k FROM pool)
+SELECT query_id, chunk_id, rank, (SELECT CAST(count(*) AS BIGINT) FROM u) AS raw, (SELECT CAST(count(*) AS BIGINT) FROM u WHERE k = 1) AS all_kept, (SELECT CAST(count(*) AS BIGINT) FROM u WHERE k > 1) AS lost FROM u WHERE k = 1""")
+def r15_observed(t: Tables) -> DataFrame:
+    """Passages that the first module keeps, beside how many there were, counted in the same pass."""
+    first = F.row_number().over(Window.partitionBy("chunk_id").orderBy("query_id", "rank")) == 1
+    kept, seen = R.kept_and_counted(pool_of(t).withColumn("first", first), F.col("first"), "kept")
+    return kept.select("query_id", "chunk_id", "rank", F.lit(seen["raw"]).cast("long").alias("raw"), F.lit(seen["kept"]).cast("long").alias("all_kept"), F.lit(seen["lost"]).cast("long").alias("lost"))
+
+
 @add(f"WITH {_POOL} SELECT query_id, CAST(count(*) AS BIGINT) AS before, CAST(count(*) FILTER (score > 0.2) AS BIGINT) AS after, count(*) >= 5 AND count(*) FILTER (score > 0.2) >= 5 AS enough FROM pool GROUP BY 1")
 def r16_gates(t: Tables) -> DataFrame:
     before, after = F.count("*"), F.count_if(F.col("score") > 0.2)

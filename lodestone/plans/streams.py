@@ -1,4 +1,4 @@
-"""Queries of event streams and of file sinks, over the events table."""
+"""Queries of event streams and of file sources and sinks, over the events and part tables."""
 
 from __future__ import annotations
 
@@ -75,6 +75,31 @@ def _path(t: Tables, name: str) -> str:
     return f"{shared_dir(t.spark)}/lodestone/{t.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+@add("""WITH c AS (SELECT p_brand AS slug, list_sort(list(DISTINCT p_type)) AS regs, min(p_size) AS min_hours, max(p_size) AS max_hours, p_brand LIKE '%1' AS regional, list_sort(list(p_name || ' ' || p_partkey)) AS modules FROM part GROUP BY p_brand),
+m AS (SELECT *, unnest(modules) AS module, unnest(range(len(modules))) AS position FROM c)
+SELECT slug, CAST(position AS INTEGER) AS position, module, CAST(len(regs) AS INTEGER) AS n_regs, min_hours, max_hours, regional FROM m""")
+def io5_catalog(t: Tables) -> DataFrame:
+    """Brands as course types with their parts as modules: written as objects keyed by slug, read as a catalog, modules in their order. A slug's
+    row holds all its modules, as an entry of a catalog does."""
+    lists = [F.array_sort(F.collect_set("p_type")).alias("regs"), F.array_sort(F.collect_list(F.concat_ws(" ", "p_name", "p_partkey"))).alias("default_modules")]
+    entries = t.part.groupBy(F.col("p_brand").alias("slug")).agg(*lists, F.min("p_size").alias("min_hours"), F.max("p_size").alias("max_hours"))
+    regional = F.when(F.endswith("slug", F.lit("1")), True)  # not given where it doesn't hold
+    files.write_catalog(entries.withColumns({"title": F.concat(F.lit("Course "), "slug"), "regional": regional}), path := _path(t, "catalog"))
+    found = files.read_catalog(t.spark, path, lines=True)
+    return found.select("slug", F.posexplode("default_modules").alias("position", "module"), F.size("regs").alias("n_regs"), "min_hours", "max_hours", "regional")
+
+
+@add("""WITH i AS (SELECT 'parts/' || p_partkey || '.svg' AS file_path, string_split(lower(p_type || ' ' || p_brand), ' ') AS tags, p_brand AS source FROM part), g AS (SELECT *, unnest(tags) AS tag FROM i)
+SELECT tag, source, CAST(count(*) AS BIGINT) AS images, min(file_path) AS first_path FROM g GROUP BY ALL""")
+def io6_manifest(t: Tables) -> DataFrame:
+    """Parts as images of a manifest, written and read again: images and the least path of each tag and source."""
+    path, tags = F.concat(F.lit("parts/"), "p_partkey", F.lit(".svg")), F.split(F.lower(F.concat_ws(" ", "p_type", "p_brand")), " ")
+    images = t.part.select(path.alias("file_path"), tags.alias("tags"), F.col("p_brand").alias("source"), F.lit("Public Domain").alias("license"), F.col("p_name").alias("attribution"), F.lit(None).cast("string").alias("source_url"))
+    files.write_manifest(images, folder := _path(t, "manifest"))
+    found = files.read_manifest(t.spark, folder, lines=True).select(F.explode("tags").alias("tag"), "source", "file_path")
+    return found.groupBy("tag", "source").agg(F.count("*").alias("images"), F.min("file_path").alias("first_path"))
+
+
 @add("SELECT event_id, event_type, value FROM events")
 def io16_csv_sink(t: Tables) -> DataFrame:
     """Written and read again."""

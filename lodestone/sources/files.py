@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MANIFEST = "file_path string, tags array<string>, source string, license string, attribution string, source_url string"
+CATALOG = "map<string, struct<title:string,regs:array<string>,min_hours:int,max_hours:int,regional:boolean,default_modules:array<string>>>"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -28,9 +29,29 @@ def append_audit(df: DataFrame, path: str, created: str = "created_at") -> None:
     df.withColumn("day", F.to_date(created)).write.mode("append").partitionBy("day").parquet(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of images with their tags."""
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of images with their tags a file, or, with ``lines``, one on each line, so that large files are split."""
+    return spark.read.schema(MANIFEST).option("multiLine", not lines).json(path)
+
+
+def write_manifest(df: DataFrame, path: str) -> None:
+    """Images as lines of one-element arrays, as ``read_manifest(lines=True)`` takes them."""
+    columns = [f.split()[0] for f in MANIFEST.split(", ")]
+    df.select(F.to_json(F.array(F.struct(*columns))).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Course types from JSON objects keyed by slug, one a file or, with ``lines``, one a line: slug, title, regs, min_hours, max_hours, regional
+    (false where it isn't given), default_modules. Text that is no such object gives no row."""
+    entries = F.from_json("value", CATALOG)
+    found = spark.read.text(path, wholetext=not lines).select(F.explode(entries).alias("slug", "x")).select("slug", "x.*")
+    return found.withColumn("regional", F.coalesce("regional", F.lit(False)))
+
+
+def write_catalog(df: DataFrame, path: str) -> None:
+    """Course types as lines of objects with one slug each."""
+    entry = F.struct("title", "regs", "min_hours", "max_hours", "regional", "default_modules")
+    df.select(F.to_json(F.create_map("slug", entry)).alias("value")).write.mode("overwrite").text(path)
 
 
 def catalog(spark: SparkSession, entries: list[tuple]) -> DataFrame:

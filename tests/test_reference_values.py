@@ -200,6 +200,13 @@ def test_relational_blocks(spark):
     with pytest.raises(LookupError, match="x, y"):
         R.require_all(spark.createDataFrame([("a",), ("y",), ("x",)], "slug string"), known, "slug")
     assert R.require_all(spark.createDataFrame([("a",)], "slug string"), known, "slug").count() == 1
+    assert [tuple(r) for r in R.resolved(spark.createDataFrame([("b",), ("b",)], "slug string"), known, "slug").collect()] == [("b", 2)]
+    for wanted in ("y", None):
+        with pytest.raises(Exception, match=f"not found: {wanted or 'null'}"):
+            R.resolved(spark.createDataFrame([("a",), (wanted,)], "slug string"), known, "slug").collect()
+    kept, seen = R.kept_and_counted(spark.createDataFrame([(1,), (5,), (None,)], "n int"), F.col("n") > 2, "kept")
+    assert [r["n"] for r in kept.collect()] == [5] and seen == {"raw": 3, "kept": 1, "lost": 2}
+    assert R.kept_and_counted(known.limit(0), F.lit(True), "kept")[1] == {"raw": 0, "kept": 0, "lost": 0}
     df = spark.createDataFrame([("r", s) for s in ("b", "a", None, "Sconosciuto", "a", "b")], "k string, v string")
     assert tuple(R.majority(df, ["k"], "v", ["Sconosciuto"]).first()) == ("r", "a", 2, 4, 0.5)
     assert [r["q"] for r in R.quantile_by_index(spark.createDataFrame([("k", float(x)) for x in (4, 1, 3, 2)], "k string, v double"), ["k"], "v", 0.25, "q").collect()] == [2.0]
@@ -208,6 +215,15 @@ def test_relational_blocks(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "m.json").write_text('[{"file_path": "a.svg", "tags": ["x", "y"], "source": "s", "license": "l"}]')
     assert files.read_manifest(spark, str(tmp_path / "m.json")).first()["tags"] == ["x", "y"]
+    files.write_manifest(files.read_manifest(spark, str(tmp_path / "m.json")), str(tmp_path / "lines"))
+    assert files.read_manifest(spark, str(tmp_path / "lines"), lines=True).collect() == files.read_manifest(spark, str(tmp_path / "m.json")).collect()
+    (tmp_path / "c.json").write_text('{"s": {"title": "T",\n "regs": ["r"], "min_hours": 4, "max_hours": 8, "default_modules": ["m", "n"]},\n "h": {"title": "H", "regional": true}}')
+    entries = {r["slug"]: r for r in files.read_catalog(spark, str(tmp_path / "c.json")).collect()}
+    assert tuple(entries["s"]) == ("s", "T", ["r"], 4, 8, False, ["m", "n"]) and entries["h"]["regional"] and entries["h"]["regs"] is None
+    files.write_catalog(files.read_catalog(spark, str(tmp_path / "c.json")), str(tmp_path / "slugs"))
+    assert {r["slug"]: r for r in files.read_catalog(spark, str(tmp_path / "slugs"), lines=True).collect()} == entries
+    (tmp_path / "bad.json").write_text("[1, 2]")
+    assert files.read_catalog(spark, str(tmp_path / "bad.json")).count() == 0
     assert files.catalog(spark, [("s", "T", ["r"], 4, 8, False, ["m"])]).count() == 1
 
 
