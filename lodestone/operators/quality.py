@@ -18,21 +18,33 @@ LIMITS = (
 SCHEMA = "slide_type string, title_max int, items_min int, items_max int, item_words int, notes_min int, notes_max int, needs_image boolean, needs_options boolean, narrative boolean"
 MODULE_TARGET, MODULE_SHARE = 70, 0.7
 OVERUSED, NEAR_TITLES = 3, 2
+EXPECTED, ENOUGH, DEGRADED = 27, 0.8, 0.30  # slides of a module, share of them that is enough, share of modules with fewer that a course may have
 ISSUES = ("image_missing", "diagram_fallback", "quiz_options", "notes_short", "module_underpopulated", "image_overused", "title_near_duplicate", "citation_out_of_scope", "title_citation_out_of_scope")
 
 
+def scaled(words: Column, narrative: Column, seconds: Column) -> Column:
+    """Words of notes for slides of so many seconds, of narrative types; others, and slides of unknown length, keep theirs."""
+    grown = F.greatest(F.lit(1), F.bround(words * seconds / 45.0, 0).cast("int"))
+    return F.when(narrative & seconds.isNotNull(), grown).otherwise(words)
+
+
 def limits(spark: SparkSession, seconds: float = 45.0) -> DataFrame:
     """The table of limits, ten rows; notes of narrative types scale with the seconds of a slide."""
-    scaled = lambda c: F.when(F.col("narrative"), F.greatest(F.lit(1), F.bround(F.col(c) * (seconds / 45.0), 0).cast("int"))).otherwise(F.col(c))
-    return spark.createDataFrame(list(LIMITS), SCHEMA).withColumns({"notes_min": scaled("notes_min"), "notes_max": scaled("notes_max")})
+    return _scaled_notes(spark.createDataFrame(list(LIMITS), SCHEMA), F.lit(float(seconds)))
+
 
+def _scaled_notes(rules: DataFrame, seconds: Column) -> DataFrame:
+    return rules.withColumns({c: scaled(F.col(c), F.col("narrative"), seconds) for c in ("notes_min", "notes_max")})
 
-def violations(slides: DataFrame, rules: DataFrame) -> DataFrame:
+
+def violations(slides: DataFrame, rules: DataFrame, seconds: Column | None = None) -> DataFrame:
     """``slides`` (slide_type, title, items, notes, has_image, options, correct) with ``violations`` and ``notes_low``.
 
-    Slides of an unknown type pass. An opening slide may have one item, its subtitle.
+    Slides of an unknown type pass. An opening slide may have one item, its subtitle. ``seconds`` of each slide scale limits that aren't scaled yet.
     """
     joined = slides.join(F.broadcast(rules), "slide_type", "left")  # ten rows
+    if seconds is not None:
+        joined = _scaled_notes(joined, seconds)
     n, opening = F.size("items"), F.col("slide_type") == "MODULE_OPEN"
     none = F.col("items_max") == 0
     long_item = F.exists("items", lambda x: word_count(x) > F.col("item_words"))
@@ -50,6 +62,14 @@ def violations(slides: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumns({"violations": names, "notes_low": low}).drop(*[c for c in rules.columns if c != "slide_type"])
 
 
+def course_gate(slides: DataFrame, course: str, module: str, expected: int = EXPECTED) -> DataFrame:
+    """(course, modules, degraded, status): courses of which over three tenths of the modules have under four fifths of the expected slides are partial."""
+    made = slides.groupBy(course, module).agg(F.count("*").alias("n"))
+    few = F.count_if(F.col("n") < int(expected * ENOUGH))
+    counted = made.groupBy(course).agg(F.count("*").alias("modules"), few.alias("degraded"))
+    return counted.withColumn("status", F.when(F.col("degraded") / F.col("modules") > DEGRADED, "partial").otherwise("completed"))
+
+
 def slide_issues(slides: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, issue, severity) of each slide by itself: slide_type, strategy, n_options, notes_words."""
     kind = F.col("slide_type")

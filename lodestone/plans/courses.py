@@ -191,22 +191,36 @@ def al8_previous_recap(t: Tables) -> DataFrame:
 SELECT course, idx, concat_ws(',', CASE WHEN len > {_limit(1)} THEN 'title' END, CASE WHEN {_limit(3)} = 0 THEN CASE WHEN kind = 'MODULE_OPEN' THEN CASE WHEN n > 1 THEN 'items' END WHEN n > 0 THEN 'items' END WHEN n > {_limit(3)} OR n < {_limit(2)} THEN 'items' END,
 CASE WHEN notes > {_limit(6)} THEN 'notes' END, CASE WHEN kind IN ('CONTENT_IMAGE', 'DIAGRAM') AND idx % 2 = 0 THEN 'image' END, CASE WHEN kind = 'QUIZ' AND idx % 3 = 0 THEN 'options' END) AS violations, notes < {_limit(5)} AS notes_low FROM x""")
 def pf11_constraint_validation(t: Tables) -> DataFrame:
-    """Also PF12 at 45 seconds a slide, where limits keep their base values."""
+    """At 45 seconds a slide, where limits keep their base values."""
+    return Q.violations(_judged(t), Q.limits(t.spark)).select("course", "idx", F.array_join("violations", ",").alias("violations"), "notes_low")
+
+
+def _judged(t: Tables) -> DataFrame:
     n, idx = F.col("l_quantity").cast("int") % 7, F.col("idx")
     options = F.when(idx % 3 == 0, F.array(F.lit("a"))).otherwise(F.array(*map(F.lit, "abcd")))
-    rows = slides(t).select(
+    return slides(t).select(
         "course", "idx", F.col("kind").alias("slide_type"), F.repeat(F.lit("t"), (F.col("l_partkey") % 100).cast("int")).alias("title"),
         F.when(n > 0, F.array_repeat(F.lit("una voce"), n)).otherwise(F.array().cast("array<string>")).alias("items"), F.trim(F.repeat(F.lit("p "), (F.col("l_quantity") * 4).cast("int"))).alias("notes"),
         (idx % 2 != 0).alias("has_image"), options.alias("options"), F.lit(1).alias("correct"),
     )
-    return Q.violations(rows, Q.limits(t.spark)).select("course", "idx", F.array_join("violations", ",").alias("violations"), "notes_low")
+
+
+_NARRATIVE = ", ".join(f"'{r[0]}'" for r in Q.LIMITS if r[9])
+
+
+@add(f"""WITH {_SLIDES}, l AS (SELECT course, idx, kind, l_quantity * 4 AS notes, CAST(20 + course % 200 AS DOUBLE) AS s, {_limit(5)} AS least, {_limit(6)} AS most FROM sl),
+x AS (SELECT *, CASE WHEN kind IN ({_NARRATIVE}) THEN greatest(1, round_even(least * s / 45, 0)) ELSE least END AS notes_min, CASE WHEN kind IN ({_NARRATIVE}) THEN greatest(1, round_even(most * s / 45, 0)) ELSE most END AS notes_max FROM l)
+SELECT course, idx, notes > notes_max AS notes_high, notes < notes_min AS notes_low FROM x""")
+def pf12_scaled_validation(t: Tables) -> DataFrame:
+    """Notes against limits that grow with each course's seconds a slide."""
+    found = Q.violations(_judged(t), Q.limits(t.spark), (20 + F.col("course") % 200).cast("double"))
+    return found.select("course", "idx", F.array_contains("violations", "notes").alias("notes_high"), "notes_low")
 
 
 @add("""SELECT o_orderkey, CAST(greatest(1, round_even(90 * s / 45, 0)) AS INTEGER) AS notes_min, CAST(greatest(1, round_even(160 * s / 45, 0)) AS INTEGER) AS notes_max FROM (SELECT o_orderkey, CAST(20 + o_orderkey % 200 AS DOUBLE) AS s FROM orders)""")
 def pf12_constraint_scaling(t: Tables) -> DataFrame:
     s = (20 + F.col("o_orderkey") % 200).cast("double")
-    scaled = lambda n: F.greatest(F.lit(1), F.bround(n * s / 45, 0).cast("int"))
-    return t.orders.select("o_orderkey", scaled(90).alias("notes_min"), scaled(160).alias("notes_max"))
+    return t.orders.select("o_orderkey", *(Q.scaled(F.lit(n), F.lit(True), s).alias(c) for n, c in ((90, "notes_min"), (160, "notes_max"))))
 
 
 def issues(t: Tables) -> DataFrame:

@@ -176,6 +176,11 @@ def test_slide_limits(spark):
     by = dict(zip(range(7), got, strict=True))
     assert sorted(map(str, by.values())) == sorted(map(str, [([], False), (["title", "items", "item_words", "notes"], False), (["image"], False), (["options"], False), (["options"], False), ([], True), ([], False)]))
     assert Q.limits(spark, 90.0).where("slide_type = 'RECAP'").first()["notes_max"] == 320
+    scaled = Q.violations(spark.createDataFrame(rows, schema), Q.limits(spark), F.lit(90.0)).collect()
+    at_once = Q.violations(spark.createDataFrame(rows, schema), Q.limits(spark, 90.0)).collect()
+    assert scaled == at_once and Q.violations(spark.createDataFrame(rows, schema), Q.limits(spark), F.lit(None).cast("double")).count() == len(rows)
+    made = spark.createDataFrame([(c, m) for c, sizes in (("a", (27, 21, 20)), ("b", (27, 27, 21, 20))) for m, n in enumerate(sizes) for _ in range(n)], "course string, module int")
+    assert {tuple(r) for r in Q.course_gate(made, "course", "module").collect()} == {("a", 3, 1, "partial"), ("b", 4, 1, "completed")}
 
 
 def test_edits(spark):
