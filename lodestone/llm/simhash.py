@@ -7,7 +7,8 @@ root, bits in which they differ add up, and a pair beyond three is pruned. All b
 in numpy. A bucket sends a tree of links, not all pairs, and stars of links are merged until components stand.
 
 ``one_of_each`` takes a wide budget, for texts of a given similarity: there fingerprints meet in buckets of texts that share minima of
-their shingles, so that buckets hold texts with common words however large the corpus is, and pairs within the budget are compared exactly.
+their shingles, so that buckets hold texts with common words however large the corpus is; each is a trie that is traversed under that budget,
+and pairs within it are compared exactly. One row stands for all copies of a text.
 
 A bucket larger than ``CHUNK`` is dealt by hash into chunks whose pairs are joined in tasks of their own: exact, and no
 task holds more than two chunks.
@@ -37,6 +38,9 @@ CHUNK = 1024
 NEAR_CHUNK = 8192  # under a wide budget, where a class sends one pair a bucket
 PER_BUCKET = 256
 SLAB = 16384
+FRONTIER = 1 << 14  # pairs of nodes at once
+PAIRS = 1 << 18  # pairs of values at once
+LEAF = 64  # pairs of values of two nodes that are compared as they are, under a wide budget
 SKETCH = 1024
 KEYS = 10  # of two minima each: texts of similarity 0.8 share none with a chance of 0.36 ** 10
 _MIX = np.random.default_rng(9).integers(0, 1 << 63, (4, KEYS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,40 +107,59 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", keep_text: bool = Tr
     return df.mapInArrow(add, ", ".join([*fields, *(f"{c} {kind}" for c, kind in added.items())]))
 
 
-def traverse(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs within a group that differ in at most three bits; values ascend within each group.
+def _products(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs x < y of positions of pairs of nodes, in blocks."""
+    rows = a1 - a0
+    at = np.repeat(np.arange(len(a0)), rows)
+    left = np.arange(len(at)) - np.repeat(np.cumsum(rows) - rows, rows) + a0[at]
+    start = np.maximum(b0[at], left + 1)  # a node with itself: each pair once
+    partners = b1[at] - start
+    ends = np.cumsum(partners)
+    s = 0
+    while s < len(at):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + PAIRS, "right")))
+        n = partners[s:e]
+        yield np.repeat(left[s:e], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[s:e], n)
+        s = e
 
-    A node is a range of positions that share the bits so far; the walk holds pairs of nodes.
+
+def traverse(values: np.ndarray, group: np.ndarray, most: int = MOST, leaf: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of the pairs x < y of indices within a group that differ in at most ``most`` bits; values ascend within each group.
+
+    A node is a range of positions that share the bits so far; the walk holds pairs of nodes, at most ``FRONTIER`` at once, and goes
+    down the first of them first. A pair of nodes of at most ``leaf`` pairs of values is compared value by value.
     """
     edges = np.flatnonzero(np.diff(group)) + 1
     lo = np.concatenate([[0], edges]).astype(np.int64)
     hi = np.concatenate([edges, [len(values)]]).astype(np.int64)
     many = hi - lo > 1
-    a0, a1 = lo[many], hi[many]
-    b0, b1, cost = a0.copy(), a1.copy(), np.zeros(len(a0), np.int8)
-    left, right = [], []
-    for bit in range(BITS - 1, -1, -1):
+    waiting = [(BITS - 1, (lo[many], hi[many], lo[many], hi[many], np.zeros(int(many.sum()), np.int8)))]
+    ones: dict[int, np.ndarray] = {}
+    while waiting:
+        bit, nodes = waiting.pop()
+        a0, a1, b0, b1, cost = nodes
+        small = ((a1 - a0) * (b1 - b0) <= leaf) | (bit < 0)  # beyond the last bit the values of a node are equal
+        for x, y in _products(*(z[small] for z in nodes[:4])):
+            near = np.bitwise_count(values[x] ^ values[y]) <= most
+            yield x[near], y[near]
+        a0, a1, b0, b1, cost = (z[~small] for z in nodes)
+        if len(a0) > FRONTIER:
+            waiting += [(bit, tuple(z[k : k + FRONTIER] for z in (a0, a1, b0, b1, cost))) for k in range(0, len(a0), FRONTIER)]
+            continue
         if not len(a0):
-            break
-        ones = np.concatenate([[0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])  # where each node's upper child begins
+            continue
+        if bit not in ones:
+            ones[bit] = np.concatenate([[0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
+        up = ones[bit]
+        am, bm = a1 - (up[a1] - up[a0]), b1 - (up[b1] - up[b0])  # where each node's upper child begins
         same = a0 == b0
         made = (
             (a0, am, b0, bm, cost), (am, a1, bm, b1, cost),
-            (a0, am, bm, b1, cost + 1), *[(x[~same] for x in (am, a1, b0, bm, cost + 1))],
+            (a0, am, bm, b1, cost + 1), tuple(z[~same] for z in (am, a1, b0, bm, cost + 1)),
         )
-        a0, a1, b0, b1, cost = (np.concatenate(x) for x in zip(*map(tuple, made), strict=True))
-        live = (a1 > a0) & (b1 > b0) & (cost <= MOST) & ~((a0 == b0) & (a1 - a0 == 1))
-        a0, a1, b0, b1, cost = (x[live] for x in (a0, a1, b0, b1, cost))
-        single = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if single.any():
-            x, y = a0[single], b0[single]
-            near = np.bitwise_count(values[x] ^ values[y]) <= MOST
-            left.append(x[near])
-            right.append(y[near])
-            a0, a1, b0, b1, cost = (x[~single] for x in (a0, a1, b0, b1, cost))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+        a0, a1, b0, b1, cost = (np.concatenate(z) for z in zip(*made, strict=True))
+        live = (a1 > a0) & (b1 > b0) & (cost <= most) & ~((a0 == b0) & (a1 - a0 == 1))
+        waiting.append((bit - 1, tuple(z[live] for z in (a0, a1, b0, b1, cost))))
 
 
 def spanning(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,6 +178,16 @@ def spanning(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = after
 
 
+def _slabs(change: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole buckets of about ``SLAB`` rows, where ``change`` marks a bucket's first row."""
+    bounds, n, at = np.append(np.flatnonzero(change), len(change)), len(change), 0
+    while at < n:
+        k = int(np.searchsorted(bounds, at + SLAB, "right")) - 1
+        to = int(bounds[k] if bounds[k] > at else bounds[k + 1])
+        yield at, to
+        at = to
+
+
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of buckets; rows come sorted by bucket, and the last bucket of a batch waits for the next batch."""
 
@@ -164,16 +197,12 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         order = np.lexsort((values, group))
         values = values[order]
         out = []
-        bounds = np.flatnonzero(change)
-        at = 0
-        while at < len(values):  # slabs of whole buckets
-            k = int(np.searchsorted(bounds, at + SLAB, "right")) - 1
-            to = len(values) if len(values) - at <= SLAB else int(bounds[k]) if bounds[k] > at else int(bounds[k + 1]) if k + 1 < len(bounds) else len(values)
+        for at, to in _slabs(change):
             own = values[at:to]
-            root = spanning(len(own), *traverse(own, group[at:to]))
+            pairs = [(np.zeros(0, np.int64),) * 2, *traverse(own, group[at:to])]
+            root = spanning(len(own), *(np.concatenate(x) for x in zip(*pairs, strict=True)))
             moved = np.flatnonzero(root != np.arange(len(own)))
             out.append((own[moved], own[root[moved]]))
-            at = to
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -258,34 +287,42 @@ def _apart(similarity: float, size_a, size_b, bits_a, bits_b) -> np.ndarray:
     return np.where(apart * (1 + similarity) <= (1 - similarity) * (size_a + size_b) + 1e-6, apart, -1)
 
 
+def _least(node: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of positions the one of least ``d``, then ``node[y]``, for each ``node[x]``."""
+    rank = np.lexsort((node[y], d, node[x]))
+    first = rank[np.concatenate([[True], node[x][rank][1:] != node[x][rank][:-1]])] if len(rank) else rank
+    return x[first], y[first], d[first]
+
+
 def _near_pairs(most: int, nearest: bool, similarity: float):
     """Pairs (a, b, bits apart, root of a, root of b) of a bucket's classes that differ in at most ``most`` bits, lie in different components and can be similar: of each
-    class the nearest by sketch of the smaller ones, or all. Nodes of the trie are compared whole: under a wide budget none is pruned before it is small."""
+    class the nearest by sketch of the smaller ones, or all."""
 
-    def compare(rows: np.ndarray, sketch: np.ndarray, out: list) -> None:
+    def compare(rows: np.ndarray, sketch: np.ndarray, group: np.ndarray, out: list) -> None:
         values, node, root, size = rows[:, 3].view(np.uint64), rows[:, 4], rows[:, 5], rows[:, 6]
-        for at in range(0, len(node), 256):
-            to = min(at + 256, len(node))
-            bits = np.bitwise_count(values[at:to, None] ^ values[None, :])
-            x, y = np.nonzero((bits <= most) & (root[at:to, None] != root[None, :]) & (node[at:to, None] > node[None, :]))
-            apart = [np.zeros(0, np.int64)]
+        best = [(np.zeros(0, np.int64),) * 3]
+        for x, y in traverse(values, group, most, LEAF):
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            x, y = np.where(node[x] > node[y], x, y), np.where(node[x] > node[y], y, x)
             for k in range(0, len(x), 1 << 16):
-                i, j = x[k : k + (1 << 16)] + at, y[k : k + (1 << 16)]
-                apart.append(_apart(similarity, size[i], size[j], sketch[i], sketch[j]))
-            d = np.concatenate(apart)
-            x, y, d = x[d >= 0], y[d >= 0], d[d >= 0]
-            if nearest and len(x):
-                rank = np.lexsort((node[y], d, x))
-                first = rank[np.concatenate([[True], x[rank][1:] != x[rank][:-1]])]
-                x, y, d = x[first], y[first], d[first]
-            out.append((node[at + x], node[y], d, root[at + x], root[y]))
+                i, j = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                d = _apart(similarity, size[i], size[j], sketch[i], sketch[j])
+                best.append(_least(node, i[d >= 0], j[d >= 0], d[d >= 0]) if nearest else (i[d >= 0], j[d >= 0], d[d >= 0]))
+        x, y, d = (np.concatenate(z) for z in zip(*best, strict=True))
+        if nearest:
+            x, y, d = _least(node, x, y, d)
+        out.append((node[x], node[y], d, root[x], root[y]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            change = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+            group = np.cumsum(change)
+            order = np.lexsort((rows[:, 3].view(np.uint64), group))
+            rows, sketch = rows[order], sketch[order]
             out: list = [(np.zeros(0, np.int64),) * 5]
-            for s, e in zip(np.append(0, cuts), np.append(cuts, len(rows)), strict=True):
-                compare(rows[s:e], sketch[s:e], out)
+            for s, e in _slabs(change):
+                compare(rows[s:e], sketch[s:e], group[s:e], out)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "d", "root_a", "root_b"])
 
         rows, sketch = np.zeros((0, 7), np.int64), np.zeros((0, SKETCH // 64), np.uint64)
@@ -347,19 +384,20 @@ def similar_classes(prints: DataFrame, text_col: str, shingle: int, most: int, s
     texts have by then, so that each step merges only what the one before left apart.
     """
     names = ("fp", "size", "bits", "keys")
-    classes = written(prints.groupBy(F.col("_s_class").alias("class")).agg(*(F.first(f"_s_{c}").alias(c) for c in names)), "classes")
+    classes = written(prints.groupBy(F.col("_s_class").alias("class")).agg(F.min("_s_row").alias("row"), *(F.first(f"_s_{c}").alias(c) for c in names)), "classes")
     rooted = classes.withColumn("root", F.col("class"))
     for nearest in (True, True, False):
         pairs = written(near_pairs(rooted, most, nearest, similarity), "pairs")
-        paired = pairs.select(F.col("a").alias("_s_class")).union(pairs.select("b")).distinct()
-        texts = prints.select("_s_class", text_col).join(paired, "_s_class", "left_semi").groupBy("_s_class").agg(F.first(text_col).alias("text"))
-        texts = written(texts, "texts")
+        paired = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        # One row stands for a class, so that copies of a text don't meet in a task.
+        paired = written(rooted.select("class", "row").join(paired, "class", "left_semi").select(F.col("row").alias("_s_row")), "paired")
+        texts = written(prints.select("_s_row", "_s_class", F.col(text_col).alias("text")).join(paired, "_s_row", "left_semi"), "texts")
         left = texts.select(F.col("_s_class").alias("a"), F.col("text").alias("x"))
         right = texts.select(F.col("_s_class").alias("b"), F.col("text").alias("y"))
         read = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("root_a", "root_b", "x", "y")
         alike = written(read.mapInArrow(_alike(shingle, similarity), "a bigint, b bigint"), "alike")
         merged = components(alike).select(F.col("root").alias("top"), F.col("node").alias("root"))
-        rooted = rooted.join(merged, "root", "left").select("class", *names, F.coalesce("top", "root").alias("root"))
+        rooted = rooted.join(merged, "root", "left").select("class", "row", *names, F.coalesce("top", "root").alias("root"))
     return rooted.select("class", "root")
 
 
@@ -369,13 +407,13 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Of several rows with that id the one whose columns hash least stays, so reruns agree.
     """
     id_, text = place(df, id_col), place(df, text_col)
-    prints = written(with_fingerprint(plain(df), text, shingle=shingle, with_class=True), "fingerprinted")
+    columns = [F.col(f"c{k}") for k, (_, kind) in enumerate(df.dtypes) if "map<" not in kind]
+    prints = with_fingerprint(plain(df), text, shingle=shingle, with_class=True)
+    prints = written(prints.withColumns({"_s_row": F.monotonically_increasing_id(), "_s_hash": F.xxhash64(*columns)}), "fingerprinted")
     rooted = similar_classes(prints, text, shingle, most, similarity).select(F.col("class").alias("_s_class"), F.col("root").alias("_s_root"))
-    ids = prints.groupBy("_s_class").agg(F.min(id_).alias("first_id")).join(rooted, "_s_class")
-    least = ids.groupBy("_s_root").agg(F.min("first_id").alias("_s_least"))
-    # Only classes that hold their component's smallest id are joined with the texts.
-    chosen = written(ids.join(least, "_s_root").where(F.col("first_id").eqNullSafe(F.col("_s_least"))).select("_s_class", "_s_root", "_s_least"), "chosen")
-    kept = prints.join(chosen.hint("merge"), "_s_class").where(F.col(id_).eqNullSafe(F.col("_s_least")))  # the same plan at every size
-    columns = [f"c{k}" for k in range(len(df.columns))]
-    order = F.xxhash64(*(f"c{k}" for k, (_, kind) in enumerate(df.dtypes) if "map<" not in kind))
-    return named(kept.groupBy("_s_root").agg(F.min_by(F.struct(*columns), order).alias("row")).select("row.*"), df)
+    # The row that stays is found by ids and hashes alone, of each class first; only then texts are read.
+    least = lambda rank: F.min(rank).alias("least")
+    firsts = prints.groupBy("_s_class").agg(least(F.struct(F.col(id_).isNull().alias("no"), F.col(id_).alias("id"), F.col("_s_hash").alias("hash"), F.col("_s_row").alias("row"))))
+    chosen = firsts.join(rooted, "_s_class").groupBy("_s_root").agg(least(F.col("least"))).select(F.col("least.row").alias("_s_row"))
+    kept = prints.join(written(chosen, "chosen").hint("merge"), "_s_row", "left_semi")  # the same plan at every size
+    return named(kept.select(*(f"c{k}" for k in range(len(df.columns)))), df)

@@ -184,6 +184,33 @@ def test_near_copies_are_one(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
 
 
+@pytest.mark.parametrize(("most", "leaf", "frontier"), [(0, 1, 1 << 14), (3, 1, 7), (3, 64, 1 << 14), (20, 64, 5), (64, 16, 50)])
+def test_trie_pairs_are_all_pairs_within_the_budget(monkeypatch, most, leaf, frontier):
+    monkeypatch.setattr(simhash, "FRONTIER", frontier)
+    monkeypatch.setattr(simhash, "PAIRS", 100)
+    rng = np.random.default_rng(most)
+    values = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = values[rng.integers(0, 40, 120)]
+    for _ in range(4):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64))
+    values = np.concatenate([values, near, near[:30]])
+    group = rng.integers(0, 3, len(values))
+    order = np.lexsort((values, group))
+    values, group = values[order], group[order]
+    want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if group[i] == group[j] and int(values[i] ^ values[j]).bit_count() <= most}
+    got = [(int(i), int(j)) for x, y in simhash.traverse(values, group, most, leaf) for i, j in zip(x, y, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_one_row_stands_for_all_copies(spark):
+    """Copies, rows of one id and rows without an id, beside near copies of the same text."""
+    rng = np.random.default_rng(8)
+    base = words(rng, 120, 650)
+    rows = [(7 + k % 3, base) for k in range(300)] + [(None, base)] * 40 + [(5, base + " tail"), (None, "of its own " * 9), (None, "of its own " * 9)]
+    got = sorted(map(tuple, simhash.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()), key=str)
+    assert got == [(5, base + " tail"), (None, "of its own " * 9)]
+
+
 def test_similar_sets_share_a_key():
     rng = np.random.default_rng(2)
     met = apart = 0
