@@ -7,8 +7,10 @@ dropped wherever they stand.
 
 Recurrence is counted in distinct texts, each with one context: the lengths and leading tokens of the nearest lines before and
 after whose leaves don't recur, so that the inner lines of a shared passage have the contexts of the passage. Boilerplate
-stands between ever other lines, whereas the lines of copied documents keep their neighbours. Texts with hardly a line of their own
-are near copies and don't count, so copies of a document don't make its own lines boilerplate. A document that holds nothing but
+stands between ever other lines, whereas the lines of copied documents keep their neighbours. Near copies don't count, so that copies of a
+document don't make its own lines boilerplate: texts in which at most a ninth of the three-word shingles are their own, which makes texts
+that share the rest similar to 0.8. A shingle is a text's own if it stands in lines that don't recur and in no other line, so that lines
+that were only edited aren't; short pages with a long footer have words of their own, and lose the footer. A document that holds nothing but
 recurring lines keeps its text: it is for the document deduplication to judge.
 
 Everything is counted by groups with partial aggregates; leaves of any size are spread over tasks, and only
@@ -30,7 +32,9 @@ GAP = r"[\x20\x09-\x0D]+"
 DEPTH = 4  # leading tokens on the way to a leaf
 LEAST_TOKENS = 4  # shorter lines have no variable fields: they are templates as they stand
 LEAST_CONTEXTS = 5  # and texts
-OWN = 0.25  # of the lines of a text that counts: below, it is a near copy
+OWN = 1 / 9  # of the shingles of a text that counts: (1 - OWN) / (1 + OWN) is a similarity of 0.8
+PLAIN = 0.25  # of the lines of a text: from here on it counts without a look at shingles
+SHINGLE = 3
 SHARE = 0.3  # contexts of a template in its distinct texts: below, it recurs by near copies
 SIMILARITY = 0.5  # of a template's tokens that aren't variable fields
 FIELD = "<*>"
@@ -58,7 +62,13 @@ def lines(df: DataFrame, text_col: str) -> DataFrame:
     """A row per line with a word: the row's ``_l_row``, a hash of its text, its place, its text, its lead and its leaf."""
     placed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _placed)
     worded = F.filter(placed, lambda x: x["n"] > 0)
-    return df.select("_l_row", F.xxhash64(text_col).alias("doc"), F.explode(worded).alias("x")).select("_l_row", "doc", "x.at", "x.line", "x.lead", "x.leaf")
+    return df.select("_l_row", F.xxhash64(text_col).alias("doc"), F.explode(worded).alias("x")).select("_l_row", "doc", "x.at", "x.line", "x.n", "x.lead", "x.leaf")
+
+
+def _shingles(tokens: Column) -> Column:
+    """Hashes of the shingles of a line; a line of fewer words is one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - SHINGLE + 1, F.lit(1)))
+    return F.transform(starts, lambda k: F.xxhash64(F.array_join(F.slice(tokens, k, SHINGLE), " ")))
 
 
 def recurring(rows: DataFrame, *keys: str) -> DataFrame:
@@ -70,24 +80,42 @@ def recurring(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def framed(found: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The lines at ``leaves`` with their ``context`` and ``own``, the share of other lines in their row."""
+    """The lines at ``leaves`` with their ``context`` and of their row ``own``, the share of other lines, ``size``, the number of shingles, and ``most``,
+    that of the other lines."""
     marked = found.join(leaves.withColumn("again", F.lit(True)), "leaf", "left")
-    marked = marked.select("_l_row", "doc", "at", "leaf", F.when(F.col("again"), F.col("line")).alias("line"), F.when(F.col("again").isNull(), F.col("lead")).alias("lead"))
+    held = F.greatest(F.col("n") - SHINGLE + 1, F.lit(1)).alias("held")
+    marked = marked.select("_l_row", "doc", "at", "leaf", held, F.when(F.col("again"), F.col("line")).alias("line"), F.when(F.col("again").isNull(), F.col("lead")).alias("lead"))
     row, beyond = Window.partitionBy("_l_row"), (Window.unboundedPreceding, -1)
     before = F.last("lead", ignorenulls=True).over(row.orderBy("at").rangeBetween(*beyond))
     after = F.last("lead", ignorenulls=True).over(row.orderBy(F.desc("at")).rangeBetween(*beyond))
-    placed = marked.select("*", before.alias("before"), after.alias("after"), (F.count("lead").over(row) / F.count("*").over(row)).alias("own"))
-    return placed.where(F.col("line").isNotNull()).select("_l_row", "doc", "at", "leaf", "line", F.xxhash64("before", "after").alias("context"), "own")
-
-
-def templates(found: DataFrame) -> DataFrame:
-    """(_l_row, at) of the lines to drop, of ``lines``."""
+    share = F.count("lead").over(row) / F.count("*").over(row)
+    most = F.coalesce(F.sum(F.when(F.col("lead").isNotNull(), F.col("held"))).over(row), F.lit(0))
+    placed = marked.select("*", before.alias("before"), after.alias("after"), share.alias("own"), F.sum("held").over(row).alias("size"), most.alias("most"))
+    return placed.where(F.col("line").isNotNull()).select("_l_row", "doc", "at", "leaf", "line", F.xxhash64("before", "after").alias("context"), "own", "size", "most")
+
+
+def originals(keyed: DataFrame, text_col: str, near: DataFrame, leaves: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc) of texts that lie below ``PLAIN`` and whose own shingles are over ``OWN`` of theirs; ``shared``: (tokens) of the distinct lines at ``leaves``."""
+    asked = near.where((F.col("own") < PLAIN) & (F.col("most") > OWN * F.col("size"))).groupBy("doc").agg(F.min("_l_row").alias("_l_row"), F.first("size").alias("size"))
+    asked = written(asked, "asked")
+    rows = lines(keyed.join(asked.select("_l_row"), "_l_row", "left_semi"), text_col).join(leaves, "leaf", "left_anti")
+    mine = rows.select("doc", F.explode(_shingles(F.split(_bare(F.col("line")), GAP))).alias("shingle")).groupBy("shingle", "doc").agg(F.count("*").alias("n"))
+    alone = mine.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.sum("n").alias("n")).where("doc = last")
+    alone = alone.join(shared.select(F.explode(_shingles(F.col("tokens"))).alias("shingle")).distinct(), "shingle", "left_anti")
+    own = alone.groupBy("doc").agg(F.sum("n").alias("n"))
+    return own.join(asked, "doc").where(F.col("n") > OWN * F.col("size")).select("doc")
+
+
+def templates(keyed: DataFrame, text_col: str) -> DataFrame:
+    """(_l_row, at) of the lines to drop, of rows with a ``_l_row``."""
+    found = lines(keyed, text_col)
     # Leaves are written, so the planner knows their size: few are broadcast, many are joined by shuffling.
     leaves = found.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_CONTEXTS)
     leaves = written(leaves.select("leaf"), "leaves")
     # A hash of a leaf's line stands for it, and equal lines at a leaf are taken apart once a context.
     near = written(framed(found, leaves).withColumn("tokens", F.split(_bare(F.col("line")), GAP)).withColumn("line_hash", F.xxhash64("line")), "near")
     distinct = near.groupBy("leaf", "line_hash").agg(F.first("tokens").alias("tokens"))
+    counts = written(originals(keyed, text_col, near, leaves, distinct), "originals").withColumn("counts", F.lit(True))
     weighed = near.select("leaf", "line_hash", "context").distinct().groupBy("leaf", "line_hash").agg(F.count("*").alias("contexts"))
     spread = distinct.join(weighed, ["leaf", "line_hash"]).select("leaf", "line_hash", "contexts", (F.size("tokens") < LEAST_TOKENS).alias("short"), F.posexplode("tokens").alias("place", "token"))
     spread = written(spread, "tokens")
@@ -100,8 +128,8 @@ def templates(found: DataFrame) -> DataFrame:
         (F.size(F.filter("parts", lambda x: x["token"] != FIELD)) >= SIMILARITY * F.size("parts")).alias("fixed"),
     )
     template = written(template.where("fixed").drop("fixed"), "templates")
-    told = written(near.select("_l_row", "doc", "at", "leaf", "line_hash", "context", "own").join(template, ["leaf", "line_hash"]), "told")
-    dropped = written(recurring(told.where(F.col("own") >= OWN), "leaf", "template").select("leaf", "template"), "dropped")
+    told = written(near.select("_l_row", "doc", "at", "leaf", "line_hash", "context", "own").join(template, ["leaf", "line_hash"]).join(counts, "doc", "left"), "told")
+    dropped = written(recurring(told.where((F.col("own") >= PLAIN) | F.col("counts")), "leaf", "template").select("leaf", "template"), "dropped")
     return told.join(dropped, ["leaf", "template"], "left_semi").select("_l_row", "at")
 
 
@@ -111,8 +139,7 @@ def drop_templates(df: DataFrame, text_col: str = "text") -> DataFrame:
     content = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind]
     row = F.struct(F.xxhash64(*content).alias("x"), F.hash(*content).alias("h"))
     keyed = df.withColumn("_l_row", row)
-    found = lines(keyed.select("_l_row", F.col(text_col)), text_col)
-    gone = written(templates(found).distinct().groupBy("_l_row").agg(F.array_sort(F.collect_list("at")).alias("_l_gone")), "gone")
+    gone = written(templates(keyed.select("_l_row", F.col(text_col)), text_col).distinct().groupBy("_l_row").agg(F.array_sort(F.collect_list("at")).alias("_l_gone")), "gone")
     joined = keyed.join(gone.hint("merge"), "_l_row", "left")  # the same plan at every size
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     worded = F.size(F.filter(split, lambda x: _bare(x) != "")).cast("long")

@@ -40,7 +40,7 @@ PER_BUCKET = 256
 SLAB = 16384
 FRONTIER = 1 << 14  # pairs of nodes at once
 PAIRS = 1 << 18  # pairs of values at once
-LEAF = 64  # pairs of values of two nodes that are compared as they are, under a wide budget
+LEAF = 256  # pairs of values of two nodes that are compared as they are, under a wide budget
 SKETCH = 1024
 KEYS = 10  # of two minima each: texts of similarity 0.8 share none with a chance of 0.36 ** 10
 _MIX = np.random.default_rng(9).integers(0, 1 << 63, (4, KEYS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)

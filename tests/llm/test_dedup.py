@@ -264,6 +264,19 @@ def test_passages_and_short_lines_go(spark):
         assert got[k] == ("\n".join(x for x in text.split("\n") if x not in passage and x != "All rights reserved.") if k < 8 else text)
 
 
+def test_short_pages_lose_long_footers_and_near_copies_keep_their_lines(spark):
+    rng = np.random.default_rng(11)
+    footer, base = [words(rng, 7) for _ in range(4)], [words(rng, 10) for _ in range(12)]
+    rows = [(k, "\n".join([words(rng, 9), *footer])) for k in range(60)]
+    for k in range(60):  # two of twelve lines with another beginning and a word more
+        t = list(base)
+        for j in (k % 12, (k + 1 + k // 12) % 12):
+            t[j] = f"new{words(rng, 1)} {t[j]}"
+        rows.append((100 + k, "\n".join(t)))
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: text.split("\n")[0] if k < 100 else text for k, text in rows}
+
+
 def tree_by_brute_force(rows):
     """What is left of each text, by the definition of the tree over single lines; a template stands once a text at most."""
     split = lambda x: re.split(r"[\x20\x09-\x0D]+", x.strip(" \t\n\x0b\f\r"))
@@ -284,6 +297,16 @@ def tree_by_brute_force(rows):
         if f[5] in again:
             context = tuple(x for x in (before[-1] if before else None, after[0] if after else None) if x)
             placed.append((*f, context, len(own) / sum(g[0] == f[0] for g in found)))
+    shingles = lambda t: [t[k : k + 3] for k in range(max(1, len(t) - 2))]
+    holders = {}  # of each shingle: the texts in whose own lines it stands, and "" if a line at a recurring leaf has it
+    for f in found:
+        for x in shingles(f[3]):
+            holders.setdefault(x, set()).add("" if f[5] in again else f[2])
+
+    def original(text, own):
+        mine = [(x, f[5] in again) for f in found if f[0] == min(g[0] for g in found if g[2] == text) for x in shingles(f[3])]
+        return own >= 0.25 or sum(not r and holders[x] == {text} for x, r in mine) > len(mine) / 9
+
     seen = {}
     for f in {(f[5], f[3], f[6]) for f in placed}:
         for k, x in enumerate(f[1]):
@@ -294,7 +317,7 @@ def tree_by_brute_force(rows):
         t = tuple(x if steady(k, x) else "<*>" for k, x in enumerate(f[3]))
         if sum(x != "<*>" for x in t) >= 0.5 * len(t):
             template[f[0], f[1]] = (f[5], t)
-            if f[7] >= 0.25:
+            if original(f[2], f[7]):
                 counted.setdefault((f[5], t), {}).setdefault(f[2], f[6])
     gone = {k for k, of in counted.items() if len(set(of.values())) >= 5 and len(set(of.values())) >= 0.3 * len(of)}
     out = []
@@ -322,6 +345,12 @@ def test_lines_are_those_of_a_brute_force_tree(spark, seed):
         rows.append((k, "\n".join(lines)))
     rows += [(100 + k, rows[0][1]) for k in range(6)]
     rows += [(200 + k, "\n".join([words(rng, 8), *fixed[:3], words(rng, 8)])) for k in range(9)]
+    footer, copied = [words(rng, 6) for _ in range(5)], words(rng, 90).split()
+    rows += [(300 + k, "\n".join([words(rng, 3 + k % 9), *footer])) for k in range(12)]
+    for k in range(8):  # near copies: one line with another beginning, one with a word more
+        t = [copied[j : j + 9] for j in range(0, 90, 9)]
+        t[k] = [f"new{chr(97 + k)}", *t[k][1:]]
+        rows.append((400 + k, "\n".join(" ".join(x) for x in [*t[:9], [*t[9][:5], f"more{chr(97 + k)}", *t[9][5:]]])))
     want = tree_by_brute_force(rows)
     assert sum(want[i] != t for i, t in rows) > 20
     got = {r["doc_id"]: r["text"] for r in linededup.without_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
