@@ -24,11 +24,12 @@ from __future__ import annotations
 import gc
 import hashlib
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.sources.scratch import written
@@ -38,6 +39,7 @@ GRAM = 16
 BUCKET_BYTES = 16 << 20  # of text for a bucket of anchors
 SLAB_BYTES = 1 << 20  # of contexts in one suffix array
 BLOCK_BYTES = 1 << 20  # of a text read at once
+READ_BYTES = 1 << 18  # of short texts read together
 HOT, HOT_BYTES = 20_000, 8 << 20
 GAP = 0xFF
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93))
@@ -66,31 +68,56 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows, hash) of each context of a text.
+    """(anchor, first window, number of windows, hash) of each context of a text."""
+    return contexts_of([raw])[1:]
 
-    A long text is read in blocks; a context ends with its block, which changes only what is left to the suffix arrays.
-    """
-    parts = [_contexts(raw[at : at + BLOCK_BYTES + LENGTH - 1], at) for at in range(0, max(1, len(raw) - LENGTH + 1), BLOCK_BYTES)]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
+def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, anchor, first window, number of windows, hash) of each context of several texts, in their order.
 
-def _contexts(raw: bytes, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    Short texts are read together. A long one is read in blocks; a context ends with its block, which changes only
+    what is left to the suffix arrays.
+    """
     none = np.zeros(0, np.int64)
-    if len(raw) < LENGTH:
-        return none.astype(np.uint64), none, none, none.astype(np.uint64)
+    found, pieces, size = [(none, none.astype(np.uint64), none, none, none.astype(np.uint64))], [], 0
+    for k, raw in enumerate(texts):
+        for at in range(0, len(raw) - LENGTH + 1, BLOCK_BYTES):
+            piece = raw[at : at + BLOCK_BYTES + LENGTH - 1]
+            if pieces and size + len(piece) > min(BLOCK_BYTES, READ_BYTES):
+                found.append(_contexts(pieces))
+                pieces, size = [], 0
+            pieces.append((k, at, piece))
+            size += len(piece)
+    if pieces:
+        found.append(_contexts(pieces))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _contexts(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for pieces (number of the text, place in it, at least 50 bytes)."""
+    raw = b"".join(piece for _, _, piece in pieces)
     symbols = np.frombuffer(raw, np.uint8)
+    size = np.array([len(piece) for _, _, piece in pieces])
+    begin = np.cumsum(size) - size
     least, n, width = grams(symbols), 1, LENGTH - GRAM + 1
     while 2 * n <= width:
         least = np.minimum(least[:-n], least[n:])
         n *= 2
     least = np.minimum(least[: len(raw) - LENGTH + 1], least[width - n :])
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    new[begin] = True
+    new[(begin + size - LENGTH + 1)[:-1]] = True  # from here to the next piece, windows would lie in both
+    first = np.flatnonzero(new)
     windows = np.diff(np.append(first, len(least)))
+    piece = np.searchsorted(begin, first, side="right") - 1
+    whole = first - begin[piece] <= size[piece] - LENGTH
+    first, windows, piece = first[whole], windows[whole], piece[whole]
     word, power, inverse = _powers()
     sums = np.concatenate([[np.uint64(0)], np.cumsum(word[symbols] * power[: len(raw)], dtype=np.uint64)])
     h = (sums[first + windows + LENGTH - 1] - sums[first]) * inverse[first] + windows.astype(np.uint64)
     h = (h ^ (h >> np.uint64(32))) * _M3
-    return least[first], first + base, windows, h ^ (h >> np.uint64(29))
+    text, base = (np.array([p[c] for p in pieces], np.int64)[piece] for c in (0, 1))
+    return text, least[first], first - begin[piece] + base, windows, h ^ (h >> np.uint64(29))
 
 
 def keys(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -103,32 +130,40 @@ def context_ids(anchor: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((h << np.uint64(16)) | (anchor & np.uint64(0xFFFF))).view(np.int64)
 
 
-def two_stage_sort(text: np.ndarray) -> np.ndarray:
-    """Suffixes of ``text`` in an order that is right for their first 50 bytes at least."""
+def two_stage_sort(text: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of ``text`` in an order that is right for their first 50 bytes at least.
+
+    With ``wanted`` (a flag for each place) only these suffixes are sorted, and those that they are induced from.
+    """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(64, np.uint8)])
-    words = _words(padded)
+    words = _words(np.concatenate([text, np.zeros(64, np.uint8)]))
     following = np.append(text[1:].astype(np.int16), -1)
     rise = np.where(text < following, 1, np.where(text > following, -1, 0)).astype(np.int8)
     # Of a run of one byte, all have the type of its last place.
     change = np.flatnonzero(rise)
-    kind = rise[change[np.searchsorted(change, np.arange(n))]]
-    smaller = np.flatnonzero(kind == 1)
-    smaller = smaller[np.lexsort([words[smaller + k] for k in range(48, -1, -8)])]
-    counts = np.bincount(text, minlength=256)
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    order, rank = np.empty(n, np.int64), np.zeros(n, np.int64)
+    run = np.diff(change, prepend=-1)
+    kind = np.repeat(rise[change], run)
+    used = np.ones(n, bool)
+    if wanted is not None:
+        # A larger suffix is induced from the next one, and so on until a smaller one.
+        small = np.append(np.flatnonzero(kind == 1), n - 1)
+        last = np.flatnonzero(wanted & (kind == -1) & ~np.append(wanted[1:], False))
+        until = small[np.searchsorted(small, last)]
+        edge = np.bincount(last, minlength=n + 1) - np.bincount(until + 1, minlength=n + 1)
+        used = wanted | (np.cumsum(edge[:n]) > 0)
+    smaller = _sorted_directly(words, np.flatnonzero(used & (kind == 1)))
     of_smaller = np.bincount(text[smaller], minlength=256)
     cuts = np.cumsum(of_smaller)
-    larger = np.flatnonzero(kind == -1)
+    larger = np.flatnonzero(used & (kind == -1))
     larger = larger[np.argsort(text[larger], kind="stable")]
-    of_larger = np.cumsum(np.bincount(text[larger], minlength=256))
-    step = np.append(change[np.searchsorted(change, larger)] - larger, 0)[: len(larger)]  # places to the end of its run
-    for c in np.flatnonzero(counts):
-        at = int(starts[c])
-        own = larger[of_larger[c - 1] if c else 0 : of_larger[c]]
-        depth = step[of_larger[c - 1] if c else 0 : of_larger[c]]
+    in_larger = np.bincount(text[larger], minlength=256)
+    of_larger = np.cumsum(in_larger)
+    order, rank = np.empty(len(smaller) + len(larger), np.int64), np.zeros(n, np.int64)
+    step = np.repeat(change, run)[larger] - larger  # places to the end of its run
+    at = 0
+    for c in np.flatnonzero(of_smaller + in_larger):
+        own = larger[of_larger[c] - in_larger[c] : of_larger[c]]
+        depth = step[of_larger[c] - in_larger[c] : of_larger[c]]
         d = 0
         while len(own):
             level = own[depth == d]
@@ -145,6 +180,27 @@ def two_stage_sort(text: np.ndarray) -> np.ndarray:
         direct = smaller[cuts[c] - of_smaller[c] : cuts[c]]
         order[at : at + len(direct)] = direct
         rank[direct] = np.arange(at, at + len(direct))
+        at += len(direct)
+    return order
+
+
+def _sorted_directly(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places in the order of the 50 bytes there: by eight bytes, and as long as some tie, these by further ones."""
+    order = places[np.argsort(words[places])]
+    among, key, depth = np.arange(len(order)), words[order], 8
+    while depth < LENGTH:
+        same = key[1:] == key[:-1]
+        tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        if not tied.any():
+            break
+        group = np.cumsum(np.concatenate([[True], ~same]))[tied]
+        among = among[tied]
+        n = min(7, (64 - int(group[-1]).bit_length()) // 8)  # bytes beside the number of the group
+        key = (group.astype(np.uint64) << np.uint64(8 * n)) | (words[order[among] + depth] >> np.uint64(64 - 8 * n))
+        by = np.argsort(key)
+        order[among] = order[among[by]]
+        key = key[by]
+        depth += n
     return order
 
 
@@ -157,24 +213,29 @@ def _words(padded: np.ndarray) -> np.ndarray:
     return w
 
 
-def repeats(contexts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each context, the smallest owner of each of its windows."""
-    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    text = np.frombuffer(bytes([GAP]).join(contexts) + bytes([GAP]), np.uint8)
-    order = two_stage_sort(text)
-    owner = np.repeat(np.arange(len(contexts)), sizes + 1)
-    order = order[order - begins[owner[order]] <= sizes[owner[order]] - LENGTH]  # where a window starts
+def repeats(text: np.ndarray, sizes: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Whether the window at each place of ``text`` has a smaller owner elsewhere in it.
+
+    ``text`` holds contexts of the given sizes and owners, with a separator behind each.
+    """
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    which = np.repeat(np.arange(len(sizes)), sizes + 1)
+    wanted = np.arange(len(text)) - begins[which] <= (sizes - LENGTH)[which]  # where a window starts
+    order = two_stage_sort(text, wanted)
+    order = order[wanted[order]]
     words = _words(np.concatenate([text, np.zeros(64, np.uint8)]))
     a, b = order[:-1], order[1:]
-    common = np.ones(len(a), bool)  # 50 common bytes of neighbours
-    for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-        common &= words[a + k] == words[b + k]
+    common = words[a] == words[b]  # 50 common bytes of neighbours
+    near = np.flatnonzero(common)
+    for k in (8, 16, 24, 32, 40, LENGTH - 8):
+        near = near[words[a[near] + k] == words[b[near] + k]]
+    common[:] = False
+    common[near] = True
     group = np.flatnonzero(np.concatenate([[True], ~common]))
-    least = np.minimum.reduceat(owners[owner[order]], group)
-    out = np.full(len(text), np.iinfo(np.int64).max)
-    out[order] = np.repeat(least, np.diff(np.append(group, len(order))))
-    return [out[s : s + n - LENGTH + 1] for s, n in zip(begins, sizes, strict=True)]
+    own = owners[which[order]]
+    late = np.zeros(len(text), bool)
+    late[order] = np.repeat(np.minimum.reduceat(own, group), np.diff(np.append(group, len(order)))) < own
+    return late
 
 
 def _pack(texts: DataFrame) -> DataFrame:
@@ -197,12 +258,16 @@ def known_contexts(texts: DataFrame, buckets: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, doc, ctx = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                anchor, _, _, h = contexts((text.as_py() or "").encode())
-                ids, one = np.unique(context_ids(anchor, h), return_index=True)
-                key.append(keys(anchor[one], buckets))
-                ctx.append(ids)
-                doc.append(np.full(len(ids), id_, np.int64))
+            ids_ = batch.column(0).to_pylist()
+            for rows_, raws in _read(range(batch.num_rows), lambda k: (batch.column(2)[k].as_py() or "").encode()):  # noqa: B023
+                text, anchor, _, _, h = contexts_of(raws)
+                ids, key_ = context_ids(anchor, h), keys(anchor, buckets)
+                cuts = np.searchsorted(text, np.arange(len(raws) + 1))
+                for k, s, e in zip(rows_, cuts, cuts[1:], strict=False):
+                    own, one = np.unique(ids[s:e], return_index=True)
+                    key.append(key_[s:e][one])
+                    ctx.append(own)
+                    doc.append(np.full(len(own), ids_[k], np.int64))
             key, doc, ctx = np.concatenate(key), np.concatenate(doc), np.concatenate(ctx)
             order = np.argsort(key >> 32, kind="stable")
             key, doc, ctx = key[order], doc[order], ctx[order]
@@ -239,6 +304,25 @@ def known_contexts(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 SPANS = "array<struct<s:int,e:int>>"
+SPAN = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+
+def _spans(of: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(distinct values of ``of``, list of spans of each), where equal values stand together."""
+    cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    pairs = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32())], fields=list(SPAN.value_type))
+    return of[cut], pa.ListArray.from_arrays(pa.array(np.append(cut, len(of)), pa.int32()), pairs, type=SPAN)
+
+
+def _read(rows: range, text: Callable[[int], bytes]) -> Iterator[tuple[range, list[bytes]]]:
+    """Ranges of rows with their texts, a range as soon as it has ``SLAB_BYTES``."""
+    raws, size, begin = [], 0, 0
+    for k in rows:
+        raws.append(text(k))
+        size += len(raws[-1])
+        if size >= SLAB_BYTES or k == rows[-1]:
+            yield range(begin, k + 1), raws
+            raws, size, begin = [], 0, k + 1
 
 
 def told(packed: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
@@ -248,31 +332,34 @@ def told(packed: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), span]
-        put = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "th", "at", "key", "context", "spans"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), SPAN]
+
+        def put(n: int, *columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "th", "at", "key", "context", "spans"])
+
         for batch in batches:
-            rows: list[tuple] = []
-            for k in range(batch.num_rows):
-                raw = unpack.decompress(batch.column(2)[k].as_py())
-                whole, open_ = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4))
-                anchor, start, n, h = contexts(raw)
+            doc, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for rows, raws in _read(range(batch.num_rows), lambda k: unpack.decompress(batch.column(2)[k].as_py())):  # noqa: B023
+                text, anchor, start, n, h = contexts_of(raws)
                 ids = context_ids(anchor, h)
-                id_, th = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                got = np.isin(ids, whole)
-                if got.any():
-                    s, e = start[got], start[got] + n[got] + LENGTH - 1
-                    gap = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))  # neighbours are one span
+                whole, open_ = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+                cuts = np.searchsorted(text, np.arange(len(raws) + 1))
+                for k, s, e in zip(rows, cuts, cuts[1:], strict=False):
+                    for column, told_ in ((3, whole), (4, open_)):
+                        own = batch.column(column)[k].values
+                        if len(own) and e > s:
+                            own = np.sort(own.to_numpy(zero_copy_only=False))
+                            told_[s:e] = own[np.minimum(np.searchsorted(own, ids[s:e]), len(own) - 1)] == ids[s:e]
+                if whole.any():
+                    of, s, e = text[whole], start[whole], (start + n)[whole] + LENGTH - 1
+                    gap = np.flatnonzero(np.concatenate([[True], (s[1:] > e[:-1]) | (of[1:] != of[:-1])]))  # neighbours are one span
                     last = np.append(gap[1:], len(s)) - 1
-                    rows.append((id_, th, None, None, None, [{"s": int(x), "e": int(y)} for x, y in zip(s[gap], e[last], strict=True)]))
-                key = keys(anchor, buckets)
-                for j in np.flatnonzero(np.isin(ids, open_)).tolist():
-                    rows.append((id_, th, int(start[j]), int(key[j]), raw[start[j] : start[j] + n[j] + LENGTH - 1], None))
-                if len(rows) >= 50_000:
-                    yield put(rows)
-                    rows = []
-            if rows:
-                yield put(rows)
+                    of, spans = _spans(of[gap], s[gap], e[last])
+                    yield put(len(of), doc[rows[0] + of], th[rows[0] + of], None, None, None, spans)
+                if open_.any():
+                    of, s, e = text[open_], start[open_], (start + n)[open_] + LENGTH - 1
+                    found = [raws[k][a:b] for k, a, b in zip(of.tolist(), s.tolist(), e.tolist(), strict=True)]
+                    yield put(len(of), doc[rows[0] + of], th[rows[0] + of], s, keys(anchor[open_], buckets), found, None)
 
     own = known.groupBy("doc_id").agg(F.collect_set(F.when(F.col("repeat"), F.col("ctx"))).alias("whole"), F.collect_set(F.when(~F.col("repeat"), F.col("ctx"))).alias("open"))  # at most a document's contexts
     # Merge joins here and below: the same plan at every size.
@@ -282,28 +369,41 @@ def told(packed: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
 
 def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, th, spans) of rows (key, doc_id, th, at, context) that come sorted by key."""
-    span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        docs = np.array([r[1] for r in rows], np.int64)
-        out = []
-        for r, least in zip(rows, repeats([r[4] for r in rows], docs), strict=True):
-            late = least < r[1]
-            if late.any():
-                change = np.flatnonzero(np.diff(np.concatenate([[0], late.astype(np.int8), [0]])))
-                out.append((r[1], r[2], [{"s": int(r[3] + s), "e": int(r[3] + e - 1 + LENGTH)} for s, e in zip(change[::2], change[1::2], strict=True)]))
-        columns = list(zip(*out, strict=True)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), span), strict=True)], ["doc_id", "th", "spans"])
-
-    held: list[tuple] = []
-    size = 0
+
+    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        doc, th, at = (rows.column(k).to_numpy() for k in (1, 2, 3))
+        context = rows.column(4).combine_chunks().cast(pa.large_binary())
+        bounds = np.frombuffer(context.buffers()[1], np.int64)[context.offset : context.offset + len(context) + 1]
+        sizes = np.diff(bounds)
+        which = np.repeat(np.arange(len(sizes)), sizes)
+        text = np.full(len(which) + len(sizes), GAP, np.uint8)
+        text[np.arange(len(which)) + which] = np.frombuffer(context.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        late = repeats(text, sizes, doc)
+        change = np.flatnonzero(np.diff(np.concatenate([[0], late.astype(np.int8), [0]])))
+        s, e = change[::2], change[1::2]
+        begins = bounds[:-1] - bounds[0] + np.arange(len(sizes))
+        of = np.searchsorted(begins, s, side="right") - 1
+        s, e = s - begins[of] + at[of], e - begins[of] + at[of] - 1 + LENGTH
+        of, spans = _spans(of, s, e)
+        return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(th[of]), spans], ["doc_id", "th", "spans"])
+
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if size >= SLAB_BYTES and held[-1][0] != row[0]:
-                yield solve(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
+        key = batch.column(0).to_numpy()
+        bytes_ = np.cumsum(pc.binary_length(batch.column(4)).to_numpy())
+        new = np.flatnonzero(np.concatenate([[len(key) > 0 and last is not None and key[0] != last], key[1:] != key[:-1]]))  # where a key starts
+        done = 0
+        for cut in new.tolist():
+            inside = int(bytes_[cut - 1] if cut else 0) - int(bytes_[done - 1] if done else 0)
+            if size + inside >= SLAB_BYTES:
+                yield solve([*held, batch.slice(done, cut - done)])
+                held, size, done = [], 0, cut
+        if done < len(key):
+            held.append(batch.slice(done))
+            size += int(bytes_[-1]) - int(bytes_[done - 1] if done else 0)
+            last = key[-1]
     if held:
         yield solve(held)
 

@@ -58,6 +58,45 @@ def test_two_stage_sort(alphabet):
     assert starts == sorted(starts)
 
 
+@pytest.mark.parametrize("alphabet", [1, 2, 3, 5, 250])
+def test_two_stage_sort_of_some_suffixes(alphabet):
+    """Only the suffixes asked for and those that they are induced from are sorted, into the same order."""
+    rng = np.random.default_rng(alphabet)
+    text = rng.integers(0, alphabet, 700).astype(np.uint8)
+    raw = text.tobytes()
+    for wanted in (np.zeros(700, bool), rng.random(700) < 0.05, np.arange(700) % 70 < 20, np.arange(700) == 699):
+        order = suffixes.two_stage_sort(text, wanted)
+        assert len(set(order.tolist())) == len(order) and set(np.flatnonzero(wanted).tolist()) <= set(order.tolist())
+        starts = [raw[i : i + 50] for i in order if wanted[i]]
+        assert starts == sorted(starts)
+        if alphabet == 250:
+            assert len(order) <= 4 * wanted.sum()
+
+
+def test_windows_of_several_contexts_by_the_definition():
+    rng = np.random.default_rng(11)
+    for alphabet in (1, 2, 40):
+        pool = [bytes(rng.integers(97, 97 + alphabet, 60).astype(np.uint8)) for _ in range(4)]
+        parts = [pool[k][a:] + pool[j][:b] for k, j, a, b in zip(rng.integers(0, 4, 30), rng.integers(0, 4, 30), rng.integers(0, 10, 30), rng.integers(0, 60, 30), strict=True)]
+        owners = rng.integers(0, 9, len(parts))
+        least = {}
+        for part, owner in zip(parts, owners.tolist(), strict=True):
+            for p in range(len(part) - 49):
+                least[part[p : p + 50]] = min(owner, least.get(part[p : p + 50], owner))
+        want = [x for part, owner in zip(parts, owners.tolist(), strict=True) for x in [p <= len(part) - 50 and least[part[p : p + 50]] < owner for p in range(len(part) + 1)]]
+        text = np.frombuffer(b"".join(part + b"\xff" for part in parts), np.uint8)
+        assert suffixes.repeats(text, np.array([len(part) for part in parts]), owners).tolist() == want
+
+
+def test_texts_read_together_have_the_contexts_of_each(corpus, monkeypatch):
+    raws = [(text or "").encode() for _, text in corpus]
+    for together in (1, 200, suffixes.READ_BYTES):
+        monkeypatch.setattr(suffixes, "READ_BYTES", together)
+        of, *got = suffixes.contexts_of(raws)
+        for k, raw in enumerate(raws):
+            assert [x[of == k].tolist() for x in got] == [x.tolist() for x in suffixes.contexts(raw)]
+
+
 @pytest.mark.parametrize("hot", [suffixes.HOT, 1])
 def test_repeats_are_those_of_the_definition(spark, corpus, hot):
     got = suffixes.without_repeats(spark.createDataFrame(corpus, SCHEMA), hot=hot).collect()
