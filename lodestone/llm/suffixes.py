@@ -140,8 +140,8 @@ def two_stage_sort(text: np.ndarray, wanted: np.ndarray | None = None) -> np.nda
     following = np.append(text[1:].astype(np.int16), -1)
     rise = np.where(text < following, 1, np.where(text > following, -1, 0)).astype(np.int8)
     # Of a run of one byte, all have the type of its last place.
-    change = np.flatnonzero(rise)
-    run = np.diff(change, prepend=-1)
+    change = np.flatnonzero(rise).astype(np.int32)
+    run = np.diff(change, prepend=np.int32(-1))
     kind = np.repeat(rise[change], run)
     used = np.ones(n, bool)
     if wanted is not None:
@@ -149,16 +149,20 @@ def two_stage_sort(text: np.ndarray, wanted: np.ndarray | None = None) -> np.nda
         small = np.append(np.flatnonzero(kind == 1), n - 1)
         last = np.flatnonzero(wanted & (kind == -1) & ~np.append(wanted[1:], False))
         until = small[np.searchsorted(small, last)]
-        edge = np.bincount(last, minlength=n + 1) - np.bincount(until + 1, minlength=n + 1)
-        used = wanted | (np.cumsum(edge[:n]) > 0)
-    smaller = _sorted_directly(words, np.flatnonzero(used & (kind == 1)))
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, last, 1)
+        np.subtract.at(edge, until + 1, 1)
+        used = wanted | (np.cumsum(edge[:n], out=edge[:n]) > 0)
+        del small, last, until, edge
+    smaller = _sorted_directly(words, np.flatnonzero(used & (kind == 1)).astype(np.int32))
+    del words, following, rise
     of_smaller = np.bincount(text[smaller], minlength=256)
     cuts = np.cumsum(of_smaller)
-    larger = np.flatnonzero(used & (kind == -1))
+    larger = np.flatnonzero(used & (kind == -1)).astype(np.int32)
     larger = larger[np.argsort(text[larger], kind="stable")]
     in_larger = np.bincount(text[larger], minlength=256)
     of_larger = np.cumsum(in_larger)
-    order, rank = np.empty(len(smaller) + len(larger), np.int64), np.zeros(n, np.int64)
+    order, rank = np.empty(len(smaller) + len(larger), np.int32), np.zeros(n, np.int32)
     step = np.repeat(change, run)[larger] - larger  # places to the end of its run
     at = 0
     for c in np.flatnonzero(of_smaller + in_larger):
@@ -187,17 +191,21 @@ def two_stage_sort(text: np.ndarray, wanted: np.ndarray | None = None) -> np.nda
 def _sorted_directly(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Places in the order of the 50 bytes there: by eight bytes, and as long as some tie, these by further ones."""
     order = places[np.argsort(words[places])]
-    among, key, depth = np.arange(len(order)), words[order], 8
+    among, key, depth = np.arange(len(order), dtype=np.int32), words[order], 8
     while depth < LENGTH:
         same = key[1:] == key[:-1]
         tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         if not tied.any():
             break
-        group = np.cumsum(np.concatenate([[True], ~same]))[tied]
+        group = np.cumsum(np.concatenate([[True], ~same]), dtype=np.uint64)[tied]
         among = among[tied]
         n = min(7, (64 - int(group[-1]).bit_length()) // 8)  # bytes beside the number of the group
-        key = (group.astype(np.uint64) << np.uint64(8 * n)) | (words[order[among] + depth] >> np.uint64(64 - 8 * n))
-        by = np.argsort(key)
+        group <<= np.uint64(8 * n)
+        key = words[order[among] + np.int32(depth)]
+        key >>= np.uint64(64 - 8 * n)
+        key |= group
+        del group
+        by = np.argsort(key).astype(np.int32)
         order[among] = order[among[by]]
         key = key[by]
         depth += n
@@ -218,9 +226,7 @@ def repeats(text: np.ndarray, sizes: np.ndarray, owners: np.ndarray) -> np.ndarr
 
     ``text`` holds contexts of the given sizes and owners, with a separator behind each.
     """
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    which = np.repeat(np.arange(len(sizes)), sizes + 1)
-    wanted = np.arange(len(text)) - begins[which] <= (sizes - LENGTH)[which]  # where a window starts
+    wanted = np.repeat(np.arange(2 * len(sizes)) % 2 == 0, np.stack([sizes - LENGTH + 1, np.full(len(sizes), LENGTH)], axis=1).ravel())  # where a window starts
     order = two_stage_sort(text, wanted)
     order = order[wanted[order]]
     words = _words(np.concatenate([text, np.zeros(64, np.uint8)]))
@@ -232,7 +238,7 @@ def repeats(text: np.ndarray, sizes: np.ndarray, owners: np.ndarray) -> np.ndarr
     common[:] = False
     common[near] = True
     group = np.flatnonzero(np.concatenate([[True], ~common]))
-    own = owners[which[order]]
+    own = np.repeat(owners, sizes + 1)[order]
     late = np.zeros(len(text), bool)
     late[order] = np.repeat(np.minimum.reduceat(own, group), np.diff(np.append(group, len(order)))) < own
     return late
