@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.operators.overlap import most_shared
 from lodestone.operators.relational import numbered_in_ranges, top_per
 from lodestone.sources.scratch import written
 
@@ -57,36 +58,33 @@ def theme_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
-def thematic_scores(chunks: DataFrame, modules: DataFrame) -> DataFrame:
-    """(chunk_id, module_index, score, plain): weighted overlaps of a passage's tags, path, article and the beginning of its body with a module's title.
+#: What a title's word weighs that stands among a passage's tags, in its path, its article, the beginning of its body.
+THEMES = {"tag_words": 3.0, "path_words": 2.0, "article_words": 1.0, "body_words": 0.5}
 
-    ``plain`` is the number of words that the title and the whole body share. Chunks (chunk_id, tags, path, article, body), modules (module_index, title). Modules
-    are written, so the planner broadcasts them by their true size only.
-    """
-    bare = lambda text: F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"))
-    told = written(modules.select("module_index", theme_words(F.col("title")).alias("words"), F.array_remove(bare(F.col("title")), "").alias("bare")), "modules")
-    own = chunks.select(
-        "chunk_id", theme_words(F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")).alias("tag_words"), theme_words(F.col("path")).alias("path_words"),
-        theme_words(F.col("article")).alias("article_words"), theme_words(F.substring("body", 1, BODY)).alias("body_words"), bare(F.col("body")).alias("all_words"),
-    )
-    overlap = lambda c: F.size(F.array_intersect(c, "words"))
-    score = 3.0 * overlap("tag_words") + 2.0 * overlap("path_words") + 1.0 * overlap("article_words") + 0.5 * overlap("body_words")
-    return own.crossJoin(told).select("chunk_id", "module_index", score.alias("score"), F.size(F.array_intersect("all_words", "bare")).alias("plain"))
 
+def by_theme(chunks: DataFrame, modules: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, module_index, score, margin, pinned, rule): each passage to the module of its theme, by weighted overlaps with the module's title.
 
-def by_theme(chunks: DataFrame, modules: DataFrame) -> DataFrame:
-    """(chunk_id, module_index, score, margin, pinned, rule): each passage to the module of its theme.
-
-    Where all scores are 0, to the one whose title shares most words with the whole body; ties go to the first module.
+    Chunks (chunk_id, tags, path, article, body), modules (module_index, title); passages of ``known`` (chunk_id) are left out. Where all scores are 0, to the one whose title
+    shares most words with the whole body; ties go to the first module. Only the beginnings of bodies are compared at first, whole bodies only of passages that these leave open.
     """
-    best = thematic_scores(chunks, modules).groupBy("chunk_id").agg(
-        F.min(F.struct(-F.col("score"), "module_index")).alias("s"), F.min(F.struct((-F.col("plain")).alias("p"), "module_index")).alias("k"),
-        F.slice(F.array_sort(F.collect_list(-F.col("score"))), 1, 2).alias("two"),
+    bare = lambda text: F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"))
+    # A file of one row group is one task. By a hash of their own, as a join's own dealing may be undone where it turns into a broadcast.
+    dealt = F.xxhash64("chunk_id")
+    heads = chunks.select("chunk_id", "tags", "path", "article", F.substring("body", 1, BODY).alias("head"))
+    if known is not None:
+        heads = heads.join(known, "chunk_id", "left_anti")
+    own = heads.repartition(dealt).select(
+        "chunk_id", theme_words(F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")).alias("tag_words"), theme_words(F.col("path")).alias("path_words"),
+        theme_words(F.col("article")).alias("article_words"), theme_words(F.col("head")).alias("body_words"),
     )
-    top, none = -F.col("two")[0] + 0.0, F.col("two")[0] == 0
-    ahead = F.round(top + F.coalesce(F.get("two", F.lit(1)), F.lit(0.0)), 9)
-    home = F.when(none, F.col("k.module_index")).otherwise(F.col("s.module_index"))
-    return best.select("chunk_id", home.alias("module_index"), top.alias("score"), ahead.alias("margin"), (ahead >= MARGIN).alias("pinned"), F.when(none, "overlap").otherwise("theme").alias("rule"))
+    best = written(most_shared(own, modules.select("module_index", theme_words(F.col("title")).alias("words")), THEMES), "themes")
+    ahead = F.round(F.col("score") - F.coalesce("next", F.lit(0.0)), 9)
+    themed = best.where("score > 0").select("chunk_id", "module_index", "score", ahead.alias("margin"), (ahead >= MARGIN).alias("pinned"), F.lit("theme").alias("rule"))
+    open_ = written(best.where("score = 0").select(F.col("chunk_id").alias("_id")), "unthemed")
+    bodies = chunks.select("chunk_id", "body").join(open_, F.col("chunk_id").eqNullSafe(F.col("_id")), "left_semi").repartition(dealt)
+    plain = most_shared(bodies.select("chunk_id", bare(F.col("body")).alias("all_words")), modules.select("module_index", F.array_remove(bare(F.col("title")), "").alias("words")), {"all_words": 1.0})
+    return themed.unionByName(plain.select("chunk_id", "module_index", F.lit(0.0).alias("score"), F.lit(0.0).alias("margin"), F.lit(False).alias("pinned"), F.lit("overlap").alias("rule")))
 
 
 def assign_thematically(chunks: DataFrame, modules: DataFrame) -> DataFrame:
@@ -104,8 +102,8 @@ def assign_thematically(chunks: DataFrame, modules: DataFrame) -> DataFrame:
 def assign_by_cosine(chunks: DataFrame, modules: DataFrame, scores: DataFrame) -> DataFrame:
     """(chunk_id, module_index, score, margin, pinned, rule) by similarity ``scores`` (chunk_id, module_index, score); passages without any, as they have no
     vector, by their theme."""
-    near = assign_best(scores).withColumn("rule", F.lit("cosine"))
-    rest = by_theme(chunks.join(scores.select("chunk_id").distinct(), "chunk_id", "left_anti"), modules)
+    near = written(assign_best(scores).withColumn("rule", F.lit("cosine")), "near")
+    rest = by_theme(chunks, modules, near.select("chunk_id"))
     return near.select("chunk_id", "module_index", "score", "margin", "pinned", "rule").unionByName(rest)
 
 

@@ -71,7 +71,7 @@ def al3_cosine_assignment(t: Tables) -> DataFrame:
     """Every document to the module whose vector is nearest; those without a vector by theme."""
     chunks, modules = _themed(t)
     vectors = t.embeddings.select(F.col("vec_id").alias("module_index"), "embedding").join(modules.select("module_index"), "module_index", "left_semi")
-    known = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    known = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding").join(chunks.select("chunk_id"), "chunk_id", "left_semi").repartition(F.xxhash64("chunk_id"))
     return A.assign_by_cosine(chunks, modules, top_k(known, vectors, 2, "chunk_id", "module_index").drop("rank"))
 
 
