@@ -1,6 +1,8 @@
-"""Titles that share most words with passages, against plain loops; and how often scores are made."""
+"""Titles that share most words with passages, against plain loops; what joins make; and how often scores are made."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,52 @@ def test_blocks_are_bounded_by_words(monkeypatch):
     assert list(O._cuts(np.array([], np.int64))) == []
 
 
+def joined_rows(spark, run):
+    """The most rows that a join made in any query of ``run``, and what it returns."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    begun = store.executionsCount()
+    found, most = run(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for k in range(begun, store.executionsCount()):
+        execution = store.executionsList(k, 1).apply(0).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() or "Cartesian" in node.name():
+                for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    value = values.get(metric.accumulatorId())
+                    if metric.name() == "number of output rows" and value.isDefined():
+                        most = max(most, int(value.get().replace(",", "")))
+    return most, found
+
+
+def themed_loop(rows, modules):
+    split = lambda x, by: {w for w in re.split(by, (x or "").lower()) if w}
+    out, w = {}, r"[^a-z0-9]+"
+    for c, tags, path, article, body in rows:
+        parts = ((3.0, " ".join(tags or [])), (2.0, path), (1.0, article), (0.5, (body or "")[:500]))
+        scored = sorted((-sum(k * len(split(x, w) & split(t, w)) for k, x in parts), m) for m, t in modules)
+        top, ahead = -scored[0][0], round(scored[1][0] - scored[0][0], 9)
+        home = scored[0][1] if top else min((-len(split(body, r"\s+") & split(t, r"\s+")), m) for m, t in modules)[1]
+        out[c] = (home, top, ahead, ahead >= A.MARGIN, "theme" if top else "overlap")
+    return out
+
+
+def test_themes_are_compared_in_blocks(spark):
+    """Passages don't meet modules row by row; copies of a title, titles without words and passages that no title fits are told as by the loop."""
+    rng = random.Random(7)
+    text = lambda n, most=90: " ".join(f"{rng.choice(['W', 'w'])}{int(rng.random() ** 2 * most)}{rng.choice(['', ',', '.'])}" for _ in range(n))
+    rows = [(k, [text(1), None, text(1)] if k % 3 else None, text(2) if k % 4 else None, text(1), text(rng.randrange(60))) for k in range(600)]
+    rows += [(600 + k, None, "zz", "", "y " * 300 + text(4)) for k in range(20)] + [(700, None, None, None, None), (701, [], "", "", "")]
+    titles = [text(rng.randrange(1, 7), 120) for _ in range(150)]
+    modules = [(k, t) for k, t in enumerate([*titles, *titles[:40], None, "", "...", "zz9"])]
+    chunks = spark.createDataFrame(rows, "chunk_id int, tags array<string>, path string, article string, body string")
+    most, got = joined_rows(spark, lambda: A.assign_thematically(chunks, spark.createDataFrame(modules, "module_index int, title string")).collect())
+    want = themed_loop([(c, [x for x in t or [] if x], *rest) for c, t, *rest in rows], modules)
+    assert {r["chunk_id"]: (r["module_index"], r["score"], r["margin"], r["pinned"], r["rule"]) for r in got} == want
+    assert Counter(r["rule"] for r in got)["overlap"] >= 22 and any(r["margin"] == 0 for r in got if r["rule"] == "theme")
+    assert 0 < most <= len(rows)  # rows times modules would be 120,668
+
+
 def test_similarities_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 
